@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+import public_tokenizers
+
+from . import decontamination, exact_dedup, secrets, token_counts
 from .common import table
 
 
@@ -14,11 +16,56 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": r"""
+        with words as (
+            select 'd' as kind, doc_id as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word,
+                   generate_subscripts(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1) as pos
+            from documents
+            union all
+            select 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')),
+                   generate_subscripts(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1)
+            from benchmark),
+        lengths as (select kind, id, count(*) as n from words group by kind, id),
+        starts as (
+            select w.kind, w.id, w.pos, l.n,
+                   string_agg(w.word, ' ') over (partition by w.kind, w.id order by w.pos rows between current row and 9 following) as gram
+            from words w join lengths l using (kind, id)),
+        windows as (
+            select distinct id as item_id, least(n, 10) as size, gram from starts where kind = 'b' and (pos + 9 <= n or (n < 10 and pos = 1))),
+        sizes as (select distinct size from windows),
+        places as (
+            select s.id as doc_id, s.pos, z.size,
+                   array_to_string(list_slice(string_split(s.gram, ' '), 1, z.size), ' ') as gram
+            from starts s join sizes z on s.kind = 'd' and s.pos + z.size - 1 <= s.n),
+        found as (select p.doc_id, p.pos, p.size, w.item_id from places p join windows w using (size, gram)),
+        hit as (select doc_id, count(distinct word_pos) as n_hit from (select doc_id, unnest(range(pos, pos + size)) as word_pos from found) group by doc_id),
+        items as (select doc_id, count(distinct item_id) as n_items, string_agg(item, ',' order by item) as joined
+                  from (select distinct doc_id, item_id, cast(item_id as varchar) as item from found) group by doc_id)
+        select d.doc_id, coalesce(l.n, 0) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items,
+               sha256(coalesce(i.joined, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+        from documents d left join lengths l on l.kind = 'd' and l.id = d.doc_id
+        left join hit h on h.doc_id = d.doc_id left join items i on i.doc_id = d.doc_id""",
     "op10_exact_dedup": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as n_cp,
