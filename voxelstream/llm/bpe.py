@@ -1,12 +1,11 @@
-"""Byte-level BPE in Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A text is cut by the tokenizer's pattern. A word is an array of bytes (each a character of the same code), folded
-by ranked merges: in each step the leftmost pair of lowest rank becomes one piece, and only the ranks beside it
-are looked up anew. The ranks are a literal in the plan: an array of small maps, chosen by a hash of the key.
+A text is cut by the tokenizer's pattern. Each distinct word a worker meets is an array of bytes that is folded
+once by ranked merges: the leftmost pair of lowest rank becomes one piece, until no pair has a rank. The rank map
+(a file of bounded size) is broadcast, and ids of words are kept in a bounded cache. Decoding turns ids back into
+their binary pieces and concatenates those.
 
-The most frequent distinct words of a bounded sample are folded once and put into a second literal; words that it
-lacks are folded where they stand, so the sample changes the time taken and no result. Decoding turns ids back
-into their pieces through a literal array and concatenates those.
+``bpe_native`` has the same fold in Spark's higher-order functions.
 
 Defined results: null and empty texts have no ids, and decode to nothing; repeated rows each get their row; a
 null doc_id stays null; an empty table gives an empty result; further columns are ignored.
@@ -15,140 +14,133 @@ null doc_id stays null; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_bytes, text_or_empty
-
-SAMPLE_DOCUMENTS = 20_000  # documents whose words are counted for the literal of frequent words, at most about
-FREQUENT_WORDS = 60_000  # words in that literal, at most
-LONGEST_WORD = 32  # characters of a word in that literal, at most
-NONE = 2**31 - 1  # rank of a pair that does not merge
+from .common import file_bytes, slices, text_or_empty
+from .tokenizing import ChunkCache
 
-#: White space as the tokenizer libraries see it; Java's \s knows ASCII only.
-WHITE_SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+LONG = 48  # bytes from which a word is folded with a heap
+NONE = 1 << 62
 
 
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with \\s and \\S spelled out."""
-    inside = re.sub(r"\[(\^?)\\s", lambda m: f"[{m[1]}{WHITE_SPACE}", pattern)
-    return inside.replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
+def read_ranks(path: str) -> dict[bytes, int]:
+    return parse_ranks(file_bytes(path))
+
+
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+
+
+class Bpe:
+    """Ranked merges of words, and whole texts by a pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self._pattern = ranks, regex.compile(pattern)
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self._cache = ChunkCache(self._encode_whole, b"".join)
+
+    def fold(self, word: bytes) -> list[int]:
+        """Ids of one word."""
+        rank = self.ranks.get(word)
+        if rank is not None:
+            return [rank]
+        if len(word) > LONG:
+            return self._fold_long(word)
+        of, parts = self.ranks.get, [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 1:
+            found = [of(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(found)
+            if best == NONE:
+                break
+            at = found.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
+
+    def _fold_long(self, word: bytes) -> list[int]:
+        """The same merges with a heap over linked pieces, for words of any length."""
+        of, n = self.ranks.get, len(word)
+        ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := of(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        alive = [True] * n
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or ends[j] != end:
+                continue
+            ends[i], alive[j], after[i] = end, False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := of(word[i : ends[after[i]]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[after[i]]))
+            if before[i] >= 0 and (r := of(word[before[i] : end])) is not None:
+                heapq.heappush(heap, (r, before[i], end))
+        return [self.ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
+
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        fold, cut = self.fold, self._pattern.findall
+        return [np.array([i for w in cut(t) for i in fold(w.encode())], "<u4").tobytes() for t in texts]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        return np.frombuffer(self._cache.encode(text), "<u4")
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
 
-def latin1(data: Column) -> Column:
-    """Bytes as a string of characters of the same codes."""
-    return F.decode(data, "ISO-8859-1")
 
+def _each(docs: DataFrame, rank_file: str, pattern: str, columns: str, rows) -> DataFrame:
+    """doc_id and what ``rows(bpe, texts)`` gives as Arrow arrays for each slice of texts."""
+    content = docs.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file_bytes(path).splitlines())}
-
-
-def literal_map(rows: DataFrame, value_type: str) -> Callable[[Column], Column]:
-    """A look-up in a literal made of (key string, value) rows; the caller bounds their number."""
-    n = max(1, rows.count())
-    buckets = 1 << (n - 1).bit_length()
-    dealt = rows.groupBy(F.pmod(F.hash("key"), F.lit(buckets)).cast("long").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-    every = rows.sparkSession.range(buckets).join(dealt, "id", "left")
-    parts = every.select("id", F.coalesce(F.to_json("m"), F.lit("{}")).alias("m")).orderBy("id").collect()
-    table = F.from_json(F.lit("[" + ",".join(r["m"] for r in parts) + "]"), f"array<map<string,{value_type}>>")
-    return lambda key: F.try_element_at(F.element_at(table, F.pmod(F.hash(key), F.lit(buckets)) + 1), key)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-class Tokenizer:
-    """Expressions that encode and decode with the ranks of a file."""
-
-    def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
-        ranks = read_ranks(rank_file)
-        rows = spark.createDataFrame([(token.decode("latin-1"), rank) for token, rank in ranks.items()], "key string, value int")
-        self._rank = literal_map(rows, "int")
-        by_id = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_id[rank] = token.decode("latin-1")
-        pieces = spark.createDataFrame([(by_id,)], "pieces array<string>").select(F.to_json("pieces")).first()[0]
-        self._pieces = F.from_json(F.lit(pieces), "array<string>")
-        self._pattern = F.lit(java_pattern(pattern))
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, self._pattern, F.lit(0))
-
-    def _pair(self, left: Column, right: Column) -> Column:
-        return F.coalesce(self._rank(F.concat(left, right)), F.lit(NONE))
-
-    def _step(self, state: Column) -> Column:
-        """One merge; nothing changes when no pair has a rank."""
-        pieces, ranks = state["pieces"], state["ranks"]
-
-        def merge(at: Column) -> Column:
-            # pieces[at] and pieces[at + 1] (from 1) merge; ranks[i] is that of pieces i and i + 1.
-            def put(one: Column) -> Column:
-                n = F.size(pieces)
-                before = F.when(at > 1, F.array(self._pair(F.element_at(pieces, F.greatest(at - 1, F.lit(1))), one))).otherwise(F.array().cast("array<int>"))
-                after = F.when(at + 1 < n, F.array(self._pair(one, F.element_at(pieces, F.least(at + 2, n))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(one), F.slice(pieces, at + 2, n)).alias("pieces"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, n)).alias("ranks"),
-                )
-
-            return let(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1)), put)
-
-        best = F.array_min(ranks)
-        return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(ranks, best).cast("int"), merge))
-
-    def fold(self, word: Column) -> Column:
-        """Ids of one word, given as bytes in characters."""
-
-        def merged(pieces: Column) -> Column:
-            n = F.size(pieces)
-            pairs = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-            ranks = F.transform(pairs, lambda i: self._pair(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
-            start = F.struct(pieces.alias("pieces"), ranks.alias("ranks"))
-            return F.aggregate(pairs, start, lambda state, _: self._step(state), lambda state: F.transform(state["pieces"], self._rank))
-
-        whole = self._rank(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), merged))
-
-    def frequent_words(self, docs: DataFrame) -> Callable[[Column], Column]:
-        """A look-up from frequent words to their ids, folded once for each distinct word."""
-        n = docs.count()
-        some = docs.where(F.pmod(F.xxhash64(text_or_empty()), F.lit(max(1, -(-n // SAMPLE_DOCUMENTS)))) == 0)
-        words = some.select(F.explode(self.words(text_or_empty())).alias("key")).where(F.char_length("key") <= LONGEST_WORD)
-        top = words.groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(FREQUENT_WORDS)
-        return literal_map(top.repartition(32, "key").select("key", self.fold(latin1(F.encode("key", "UTF-8"))).alias("value")), "array<int>")
-
-    def encode(self, text: Column, known: Callable[[Column], Column]) -> Column:
-        """Ids of a whole text."""
-        one = lambda w: F.coalesce(known(w), self.fold(latin1(F.encode(w, "UTF-8"))))
-        return F.flatten(F.transform(self.words(text), one))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(parse_ranks(content.value), pattern)
+        for batch in slices(batches, 128):
+            arrays = rows(bpe, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids: their pieces, concatenated."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(self._pieces, i + 1)), ""), "ISO-8859-1")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return typed.mapInArrow(run, f"doc_id long, {columns}")
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id and the ids of its whole text."""
-    tokenizer = Tokenizer(docs.sparkSession, rank_file, pattern)
-    known = tokenizer.frequent_words(docs)
-    return docs.select("doc_id", tokenizer.encode(text_or_empty(), known).alias("ids"))
+    """doc_id and ids of its whole text."""
+    return _each(docs, rank_file, pattern, "ids array<long>", lambda bpe, texts: [pa.array([bpe.encode(t).astype(np.int64) for t in texts], pa.list_(pa.int64()))])
+
+
+def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """(doc_id, ids) -> doc_id and the bytes they stand for."""
+    content = encoded.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(parse_ranks(content.value), "")
+        for batch in slices(batches, 128):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.decode(i) for i in batch.column("ids").to_pylist()], pa.binary())], names=["doc_id", "data"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
-    tokenizer = Tokenizer(docs.sparkSession, rank_file, pattern)
-    known = tokenizer.frequent_words(docs)
-    ids = docs.select("doc_id", tokenizer.encode(text_or_empty(), known).alias("ids"))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+
+    def rows(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
+        n, encoded, decoded = [], [], []
+        for text in texts:
+            ids = bpe.encode(text).tolist()
+            n.append(len(ids))
+            encoded.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+
+    return _each(docs, rank_file, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
