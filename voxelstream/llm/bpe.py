@@ -48,7 +48,7 @@ class Bpe:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
-        self._cache = ChunkCache(self._encode_whole, b"".join)
+        self._cache = ChunkCache(lambda chunks: self._encode_whole([f" {c}" for c in chunks]), self._encode_whole, b"".join)
 
     def fold(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -92,9 +92,9 @@ class Bpe:
         fold, cut = self.fold, self._pattern.findall
         return [np.array([i for w in cut(t) for i in fold(w.encode())], "<u4").tobytes() for t in texts]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        return np.frombuffer(self._cache.encode(text), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        return [np.frombuffer(raw, "<u4") for raw in self._cache.encode(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -116,7 +116,7 @@ def _each(docs: DataFrame, rank_file: str, pattern: str, columns: str, rows) ->
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id and ids of its whole text."""
-    return _each(docs, rank_file, pattern, "ids array<long>", lambda bpe, texts: [pa.array([bpe.encode(t).astype(np.int64) for t in texts], pa.list_(pa.int64()))])
+    return _each(docs, rank_file, pattern, "ids array<long>", lambda bpe, texts: [pa.array([ids.astype(np.int64) for ids in bpe.encode(texts)], pa.list_(pa.int64()))])
 
 
 def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
@@ -136,8 +136,8 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def rows(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
         n, encoded, decoded = [], [], []
-        for text in texts:
-            ids = bpe.encode(text).tolist()
+        for found in bpe.encode(texts):
+            ids = found.tolist()
             n.append(len(ids))
             encoded.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"VXRP0001"
-ROUNDS = 10
+ROUNDS = 8
 PAIRS = 2048  # rules of a round, at most
 LEAST = 6  # times a pair must occur to get a rule
 BLOCK = 512  # symbols between marks
+TABLE = 1 << 18
 
 
 def compress(ids: np.ndarray, base: int, max_symbol: int = 2**16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,15 +42,23 @@ def compress(ids: np.ndarray, base: int, max_symbol: int = 2**16) -> tuple[np.nd
             break
         best = frequent[np.lexsort((pairs[frequent], -counts[frequent]))][: min(PAIRS, room - n_rules)]
         chosen = np.sort(pairs[best])
-        at = np.searchsorted(chosen, keys)
+        # A small table of hashed keys rules most places out before they are looked up.
+        table = np.zeros(TABLE, bool)
+        table[chosen & (TABLE - 1)] = True
+        places = np.flatnonzero(table[keys & (TABLE - 1)])
+        at = np.searchsorted(chosen, keys[places])
         at[at == len(chosen)] = 0
-        places = np.flatnonzero(chosen[at] == keys)
+        real = chosen[at] == keys[places]
+        places, at = places[real], at[real]
         # Of overlapping places, every second one of a run is replaced.
         starts = np.concatenate([[True], np.diff(places) > 1])
         run = np.maximum.accumulate(np.where(starts, places, 0))
-        places = places[(places - run) % 2 == 0]
-        symbols[places] = wide + at[places]
-        symbols = np.delete(symbols, places + 1)
+        second = (places - run) % 2 == 1
+        places, at = places[~second], at[~second]
+        symbols[places] = wide + at
+        kept = np.ones(len(symbols), bool)
+        kept[places + 1] = False
+        symbols = symbols[kept]
         rules.append(np.stack([chosen // wide, chosen % wide], axis=1))
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     lengths, done = np.zeros(len(grammar), np.int64), 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, shared_path, slices, text_or_empty
-from .tokenizing import ChunkCache
+from .tokenizing import LibraryTokenizer
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 LIMIT = 512
@@ -41,25 +41,8 @@ def _counter(kind: str, content: bytes):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=content)
-        return lambda text: len(model.encode(text))
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import json
-
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def many(texts: list[str]) -> list[int]:
-        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    pre = json.loads(content).get("pre_tokenizer") or {}
-    if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space"):
-        return ChunkCache(many, sum).encode
-    return lambda text: many([text])[0]
+        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)] if texts else []
+    return LibraryTokenizer(content).counter()
 
 
 def encode_misses(misses: DataFrame, tokenizer_file: str, version: str) -> DataFrame:
@@ -70,7 +53,7 @@ def encode_misses(misses: DataFrame, tokenizer_file: str, version: str) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(kind, content.value)
         for batch in slices(batches):
-            n = [counter(t) for t in batch.column("text").to_pylist()]
+            n = counter(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
 
     return misses.select("digest", "text").mapInArrow(count, CACHE_SCHEMA)

@@ -22,39 +22,20 @@ from pyspark.sql import functions as F
 
 from .common import file_bytes, shared_path, slices, text_or_empty
 from .repair import Shard, pack
-from .tokenizing import ChunkCache
+from .tokenizing import LibraryTokenizer
 
 SHARD_IDS = 1 << 19  # ids after which a shard is closed; a document is never cut
 END = 0
 SCHEMA = "part int, shard int, before long, n_ids long, payload binary"
 
 
-def _encoder(content: bytes):
-    """Text -> packed uint32 ids, as the tokenizers library gives them; and the number of ids of the vocabulary."""
-    import json
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def many(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    pre = json.loads(content).get("pre_tokenizer") or {}
-    cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
-    return (ChunkCache(many, b"".join).encode if cached else lambda text: many([text])[0]), tokenizer.get_vocab_size()
-
-
 def write_store(docs: DataFrame, tokenizer_file: str, path: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode every document and write the shards to ``path``."""
     content = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_file))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = _encoder(content.value)
+        tokenizer = LibraryTokenizer(content.value)
+        encoder, base = tokenizer.encoder(), tokenizer.size
         part, shard, before, doc_ids, held = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -64,8 +45,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, shard_ids: int
 
         size, end = 0, np.array([END], "<u4").tobytes()
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(encoder(text) + end, "<u4")
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
+                ids = np.frombuffer(raw + end, "<u4")
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids)

@@ -7,30 +7,99 @@ before need not be encoded again. Texts with other white space before a space ar
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
-CACHE_ENTRIES = 300_000  # pieces kept by a Python worker; the cache starts anew when full
+import numpy as np
+import public_tokenizers
+import regex
+
+CACHE_ENTRIES = 300_000  # chunks kept by a Python worker; the cache starts anew when full
+
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class ChunkCache:
-    """``encode_many(texts)`` gives one value per text; ``combine(values)`` joins those of consecutive pieces."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list], combine: Callable, entries: int = CACHE_ENTRIES):
-        self._encode_many, self._combine, self._entries, self._known = encode_many, combine, entries, {}
-
-    def encode(self, text: str):
-        first, *rest = text.split(" ")
-        known = self._known
-        missing = {c for c in rest if c not in known}
-        if missing:
-            if any(not c or c[-1].isspace() for c in missing) or not first or first[-1].isspace():
-                return self._encode_many([text])[0]
-            if len(known) + len(missing) > self._entries:
-                known.clear()
-                missing = set(rest)
-            new = list(missing)
-            known.update(zip(new, self._encode_many([" " + c for c in new]), strict=True))
-        elif rest and (not first or first[-1].isspace()):
-            return self._encode_many([text])[0]
-        head = self._encode_many([first]) if first else []
-        return self._combine([*head, *map(known.__getitem__, rest)])
+    """Values of texts from those of their chunks.
+
+    ``of_chunks(chunks)`` gives the value of " " + chunk for each, ``of_texts(texts)`` that of each text, and
+    ``combine(values)`` joins the values of consecutive pieces.
+    """
+
+    def __init__(self, of_chunks: Callable[[list[str]], list], of_texts: Callable[[list[str]], list], combine: Callable, entries: int = CACHE_ENTRIES):
+        self._of_chunks, self._of_texts, self._combine, self._entries = of_chunks, of_texts, combine, entries
+        self._chunks: dict[str, object] = {}
+        self._heads: dict[str, object] = {}
+
+    def _learn(self, known: dict, wanted: set[str], values: Callable[[list[str]], list]) -> None:
+        new = [c for c in wanted if c not in known]
+        if len(known) + len(new) > self._entries:
+            known.clear()
+            new = list(wanted)
+        if new:
+            known.update(zip(new, values(new), strict=True))
+
+    def encode(self, texts: list[str]) -> list:
+        """The value of each text."""
+        cut = [t.split(" ") for t in texts]
+        chunks, heads = set(), set()
+        for first, *rest in cut:
+            heads.add(first)
+            chunks.update(rest)
+        bad = {c for c in chunks if c not in self._chunks and (not c or c[-1].isspace())}
+        whole = [not p[0] or p[0][-1].isspace() or bool(bad) and not bad.isdisjoint(p[1:]) for p in cut]
+        self._learn(self._chunks, chunks - bad, self._of_chunks)
+        self._learn(self._heads, {p[0] for p, w in zip(cut, whole, strict=True) if not w}, self._of_texts)
+        rest = iter(self._of_texts([t for t, w in zip(texts, whole, strict=True) if w]))
+        of_head, of_chunk = self._heads.__getitem__, self._chunks.__getitem__
+        return [next(rest) if w else self._combine([of_head(p[0]), *map(of_chunk, p[1:])]) for p, w in zip(cut, whole, strict=True)]
+
+
+class LibraryTokenizer:
+    """A tokenizers file: packed uint32 ids of texts, exactly as the library gives them."""
+
+    def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_str(content.decode())
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self.size = self._tokenizer.get_vocab_size()
+        settings = json.loads(content)
+        pre = settings.get("pre_tokenizer") or {}
+        #: Only a plain byte-level tokenizer cuts at spaces as ChunkCache needs it.
+        self.cuts_at_spaces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not settings.get("normalizer")
+        self._special = tuple(t["content"] for t in settings.get("added_tokens", ()))
+        self._cut, self._model, self._words = regex.compile(public_tokenizers.PATTERN).findall, self._tokenizer.model, {}
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of " " + chunk: the library's model is asked once for each distinct word."""
+        out, words, tokenize = [], self._words, self._model.tokenize
+        if len(words) > CACHE_ENTRIES:
+            words.clear()
+        for chunk in chunks:
+            if any(s in chunk for s in self._special):
+                out += self.of_texts([f" {chunk}"])
+                continue
+            parts = []
+            for word in self._cut(f" {chunk}"):
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = np.array([t.id for t in tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
+                parts.append(ids)
+            out.append(b"".join(parts))
+        return out
+
+    def encoder(self) -> Callable[[list[str]], list[bytes]]:
+        return ChunkCache(self.of_chunks, self.of_texts, b"".join).encode if self.cuts_at_spaces else self.of_texts
+
+    def counter(self) -> Callable[[list[str]], list[int]]:
+        n = lambda of: lambda texts: [len(x) // 4 for x in of(texts)]
+        return ChunkCache(n(self.of_chunks), n(self.of_texts), sum).encode if self.cuts_at_spaces else n(self.of_texts)
