@@ -134,9 +134,9 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str = "quality") -> DataF
     """(y, fold, stats) of the rows to learn from, written once; folds 0 and 2 of crc32 mod 3."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     truth = labels.where(f"{name} is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.avg(name).alias("__y"))
-    rows = docs.where(fold != 1).select("doc_id", "text").join(truth, F.col("doc_id") == F.col("__id"))
-    rows = rows.select((F.col("__y") >= 0.5).cast("double").alias("y"), fold.cast("int").alias("fold"), "text")
-    return materialize(_statistics_column(rows, ["y", "fold"]), "labelled-statistics")
+    rows = _statistics_column(docs.where(fold != 1).select("doc_id", fold.cast("int").alias("fold"), "text"), ["doc_id", "fold"])
+    rows = rows.withColumn("__stats", F.col("__stats").cast("array<float>")).join(truth, F.col("doc_id") == F.col("__id"))
+    return materialize(rows.select((F.col("__y") >= 0.5).cast("double").alias("y"), "fold", "__stats"), "labelled-statistics")
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
