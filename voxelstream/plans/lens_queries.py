@@ -1,4 +1,562 @@
-"""Queries of the engine's own operators over the driver's tables, each with its DuckDB SQL."""
+"""Queries of the engine's operators over the driver's tables, each with its SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``_query`` registers a function under its name, with the SQL that must give the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..functions.scalars import round6
+from ..operators import control, exposure, register, ring, stats, track
+from ..sources import frames as fr
+from ..sources import lens, sinks
+from ..sources.lens import N_Z, SIDE, table
+from . import expand
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The views of ``sources.lens`` in SQL.
+FRAMES_SQL = """frames as (
+    select p, c, seq, v, rn // 4 as t, rn % 4 as z
+    from (select user_id as p, event_type as c, event_id as seq, value as v,
+                 row_number() over (partition by user_id, event_type order by event_id) - 1 as rn from events))"""
+VOLUMES_SQL = """volumes as (
+    select vec_id, cast(label as bigint) as p, row_number() over (partition by label order by vec_id) - 1 as t, embedding from embeddings),
+voxels as (
+    select vec_id, p, t, i // 16 as z, (i // 4) % 4 as y, i % 4 as x, v
+    from (select vec_id, p, t, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from volumes))"""
+
+
+def _query(sql: str | None = None):
+    def register_it(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register_it
+
+
+def r6(expression: str) -> str:
+    """SQL of ``round6``; adding zero turns -0.0 into 0.0."""
+    return f"round(cast({expression} as double), 6) + 0.0"
+
+
+# --- plans -----------------------------------------------------------------------------------------------
+
+
+@_query("""
+    select (((t * (select count(*) from nation) + p) * 2 + c) * 13 + z) as seq, t, p, c, z
+    from range(3) a(t), range((select count(*) from nation)) b(p), range(2) d(c), range(13) e(z)""")
+def plan_expand(spark, sf_dir):
+    return expand.expand(spark, {"t": 3, "p": table(spark, sf_dir, "nation").count(), "c": 2, "z": 13}, "tpcz")
+
+
+@_query("""
+    with n as (select p_partkey, -p_size as z0, cast(ceil((p_size + 3.5e0 + p_size) / 3.5e0) as bigint) as n from part)
+    select p_partkey, z, z0 + z * 3.5e0 as z_um from (select p_partkey, z0, unnest(range(n)) as z from n)""")
+def zplan_overshoot(spark, sf_dir):
+    plans = table(spark, sf_dir, "part").select("p_partkey", (-F.col("p_size")).alias("z0"), F.col("p_size").alias("z1"), F.lit(3.5).alias("step"))
+    return expand.z_slices(plans, "z0", "z1", "step").select("p_partkey", "z", "z_um")
+
+
+@_query("""
+    select c_custkey, case when (select bool_and(len(string_split(c_name, '-Site_')) = 2) from customer) then string_split(c_name, '-Site_')[1]
+        when (select bool_and(len(string_split(c_name, '-Pos')) = 2) from customer) then string_split(c_name, '-Pos')[1] else '0' end as well,
+        case when (select bool_and(len(string_split(replace(c_name, '#', '-Site_'), '-Site_')) = 2) from customer) then string_split(c_name, '#')[1] else '0' end as well_marked
+    from customer""")
+def well_parse(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    plain = expand.well_ids(names, "c_name")
+    marked = expand.well_ids(names.select("c_custkey", F.replace("c_name", F.lit("#"), F.lit("-Site_")).alias("label")), "label")
+    return plain.join(marked.select("c_custkey", F.col("well").alias("well_marked")), "c_custkey").select("c_custkey", "well", "well_marked")
+
+
+FAILS = [(1, 0), (None, 1), (2, None)]
+
+
+@_query(f"""with {FRAMES_SQL}, fails(t, p) as (values (1, 0), (null, 1), (2, null))
+    select p, c, seq, t, z from frames e where exists (select 1 from fails f where (f.t is null or f.t = e.t) and (f.p is null or f.p = e.p))""")
+def fail_at_index(spark, sf_dir):
+    return expand.failing(lens.frames(spark, sf_dir), spark.createDataFrame(FAILS, "t long, p long"), ["t", "p"]).select("p", "c", "seq", "t", "z")
+
+
+@_query("""
+    with e as (select event_id, event_type, cast(json_extract_string(props, '$.k') as int) as k from events)
+    select event_id, case when k % 2 = 0 then 'Stage=' || event_type || ',Z=' || k || ',Laser=on' else 'Stage=' || event_type || ',Laser=on,Z=' || k end as properties from e""")
+def property_upsert(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    one = lambda d, v: F.struct(F.lit(d).alias("device"), F.lit("Position").alias("property"), v.cast("string").alias("value"))
+    stage, laser = one("Stage", F.col("event_type")), one("Laser", F.lit("on"))
+    held = F.when(F.col("k") % 2 == 0, F.array(stage, one("Z", F.lit("old")), laser)).otherwise(F.array(stage, laser))
+    new = expand.upsert_property(held, "Z", "Position", F.col("k"))
+    return events.select("event_id", F.array_join(F.transform(new, lambda p: F.concat(p["device"], F.lit("="), p["value"])), ",").alias("properties"))
+
+
+@_query("""
+    select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, coalesce(cast(json_extract_string(props, '$.scale') as double), 1.0) as scale from events""")
+def props_json(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.coalesce(F.get_json_object("props", "$.scale").cast("double"), F.lit(1.0)).alias("scale"))
+
+
+# --- frames ----------------------------------------------------------------------------------------------
+
+
+@_query(f"with {FRAMES_SQL} select p, seq, t, z, v from frames where c = 'click'")
+def channel_filter(spark, sf_dir):
+    return lens.frames(spark, sf_dir).where("c = 'click'").select("p", "seq", "t", "z", "v")
+
+
+STACKS_SQL = f"""with {FRAMES_SQL} select p, c, t as stack, count(*) as n from frames group by p, c, t having count(*) """
+
+
+@_query(STACKS_SQL + ">= 4")
+def stack_complete(spark, sf_dir):
+    return fr.assemble(lens.frames(spark, sf_dir), ["p", "c"], "seq", N_Z).where("complete").select("p", "c", "stack", "n")
+
+
+@_query(STACKS_SQL + "< 4")
+def stack_partial(spark, sf_dir):
+    return fr.assemble(lens.frames(spark, sf_dir), ["p", "c"], "seq", N_Z).where("not complete").select("p", "c", "stack", "n")
+
+
+@_query(f"with {FRAMES_SQL} select p, c, t as stack, string_agg(cast(seq as varchar), ',' order by seq) as arrivals from frames group by p, c, t")
+def stack_arrival_order(spark, sf_dir):
+    stacks = fr.assemble(lens.frames(spark, sf_dir), ["p", "c"], "seq", N_Z)
+    return stacks.select("p", "c", "stack", F.array_join(F.col("arrivals").cast("array<string>"), ",").alias("arrivals"))
+
+
+@_query(f"with {FRAMES_SQL} select p, t, arg_min(v, seq) as v, min(seq) as seq from frames group by p, t")
+def baseline_first(spark, sf_dir):
+    return track.first_wins(lens.frames(spark, sf_dir), ["p", "t"], "seq").select("p", "t", "v", "seq")
+
+
+@_query("""
+    with r as (select event_id, event_id - 500 as t, user_id % 5 as c, event_id * 7 - 3000 as z from events)
+    select event_id, ((t % 3) + 3) % 3 * 10000 + c % 2 * 1000 + ((z % 10) + 10) % 10 as value from r""")
+def replay_wrap(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") - 500).alias("t"), (F.col("user_id") % 5).alias("c"), (F.col("event_id") * 7 - 3000).alias("z"))
+    stored = expand.expand(spark, {"t": 3, "c": 2, "z": 10}, "tcz").select("t", "c", "z", (F.col("t") * 10000 + F.col("c") * 1000 + F.col("z")).alias("value"))
+    return fr.replay(requests, stored, {"t": 3, "c": 2, "z": 10}).select("event_id", "value")
+
+
+@_query("""select s_suppkey, greatest(0, least(9, 5 + cast(round_even((s_acctbal - 5000) / 750e0, 0) as bigint))) as z, cast(5 as bigint) as z_unscaled from supplier""")
+def replay_zindex(spark, sf_dir):
+    z = lambda scale: scalars.z_index(F.col("s_acctbal"), F.lit(5000.0), F.lit(scale), F.lit(10))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", z(750.0).alias("z"), z(0.0).alias("z_unscaled"))
+
+
+@_query("""
+    select event_id, cast(case event_type when 'click' then 0 when 'view' then 1 else -1 end as bigint) as c,
+        case event_type when 'click' then (event_id % 3) * 10000 when 'view' then (event_id % 3) * 10000 + 1000 else 0 end as value from events""")
+def replay_unknown_channel(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("t"), F.col("event_type").alias("channel"))
+    stored = expand.expand(spark, {"t": 3, "c": 2}, "tc").withColumn("channel", F.when(F.col("c") == 0, "click").otherwise("view"))
+    stored = stored.select("t", "channel", F.col("c").alias("found"), (F.col("t") * 10000 + F.col("c") * 1000).alias("value"))
+    return fr.replay(requests, stored, {"t": 3}).select("event_id", F.coalesce("found", F.lit(-1).cast("long")).alias("c"), "value")
+
+
+@_query(f"""with {FRAMES_SQL}, seen as (select p, t, z, sum(v) as v from frames where c = 'click' and p % 3 <> 0 group by p, t, z),
+    grid as (select distinct f.p, f.t, z.z from frames f, range(4) z(z) where f.c = 'click')
+    select g.p, g.t, g.z, {r6("coalesce(s.v, 0)")} as v from grid g left join seen s using (p, t, z)""")
+def skip_zero_pad(spark, sf_dir):
+    clicks = lens.frames(spark, sf_dir).where("c = 'click'")
+    grid = clicks.select("p", "t").distinct().withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_Z - 1).cast("long"))))
+    return fr.zero_padded(grid, clicks.where("p % 3 <> 0"), ["p", "t", "z"], "v").withColumn("v", round6(F.col("v")))
+
+
+@_query("""
+    with l as (select conv_id, turn, text, regexp_extract(text, '(?s)([A-Za-z]+)\\.\\s*$', 1) as found from conversations)
+    select conv_id, arg_max(found, turn) as found from l where found <> '' group by conv_id""")
+def log_last_match(spark, sf_dir):
+    return fr.last_logged(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", r"(?s)([A-Za-z]+)\.\s*$")
+
+
+@_query("""
+    with w as (select l_returnflag as row, sum(case when l_linestatus = 'F' then 1 else 0 end) as f, sum(case when l_linestatus = 'O' then 1 else 0 end) as o from lineitem group by 1)
+    select row, col, cast(sample as bigint) as sample from (select row, 'F' as col, f as sample from w union all select row, 'O', o from w)""")
+def platemap_unpivot(spark, sf_dir):
+    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("row")).pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
+    return fr.unpivot(wide, "row", "col", "sample")
+
+
+# --- statistics ------------------------------------------------------------------------------------------
+
+
+@_query(f"""with {FRAMES_SQL}, med as (select c, p, median(v) as med from frames group by c, p), mm as (select c, avg(med) as mm from med group by c)
+    select seq, {r6("case when med = 0 then null else v / med * mm end")} as flat from frames join med using (c, p) join mm using (c)""")
+def flatfield_median(spark, sf_dir):
+    return stats.flatfield(lens.frames(spark, sf_dir), ["c"], ["p"], "v").select("seq", round6(F.col("flat")).alias("flat"))
+
+
+@_query(f"with {VOLUMES_SQL} select vec_id, y, x, max(v) as v_max, bool_or(v > 0.1) as v_any from voxels group by vec_id, y, x")
+def mip_any(spark, sf_dir):
+    return stats.projections(lens.voxels(spark, sf_dir), ["vec_id"], "v", 0.1)
+
+
+def _normalized(how: str, sql: str):
+    def query(spark, sf_dir):
+        return stats.normalize(lens.frames(spark, sf_dir), ["c"], "v", how).select("seq", round6(F.col("norm")).alias("norm"))
+
+    query.__name__ = f"{how}_norm"
+    _query(f"with {FRAMES_SQL}, {sql}")(query)
+
+
+_normalized("minmax", f"s as (select c, min(v) as a, max(v) as b from frames group by c) select seq, {r6('(v - a) / (b - a + 1e-8)')} as norm from frames join s using (c)")
+_normalized("symmetric", f"s as (select c, min(v) as a, max(v) as b from frames group by c) select seq, {r6('(v - a) / (b - a + 1e-8) * 2 - 1')} as norm from frames join s using (c)")
+_normalized("zscore", f"s as (select c, avg(v) as a, stddev_samp(v) as b from frames group by c) select seq, {r6('(v - a) / (b + 1e-8)')} as norm from frames join s using (c)")
+_normalized(
+    "iqr",
+    f"""q as (select c, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from frames group by c),
+    k as (select c, seq, greatest(q1 - 1.5e0 * (q3 - q1), least(q3 + 1.5e0 * (q3 - q1), v)) as v from frames join q using (c)),
+    s as (select c, avg(v) as a, stddev_samp(v) as b from k group by c) select seq, {r6('(v - a) / (b + 1e-8)')} as norm from k join s using (c)""",
+)
+
+HISTOGRAM_SQL = """bounds as (select {k}, min(v) as lo, max(v) as hi from {t} group by {k}),
+    h as (select {k}, lo, hi, cast(case when lo = hi then 0 else least(floor((v - lo) / (hi - lo) * 256), 255) end as bigint) as bin, count(*) as n
+          from {t} join bounds using ({k}) group by all)"""
+
+
+@_query(f"with {FRAMES_SQL}, {HISTOGRAM_SQL.format(k='c', t='frames')} select c, bin, n from h")
+def hist256(spark, sf_dir):
+    return stats.histogram(lens.frames(spark, sf_dir), ["c"], "v").select("c", "bin", "n")
+
+
+@_query(f"""with {FRAMES_SQL}, {HISTOGRAM_SQL.format(k='c', t='frames')},
+    s as (select *, sum(n) over (partition by c order by bin) / sum(n) over (partition by c) as share from h)
+    select c, {r6("case when min(lo) = min(hi) then min(lo) else min(lo) + (min(bin) + 1) * (min(hi) - min(lo)) / 256 end")} as percentile from s where share >= 0.9 group by c""")
+def percentile_hist(spark, sf_dir):
+    return stats.percentile_by_histogram(lens.frames(spark, sf_dir), ["c"], "v", 90.0).select("c", round6(F.col("percentile")).alias("percentile"))
+
+
+@_query(f"""with {FRAMES_SQL}, {HISTOGRAM_SQL.format(k='c', t='frames')},
+    g as (select b.c, b.lo, b.hi, i.bin, cast(coalesce(h.n, 0) as double) as n from bounds b cross join range(256) i(bin) left join h on h.c = b.c and h.bin = i.bin),
+    p as (select c, lo, hi, bin, n / sum(n) over (partition by c) as p, lo + bin * ((hi - lo) / 255) as centre from g),
+    s as (select c, lo, hi, bin, sum(p) over (partition by c order by bin) as w, sum(p * centre) over (partition by c order by bin) as m, sum(p * centre) over (partition by c) as mu from p),
+    pairs as (select a.c, a.lo, a.hi, a.bin as a, b.bin as b, a.w as w0, b.w - a.w as w1, 1.0e0 - b.w as w2, a.m as m0, b.m - a.m as m1, a.mu - b.m as m2, a.mu from s a join s b on a.c = b.c and a.bin < b.bin and b.bin <= 254),
+    r as (select *, row_number() over (partition by c order by round(w0 * pow(m0 / w0 - mu, 2) + w1 * pow(m1 / w1 - mu, 2) + w2 * pow(m2 / w2 - mu, 2), 9) desc, a, b) as k
+          from pairs where w0 > 1e-10 and w1 > 1e-10 and w2 > 1e-10)
+    select c, a, b, {r6("lo + (a + 1) * ((hi - lo) / 255)")} as low, {r6("lo + (b + 1) * ((hi - lo) / 255)")} as high from r where k = 1""")
+def otsu3(spark, sf_dir):
+    return stats.otsu_thresholds(lens.frames(spark, sf_dir), ["c"], "v").select("c", "a", "b", round6(F.col("low")).alias("low"), round6(F.col("high")).alias("high"))
+
+
+@_query(f"with {VOLUMES_SQL} select vec_id, " + ", ".join(f"{r6(f'coalesce(avg({a}) filter (where v > 0.15), 0)')} as c_{a}" for a in "zyx") + " from voxels group by vec_id")
+def mask_centroid(spark, sf_dir):
+    found = stats.mask_centroid(lens.voxels(spark, sf_dir), ["vec_id"], F.col("v") > 0.15)
+    return found.select("vec_id", *[round6(F.col(f"c_{a}")).alias(f"c_{a}") for a in "zyx"])
+
+
+def _centre(axis: str, name: str = "c", background: str = "0") -> str:
+    w = f"greatest(v - {background}, 0)"
+    back = " - 1.5" if name == "d" else ""
+    return f"{r6(f'case when sum({w}) > 0 then sum({w} * {axis}) / nullif(sum({w}), 0) else 1.5 end{back}')} as {name}_{axis}"
+
+
+@_query(f"with {VOLUMES_SQL} select vec_id, " + ", ".join(_centre(a) for a in "zyx") + " from voxels group by vec_id")
+def intensity_com(spark, sf_dir):
+    found = stats.intensity_centroid(lens.voxels(spark, sf_dir), ["vec_id"], F.col("v"))
+    return found.select("vec_id", *[round6(F.col(f"c_{a}")).alias(f"c_{a}") for a in "zyx"])
+
+
+BACKGROUND_SQL = f"""{HISTOGRAM_SQL.format(k='vec_id', t='voxels')},
+    s as (select *, sum(n) over (partition by vec_id order by bin) / sum(n) over (partition by vec_id) as share from h),
+    bg as (select vec_id, case when min(lo) = min(hi) then min(lo) else min(lo) + (min(bin) + 1) * (min(hi) - min(lo)) / 256 end as bg from s where share >= 0.5 group by vec_id)"""
+
+
+@_query(f"with {VOLUMES_SQL}, {BACKGROUND_SQL} select vec_id, " + ", ".join(_centre(a, background="bg") for a in "zyx") + " from voxels join bg using (vec_id) group by vec_id")
+def intensity_com_bg(spark, sf_dir):
+    v = lens.voxels(spark, sf_dir)
+    background = stats.percentile_by_histogram(v, ["vec_id"], "v", 50.0)
+    found = stats.intensity_centroid(v.join(background, "vec_id"), ["vec_id"], F.col("v"), F.col("percentile"))
+    return found.select("vec_id", *[round6(F.col(f"c_{a}")).alias(f"c_{a}") for a in "zyx"])
+
+
+@_query(f"with {VOLUMES_SQL} select vec_id, " + ", ".join(_centre(a, "d") for a in "zyx") + " from voxels group by vec_id")
+def roi_shift(spark, sf_dir):
+    found = stats.intensity_centroid(lens.voxels(spark, sf_dir), ["vec_id"], F.col("v"))
+    return found.select("vec_id", *[round6(F.col(f"d_{a}")).alias(f"d_{a}") for a in "zyx"])
+
+
+@_query(f"with {FRAMES_SQL} select c, {r6('regr_slope(v, seq)')} as slope, {r6('regr_intercept(v, seq)')} as intercept from frames group by c")
+def slope_fit(spark, sf_dir):
+    return stats.slope(lens.frames(spark, sf_dir), ["c"], "seq", "v").select("c", round6(F.col("slope")).alias("slope"), round6(F.col("intercept")).alias("intercept"))
+
+
+@_query(f"""with {FRAMES_SQL}, r as (select c, p, stddev_pop(v) as s from frames group by c, p),
+    m as (select c, p, round(avg(s) over w, 9) as a, count(*) over w as n from r window w as (partition by c order by p rows between current row and 4 following))
+    select c, p as peak from (select *, row_number() over (partition by c order by a desc, p) as k from m where n = 5) where k = 1""")
+def std_peak(spark, sf_dir):
+    return stats.std_peak(lens.frames(spark, sf_dir), ["c"], "p", "v")
+
+
+# --- exposure and control --------------------------------------------------------------------------------
+
+HOT_SQL = "quantile_cont(v, 0.9999)"
+
+
+@_query(f"""with {FRAMES_SQL}, s as (select p, c, avg(v) as m, stddev_pop(v) as s, {HOT_SQL} as hot from frames group by p, c)
+    select p, c, case when m + s > 255 * (1 - 55e0 / 100) or hot >= 255 then 1 when m - s < 255 * 5e0 / 100 then -1 else 0 end as flag from s""")
+def exposure_mean(spark, sf_dir):
+    return exposure.by_mean(lens.frames(spark, sf_dir), ["p", "c"], "v", 255.0, 55.0, 5.0)
+
+
+@_query(f"""with {FRAMES_SQL}, h as (select p, c, {HOT_SQL} as hot from frames group by p, c),
+    k as (select p, c, hot, case when v < hot then v else 0 end as v from frames join h using (p, c)),
+    s as (select p, c, hot, avg(v) as m, greatest(quantile_cont(v, 0.001), 255 * 5e0 / 100) as u, least(quantile_cont(v, 0.95), 255 * (1 - 55e0 / 100)) as o from k group by p, c, hot)
+    select p, c, case when m < u or m < 255 * 5e0 / 100 then -1 when m > o or hot >= 255 then 1 else 0 end as flag from s""")
+def exposure_masked(spark, sf_dir):
+    return exposure.by_masked_mean(lens.frames(spark, sf_dir), ["p", "c"], "v", 255.0, 55.0, 5.0)
+
+
+@_query(f"""with {FRAMES_SQL}, s as (select p, c, {HOT_SQL} as hot from frames group by p, c)
+    select p, c, case when hot > 255 * (1 - 55e0 / 100) or hot >= 255 then 1 when 255 * 35e0 / 100 / hot > 1 then -1 else 0 end as flag from s""")
+def exposure_percentile(spark, sf_dir):
+    return exposure.by_percentile(lens.frames(spark, sf_dir), ["p", "c"], "v", 255.0, 55.0, 35.0)
+
+
+ILLUMINATION = [("BUILDING", 50.0, 10.0), ("MACHINERY", 25.0, 7.5)]
+
+
+@_query("""
+    with i(well_id, e, w) as (values ('BUILDING', 50.0e0, 10.0e0), ('MACHINERY', 25.0e0, 7.5e0))
+    select c_custkey, coalesce(e, 100.0e0) as exposure, coalesce(w, 5.0e0) as power, case when e is null then null else 0 end as flag from customer left join i on well_id = c_mktsegment""")
+def illumination_lookup(spark, sf_dir):
+    wells = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("well_id"), F.lit(100.0).alias("exposure"), F.lit(5.0).alias("power"))
+    rows = spark.createDataFrame(ILLUMINATION, "well_id string, exposure_time_ms double, laser_power_mW double")
+    return exposure.manual(wells, rows, "exposure", "power").select("c_custkey", "exposure", "power", "flag")
+
+
+@_query("""
+    with m as (select c_nationkey, c_custkey, c_acctbal - lag(c_acctbal) over w as dx, 10.0e0 * (c_custkey - lag(c_custkey) over w) as dy from customer window w as (partition by c_nationkey order by c_custkey)),
+    s as (select *, case when sqrt(dx * dx + dy * dy) < 1 then null when sqrt(dx * dx + dy * dy) < 2000 then 2.0e0 when dx is not null then 5.75e0 end as speed from m),
+    b as (select *, last_value(speed ignore nulls) over (partition by c_nationkey order by c_custkey rows between unbounded preceding and 1 preceding) as before from s)
+    select c_custkey, speed, speed is not null and speed is distinct from before as change from b""")
+def stage_speed(spark, sf_dir):
+    moves = table(spark, sf_dir, "customer").withColumn("y", F.col("c_custkey") * 10.0)
+    return control.stage_speed(moves, ["c_nationkey"], "c_custkey", "c_acctbal", "y").select("c_custkey", "speed", "change")
+
+
+@_query(f"""
+    with r as (select l_orderkey, l_quantity as nz, 1000.0e0 / (l_discount * 100 + 1.5e0 + 0.05e0) as ls, least(1000.0e0 / (l_discount * 100 + 1.5e0), floor(l_tax * 1000 + 20)) as lf from lineitem)
+    select l_orderkey, {r6("sum(nz / ls) + 0.2e0 * (count(*) - 1)")} as light_sheet, {r6("sum(nz / lf) + 0.02e0 * (count(*) - 1)")} as label_free,
+        cast(ceil(greatest(round(sum(nz / ls) + 0.2e0 * (count(*) - 1), 6), round(sum(nz / lf) + 0.02e0 * (count(*) - 1), 6))) as bigint) as seconds from r group by l_orderkey""")
+def acq_time(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    exposure_ms = F.col("l_discount") * 100
+    sheet = control.acquisition_time(items, ["l_orderkey"], F.col("l_quantity"), control.light_sheet_rate(exposure_ms, F.lit(1.5)), 0.2)
+    free = control.acquisition_time(items, ["l_orderkey"], F.col("l_quantity"), control.label_free_rate(exposure_ms, F.col("l_tax") * 1000 + 20), 0.02)
+    both = sheet.select("l_orderkey", round6(F.col("seconds")).alias("light_sheet")).join(free.select("l_orderkey", round6(F.col("seconds")).alias("label_free")), "l_orderkey")
+    return both.withColumn("seconds", F.ceil(F.greatest("light_sheet", "label_free")).cast("long"))
+
+
+@_query(f"""with {FRAMES_SQL}, s as (select p, case when v > 200 and p % 4 <> 1 then cast(z * 5 as int) end as focus, cast(seq % 3 + (p % 3) * 8 as int) as peak from frames)
+    select p, cast(floor(median(focus)) as int) as focus_index, median(focus) is null and bool_and(peak < 0.2e0 * 18) as scan_left, median(focus) is null and bool_and(peak > 0.8e0 * 18) as scan_right from s group by p""")
+def refocus_decision(spark, sf_dir):
+    rows = lens.frames(spark, sf_dir)
+    focus = F.when((F.col("v") > 200) & (F.col("p") % 4 != 1), (F.col("z") * 5).cast("int"))
+    found = rows.select("p", focus.alias("focus"), (F.col("seq") % 3 + (F.col("p") % 3) * 8).cast("int").alias("peak"))
+    return control.refocus(found, ["p"], "focus", "peak", 19)
+
+
+@_query("select event_id, event_type is distinct from lag(event_type) over (partition by user_id order by event_id) as changed from events")
+def change_detection(spark, sf_dir):
+    return control.changes(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").select("event_id", "changed")
+
+
+@_query("""
+    select cast((select count(*) from (select distinct c_nationkey as k from customer where c_acctbal > 9000 except select distinct s_nationkey from supplier)) as bigint) as only_left,
+           cast((select count(*) from (select distinct s_nationkey as k from supplier except select distinct c_nationkey from customer where c_acctbal > 9000)) as bigint) as only_right""")
+def well_set_equality(spark, sf_dir):
+    wells = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    return control.same_set(wells, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@_query("""
+    with used as (select distinct cast(p_size as bigint) as i from part where p_size % 7 <> 0)
+    select min(i) as first_free from (select i + 1 as i from used union all select 1) where i not in (select i from used)""")
+def unique_name_gap(spark, sf_dir):
+    return sinks.first_free(table(spark, sf_dir, "part").where("p_size % 7 <> 0"), "p_size")
+
+
+@_query("""
+    select p_partkey, case when contains(lower(p_name), 'red') then 'red' when contains(lower(p_name), 'green') then 'green' when contains(lower(p_name), 'blue') then 'blue' else 'gray' end as colormap,
+        case when regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') = '' then 'p' || p_partkey else regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') end as folder from part""")
+def display_names(spark, sf_dir):
+    colour = scalars.first_match(F.col("p_name"), [(c, c) for c in ("red", "green", "blue")], "gray")
+    return table(spark, sf_dir, "part").select("p_partkey", colour.alias("colormap"), sinks.folder_name(F.col("p_name"), F.col("p_partkey")).alias("folder"))
+
+
+# --- tracking --------------------------------------------------------------------------------------------
+
+INTERVAL = 4
+ASOF_SQL = """a as (select *, row_number() over (partition by p order by t) = 1 or t % 4 = 0 as anchor from volumes),
+    o as (select *, last_value(case when anchor then vec_id end ignore nulls) over (partition by p order by t rows between unbounded preceding and current row) as reference from a)"""
+
+
+def _referenced(spark, sf_dir) -> DataFrame:
+    return track.as_of_reference(lens.volumes(spark, sf_dir), ["p"], "t", "vec_id", INTERVAL)
+
+
+@_query(f"with {VOLUMES_SQL}, {ASOF_SQL} select vec_id, p, t, anchor, reference, not anchor and t % 2 = 0 as tracked from o")
+def asof_reference(spark, sf_dir):
+    return _referenced(spark, sf_dir).select("vec_id", "p", "t", "anchor", "reference", track.tracked(F.col("anchor"), F.col("t"), 2).alias("tracked"))
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL},
+    f as (select vec_id, i, cast(embedding[i + 1] as double) as v from volumes, range(64) r(i)),
+    k as (select o.vec_id, m.i as j, r.i as i, m.v as mv, r.v as rv from o join f m on m.vec_id = o.vec_id join f r on r.vec_id = o.reference),
+    s as (select vec_id, (j - i + 64) % 64 as lag, round(abs(sum(mv * rv)), 9) as corr from k group by 1, 2),
+    w as (select vec_id, lag, corr, (lag + 32) % 64 as shifted from s),
+    b as (select vec_id, lag, row_number() over (partition by vec_id order by corr desc, (64 - lag + 32) % 64) as k from s)
+    select vec_id, cast(case when lag <= 32 then lag else lag - 64 end as double) as shift from b where k = 1""")
+def xcorr_shift_1d(spark, sf_dir):
+    return _shifts(spark, sf_dir, (64,), "pcc").select("vec_id", F.col("shift")[0].alias("shift"))
+
+
+def _shifts(spark, sf_dir, shape: tuple[int, ...], method: str) -> DataFrame:
+    rows = _referenced(spark, sf_dir)
+    references = rows.select(F.col("vec_id").alias("reference"), F.col("voxels").alias("ref_voxels"))
+    pairs = rows.join(references, "reference")
+    return pairs.select("vec_id", "p", "t", "anchor", register.pixel_shift(method, F.col("ref_voxels"), F.col("voxels"), shape).alias("shift"))
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL},
+    k as (select o.vec_id, m.z as mz, m.y as my, m.x as mx, r.z as rz, r.y as ry, r.x as rx, m.v as mv, r.v as rv from o join voxels m on m.vec_id = o.vec_id join voxels r on r.vec_id = o.reference),
+    s as (select vec_id, (mz - rz + 4) % 4 as dz, (my - ry + 4) % 4 as dy, (mx - rx + 4) % 4 as dx, round(abs(sum(mv * rv)), 9) as corr from k group by 1, 2, 3, 4),
+    b as (select *, row_number() over (partition by vec_id order by corr desc, (6 - dz) % 4, (6 - dy) % 4, (6 - dx) % 4) as k from s)
+    select vec_id, cast(case when dz <= 2 then dz else dz - 4 end as double) as dz, cast(case when dy <= 2 then dy else dy - 4 end as double) as dy,
+        cast(case when dx <= 2 then dx else dx - 4 end as double) as dx from b where k = 1""")
+def xcorr_shift_3d(spark, sf_dir):
+    return _shifts(spark, sf_dir, (SIDE,) * 3, "pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
+
+
+@_query()
+def otsu_pcc_shift(spark, sf_dir):
+    return _shifts(spark, sf_dir, (SIDE,) * 3, "multiotsu_pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
+
+
+@_query()
+def otsu_com_shift(spark, sf_dir):
+    return _shifts(spark, sf_dir, (SIDE,) * 3, "multiotsu_center_of_mass").select("vec_id", *[round6(F.col("shift")[i]).alias(f"d{a}") for i, a in enumerate("zyx")])
+
+
+@_query()
+def roi_pcc_shift(spark, sf_dir):
+    return _shifts(spark, sf_dir, (SIDE,) * 3, "roi_center_pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
+
+
+def _blur_sql(axis: str, source: str) -> str:
+    """One axis of a blur with sigma 0.5: radius 2, borders reflected (0 1 2 3 -> 1 and 2 beyond either end)."""
+    others = ", ".join(a for a in "zyx" if a != axis)
+    return f"""(select k.vec_id, {others}, o.i as {axis}, sum(k.v * g.w) as v from {source} k
+        join (select i, d, w, case when i + d < 0 then -(i + d) when i + d > 3 then 6 - (i + d) else i + d end as src from range(4) a(i), gauss) g on g.src = k.{axis}
+        join range(4) o(i) on o.i = g.i group by k.vec_id, {others}, o.i)"""
+
+
+@_query(f"""with {VOLUMES_SQL}, raw as (select d, exp(-0.5e0 * pow(d / 0.5e0, 2)) as w from range(-2, 3) r(d)), gauss as (select d, w / (select sum(w) from raw) as w from raw),
+    bz as {_blur_sql("z", "voxels")}, b_y as {_blur_sql("y", "bz")}, bx as {_blur_sql("x", "b_y")} select vec_id, z * 16 + y * 4 + x as i, {r6("v")} as v from bx""")
+def gaussian_blur(spark, sf_dir):
+    rows = lens.volumes(spark, sf_dir).select("vec_id", F.posexplode(register.blurred(F.col("voxels"), (SIDE,) * 3, 0.5)).alias("i", "v"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), round6(F.col("v")).alias("v"))
+
+
+LIMITS = {"z": (0.02, 0.3), "y": (0.05, 0.2), "x": (0.01, 0.25)}
+DAMPENING = {"z": 0.5, "y": 0.25, "x": 0.1}
+SCALE = {"z": 2.0, "y": 0.5, "x": 0.5}
+MATRIX = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+
+COM_SQL = "d as (select vec_id, p, t, " + ", ".join(_centre(a, "d").replace("round(cast(", "(").replace(" as double), 6) + 0.0", ")") for a in "zyx") + " from voxels group by vec_id, p, t)"
+LIMIT_SQL = {a: f"case when abs(d_{a} * {SCALE[a]}e0) < {LIMITS[a][0]}e0 then 0 when abs(d_{a} * {SCALE[a]}e0) > {LIMITS[a][1]}e0 then sign(d_{a}) * {LIMITS[a][1]}e0 else d_{a} * {SCALE[a]}e0 end" for a in "zyx"}
+SHIFT_SQL = f"{COM_SQL}, s as (select vec_id, p, t, " + ", ".join(f"({LIMIT_SQL[a]}) * {DAMPENING[a]}e0 as s_{a}" for a in "zyx") + " from d)"
+STAGE_SQL = {"x": "-s_y", "y": "s_x", "z": "s_z"}
+
+
+def _centre_shifts(spark, sf_dir) -> DataFrame:
+    return stats.intensity_centroid(lens.voxels(spark, sf_dir), ["vec_id", "p", "t"], F.col("v"))
+
+
+def _shift_columns(limits=None, dampening=None) -> dict:
+    return track.shift_um({a: F.col(f"d_{a}") for a in "zyx"}, SCALE, limits, dampening)
+
+
+@_query(f"with {VOLUMES_SQL}, {COM_SQL} select vec_id, " + ", ".join(f"{r6(LIMIT_SQL[a])} as s_{a}" for a in "zyx") + " from d")
+def limit_shift(spark, sf_dir):
+    return _centre_shifts(spark, sf_dir).select("vec_id", *[round6(c).alias(f"s_{a}") for a, c in _shift_columns(LIMITS).items()])
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select vec_id, " + ", ".join(f"{r6(f's_{a}')} as s_{a}" for a in "zyx") + " from s")
+def dampen(spark, sf_dir):
+    return _centre_shifts(spark, sf_dir).select("vec_id", *[round6(c).alias(f"s_{a}") for a, c in _shift_columns(LIMITS, DAMPENING).items()])
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select vec_id, " + ", ".join(f"{r6(STAGE_SQL[a])} as stage_{a}" for a in "xyz") + " from s")
+def image_to_stage(spark, sf_dir):
+    stage = track.to_stage(_shift_columns(LIMITS, DAMPENING), MATRIX)
+    return _centre_shifts(spark, sf_dir).select("vec_id", *[round6(c).alias(f"stage_{a}") for a, c in stage.items()])
+
+
+BASE_SQL = {"x": "100.0e0 * p", "y": "50.0e0 * p + t", "z": "case when p % 3 = 0 then null else 10.0e0 end"}
+
+
+def _tracked(spark, sf_dir) -> DataFrame:
+    """p, t, shift in image axes, corrected coordinates."""
+    shift = _shift_columns(LIMITS, DAMPENING)
+    p, t = F.col("p"), F.col("t")
+    baseline = {"x": p * 100.0, "y": p * 50.0 + t, "z": F.when(p % 3 == 0, None).otherwise(10.0)}
+    coordinates = track.corrected(baseline, track.to_stage(shift, MATRIX))
+    return _centre_shifts(spark, sf_dir).select("p", "t", *[c.alias(f"s_{a}") for a, c in shift.items()], *[c.alias(f"stage_{a}") for a, c in coordinates.items()])
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select p, t, " + ", ".join(f"{r6(f'({BASE_SQL[a]}) - ({STAGE_SQL[a]})')} as stage_{a}" for a in "xyz") + " from s")
+def track_positions(spark, sf_dir):
+    return _tracked(spark, sf_dir).select("p", "t", *[round6(F.col(f"stage_{a}")).alias(f"stage_{a}") for a in "xyz"])
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select p, t, {r6('100.0e0 * p - sum(-s_y) over (partition by p order by t)')} as x from s")
+def position_recurrence(spark, sf_dir):
+    shifts = _centre_shifts(spark, sf_dir).select("p", "t", track.to_stage(_shift_columns(LIMITS, DAMPENING), MATRIX)["x"].alias("s"))
+    return track.recurrence(shifts, ["p"], "t", F.col("p") * 100.0, F.col("s"), "x").select("p", "t", round6(F.col("x")).alias("x"))
+
+
+def _text_sql(e: str) -> str:
+    return f"coalesce(printf('%.4f', round(cast({e} as double), 6) + 0.0), '')"
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select p as position_index, t as timepoint_index, " + ", ".join(f"{_text_sql(f's_{a}')} as shift_{a}_um" for a in "zyx") + ", " + ", ".join(f"{_text_sql(f'({BASE_SQL[a]}) - ({STAGE_SQL[a]})')} as stage_{a}" for a in "xyz") + " from s")
+def shift_log(spark, sf_dir):
+    rows = _tracked(spark, sf_dir).select(F.col("p").alias("position_index"), F.col("t").alias("timepoint_index"), *[round6(F.col(f"s_{a}")).alias(f"shift_{a}_um") for a in "zyx"], *[round6(F.col(f"stage_{a}")).alias(f"stage_{a}") for a in "xyz"])
+    return sinks.shift_log(rows)
+
+
+# --- live view -------------------------------------------------------------------------------------------
+
+SLOTS = 16
+RING_SQL = f"""{FRAMES_SQL}, r as (select *, row_number() over (partition by c order by seq) - 1 as arrival from frames),
+    vol as (select c, p, t, min(arrival) as first, max(arrival) as last, count(distinct z) as n_z from r group by c, p, t)"""
+
+
+def _arrived(spark, sf_dir) -> DataFrame:
+    return ring.slots(lens.frames(spark, sf_dir), ["c"], "seq", SLOTS)
+
+
+@_query(f"with {RING_SQL} select seq, arrival, arrival % 16 as slot from r")
+def ring_slots(spark, sf_dir):
+    return _arrived(spark, sf_dir).select("seq", "arrival", "slot")
+
+
+@_query(f"with {RING_SQL}, e as (select c, max(last) as stop from vol group by c) select c, p, t, first, last from vol join e using (c) where first + 16 > stop")
+def ring_live(spark, sf_dir):
+    return ring.live_at_end(ring.volumes(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z), ["c"]).select("c", "p", "t", "first", "last")
+
+
+@_query(f"with {RING_SQL} select c, p, t, last from (select *, row_number() over (partition by c order by last desc) as k from vol where n_z = 4) where k = 1")
+def follow_target(spark, sf_dir):
+    return ring.follow_target(ring.volumes(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z), ["c"], ["p", "t"])
