@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, slices, text_or_empty
-from .tokenizing import ChunkCache
+from .tokenizing import WORD_ENTRIES, ChunkCache
 
 LONG = 48  # bytes from which a word is folded with a heap
 NONE = 1 << 62
@@ -48,6 +49,7 @@ class Bpe:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
+        self._words: dict[str, bytes] = {}
         self._cache = ChunkCache(lambda chunks: self._encode_whole([f" {c}" for c in chunks]), self._encode_whole, b"".join)
 
     def fold(self, word: bytes) -> list[int]:
@@ -58,13 +60,16 @@ class Bpe:
         if len(word) > LONG:
             return self._fold_long(word)
         of, parts = self.ranks.get, [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            found = [of(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(found)
-            if best == NONE:
-                break
+        found = [of(word[i : i + 2], NONE) for i in range(len(word) - 1)]  # ranks of neighbours
+        while found and (best := min(found)) != NONE:
             at = found.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            one = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [one]
+            del found[at]
+            if at < len(found):
+                found[at] = of(one + parts[at + 1], NONE)
+            if at:
+                found[at - 1] = of(parts[at - 1] + one, NONE)
         return [self.ranks[p] for p in parts]
 
     def _fold_long(self, word: bytes) -> list[int]:
@@ -89,8 +94,18 @@ class Bpe:
         return [self.ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        fold, cut = self.fold, self._pattern.findall
-        return [np.array([i for w in cut(t) for i in fold(w.encode())], "<u4").tobytes() for t in texts]
+        words, cut, out = self._words, self._pattern.findall, []
+        for text in texts:
+            if len(words) > WORD_ENTRIES:
+                words.clear()
+            parts = []
+            for word in cut(text):
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = array("I", self.fold(word.encode())).tobytes()
+                parts.append(ids)
+            out.append(b"".join(parts))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""

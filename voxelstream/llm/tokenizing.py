@@ -16,6 +16,7 @@ import public_tokenizers
 import regex
 
 CACHE_ENTRIES = 300_000  # chunks kept by a Python worker; the cache starts anew when full
+WORD_ENTRIES = 600_000  # words kept besides
 
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -82,7 +83,7 @@ class LibraryTokenizer:
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of " " + chunk: the library's model is asked once for each distinct word."""
         out, words, tokenize = [], self._words, self._model.tokenize
-        if len(words) > CACHE_ENTRIES:
+        if len(words) > WORD_ENTRIES:
             words.clear()
         for chunk in chunks:
             if any(s in chunk for s in self._special):
