@@ -78,11 +78,15 @@ def segments(data: bytes, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return at, stops - at, hashed[place[at]]
 
 
-SEGMENT = "m long, h long, doc long, tie long, at long"
+SEGMENT = "m long, h long, doc long, tie long, at long, copy boolean"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text) -> a row for each segment; ``at`` is 128 times its start plus its windows."""
+    """(doc, tie, text) -> a row for each segment; ``at`` is 128 times its start plus its windows.
+
+    Of equal segments met together all but the first are copies already. Their ``m`` becomes a number of their own,
+    so that a passage of many documents is not sent to one task.
+    """
     digest = xxhash.xxh3_64_intdigest
 
     def rows(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -94,7 +98,13 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         piece = np.searchsorted(ends, at, "right")
         doc, tie, base = (np.array([p[k] for p in held], np.int64)[piece] for k in (0, 1, 2))
         start = base + at - (ends - sizes)[piece]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (m.view(np.int64), h.view(np.int64), doc, tie, start * 128 + n)], names=["m", "h", "doc", "tie", "at"])
+        order = np.lexsort((start, tie, doc, h, m))
+        same = (m[order][1:] == m[order][:-1]) & (h[order][1:] == h[order][:-1])
+        copy = np.zeros(len(m), bool)
+        copy[order[1:]] = same
+        apart = (doc.view(np.uint64) * _ODD[1]) ^ ((start.view(np.uint64) + tie.view(np.uint64)) * _ODD[0])
+        columns = (np.where(copy, apart, m).view(np.int64), h.view(np.int64), doc, tie, start * 128 + n, copy)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["m", "h", "doc", "tie", "at", "copy"])
 
     held, size = [], 0
     for batch in slices(batches):
@@ -203,11 +213,11 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc, tie, start, stop) spans of bytes that also occur earlier; they may overlap."""
     found = keyed.mapInArrow(_segment_rows, SEGMENT)
-    same = Window.partitionBy("m").orderBy("h", "doc", "tie", "at")
-    every = Window.partitionBy("m")
+    same = Window.partitionBy("copy", "m").orderBy("h", "doc", "tie", "at")
+    every = Window.partitionBy("copy", "m")
     marked = materialize(
         found.withColumn("before", F.lag("h").over(same))
-        .withColumn("fresh", F.col("before").isNull() | (F.col("before") != F.col("h")))
+        .withColumn("fresh", ~F.col("copy") & (F.col("before").isNull() | (F.col("before") != F.col("h"))))
         .withColumn("kinds", F.sum(F.col("fresh").cast("long")).over(every))
         .where("not fresh or kinds > 1")
         .select("doc", "tie", "at", "m", "fresh", (F.col("kinds") > HOT).alias("hot")),
