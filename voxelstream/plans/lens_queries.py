@@ -16,6 +16,8 @@ from ..operators import control, exposure, register, ring, stats, track
 from ..sources import frames as fr
 from ..sources import lens, sinks
 from ..sources.lens import N_Z, SIDE, table
+from ..sources.shared import shared_path
+from ..streaming import assemble
 from . import expand
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,12 +529,12 @@ def position_recurrence(spark, sf_dir):
 
 
 def _text_sql(e: str) -> str:
-    return f"coalesce(printf('%.4f', round(cast({e} as double), 6) + 0.0), '')"
+    return f"coalesce(printf('%.4f', cast({e} as double)), '')"
 
 
 @_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select p as position_index, t as timepoint_index, " + ", ".join(f"{_text_sql(f's_{a}')} as shift_{a}_um" for a in "zyx") + ", " + ", ".join(f"{_text_sql(f'({BASE_SQL[a]}) - ({STAGE_SQL[a]})')} as stage_{a}" for a in "xyz") + " from s")
 def shift_log(spark, sf_dir):
-    rows = _tracked(spark, sf_dir).select(F.col("p").alias("position_index"), F.col("t").alias("timepoint_index"), *[round6(F.col(f"s_{a}")).alias(f"shift_{a}_um") for a in "zyx"], *[round6(F.col(f"stage_{a}")).alias(f"stage_{a}") for a in "xyz"])
+    rows = _tracked(spark, sf_dir).select(F.col("p").alias("position_index"), F.col("t").alias("timepoint_index"), *[F.col(f"s_{a}").alias(f"shift_{a}_um") for a in "zyx"], *[f"stage_{a}" for a in "xyz"])
     return sinks.shift_log(rows)
 
 
@@ -560,3 +562,45 @@ def ring_live(spark, sf_dir):
 @_query(f"with {RING_SQL} select c, p, t, last from (select *, row_number() over (partition by c order by last desc) as k from vol where n_z = 4) where k = 1")
 def follow_target(spark, sf_dir):
     return ring.follow_target(ring.volumes(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z), ["c"], ["p", "t"])
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+
+
+def _run_stream(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
+    """Run a stream over all there is into the shared folder, and read what it wrote."""
+    path = shared_path(spark, "stream")
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A stream over rows that are first written to the shared folder."""
+    path = shared_path(spark, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@_query(STACKS_SQL + ">= 4")
+def stream_stacks(spark, sf_dir):
+    """The same stacks as ``stack_complete``, assembled by the stream."""
+    found = _run_stream(spark, assemble.stacks(_streamed(spark, lens.frames(spark, sf_dir).select("p", "c", "seq", "v"), "frames"), N_Z, None), assemble.STACK)
+    return found.select("p", "c", "stack", F.col("n").cast("long").alias("n"))
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL}, m as (select vec_id, avg(v) as m from voxels group by vec_id),
+    s as (select o.p, o.t, o.reference, case when o.anchor then 0 else a.m - b.m end as shift from o join m a on a.vec_id = o.vec_id join m b on b.vec_id = o.reference)
+    select p, t, reference, {r6("shift")} as shift, {r6("100 - sum(shift) over (partition by p order by t)")} as x from s""")
+def stream_track(spark, sf_dir):
+    """References and positions followed by the stream, as the batch as-of join and running sum give them."""
+    means = lens.voxels(spark, sf_dir).groupBy("p", "t", "vec_id").agg(F.avg("v").alias("m"))
+    found = _run_stream(spark, assemble.tracked(_streamed(spark, means, "volumes"), INTERVAL, 100.0, None), assemble.TRACK)
+    return found.select("p", "t", "reference", round6(F.col("shift")).alias("shift"), round6(F.col("x")).alias("x"))
+
+
+@_query(f"with {RING_SQL}, o as (select c, seq, arrival, p, t, z from r) select c, arrival, p, t from o")
+def stream_live(spark, sf_dir):
+    """Arrivals as the live view's stream numbers them."""
+    stream = _streamed(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "frames")
+    return _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z, None), assemble.LIVE).select("c", "arrival", "p", "t")
