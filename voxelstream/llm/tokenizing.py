@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import regex
 
-CACHE_ENTRIES = 300_000  # chunks kept by a Python worker; the cache starts anew when full
-WORD_ENTRIES = 600_000  # words kept besides
+CACHE_ENTRIES = 800_000  # chunks kept by a Python worker; the cache starts anew when full
+WORD_ENTRIES = 500_000  # words kept besides
 
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -36,27 +37,28 @@ class ChunkCache:
         self._heads: dict[str, object] = {}
 
     def _learn(self, known: dict, wanted: set[str], values: Callable[[list[str]], list]) -> None:
-        new = [c for c in wanted if c not in known]
+        new = wanted.difference(known)
         if len(known) + len(new) > self._entries:
             known.clear()
-            new = list(wanted)
+            new = wanted
         if new:
-            known.update(zip(new, values(new), strict=True))
+            ordered = list(new)
+            known.update(zip(ordered, values(ordered), strict=True))
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text."""
         cut = [t.split(" ") for t in texts]
-        chunks, heads = set(), set()
-        for first, *rest in cut:
-            heads.add(first)
+        firsts = [p.pop(0) for p in cut]
+        chunks: set[str] = set()
+        for rest in cut:
             chunks.update(rest)
-        bad = {c for c in chunks if c not in self._chunks and (not c or c[-1].isspace())}
-        whole = [not p[0] or p[0][-1].isspace() or bool(bad) and not bad.isdisjoint(p[1:]) for p in cut]
-        self._learn(self._chunks, chunks - bad, self._of_chunks)
-        self._learn(self._heads, {p[0] for p, w in zip(cut, whole, strict=True) if not w}, self._of_texts)
-        rest = iter(self._of_texts([t for t, w in zip(texts, whole, strict=True) if w]))
+        bad = {c for c in chunks.difference(self._chunks) if not c or c[-1].isspace()}
+        whole = [not f or f[-1].isspace() or bool(bad) and not bad.isdisjoint(p) for f, p in zip(firsts, cut, strict=True)]
+        self._learn(self._chunks, chunks - bad if bad else chunks, self._of_chunks)
+        self._learn(self._heads, {f for f, w in zip(firsts, whole, strict=True) if not w}, self._of_texts)
+        rest_values = iter(self._of_texts([t for t, w in zip(texts, whole, strict=True) if w]))
         of_head, of_chunk = self._heads.__getitem__, self._chunks.__getitem__
-        return [next(rest) if w else self._combine([of_head(p[0]), *map(of_chunk, p[1:])]) for p, w in zip(cut, whole, strict=True)]
+        return [next(rest_values) if w else self._combine([of_head(f), *map(of_chunk, p)]) for f, p, w in zip(firsts, cut, whole, strict=True)]
 
 
 class LibraryTokenizer:
@@ -82,18 +84,23 @@ class LibraryTokenizer:
 
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of " " + chunk: the library's model is asked once for each distinct word."""
-        out, words, tokenize = [], self._words, self._model.tokenize
+        out, words, tokenize, special = [], self._words, self._model.tokenize, self._special
         if len(words) > WORD_ENTRIES:
             words.clear()
         for chunk in chunks:
-            if any(s in chunk for s in self._special):
+            if chunk.isalpha():  # one word; ASCII letters stand for themselves
+                written = f"Ġ{chunk}" if chunk.isascii() else f" {chunk}".encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                out.append(array("I", [t.id for t in tokenize(written)]).tobytes())
+                continue
+            if any(s in chunk for s in special):
                 out += self.of_texts([f" {chunk}"])
                 continue
             parts = []
             for word in self._cut(f" {chunk}"):
                 ids = words.get(word)
                 if ids is None:
-                    ids = words[word] = np.array([t.id for t in tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
+                    written = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                    ids = words[word] = array("I", [t.id for t in tokenize(written)]).tobytes()
                 parts.append(ids)
             out.append(b"".join(parts))
         return out
