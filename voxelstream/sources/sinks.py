@@ -13,12 +13,12 @@ SHIFT_LOG = ("position_index", "timepoint_index", "shift_z_um", "shift_y_um", "s
 
 
 def write_frames(frames: DataFrame, path: str, channels: list[str], scale: tuple[float, float, float] = (1.0, 1.0, 1.0), summary: dict | None = None) -> None:
-    """Frames under acq/p/t/c folders, never over existing ones, and a JSON sidecar with axes and scale."""
+    """Frames under acq/p/t/c folders, never over existing ones, and a JSON sidecar (path.metadata) with axes and scale."""
     frames.write.mode("errorifexists").partitionBy("acq", "p", "t", "c").option("compression", "zstd").parquet(path)
     transform = [{"type": "scale", "scale": [1.0, 1.0, *scale]}]
     axes = [{"name": a, "type": k} for a, k in (("t", "time"), ("c", "channel"), ("z", "space"), ("y", "space"), ("x", "space"))]
     sidecar = {"multiscales": [{"version": "0.5", "axes": axes, "datasets": [{"path": "0", "coordinateTransformations": transform}]}], "channels": channels, "summary": summary or {}}
-    frames.sparkSession.createDataFrame([(json.dumps(sidecar),)], "value string").coalesce(1).write.text(f"{path}/_metadata_sidecar")
+    frames.sparkSession.createDataFrame([(json.dumps(sidecar),)], "value string").coalesce(1).write.text(f"{path}.metadata")
 
 
 def shift_log(rows: DataFrame) -> DataFrame:
