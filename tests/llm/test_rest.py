@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voxelstream.llm import decontamination, exact_dedup, quality, secrets
+from voxelstream.llm import decontamination, exact_dedup, quality, secrets, toxicity
 
 
 def test_exact_dedup(docs, rows, empty):
@@ -129,3 +130,29 @@ def test_quality_edges(spark, docs, rows, empty):
     assert quality.drop_low_quality(docs, labels.withColumn("quality", F.lit(1))).columns == docs.columns
     assert quality.quality(empty, labels).count() == 0
     assert quality.pool_adjacent_violators([1.0, 0.0, 2.0, 1.0], [1, 1, 1, 3]).tolist() == [0.5, 0.5, 1.25, 1.25]
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.toxicity(docs, labels)
+    assert found.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    held = found.join(labels, "doc_id").toPandas()
+    assert len(held) == labels.count() and held.score.between(0, 1).all()
+    held = held[held.held_out]
+    assert held.predicted[held.toxic == 0].mean() < 0.03 and held.predicted[held.toxic == 1].mean() > 0.6
+
+
+def test_toxicity_edges(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(i, k % 2, k % 3 == 0) for k, (i, _) in enumerate(rows)] + [(10, None, None), (None, 1, True)], "doc_id long, quality int, toxic boolean")
+    labels = labels.withColumn("toxic", F.col("toxic").cast("int"))
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.where("quality = 9")).collect()} == {0.0}
+    assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_chain_feeds_earlier_probabilities():
+    flat = toxicity.Link(np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    later = toxicity.Link(np.array([0.0, 0.0, 1.0]), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    p = toxicity.apply_chain([flat, later], np.array([[0.3, 0.2], [0.3, 0.9]]))
+    assert p.shape == (2, 2) and np.allclose(p[:, 1], p[:, 0], atol=0.01) and (p[1] > p[0]).all()
