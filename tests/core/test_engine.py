@@ -91,3 +91,19 @@ def test_override_and_changes(spark):
     moves = spark.createDataFrame([(0, 0.0), (1, 0.5), (2, 10.0), (3, 20.0), (4, 9000.0)], "s long, x double").withColumn("y", F.lit(0.0)).withColumn("k", F.lit(1))
     found = control.stage_speed(moves, ["k"], "s", "x", "y").orderBy("s").collect()
     assert [(r["speed"], r["change"]) for r in found] == [(None, False), (None, False), (2.0, True), (2.0, False), (5.75, True)]
+
+
+def test_refocus_timer(spark):
+    from voxelstream.plans import lens_queries
+    from voxelstream.sources import lens
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r["p"], r["seq"]): (r["due"], r["waited"]) for r in lens_queries.stream_refocus_timer(spark, sf).collect()}
+    want, last = {}, {}
+    for r in lens.frames(spark, sf).orderBy("seq").collect():
+        s = r["seq"] * 60.0
+        waited = s - last.setdefault(r["p"], s)
+        want[r["p"], r["seq"]] = (waited > 3600, waited)
+        if waited > 3600 and r["v"] > 250:
+            last[r["p"]] = s
+    assert got == want and any(d for d, _ in got.values())

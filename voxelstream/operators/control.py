@@ -58,3 +58,33 @@ def same_set(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """One row: how many values are on one side only."""
     a, b = left.select(column).distinct(), right.select(column).distinct()
     return a.join(b, column, "left_anti").agg(F.count("*").alias("only_left")).join(b.join(a, column, "left_anti").agg(F.count("*").alias("only_right")))
+
+
+def laser(state: Column) -> Column:
+    """Wavelength of the laser that a TTL state selects; null for other states."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LASERS.items() for x in pair]), state)
+
+
+def z_steps(rows: DataFrame, keys: list[str], order: str, z: str) -> DataFrame:
+    """``step``: the first height, then the differences between heights."""
+    return rows.withColumn("step", F.col(z) - F.lag(z, 1, 0.0).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def first_contrast(frames: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """keys, low, high of the first frame of each key; nothing for a constant one. A frame is a value of ``order``."""
+    place = F.struct(*order)
+    first = frames.groupBy(*keys).agg(F.min(place).alias("_first"))
+    own = frames.withColumn("_place", place).join(first, keys).where("_place = _first")
+    return own.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high")
+
+
+def compensation(points: DataFrame, keys: list[str], direction: str, sweep: str, x: str, y: str) -> DataFrame:
+    """keys, factor: mean slope of the forward sweeps over that of the backward ones (direction 1 and -1)."""
+    slopes = points.groupBy(*keys, direction, sweep).agg(F.regr_slope(y, x).alias("s"))
+    mean = lambda d: F.avg(F.when(F.col(direction) == d, F.col("s")))
+    return slopes.groupBy(*keys).agg(F.try_divide(mean(1), mean(-1)).alias("factor"))
+
+
+def sequenced_too_long(n_z: int, n_channels: int, most: int = 1200) -> bool:
+    """Whether a hardware sequence has more events than the devices can hold."""
+    return n_z * n_channels > most

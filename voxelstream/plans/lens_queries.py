@@ -396,6 +396,29 @@ def display_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", colour.alias("colormap"), sinks.folder_name(F.col("p_name"), F.col("p_partkey")).alias("folder"))
 
 
+@_query("""select event_id, case event_id % 160 when 32 then 488 when 64 then 561 when 128 then 639 end as wavelength from events""")
+def laser_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", control.laser((F.col("event_id") % 160).cast("int")).alias("wavelength"))
+
+
+@_query(f"select s_suppkey, {r6('s_acctbal - lag(s_acctbal, 1, 0) over (partition by s_nationkey order by s_suppkey)')} as step from supplier")
+def z_steps(spark, sf_dir):
+    return control.z_steps(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal").select("s_suppkey", round6(F.col("step")).alias("step"))
+
+
+@_query(f"""with {FRAMES_SQL}, o as (select c, p, t, v, min((p, t)) over (partition by c) as first from frames)
+    select c, min(v) as low, max(v) as high from o where (p, t) = first group by c having min(v) < max(v)""")
+def contrast_first_frame(spark, sf_dir):
+    return control.first_contrast(lens.frames(spark, sf_dir), ["c"], ["p", "t"], "v")
+
+
+@_query(f"""with {FRAMES_SQL}, s as (select c, case when p % 2 = 0 then 1 else -1 end as d, p, regr_slope(v, seq) as s from frames group by c, d, p)
+    select c, round(avg(s) filter (where d = 1) / nullif(avg(s) filter (where d = -1), 0), 3) as factor from s group by c""")
+def slope_compensation(spark, sf_dir):
+    points = lens.frames(spark, sf_dir).withColumn("d", F.when(F.col("p") % 2 == 0, 1).otherwise(-1))
+    return control.compensation(points, ["c"], "d", "p", "seq", "v").select("c", F.round("factor", 3).alias("factor"))
+
+
 # --- tracking --------------------------------------------------------------------------------------------
 
 INTERVAL = 4
@@ -604,3 +627,10 @@ def stream_live(spark, sf_dir):
     """Arrivals as the live view's stream numbers them."""
     stream = _streamed(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "frames")
     return _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z, None), assemble.LIVE).select("c", "arrival", "p", "t")
+
+
+@_query()
+def stream_refocus_timer(spark, sf_dir):
+    """When a refocus is due, where only successes (values above 250) start the time anew."""
+    attempts = lens.frames(spark, sf_dir).select("p", "seq", (F.col("seq") * 60.0).alias("s"), (F.col("v") > 250).alias("ok"))
+    return _run_stream(spark, assemble.refocus_timer(_streamed(spark, attempts, "attempts"), 3600.0, None), assemble.TIMER)

@@ -120,3 +120,31 @@ def to_shift_log(rows: DataFrame, path: str, checkpoint: str):
         batch.select("p", "t", F.format_string("%.4f", "shift").alias("shift"), F.format_string("%.4f", "x").alias("x")).write.mode("append").option("header", True).csv(path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+TIMER = "p long, seq long, due boolean, waited double"
+
+
+def refocus_timer(attempts: DataFrame, interval_s: float, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Streaming (p, seq, s, ok) -> whether a refocus is due at time ``s``, and how long since the last success.
+
+    It is due when more than the interval has passed; only an attempt that is due and succeeds starts the time anew.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = state.get[0] if state.exists else None, []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            last = row.s if last is None else last
+            waited = float(row.s - last)
+            due = waited > interval_s
+            out.append((key[0], row.seq, due, waited))
+            last = row.s if due and row.ok else last
+        state.update((float(last),))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=["p", "seq", "due", "waited"])
+
+    return attempts.groupBy("p").applyInPandasWithState(follow, TIMER, "last double", "append", _timeout(ttl_ms))
