@@ -96,3 +96,15 @@ def test_shards_read_at_random():
         for k in range(0, len(documents), 7):
             assert (shard.document(k) == documents[k]).all()
     assert len(shard.symbols) < n and (shard.lengths >= 2).all()
+
+
+def test_library_chunks_of_any_kind():
+    from array import array
+
+    from voxelstream.llm.tokenizing import LibraryTokenizer
+
+    library, rng = Tokenizer.from_file(JSON), random.Random(4)
+    texts = ["".join(rng.choices("abé'_.,!?$9 \n\tA-中٣", k=rng.randint(1, 60))) for _ in range(1500)]
+    texts += ["x don't. 'tis we're!! a'b c_d. _x <|endoftext|>. a<|endoftext|> b", "", " ", "a  b ", "　x 　 y"]
+    found = LibraryTokenizer(open(JSON, "rb").read()).encoder()(texts)
+    assert found == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]

@@ -20,6 +20,7 @@ MAGIC = b"VXRP0001"
 ROUNDS = 8
 PAIRS = 2048  # rules of a round, at most
 LEAST = 6  # times a pair must occur to get a rule
+GAIN = 0.01  # share of the symbols that a round must save for another one
 BLOCK = 512  # symbols between marks
 TABLE = 1 << 18
 
@@ -58,8 +59,11 @@ def compress(ids: np.ndarray, base: int, max_symbol: int = 2**16) -> tuple[np.nd
         symbols[places] = wide + at
         kept = np.ones(len(symbols), bool)
         kept[places + 1] = False
+        saved = len(places) / len(symbols)
         symbols = symbols[kept]
         rules.append(np.stack([chosen // wide, chosen % wide], axis=1))
+        if saved < GAIN:
+            break
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     lengths, done = np.zeros(len(grammar), np.int64), 0
     for part in rules:  # a rule only uses symbols of earlier rounds

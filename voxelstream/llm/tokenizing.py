@@ -19,6 +19,9 @@ import regex
 CACHE_ENTRIES = 800_000  # chunks kept by a Python worker; the cache starts anew when full
 WORD_ENTRIES = 500_000  # words kept besides
 
+#: Characters that are neither white space, letters nor digits, and begin no contraction.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -84,27 +87,35 @@ class LibraryTokenizer:
 
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of " " + chunk: the library's model is asked once for each distinct word."""
-        out, words, tokenize, special = [], self._words, self._model.tokenize, self._special
+        out, words = [], self._words
         if len(words) > WORD_ENTRIES:
             words.clear()
+        joined = "\n".join(chunks)
+        special = [s for s in self._special if s in joined]
         for chunk in chunks:
-            if chunk.isalpha():  # one word; ASCII letters stand for themselves
-                written = f"Ġ{chunk}" if chunk.isascii() else f" {chunk}".encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                out.append(array("I", [t.id for t in tokenize(written)]).tobytes())
+            if chunk.isalpha():
+                out.append(self._word(f" {chunk}"))
                 continue
-            if any(s in chunk for s in special):
+            core = chunk.rstrip(TAIL)
+            if core.isalpha():  # a word, and a tail that the pattern takes as one
+                out.append(self._word(f" {core}") + self._word(chunk[len(core) :]))
+            elif any(s in chunk for s in special):
                 out += self.of_texts([f" {chunk}"])
-                continue
-            parts = []
-            for word in self._cut(f" {chunk}"):
-                ids = words.get(word)
-                if ids is None:
-                    written = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                    ids = words[word] = array("I", [t.id for t in tokenize(written)]).tobytes()
-                parts.append(ids)
-            out.append(b"".join(parts))
+            else:
+                out.append(b"".join(map(self._word, self._cut(f" {chunk}"))))
         return out
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the pattern."""
+        ids = self._words.get(word)
+        if ids is None:
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":  # ASCII letters stand for themselves
+                written = f"Ġ{word[1:]}"
+            else:
+                written = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            ids = self._words[word] = array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
+        return ids
+
     def encoder(self) -> Callable[[list[str]], list[bytes]]:
         return ChunkCache(self.of_chunks, self.of_texts, b"".join).encode if self.cuts_at_spaces else self.of_texts
 
