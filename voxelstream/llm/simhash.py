@@ -32,18 +32,18 @@ HASHES = 65_536  # shingle hashes held at a time
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Unsigned hashes of the shingles, in blocks. ``lower`` and ``split`` of bytes know ASCII only, as they should."""
     words = text.lower().split()
     if not words:
         return
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
+    if len(words) < size:
         yield np.array([digest(joined, SEED)], np.uint64)
         return
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: -SHINGLE + 1], ends[SHINGLE - 1 :]
+    starts, ends = (ends - lengths)[: len(words) - size + 1], ends[size - 1 :]
     for at in range(0, len(starts), HASHES):
         a, b = starts[at : at + HASHES].tolist(), ends[at : at + HASHES].tolist()
         yield np.fromiter((digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
