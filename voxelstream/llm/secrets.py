@@ -37,8 +37,8 @@ SSH_ALGORITHMS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
-#: Base64 of a SEQUENCE (0x30), of a four-byte length of up to 255, or of "openssh-key-v1": the first characters are fixed; lines may wrap.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA[A-D]|b3BlbnNza)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Base64 of a SEQUENCE (0x30), of a four-byte length below 256, or of "openssh-key-v1": the first characters are fixed; lines may wrap.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA|b3BlbnNza)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
 
 BASE64_LEADS = ("AAAA", "b3Bl", *(f"M{c}" for c in "ABCDEFGHIJKLMNOP"))
 
