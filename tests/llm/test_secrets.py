@@ -18,3 +18,42 @@ def test_ecdsa_blobs(curve, size):
     coded = base64.b64encode(field(b"ecdsa-sha2-" + curve) + field(curve) + field(b"\x04" + material(size - 1))).decode()
     text = f"key: {coded} user@host"
     assert [(text[a:b], kind) for a, b, kind in secrets.confirmed_spans(text)] == [(coded, "ssh")]
+
+
+def der(tag: int, data: bytes) -> bytes:
+    n = len(data)
+    return bytes([tag, n]) + data if n < 128 else bytes([tag, 0x82]) + n.to_bytes(2, "big") + data
+
+
+ED25519 = field(b"ssh-ed25519") + field(material(32))
+OPENSSH = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(ED25519) + field(material(136))
+
+
+def whole(text: str) -> list[tuple[str, str]]:
+    return [(text[a:b], kind) for a, b, kind in secrets.confirmed_spans(text)]
+
+
+def test_unpadded_blob_before_a_line_of_letters():
+    for data, kind in ((ED25519, "ssh"), (der(0x30, der(2, material(31))), "der"), (OPENSSH, "openssh")):
+        for more in ("\nuser\nagain", "\r\n  nextword here", "\\nabcd", " abcd", ""):
+            coded = base64.b64encode(data).decode().rstrip("=")
+            assert whole(f"x: {coded}{more}") == [(coded, kind)], (kind, more)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_keys(end, width):
+    for size in range(180, 330):
+        data = der(0x30, der(2, b"\x00") + der(2, material(size)))
+        coded = base64.b64encode(data).decode()
+        lines = end.join(coded[i : i + width] for i in range(0, len(coded), width))
+        text = f"{{'key': '-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----{end}'}}"
+        assert whole(text) == [(lines, "der")]
+
+
+def test_keys_one_after_the_other_and_no_keys():
+    key = base64.b64encode(der(0x30, der(2, material(31)) + der(2, material(31)))).decode().rstrip("=")
+    assert whole(f"{key}\n{key}\nwords") == [(key, "der")] * 2
+    assert whole(f"{key}x") == whole(f"x{key}") == whole(f"{key[:-4]}\n") == whole("\n".join(["AAAA" * 16] * 3000)) == []
+    cut = base64.b64encode(OPENSSH).decode()[:120]
+    assert whole(f"a {cut} b") == [(cut, "openssh")]

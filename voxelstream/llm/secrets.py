@@ -1,6 +1,7 @@
 """Secret scan: base patterns, and candidates that are confirmed by their structure.
 
-A candidate is a run of base64, base64url or hex characters. It is reported only when it decodes to something
+A candidate is a run of base64, base64url or hex characters; base64 may go over lines, indented or with escaped
+ends, and is tried up to each line's end. It is reported only when it decodes to something
 with the inner structure of a secret:
 
 * ``der``: an ASN.1 SEQUENCE whose nested lengths add up exactly, and which holds an INTEGER (keys);
@@ -16,11 +17,12 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +39,13 @@ SSH_ALGORITHMS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
-#: Base64 of a SEQUENCE (0x30), of a four-byte length below 256, or of "openssh-key-v1": the first characters are fixed; lines may wrap.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA|b3BlbnNza)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Where base64 of a SEQUENCE (0x30), of a four-byte length below 256, or of "openssh-key-v1" can begin; the "n" of an escaped newline is none of it.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3BlbnNza)")
+#: Lines of base64 may be indented, and their ends escaped.
+LINE_END = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/]+(?:[ \t]*(?:\r\n?|\n|(?:\\{1,2}r)?\\{1,2}n)[ \t]*[A-Za-z0-9+/]+)*")
+PADDING = re.compile(r"={0,2}")
+SHORTEST = 32  # characters of a candidate
 
 BASE64_LEADS = ("AAAA", "b3Bl", *(f"M{c}" for c in "ABCDEFGHIJKLMNOP"))
 
@@ -109,19 +116,85 @@ def _decoded_kind(data: bytes) -> str | None:
     return "ssh" if is_ssh_blob(data) else None
 
 
+def _fields_end(data: bytes, at: int, n: int) -> int | None:
+    """Where ``n`` length-prefixed fields end."""
+    for _ in range(n):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
+def _stated_ends(data: bytes) -> set[int]:
+    """Lengths that what ``data`` begins with can have by its own headers."""
+    if data.startswith(b"openssh-key-v1\x00"):
+        # Cipher, key derivation and its options, the number of public keys, these, the private part.
+        at = _fields_end(data, 15, 3)
+        end = None if at is None or at + 4 > len(data) else _fields_end(data, at + 4, int.from_bytes(data[at : at + 4], "big") + 1)
+        return set() if end is None else {end}
+    if data[:1] == b"\x30":
+        length = _der_length(data, 1)
+        return set() if length is None else {sum(length)}
+    ends, at = set(), _fields_end(data, 0, 2)
+    while at is not None:
+        ends.add(at)
+        at = _fields_end(data, at, 1)
+    return ends
+
+
+def _base64_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys that end where a line of their run ends, as long as their headers state."""
+    found, done, run_end = [], 0, -1
+    for m in BASE64.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        if start >= run_end:
+            run_start, run_end = BASE64_RUN.match(text, start).span()
+            breaks = list(LINE_END.finditer(text, run_start, run_end))
+            begins = [run_start, *(x.end() for x in breaks)]
+            stops = [*(x.start() for x in breaks), run_end]
+            chars = "".join(text[a:b] for a, b in zip(begins, stops, strict=True))
+            before = [0, *accumulate(b - a for a, b in zip(begins, stops, strict=True))]
+        line = bisect_right(begins, start) - 1
+        first = before[line] + start - begins[line]
+        if len(chars) - first < SHORTEST:
+            continue
+        head = base64.b64decode(chars[first : first + 32])
+        if head[:1] == b"\x30":
+            length = _der_length(head, 1)
+            if length is None or sum(length) > (len(chars) - first) * 6 // 8:
+                continue
+            last = first + -(-sum(length) * 8 // 6)
+        elif head.startswith(b"openssh-key-v1\x00") or head[4:].startswith(SSH_ALGORITHMS):
+            last = len(chars)
+        else:
+            continue
+        run = chars[first:last]
+        data = base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 % 3))
+        ends = _stated_ends(data)
+        for k in range(len(stops) - 1, line - 1, -1):
+            n = before[k + 1] - first
+            if n < SHORTEST or n % 4 == 1 or n * 6 // 8 not in ends:
+                continue
+            if kind := _decoded_kind(data[: n * 6 // 8]):
+                done = PADDING.match(text, stops[k]).end()
+                found.append((start, done, kind))
+                break
+        else:
+            if head.startswith(b"openssh-key-v1\x00"):  # cut short: all there is
+                done = PADDING.match(text, run_end).end()
+                found.append((start, done, "openssh"))
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode to a key or signed token."""
     found = []
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m.group())]
-    for m in BASE64.finditer(text) if any(x in text for x in BASE64_LEADS) else ():
-        run = re.sub(r"\s", "", m.group()).rstrip("=")
-        try:
-            kind = _decoded_kind(base64.b64decode(run + "=" * (-len(run) % 4)))
-        except (binascii.Error, ValueError):
-            continue
-        if kind:
-            found.append((m.start(), m.end(), kind))
+    if any(x in text for x in BASE64_LEADS):
+        found += _base64_spans(text)
     for m in HEX_RUN.finditer(text) if "30" in text or "00000" in text else ():
         run = m.group()
         if len(run) % 2 == 0 and (kind := _decoded_kind(bytes.fromhex(run))):
