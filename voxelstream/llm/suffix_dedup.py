@@ -197,11 +197,11 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shard(held)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tie, text): ``tie`` is 0 unless some doc_id repeats, and then a hash of the text."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, tie, text), and whether some doc_id repeats: ``tie`` is 0 unless it does, and then a hash of the text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), utf8().alias("text"))
     repeats = not rows.groupBy("doc").count().where("count > 1").isEmpty()
-    return rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0)).cast("long").alias("tie"), "text")
+    return rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0)).cast("long").alias("tie"), "text"), repeats
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +273,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    keyed = _keyed(docs)
+    keyed, repeats = _keyed(docs)
     packed = keyed.mapInArrow(_packed_rows, "doc long, tie long, packed binary")
-    spans = repeated_spans(keyed, packed).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    once, once_packed = (x.dropDuplicates(["doc", "tie"]) if repeats else x for x in (keyed, packed))
+    spans = repeated_spans(once, once_packed).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return packed.join(spans, ["doc", "tie"], "left").select("doc", "packed", "spans")
 
 
