@@ -57,7 +57,8 @@ def test_trees_lose_no_link():
             points.append(x)
         points = np.unique(np.array(points, np.uint64))
         place = {int(v): i for i, v in enumerate(points)}
-        shard, fp, home = vantage.Tree.fit(points[::3], 4).deal(points, 2)
+        trees = [vantage.Tree.fit(points[::3], 4), vantage.Tree.fit(points[1::3], 2)]
+        shard, fp, home = vantage._deal(points, trees, 2)
         assert home.sum() == len(points)
         links = []
         for s in np.unique(shard):

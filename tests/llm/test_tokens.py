@@ -8,7 +8,7 @@ import public_tokenizers as public
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
-from voxelstream.llm import bpe, bpe_native, token_counts, token_store
+from voxelstream.llm import bpe, bpe_native, repair, token_counts, token_store
 from voxelstream.llm.repair import Shard, pack
 
 RANKS, JSON = public.path("byte_bpe_multi_50k.tiktoken"), public.path("byte_bpe_50k.json")
@@ -98,6 +98,24 @@ def test_shards_read_at_random():
     assert len(shard.symbols) < n and (shard.lengths >= 2).all()
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 50257, 3000)
+    for ids in (np.tile(base, 60), (rng.zipf(1.3, 50_000) % 50257).astype(np.int64), np.zeros(5000, np.int64), np.tile([1, 2, 1, 2, 2], 900)):
+        symbols, rules, lengths = repair.compress(ids, 50257)
+        assert (repair.expand(symbols, rules, 50257) == ids).all()
+        assert len(lengths) == len(rules) and all(lengths[k] == len(repair.expand(np.array([50257 + k]), rules, 50257)) for k in range(len(rules)))
+        _, counts = np.unique(symbols[:-1] * 2**32 + symbols[1:], return_counts=True)
+        assert not len(counts) or counts.max() < repair.LEAST
+
+
+def test_shards_with_many_symbols():
+    ids = np.random.default_rng(3).permutation(np.repeat(np.arange(9000), 2))
+    ids = np.tile(np.concatenate([ids, np.arange(8000) * 7]), 6)
+    shard = Shard.unpack(pack([1], [ids], 60_000))
+    assert len(shard.rules) > 2**16 - 60_000 and (shard.all_ids() == ids).all() and (shard.read(5000, 77) == ids[5000:5077]).all()
+
+
 def test_library_chunks_of_any_kind():
     from array import array
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, slices, text_or_empty
-from .tokenizing import WORD_ENTRIES, ChunkCache
+from .tokenizing import Bounded, ChunkCache
 
 LONG = 48  # bytes from which a word is folded with a heap
 NONE = 1 << 62
@@ -49,8 +49,8 @@ class Bpe:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
-        self._words: dict[str, bytes] = {}
-        self._cache = ChunkCache(lambda chunks: self._encode_whole([f" {c}" for c in chunks]), self._encode_whole, b"".join)
+        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes())
+        self._cache = ChunkCache(lambda chunk: self._encode_whole([f" {chunk}"])[0], self._encode_whole, b"".join)
 
     def fold(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -94,18 +94,7 @@ class Bpe:
         return [self.ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        words, cut, out = self._words, self._pattern.findall, []
-        for text in texts:
-            if len(words) > WORD_ENTRIES:
-                words.clear()
-            parts = []
-            for word in cut(text):
-                ids = words.get(word)
-                if ids is None:
-                    ids = words[word] = array("I", self.fold(word.encode())).tobytes()
-                parts.append(ids)
-            out.append(b"".join(parts))
-        return out
+        return [b"".join(map(self._words.__getitem__, self._pattern.findall(text))) for text in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""

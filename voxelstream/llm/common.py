@@ -19,18 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder every executor can read: ``spark.checkpoint.dir``. Only a local session may go without."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not sc.getCheckpointDir():
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelstream-shared-"))
-    return sc.getCheckpointDir().rstrip("/")
+        configured = sc.getCheckpointDir()
+    return configured.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new path in the shared folder, which goes with the session unless it is ``kept``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not kept:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +46,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, out of the way of other names; ``own.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id and hash of the text are in ``gone``; a null doc_id is never."""
+    keyed = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8()).alias("hash"))
+    return keyed.join(gone.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti").select("own.*")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -1,14 +1,17 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an exact join.
 
-Shingles have one order for all documents, common ones last. Two sets as similar as that share a shingle among the
-first fifth (and one) of each, so documents meet by those prefixes and no pair is missed; the shingles that count as
-common are estimated from a sample, which changes only how many candidates are compared. Pairs that meet are
-compared by their whole sets: first neighbours by size, then whatever these have not yet put into one component, so
-that a large cluster of copies is not compared pair by pair.
+The pairs come from three searches. SimHash fingerprints of the sets are linked within REACH bits by the
+vantage-point trees of ``simhash``. That finds most copies, but sets of similarity 0.8 differ in about ten bits of
+64, where balls around vantage points overlap nearly everywhere, so trees cannot give all of them. The rest meets by
+shingles: these have one order for all documents, common ones last, and two sets as similar as that share one of the
+first fifth (and one) of each. Which are common is counted over all documents in SLOTS counters; the order changes
+only how many candidates are compared. Pairs that meet are compared by their whole sets: fingerprint links and
+neighbours by size first, then whatever these have not yet put into one component, so that a large cluster of copies
+is not compared pair by pair.
 
 Defined results: documents with equal sets are one (so are all texts without words); texts below five words are one
 shingle; repeated rows stay or go together; a null doc_id takes part and always stays; an empty table gives an empty
-result; further columns are carried.
+result; further columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,69 +25,99 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import materialize, slices, utf8, without
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import majority
+from .tokenizing import Bounded
+from .vantage import hamming_links
 
 SHINGLE = 5
-SAMPLE = 10_000  # documents that common shingles are estimated from, about
-COMMON = 65_536  # shingles that are ordered by their count in the sample, at most
+REACH = 3
+SLOTS = 1 << 21  # counters of shingles, by the low bits of their hashes
+CHUNK = 1 << 14  # counters of a row
 
+_ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-def shingle_set(text: bytes) -> np.ndarray:
-    blocks = list(shingle_hashes(text, SHINGLE))
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+class Shingles:
+    """Sets of hashes of the word shingles of texts; ``lower`` and ``split`` of bytes know ASCII only."""
+
+    def __init__(self):
+        self._words = Bounded(xxhash.xxh64_intdigest)
+
+    def of(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        hashed = np.fromiter(map(self._words.__getitem__, words), np.uint64, len(words))
+        n = max(1, len(words) - SHINGLE + 1)
+        mixed = np.full(n, min(len(words), SHINGLE), np.uint64)
+        for k, odd in enumerate(_ODD[: len(words)]):
+            mixed += hashed[k : k + n] * odd
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _ODD[1]
+        mixed ^= mixed >> np.uint64(32)
+        return np.unique(mixed)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is at least 0.8."""
+    if not 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that a sample holds more than twice, and their counts."""
+def shingle_levels(docs: DataFrame) -> np.ndarray:
+    """How many binary digits the number of sets has that hold a shingle of each slot."""
+    schema = "chunk int, counts binary"
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, counts = Shingles(), np.zeros(SLOTS, np.uint32)
         for batch in slices(batches):
-            found = np.concatenate([shingle_set(t) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+            slots = np.concatenate([shingles.of(t) for t in batch.column("text").to_pylist()]) & np.uint64(SLOTS - 1)
+            np.add.at(counts, slots.astype(np.int64), np.uint32(1))
+        parts = [(k, c.tobytes()) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["chunk", "counts"])
 
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.select(utf8().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counts = some.mapInArrow(explode, "shingle long").groupBy("shingle").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    found, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(found)
-    return found[order], n[order]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in slices(batches):
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.uint32).astype(np.float64)
+        levels = [np.ceil(np.log2(c + 1)).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "counts"])
 
+    found = np.zeros(SLOTS, np.uint8)
+    for k, levels in docs.select(utf8().alias("text")).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        found[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(levels, np.uint8)
+    return found
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+
+def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set, one of which every similar set has among its own first ones."""
     n = len(found)
     if not n:
         return found
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        rank = np.where(common[at] == found, counts[at], 0)
-    return found[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+    order = np.argsort(levels[(found & np.uint64(len(levels) - 1)).astype(np.int64)], kind="stable")
+    return found[order[: n - (4 * n + 4) // 5 + 1]]
 
 
-SETS = "doc_id long, hash long, key long, n int, prefix binary"
+SETS = "doc_id long, hash long, key long, fp long, n int, prefix binary"
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """A row for each document, written once; ``key`` is a hash of its set."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    """A row for each document, written once; ``key`` is a hash of its set and ``fp`` its fingerprint."""
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
         for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            firsts = [prefix(s, *common.value).tobytes() for s in sets]
-            columns = [batch.column("doc_id"), batch.column("hash"), pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "key", "n", "prefix"])
+            sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
+            keys, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxhash.xxh3_64_intdigest(s.tobytes()), lambda s: majority(iter([s]))))
+            firsts = [prefix(s, levels.value).tobytes() for s in sets]
+            columns = [batch.column("doc_id"), batch.column("hash"), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "key", "fp", "n", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8()).alias("hash"), utf8().alias("text"))
     return materialize(rows.mapInArrow(compute, SETS), "shingled")
@@ -119,28 +152,34 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _partners(token: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of rows, in order of token and size, that share a token and can be similar sets."""
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    i, step = np.arange(len(token)), 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(token)]
-        i = i[(token[i] == token[i + step]) & (5 * n[i] >= 4 * n[i + step])]  # sizes only grow
-        # At their first common shingle, as many can still follow as similar sets share.
-        j = i + step
-        near = 9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
-        yield i[near], j[near]
+def _partners(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows of one token can be similar sets: as many shingles can still follow as similar sets share."""
+    return (5 * n[i] >= 4 * n[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """TOKEN rows in order of token and size -> those that have a partner, each with the key of the nearest before it."""
     for token, key, n, at in _whole_groups(batches):
+        wide_n, wide_at = n.astype(np.int64), at.astype(np.int64)
+        number = np.arange(len(token))
+        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(begins, len(token)))
         before, shared = key.copy(), np.zeros(len(key), bool)
-        for i, j in _partners(token, n, at):
-            first = j[before[j] == key[j]]
-            before[first] = key[i[before[j] == key[j]]]
-            shared[i] = shared[j] = True
+        met = number == np.repeat(begins, sizes)  # the first row of a token has none before it
+        i, step = number, 0
+        while len(i):
+            # Only rows that have met none yet, on either side, go on.
+            step += 1
+            last_open = np.repeat(np.maximum.reduceat(np.where(met, -1, number), begins), sizes)
+            last = np.repeat(begins + sizes - 1, sizes)
+            i = i[i + step <= np.where(shared[i], last_open[i], last[i])]
+            i = i[5 * wide_n[i] >= 4 * wide_n[i + step]]  # sizes only grow
+            j = i + step
+            near = (~met[j] | ~shared[i]) & _partners(wide_n, wide_at, i, j)
+            a, b = i[near], j[near]
+            first = ~met[b]
+            before[b[first]] = key[a[first]]
+            met[b] = shared[a] = shared[b] = True
         columns = [pa.array(x[shared]) for x in (token, key, n, at, before)]
         yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "at", "before"])
 
@@ -148,10 +187,19 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, key, n, at, root) in order of token and size -> pairs of different roots that can be similar."""
     for token, key, n, at, root in _whole_groups(batches):
-        for i, j in _partners(token, n, at):
-            apart = root[i] != root[j]
-            if apart.any():
-                a, b = key[i[apart]], key[j[apart]]
+        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        mixed = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+        some = np.repeat(mixed, np.diff(np.append(begins, len(token))))
+        token, key, root = token[some], key[some], root[some]
+        n, at, i, step = n[some].astype(np.int64), at[some].astype(np.int64), np.arange(int(some.sum())), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(token)]
+            i = i[(token[i] == token[i + step]) & (5 * n[i] >= 4 * n[i + step])]
+            apart = root[i] != root[i + step]
+            near = i[apart][_partners(n, at, i[apart], i[apart] + step)]
+            if len(near):
+                a, b = key[near], key[near + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
@@ -162,38 +210,49 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, unpack = None, np.zeros(0, np.uint64), zstandard.ZstdDecompressor().decompress
+    known, held, unpack, sets = None, np.zeros(0, np.uint64), zstandard.ZstdDecompressor().decompress, Shingles()
     for batch in slices(batches, 64):
         a, b, texts_a, texts_b = (c.to_pylist() for c in batch.columns)
         keep = []
         for key, one, other in zip(b, texts_a, texts_b, strict=True):
             if key != known:
-                known, held = key, shingle_set(unpack(other))
-            keep.append(similar(shingle_set(unpack(one)), held))
+                known, held = key, sets.of(unpack(other))
+            keep.append(similar(sets.of(unpack(one)), held))
         kept = [[x for x, k in zip(c, keep, strict=True) if k] for c in (a, b)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in kept], names=["a", "b"])
 
 
+def fingerprint_links(sets: DataFrame) -> DataFrame:
+    """(a, b) keys of sets whose fingerprints are equal or linked within REACH bits."""
+    prints = materialize(sets.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    links = hamming_links(prints.select("fp"), REACH)
+    ends = [prints.select(F.col("fp").alias(c), F.col("least").alias(f"key_{c}")) for c in "ab"]
+    near = links.join(ends[0], "a").join(ends[1], "b").select("key_a", "key_b")
+    same = sets.join(prints, "fp").select(F.col("key").alias("key_a"), F.col("least").alias("key_b"))
+    return near.unionByName(same).where("key_a <> key_b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+
 def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) of the keys that have similar ones."""
-    sets = found.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = found.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"))
     tokens = sets.select("key", "n", "prefix").mapInArrow(_token_rows, TOKEN)
     ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "key")
     shared = materialize(ordered.mapInArrow(_shared_rows, f"{TOKEN}, before long"), "shared-shingles")
-    wanted = shared.select("key").distinct().join(found.groupBy("key").agg(F.min("hash").alias("hash")), "key")
+    neighbours = shared.where("before <> key").select(F.least("before", "key").alias("a"), F.greatest("before", "key").alias("b"))
+    first = materialize(neighbours.unionByName(fingerprint_links(sets.select("key", "fp"))).distinct(), "first-pairs")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(shared.select("key")).distinct()
     rows = docs.select(F.xxhash64(utf8()).alias("hash"), utf8().alias("text")).mapInArrow(_packed_rows, "hash long, text binary")
-    texts = materialize(rows.join(wanted, "hash").dropDuplicates(["hash"]).select("key", "text"), "candidates")
+    texts = materialize(rows.join(wanted.join(sets.select("key", "hash"), "key"), "hash").dropDuplicates(["hash"]).select("key", "text"), "candidates")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one, other = (texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(_similar_rows, "a long, b long"), name)
 
-    neighbours = shared.where("before <> key").select(F.least("before", "key").alias("a"), F.greatest("before", "key").alias("b")).distinct()
-    stars = materialize(connected_components(verified(neighbours, "neighbours")), "neighbour-roots")
+    stars = materialize(connected_components(verified(first, "first-links")), "first-roots")
     rooted = shared.join(stars, shared.key == stars.node, "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     others = rooted.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_pair_rows, "a long, b long").distinct()
-    links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(others.join(neighbours, ["a", "b"], "left_anti"), "others"))
+    links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(others.join(first, ["a", "b"], "left_anti"), "others"))
     return connected_components(links)
 
 
@@ -203,6 +262,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     roots = similar_sets(docs, found)
     rooted = found.join(roots, found.key == roots.node, "left").select("doc_id", "hash", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = rooted.join(least, "root").where("doc_id <> least").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(utf8())})
-    return keyed.join(gone, ["__id", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = rooted.join(least, "root").where("doc_id <> least").select("doc_id", "hash").distinct()
+    return without(docs, materialize(gone, "near-copies"))

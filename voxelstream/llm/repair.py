@@ -1,13 +1,14 @@
 """Re-Pair grammar compression of a stream of token ids, and its random-access reader.
 
 In each round the most frequent pairs of neighbouring symbols get a nonterminal each and are replaced where they
-do not overlap; rounds go on until no pair is frequent or the rules are used up. A shard keeps the rules, how
-many ids each expands to, the rest of the stream, and the expanded place of every BLOCK-th symbol, so that a run
-of ids is decoded without the ids before it.
+do not overlap; rounds go on until no pair is frequent. A pair is frequent if it occurs LEAST times, from where its
+rule takes less room than it saves. A shard keeps the rules, how many ids each expands to, the rest of the stream,
+and the expanded place of every BLOCK-th symbol, so that a run of ids is decoded without the ids before it.
 
 Layout of a shard, little-endian: the magic bytes, seven uint64 (base, documents, ids, rules, symbols, marks,
 bytes a symbol), then int64 doc ids, uint8 null flags of those, uint64 ids of each document, uint32 left and
-right symbols and uint64 lengths of the rules, uint64 marks, and the symbols.
+right symbols and uint64 lengths of the rules, uint64 marks, and the symbols: their low 16 bits, then, where a
+symbol has three bytes, their high 8 bits.
 """
 
 from __future__ import annotations
@@ -16,39 +17,44 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"VXRP0001"
-ROUNDS = 8
+MAGIC = b"VXRP0002"
 PAIRS = 2048  # rules of a round, at most
 LEAST = 6  # times a pair must occur to get a rule
-GAIN = 0.01  # share of the symbols that a round must save for another one
 BLOCK = 512  # symbols between marks
-TABLE = 1 << 18
+TABLE_BITS = 19  # binary digits of the slots of hashed keys
 
 
-def compress(ids: np.ndarray, base: int, max_symbol: int = 2**16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules as rows of left and right, ids that each rule expands to); rule k is the symbol base + k.
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
-    Symbols stay below ``max_symbol`` where ``base`` leaves room.
+
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of candidates, pairs that occur at least LEAST times, how often).
+
+    Counts of hashed keys are never below those of a key, so they rule most places out before keys are sorted.
     """
-    symbols, rules, room = ids.astype(np.int64), [], (max_symbol if base < max_symbol - 256 else 2**32) - base
-    for _ in range(ROUNDS):
-        n_rules = sum(map(len, rules))
-        if len(symbols) < 2 or n_rules >= room:
-            break
+    slots = _slots(keys)
+    places = np.flatnonzero(np.bincount(slots, minlength=1 << TABLE_BITS)[slots] >= LEAST)
+    pairs, counts = np.unique(keys[places], return_counts=True)
+    frequent = counts >= LEAST
+    return places, pairs[frequent], counts[frequent]
+
+
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules as rows of left and right, ids that each rule expands to); rule k is the symbol base + k."""
+    symbols, rules, n_rules = ids.astype(np.int64), [], 0
+    while len(symbols) > 1:
         wide = base + n_rules
-        keys = symbols[:-1] * wide + symbols[1:]
-        pairs, counts = np.unique(keys, return_counts=True)
-        frequent = np.flatnonzero(counts >= LEAST)
-        if not len(frequent):
+        keys = (symbols[:-1] << 32) | symbols[1:]
+        places, pairs, counts = _frequent(keys)
+        if not len(pairs):
             break
-        best = frequent[np.lexsort((pairs[frequent], -counts[frequent]))][: min(PAIRS, room - n_rules)]
-        chosen = np.sort(pairs[best])
-        # A small table of hashed keys rules most places out before they are looked up.
-        table = np.zeros(TABLE, bool)
-        table[chosen & (TABLE - 1)] = True
-        places = np.flatnonzero(table[keys & (TABLE - 1)])
-        at = np.searchsorted(chosen, keys[places])
-        at[at == len(chosen)] = 0
+        chosen = np.sort(pairs[np.lexsort((pairs, -counts))][:PAIRS])
+        # Of pairs that share a slot of the table one is left to the next round.
+        table = np.full(1 << TABLE_BITS, -1, np.int32)
+        table[_slots(chosen)] = np.arange(len(chosen))
+        at = table[_slots(keys[places])]
+        places, at = places[at >= 0], at[at >= 0]
         real = chosen[at] == keys[places]
         places, at = places[real], at[real]
         # Of overlapping places, every second one of a run is replaced.
@@ -56,14 +62,16 @@ def compress(ids: np.ndarray, base: int, max_symbol: int = 2**16) -> tuple[np.nd
         run = np.maximum.accumulate(np.where(starts, places, 0))
         second = (places - run) % 2 == 1
         places, at = places[~second], at[~second]
+        # A pair that lost all its places to its neighbours gets no rule.
+        used = np.bincount(at, minlength=len(chosen)) > 0
+        at = (np.cumsum(used) - 1)[at]
         symbols[places] = wide + at
         kept = np.ones(len(symbols), bool)
         kept[places + 1] = False
-        saved = len(places) / len(symbols)
         symbols = symbols[kept]
-        rules.append(np.stack([chosen // wide, chosen % wide], axis=1))
-        if saved < GAIN:
-            break
+        chosen = chosen[used]
+        n_rules += len(chosen)
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     lengths, done = np.zeros(len(grammar), np.int64), 0
     for part in rules:  # a rule only uses symbols of earlier rounds
@@ -88,13 +96,16 @@ def pack(doc_ids: list[int | None], document_ids: list[np.ndarray], base: int) -
     """The bytes of a shard of whole documents, in the given order."""
     ids = np.concatenate(document_ids) if document_ids else np.zeros(0, np.int64)
     symbols, rules, lengths = compress(ids, base)
-    size = 2 if base + len(rules) <= 2**16 else 4
+    size = 2 if base + len(rules) <= 2**16 else 3
+    if base + len(rules) > 2**24:
+        raise ValueError("a shard has too many symbols")
     sizes = np.where(symbols < base, 1, lengths[np.maximum(symbols - base, 0)] if len(lengths) else 1)
     marks = (np.cumsum(sizes) - sizes)[::BLOCK]
     header = np.array([base, len(doc_ids), len(ids), len(rules), len(symbols), len(marks), size], "<u8")
     parts = [
         header, np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"),
-        np.array([len(x) for x in document_ids], "<u8"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), lengths.astype("<u8"), marks.astype("<u8"), symbols.astype(f"<u{size}"),
+        np.array([len(x) for x in document_ids], "<u8"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), lengths.astype("<u8"), marks.astype("<u8"),
+        (symbols & 0xFFFF).astype("<u2"), *([(symbols >> 16).astype("u1")] if size == 3 else []),
     ]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
@@ -124,7 +135,10 @@ class Shard:
         base, docs, _, rules, symbols, marks, size = map(int, take("<u8", 7))
         ids, nulls, sizes = take("<i8", docs), take("u1", docs), take("<u8", docs).astype(np.int64)
         left, right, lengths, marks_at = take("<u4", rules), take("<u4", rules), take("<u8", rules), take("<u8", marks)
-        return cls(base, [None if n else int(d) for d, n in zip(ids, nulls, strict=True)], sizes, np.stack([left, right], axis=1).astype(np.int64), lengths.astype(np.int64), marks_at.astype(np.int64), take(f"<u{size}", symbols))
+        stream = take("<u2", symbols).astype(np.int32)
+        if size == 3:
+            stream |= take("u1", symbols).astype(np.int32) << 16
+        return cls(base, [None if n else int(d) for d, n in zip(ids, nulls, strict=True)], sizes, np.stack([left, right], axis=1).astype(np.int64), lengths.astype(np.int64), marks_at.astype(np.int64), stream)
 
     def read(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from the expanded place ``start``; only the blocks that hold them are expanded."""

@@ -5,8 +5,8 @@ components are found among those, and every document takes its component from it
 
 Defined results: null, empty and word-less texts have fingerprint zero; texts below three words are one shingle;
 repeated rows each get their row and stay or go together; a null doc_id takes part and is never the smallest (its
-component is null if no linked row has an id); an empty table gives an empty result; further columns are carried
-by the stage and ignored by the report.
+component is null if no linked row has an id); an empty table gives an empty result; further columns, whatever their
+names, are carried by the stage and ignored by the report.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import materialize, slices, utf8, without
 from .components import connected_components
 from .vantage import hamming_links
 
@@ -49,9 +49,10 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
 
 
-def fingerprint(text: bytes) -> int:
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text):
+    for hashes in blocks:
         places = hashes.view(np.uint8).reshape(-1, 8) + (np.arange(8, dtype=np.int64) * 256)
         seen = np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
         counts += (seen @ _BITS).ravel()
@@ -59,6 +60,10 @@ def fingerprint(text: bytes) -> int:
     return int(np.bitwise_or.reduce(np.uint64(1) << np.flatnonzero(2 * counts > n).astype(np.uint64), initial=np.uint64(0)))
 
 
+def fingerprint(text: bytes) -> int:
+    return majority(shingle_hashes(text))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, fp): a row for each document, written once; ``hash`` tells texts of one doc_id apart."""
 
@@ -90,6 +95,5 @@ def simhash(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """One document of each component, the one of smallest doc_id, with its own columns."""
-    gone = near_duplicates(fingerprints(docs), reach).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(utf8())})
-    return keyed.join(gone, ["__id", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_duplicates(fingerprints(docs), reach).where("doc_id <> component_id").select("doc_id", "hash").distinct()
+    return without(docs, materialize(gone, "near-copies"))

@@ -12,12 +12,12 @@ import os
 from array import array
 from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
 import regex
 
-CACHE_ENTRIES = 800_000  # chunks kept by a Python worker; the cache starts anew when full
-WORD_ENTRIES = 500_000  # words kept besides
+CACHE_BYTES = 160 << 20  # bytes a Python worker keeps in each of its caches, about; a full cache starts anew
+LONGEST = 64  # characters of a chunk that is kept
+ENTRY = 150  # bytes of a dictionary entry besides its characters and its value
 
 #: Characters that are neither white space, letters nor digits, and begin no contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -27,41 +27,57 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+class Bounded(dict):
+    """Values of texts, made by ``make`` when first asked for and kept within about CACHE_BYTES."""
+
+    def __init__(self, make: Callable[[str], object], limit: int = CACHE_BYTES):
+        super().__init__()
+        self._make, self._limit, self._held = make, limit, 0
+
+    def __missing__(self, text: str):
+        value = self._make(text)
+        if len(text) <= LONGEST:
+            self._held += ENTRY + len(text)
+            if self._held > self._limit:
+                self.clear()
+                self._held = 0
+            self[text] = value
+        return value
+
+
+class _Uncut(Exception):
+    """A chunk that does not stand alone."""
+
+
 class ChunkCache:
     """Values of texts from those of their chunks.
 
-    ``of_chunks(chunks)`` gives the value of " " + chunk for each, ``of_texts(texts)`` that of each text, and
+    ``of_chunk(chunk)`` gives the value of " " + chunk, ``of_texts(texts)`` those of whole texts, and
     ``combine(values)`` joins the values of consecutive pieces.
     """
 
-    def __init__(self, of_chunks: Callable[[list[str]], list], of_texts: Callable[[list[str]], list], combine: Callable, entries: int = CACHE_ENTRIES):
-        self._of_chunks, self._of_texts, self._combine, self._entries = of_chunks, of_texts, combine, entries
-        self._chunks: dict[str, object] = {}
-        self._heads: dict[str, object] = {}
+    def __init__(self, of_chunk: Callable[[str], object], of_texts: Callable[[list[str]], list], combine: Callable, limit: int = CACHE_BYTES):
+        def chunk(text: str):
+            if not text or text[-1].isspace():
+                raise _Uncut
+            return of_chunk(text)
 
-    def _learn(self, known: dict, wanted: set[str], values: Callable[[list[str]], list]) -> None:
-        new = wanted.difference(known)
-        if len(known) + len(new) > self._entries:
-            known.clear()
-            new = wanted
-        if new:
-            ordered = list(new)
-            known.update(zip(ordered, values(ordered), strict=True))
+        self._of_texts, self._combine = of_texts, combine
+        self._chunks, self._heads = Bounded(chunk, limit), Bounded(lambda text: of_texts([text])[0], limit // 8)
 
     def encode(self, texts: list[str]) -> list:
         """The value of each text."""
-        cut = [t.split(" ") for t in texts]
-        firsts = [p.pop(0) for p in cut]
-        chunks: set[str] = set()
-        for rest in cut:
-            chunks.update(rest)
-        bad = {c for c in chunks.difference(self._chunks) if not c or c[-1].isspace()}
-        whole = [not f or f[-1].isspace() or bool(bad) and not bad.isdisjoint(p) for f, p in zip(firsts, cut, strict=True)]
-        self._learn(self._chunks, chunks - bad if bad else chunks, self._of_chunks)
-        self._learn(self._heads, {f for f, w in zip(firsts, whole, strict=True) if not w}, self._of_texts)
-        rest_values = iter(self._of_texts([t for t, w in zip(texts, whole, strict=True) if w]))
-        of_head, of_chunk = self._heads.__getitem__, self._chunks.__getitem__
-        return [next(rest_values) if w else self._combine([of_head(f), *map(of_chunk, p)]) for f, p, w in zip(firsts, cut, whole, strict=True)]
+        out, of_chunk = [], self._chunks.__getitem__
+        for text in texts:
+            head, *rest = text.split(" ")
+            if head and not head[-1].isspace():
+                try:
+                    out.append(self._combine([self._heads[head], *map(of_chunk, rest)]))
+                    continue
+                except _Uncut:
+                    pass
+            out += self._of_texts([text])
+        return out
 
 
 class LibraryTokenizer:
@@ -79,46 +95,34 @@ class LibraryTokenizer:
         pre = settings.get("pre_tokenizer") or {}
         #: Only a plain byte-level tokenizer cuts at spaces as ChunkCache needs it.
         self.cuts_at_spaces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not settings.get("normalizer")
-        self._special = tuple(t["content"] for t in settings.get("added_tokens", ()))
-        self._cut, self._model, self._words = regex.compile(public_tokenizers.PATTERN).findall, self._tokenizer.model, {}
+        special = "|".join(regex.escape(t["content"]) for t in settings.get("added_tokens", ()))
+        self._special = regex.compile(special).search if special else lambda text: None
+        self._cut, self._tokens = regex.compile(public_tokenizers.PATTERN).findall, self._tokenizer.model.tokenize
+        self._words = Bounded(self._ids_of_word)
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of " " + chunk: the library's model is asked once for each distinct word."""
-        out, words = [], self._words
-        if len(words) > WORD_ENTRIES:
-            words.clear()
-        joined = "\n".join(chunks)
-        special = [s for s in self._special if s in joined]
-        for chunk in chunks:
-            if chunk.isalpha():
-                out.append(self._word(f" {chunk}"))
-                continue
-            core = chunk.rstrip(TAIL)
-            if core.isalpha():  # a word, and a tail that the pattern takes as one
-                out.append(self._word(f" {core}") + self._word(chunk[len(core) :]))
-            elif any(s in chunk for s in special):
-                out += self.of_texts([f" {chunk}"])
-            else:
-                out.append(b"".join(map(self._word, self._cut(f" {chunk}"))))
-        return out
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one match of the pattern."""
-        ids = self._words.get(word)
-        if ids is None:
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":  # ASCII letters stand for themselves
-                written = f"Ġ{word[1:]}"
-            else:
-                written = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-            ids = self._words[word] = array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
-        return ids
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _ids_of_word(self, word: str) -> bytes:
+        """Ids of one match of the pattern, from the library's model."""
+        return array("I", [t.id for t in self._tokens(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
+
+    def of_chunk(self, chunk: str) -> bytes:
+        """Ids of " " + chunk, word by word."""
+        if chunk.isalpha():
+            if chunk.isascii():  # ASCII letters stand for themselves
+                return array("I", [t.id for t in self._tokens(f"Ġ{chunk}")]).tobytes()
+            return self._ids_of_word(f" {chunk}")
+        core = chunk.rstrip(TAIL)
+        if core.isalpha():  # a word, and a tail that the pattern takes as one
+            return self._words[f" {core}"] + self._words[chunk[len(core) :]]
+        if self._special(chunk):
+            return self.of_texts([f" {chunk}"])[0]
+        return b"".join(map(self._words.__getitem__, self._cut(f" {chunk}")))
 
     def encoder(self) -> Callable[[list[str]], list[bytes]]:
-        return ChunkCache(self.of_chunks, self.of_texts, b"".join).encode if self.cuts_at_spaces else self.of_texts
+        return ChunkCache(self.of_chunk, self.of_texts, b"".join).encode if self.cuts_at_spaces else self.of_texts
 
     def counter(self) -> Callable[[list[str]], list[int]]:
-        n = lambda of: lambda texts: [len(x) // 4 for x in of(texts)]
-        return ChunkCache(n(self.of_chunks), n(self.of_texts), sum).encode if self.cuts_at_spaces else n(self.of_texts)
+        of_texts = lambda texts: [len(x) // 4 for x in self.of_texts(texts)]
+        return ChunkCache(lambda chunk: len(self.of_chunk(chunk)) // 4, of_texts, sum).encode if self.cuts_at_spaces else of_texts

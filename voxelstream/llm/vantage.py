@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 16_384  # distinct fingerprints that the upper tree is fitted on, at most
+DEPTH = 11  # levels of an upper tree, at most, so that its leaves still hold some of the sample
 SHARD = 4_096  # fingerprints that a shard should hold
 LEAF = 48  # fingerprints of a leaf inside a shard
 BLOCK = 1 << 20  # comparisons made at a time
@@ -64,31 +65,33 @@ class Tree:
             todo += [(2 * node + 1, points[inside], left - 1), (2 * node + 2, points[~inside], left - 1)]
         return cls(vantage, radius)
 
-    def deal(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shard, point, at home) rows: each point once at home, and as a query wherever a partner can be."""
-        node, home, done = np.zeros(len(points), np.int64), np.ones(len(points), bool), []
+    def deal(self, points: np.ndarray, reach: int, shard: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard, point, at home) rows: each point once at home if ``home``, and as a query wherever a partner can be.
+
+        ``shard`` is the shard so far; the new one joins it with the leaf.
+        """
+        node, at_home, done = np.zeros(len(points), np.int64), np.full(len(points), home), []
         while len(points):
             leaf = self.radius[node] < 0
-            done.append((node[leaf], points[leaf], home[leaf]))
-            node, points, home = node[~leaf], points[~leaf], home[~leaf]
+            done.append((shard[leaf] * len(self.radius) + node[leaf], points[leaf], at_home[leaf]))
+            node, points, at_home, shard = node[~leaf], points[~leaf], at_home[~leaf], shard[~leaf]
             d, r = hamming(points, self.vantage[node]).astype(np.int64), self.radius[node]
             inside = d <= r
             # At home on its own side; a pair across the boundary is found by its inner point going out as a query.
-            goes_in = np.where(home, inside, d - reach <= r)
-            goes_out = np.where(home, ~inside | (d + reach > r), d + reach > r)
-            node, points, home = (
+            goes_in = np.where(at_home, inside, d - reach <= r)
+            goes_out = np.where(at_home, ~inside | (d + reach > r), d + reach > r)
+            node, points, at_home, shard = (
                 np.concatenate([2 * node[goes_in] + 1, 2 * node[goes_out] + 2]),
                 np.concatenate([points[goes_in], points[goes_out]]),
-                np.concatenate([home[goes_in], (home & ~inside)[goes_out]]),
+                np.concatenate([at_home[goes_in], (at_home & ~inside)[goes_out]]),
+                np.concatenate([shard[goes_in], shard[goes_out]]),
             )
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (node, points, home)
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (shard, points, at_home)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between numbers 0..n reduced to (node, root) links of the same components."""
-    if not len(a):
-        return a, b
-    label = np.arange(int(max(a.max(), b.max())) + 1)
+def labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number of the component of each of ``n`` numbers that are linked by (a, b)."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -97,14 +100,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while (new != new[new]).any():
             new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return moved, label[moved]
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (a, b) that already make the same components: each component takes its first link out of it, again and again."""
+    if not len(a):
+        return a, b
+    n, taken = int(max(a.max(), b.max())) + 1, np.zeros(len(a), bool)
+    label, numbers = np.arange(n), np.arange(len(a))
+    while True:
+        apart = numbers[label[a] != label[b]]
+        if not len(apart):
+            return a[taken], b[taken]
+        first = np.full(n, len(a))
+        np.minimum.at(first, label[a[apart]], apart)
+        np.minimum.at(first, label[b[apart]], apart)
+        taken[first[first < len(a)]] = True
+        label = labels(a[taken], b[taken], n)
 
 
 def shard_links(home: np.ndarray, queries: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links among ``home`` and from ``queries`` to it."""
+    """Links among ``home`` and from ``queries`` to it: as many as connect what lies within reach, each within reach itself."""
     points = np.concatenate([home, queries])
     numbers = np.arange(len(points))
     out_a, out_b, held = [], [], 0
@@ -130,28 +148,43 @@ def shard_links(home: np.ndarray, queries: np.ndarray, reach: int) -> tuple[np.n
             out_b.append(others[j][real])
             held += int(real.sum())
             if held > EDGE_BLOCK:
-                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+                a, b = spanning(np.concatenate(out_a), np.concatenate(out_b))
                 out_a, out_b, held = [a], [b], len(a)
     if not out_a:
         return points[:0], points[:0]
-    a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+    a, b = spanning(np.concatenate(out_a), np.concatenate(out_b))
     return points[a], points[b]
 
 
+def _deal(points: np.ndarray, trees: list[Tree], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, point, at home) by the sides that a point takes in all trees."""
+    shard, home = np.zeros(len(points), np.int64), np.ones(len(points), bool)
+    for tree in trees:
+        own, asked = (tree.deal(points[x], reach, shard[x], h) for x, h in ((home, True), (~home, False)))
+        shard, points, home = (np.concatenate(x) for x in zip(own, asked, strict=True))
+    return shard, points, home
+
+
 def hamming_links(fingerprints: DataFrame, reach: int) -> DataFrame:
-    """Distinct ``fp`` longs -> (a, b) links that connect whatever lies within ``reach`` bits."""
+    """Distinct ``fp`` longs -> (a, b) links within ``reach`` bits that connect whatever lies within them.
+
+    A tree over a bounded sample has at most DEPTH levels. More fingerprints take more trees, each over a sample of
+    its own, and a shard is a leaf of every tree: shards keep their size however many fingerprints there are.
+    """
     sc = fingerprints.sparkSession.sparkContext
-    n = fingerprints.count()
-    rows = fingerprints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    depth = min(max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))), int(np.log2(SAMPLE)) - 3)
-    tree = sc.broadcast(Tree.fit(sample, depth))
+    n, trees = fingerprints.count(), []
+    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
+    while depth > 0:
+        rows = fingerprints.orderBy(F.xxhash64("fp", F.lit(len(trees))), "fp").limit(SAMPLE).collect()
+        trees.append(Tree.fit(np.array([r[0] for r in rows], np.int64).view(np.uint64), min(depth, DEPTH)))
+        depth -= DEPTH
+    shared = sc.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 points = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                shard, fp, home = tree.value.deal(points, reach)
+                shard, fp, home = _deal(points, shared.value, reach)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
