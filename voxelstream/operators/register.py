@@ -10,17 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.config import METHODS, SegmentationSettings
+from ..plans.config import METHODS, checked
 
 
-def _shift(method: str, shape: tuple[int, ...], ref: np.ndarray | None, mov: np.ndarray, maximum: float, segmentation: SegmentationSettings, roi: dict) -> list[float]:
+def _shift(method: str, shape: tuple[int, ...], ref: np.ndarray | None, mov: np.ndarray, maximum: float, otsu: dict, roi: dict) -> list[float]:
     if method == "pcc":
         found = kernels.correlation_shift(ref, mov, maximum)
     elif method == "multiotsu_pcc":
-        masks = (kernels.binary_mask(v, segmentation.otsu_sigma, segmentation.otsu_component).astype(np.float64) for v in (ref, mov))
+        masks = (kernels.binary_mask(v, otsu["otsu_sigma"], otsu["otsu_component"]).astype(np.float64) for v in (ref, mov))
         found = kernels.correlation_shift(*masks, maximum)
     elif method == "multiotsu_center_of_mass":
-        a, b = (kernels.center_of_mass(kernels.binary_mask(v, segmentation.otsu_sigma, segmentation.otsu_component)) for v in (ref, mov))
+        a, b = (kernels.center_of_mass(kernels.binary_mask(v, otsu["otsu_sigma"], otsu["otsu_component"])) for v in (ref, mov))
         found = b - a
     elif method == "roi_center_pcc":
         found = kernels.correlation_shift(kernels.centered_blob(shape, roi["blob_sigma"]), mov, maximum)
@@ -32,22 +32,41 @@ def _shift(method: str, shape: tuple[int, ...], ref: np.ndarray | None, mov: np.
     return [float(x) for x in found]
 
 
-def pixel_shift(method: str, ref: Column, mov: Column, shape: tuple[int, ...], maximum: float = 1.0, segmentation: SegmentationSettings | None = None, blob_sigma: float = 10.0, background_percentile: float | None = None, blur_sigma: float = 0.0) -> Column:
-    """Shift of ``mov`` against ``ref`` (flat arrays of one shape) in pixels, an array in axis order."""
+def pixel_shift(method: str, ref: Column, mov: Column, shape: tuple[int, ...], maximum: float = 1.0, segmentation: dict | None = None, roi_center: dict | None = None) -> Column:
+    """Shift of ``mov`` against ``ref`` (flat arrays of one shape) in pixels, an array in axis order.
+
+    ``segmentation`` and ``roi_center`` are the sections of tracking settings, or parts of them.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown tracking method {method!r}")
-    segmentation = segmentation or SegmentationSettings()
-    roi = {"blob_sigma": blob_sigma, "background_percentile": background_percentile, "blur_sigma": blur_sigma}
+    otsu, roi = checked("segmentation", segmentation or {}), checked("roi_center", roi_center or {})
 
     @F.pandas_udf("array<double>")
     def shift(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         volume = lambda v: None if v is None else np.asarray(v, np.float64).reshape(shape)
         for refs, movs in pairs:
-            yield pd.Series([_shift(method, shape, volume(r), volume(m), maximum, segmentation, roi) for r, m in zip(refs, movs, strict=True)])
+            yield pd.Series([_shift(method, shape, volume(r), volume(m), maximum, otsu, roi) for r, m in zip(refs, movs, strict=True)])
 
     return shift(ref, mov)
 
 
+def settings_shift(tracking: dict, ref: Column, mov: Column, shape: tuple[int, ...]) -> Column:
+    """``pixel_shift`` by checked tracking settings."""
+    return pixel_shift(tracking["tracking_method"], ref, mov, shape, tracking["shift"]["maximum"], tracking["segmentation"], tracking["roi_center"])
+
+
+def surface(ref: Column, mov: Column, shape: tuple[int, ...], maximum: float = 1.0, normalize: str = "none") -> Column:
+    """Greatest and least value and the sum of the correlation of two flat arrays."""
+
+    @F.pandas_udf("struct<greatest:double,least:double,total:double>")
+    def describe(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for refs, movs in pairs:
+            found = [kernels.correlation(*(np.asarray(v, np.float64).reshape(shape) for v in pair), maximum, normalize) for pair in zip(refs, movs, strict=True)]
+            yield pd.DataFrame([(s.max(), s.min(), s.sum()) for s in found], columns=["greatest", "least", "total"])
+
+    return describe(ref, mov)
+
+
 def blurred(volume: Column, shape: tuple[int, ...], sigma: float) -> Column:
     """Gaussian blur of a flat array."""
 
