@@ -10,6 +10,12 @@ def sentence(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "s", ".", ",\n"]) for _ in range(n))
 
 
+#: Names that the operators use inside.
+CLASHES = """best best_id best_n best_no_id context copy digest doc fp gram hash id item item_id items key kept least m n n_cp n_tokens
+n_words no_id own packed place rarest root row runs score size spans spots text_a tie w wanted word
+__best __copies __digest __hash __id __items __n __n_words __runs __score __stats __text __y"""
+
+
 @pytest.fixture(scope="session")
 def rows():
     """(doc_id, text): nulls, empty and long texts, ties, copies, near copies and repeated rows."""
@@ -28,7 +34,7 @@ def docs(spark, rows):
     """The rows with further columns whose names clash with those that the operators make."""
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     extra = {"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}
-    clash = {c: F.lit(7) for c in ("digest", "hash", "fp", "n_tokens", "kept", "size", "best", "m", "item_id", "score", "word", "row")}
+    clash = dict.fromkeys(CLASHES.split(), F.lit(7))
     return df.withColumns(extra | clash).cache()
 
 

@@ -8,7 +8,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voxelstream.llm import decontamination, exact_dedup, quality, secrets, toxicity
+from voxelstream.llm import decontamination, exact_dedup, near_copies, quality, secrets, simhash, toxicity
+
+from conftest import CLASHES
 
 
 def test_exact_dedup(docs, rows, empty):
@@ -28,6 +30,27 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
 
 
+def test_stages_keep_own_columns(spark, docs, rows):
+    """Columns whose names the operators use inside come back as they were."""
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "doc_id long, quality int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    stages = [exact_dedup.drop_exact_copies, simhash.drop_near_copies, near_copies.drop_near_copies, lambda d: decontamination.drop_contaminated(d, items), lambda d: quality.drop_low_quality(d, labels)]
+    for stage in stages:
+        kept = stage(docs)
+        assert kept.dtypes == docs.dtypes
+        assert all(r[c] == 7 for r in kept.collect() for c in CLASHES.split())
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_exact_dedup_of_repeated_ids(spark, monkeypatch, order):
+    rows = [(1, "ab"), (1, "a  b "), (1, "a b"), (None, "x y"), (-(2**63), "x y"), (None, "x y"), (3, "q"), (3, "q")]
+    some = [rows[k] for k in order] + rows[3:]
+    df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+    for heavy in (exact_dedup.HEAVY, 1):
+        monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+        assert sorted((tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()), key=str) == sorted([(1, "a  b "), (-(2**63), "x y"), (3, "q")], key=str)
+
+
 def test_exact_dedup_without_heavy_hitters(docs, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
     monkeypatch.setattr(exact_dedup, "HEAVY", 1)
@@ -54,10 +77,11 @@ def brute_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 5])
-def test_decontamination(spark, docs, rows, empty, monkeypatch, block_words):
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block_words)
-    more = [(70, "so Quick brown fox jumps over the lazy dog again and again, it ran"), (71, "x three little words y three LITTLE-words"), (72, "quick brown fox jumps over the lazy dog")]
+@pytest.mark.parametrize("slots", [decontamination.SLOTS, 64])
+def test_decontamination(spark, docs, rows, empty, monkeypatch, slots):
+    """Also with word filters that let nearly everything pass."""
+    monkeypatch.setattr(decontamination, "SLOTS", slots)
+    more = [(70, "so Quick brown fox jumps over the lazy dog again and again, it ran"), (71, "x three little words y three LITTLE-words"), (72, "quick brown fox jumps over the lazy dog"), (None, "three little words"), (71, "three little words")] * 2
     every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((tuple(r)[:6] for r in decontamination.decontaminate(every, items).collect()), key=str)
@@ -66,7 +90,7 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, block_words):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r[0]) for r in got if not r[5])
     assert decontamination.decontaminate(empty, items).count() == 0
     none = decontamination.decontaminate(every, items.where("item_id = 99"))
-    assert none.where("contaminated").count() == 0 and none.count() == len(rows) + 3
+    assert none.where("contaminated").count() == 0 and none.count() == len(rows) + len(more)
 
 
 def der(*fields):
@@ -84,6 +108,9 @@ def test_structural_confirmation():
     text = f"é {coded} then {token}, {base64.b64encode(blob).decode()} and {key.hex()}"
     found = {(kind, text[a:b]) for a, b, kind in secrets.confirmed_spans(text)}
     assert found == {("der", coded), ("jwt", token), ("ssh", base64.b64encode(blob).decode()), ("der", key.hex())}
+    for brace in ("{ ", "{\n ", "{\r\n", "{\t"):
+        spaced = base64.urlsafe_b64encode(f"{brace}\"alg\": \"HS256\"}}".encode()).decode().rstrip("=") + f".{part({'sub': 1})}.c2ln"
+        assert [text[a:b] for text in [f"they knew.{spaced[:3]} {spaced}."] for a, b, _ in secrets.confirmed_spans(text)] == [spaced + "."[:0]]
     fake = f"{part({'typ': 'JWT'})}.{part({'sub': 1})}.xx " + base64.b64encode(b"\x30\x50" + b"q" * 60).decode() + " " + "30" * 40
     assert secrets.confirmed_spans(fake) == []
 
@@ -139,7 +166,7 @@ def test_toxicity_held_out(spark):
     held = found.join(labels, "doc_id").toPandas()
     assert len(held) == labels.count() and held.score.between(0, 1).all()
     held = held[held.held_out]
-    assert held.predicted[held.toxic == 0].mean() < 0.03 and held.predicted[held.toxic == 1].mean() > 0.6
+    assert held.predicted[held.toxic == 0].mean() < 0.01 and held.predicted[held.toxic == 1].mean() > 0.85
 
 
 def test_toxicity_edges(spark, docs, rows, empty):
@@ -151,6 +178,15 @@ def test_toxicity_edges(spark, docs, rows, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_labels_of_one_category_only(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.withColumn("quality", F.when(F.col("doc_id") % 2 == 0, F.col("quality")))
+    held = toxicity.toxicity(docs, some).where("held_out").join(labels, "doc_id").toPandas()
+    assert held.predicted[held.toxic == 0].mean() < 0.02 and held.predicted[held.toxic == 1].mean() > 0.85
+    only = toxicity.learning_rows(docs, some).collect()
+    assert any(np.isnan(r["y"][0]) and not np.isnan(r["y"][1]) for r in only)
+
+
 def test_chain_feeds_earlier_probabilities():
     flat = toxicity.Link(np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     later = toxicity.Link(np.array([0.0, 0.0, 1.0]), np.array([0.0, 1.0]), np.array([0.0, 1.0]))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -47,7 +48,7 @@ def test_encode_then_decode(docs, rows):
 def test_long_words(reference):
     own, rng = bpe.Bpe(bpe.read_ranks(RANKS), public.PATTERN), random.Random(3)
     texts = ["a" * 3000, "ab" * 2000, "日本語テキスト" * 50, "😀😃" * 60, *("".join(rng.choices("etaoinshé", k=200)) for _ in range(40))]
-    assert [x.tolist() for x in own.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [reference.encode_ordinary(t) for t in texts]
 
 
 def test_counts_and_cache(spark, docs, rows, tmp_path):
@@ -59,6 +60,17 @@ def test_counts_and_cache(spark, docs, rows, tmp_path):
         assert spark.read.parquet(path).count() == len({t or "" for _, t in rows})
 
 
+def test_second_run_encodes_nothing(docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    first = sorted(map(str, token_counts.token_counts(docs, JSON, path).collect()))
+
+    def none(*_):
+        raise AssertionError("something was encoded")
+
+    monkeypatch.setattr(token_counts, "_counter", none)
+    assert sorted(map(str, token_counts.token_counts(docs, JSON, path).collect())) == first
+
+
 def test_counts_of_special_strings_and_other_kinds(spark, empty):
     texts = [(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|>b c")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
@@ -117,12 +129,14 @@ def test_shards_with_many_symbols():
 
 
 def test_library_chunks_of_any_kind():
-    from array import array
-
     from voxelstream.llm.tokenizing import LibraryTokenizer
 
     library, rng = Tokenizer.from_file(JSON), random.Random(4)
     texts = ["".join(rng.choices("abé'_.,!?$9 \n\tA-中٣", k=rng.randint(1, 60))) for _ in range(1500)]
     texts += ["x don't. 'tis we're!! a'b c_d. _x <|endoftext|>. a<|endoftext|> b", "", " ", "a  b ", "　x 　 y"]
-    found = LibraryTokenizer(open(JSON, "rb").read()).encoder()(texts)
-    assert found == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    texts += ["\x85 a\x85 b", "a\x1c b\x1f c", "a\u2003 b", "a\ufeff b", "a\u200b b", "", "a"]
+    own, want = LibraryTokenizer(open(JSON, "rb").read()), [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in (pa.array(texts), pa.array(["x", *texts, "y"])[1:-1]):
+        flat, sizes = own.encode(some)
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]

@@ -14,6 +14,7 @@ null doc_id stays null; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from array import array
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, slices, text_or_empty
-from .tokenizing import Bounded, ChunkCache
+from .tokenizing import CACHE_BYTES, Bounded, PieceEncoder, by_bytes, packed
 
 LONG = 48  # bytes from which a word is folded with a heap
 NONE = 1 << 62
@@ -49,8 +50,9 @@ class Bpe:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
-        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes())
-        self._cache = ChunkCache(lambda chunk: self._encode_whole([f" {chunk}"])[0], self._encode_whole, b"".join)
+        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes(), CACHE_BYTES // 2)
+        self._chunks = Bounded(lambda chunk: self._whole(f" {chunk}"), CACHE_BYTES // 2)
+        self._encoder = PieceEncoder(lambda chunks: packed([self._chunks[c] for c in chunks]), lambda texts: packed([self._whole(t) for t in texts]))
 
     def fold(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -93,25 +95,32 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], end))
         return [self.ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
-    def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self._words.__getitem__, self._pattern.findall(text))) for text in texts]
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self._words.__getitem__, self._pattern.findall(text)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of whole texts."""
-        return [np.frombuffer(raw, "<u4") for raw in self._cache.encode(texts)]
+        flat, sizes = self._encoder.encode(texts)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+@functools.lru_cache(maxsize=1)
+def kept_bpe(content: bytes, pattern: str) -> Bpe:
+    """The merges of a rank file; a Python worker keeps them, with the words it has folded, for its next tasks."""
+    return Bpe(parse_ranks(content), pattern)
+
+
 def _each(docs: DataFrame, rank_file: str, pattern: str, columns: str, rows) -> DataFrame:
     """doc_id and what ``rows(bpe, texts)`` gives as Arrow arrays for each slice of texts."""
     content = docs.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(parse_ranks(content.value), pattern)
-        for batch in slices(batches, 128):
-            arrays = rows(bpe, batch.column("text").to_pylist())
+        bpe = kept_bpe(content.value, pattern)
+        for batch in by_bytes(batches):
+            arrays = rows(bpe, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *(c.split()[0] for c in columns.split(", "))])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -128,7 +137,7 @@ def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
     content = encoded.sparkSession.sparkContext.broadcast(file_bytes(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(parse_ranks(content.value), "")
+        bpe = kept_bpe(content.value, "")
         for batch in slices(batches, 128):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.decode(i) for i in batch.column("ids").to_pylist()], pa.binary())], names=["doc_id", "data"])
 
@@ -138,7 +147,7 @@ def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
 
-    def rows(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
+    def rows(bpe: Bpe, texts: pa.Array) -> list[pa.Array]:
         n, encoded, decoded = [], [], []
         for found in bpe.encode(texts):
             ids = found.tolist()

@@ -52,9 +52,10 @@ def own(docs: DataFrame) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id and hash of the text are in ``gone``; a null doc_id is never."""
-    keyed = docs.select(own(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8()).alias("hash"))
-    return keyed.join(gone.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti").select("own.*")
+    """``docs`` but for the rows whose doc_id (which may be null) and hash of the text are in ``gone``."""
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    keyed = docs.select(own(docs), *keys, F.xxhash64(utf8()).alias("hash"))
+    return keyed.join(gone.select(*keys, "hash"), ["id", "no_id", "hash"], "left_anti").select("own.*")
 
 
 def text_or_empty(column: str = "text") -> Column:

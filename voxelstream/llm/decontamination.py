@@ -1,29 +1,38 @@
 """Benchmark decontamination by a prefix-filtered set join with exact verification.
 
-Words are ordered by how many documents hold them. For exact containment (threshold 1) the necessary prefix of a
-window is its single rarest word, so only documents that hold that word are candidates; the word's place in the
-window bounds where the window may lie (position) and how long it may be (length); the words there are then
-compared one by one. The benchmark is joined in blocks of at most BLOCK_WORDS words, each broadcast.
+Words are ordered by how many documents hold them, and the rarest word of a window is its necessary prefix: for exact
+containment (threshold 1) one word is enough, so a document meets a window by joining on it. The word's place in the
+window bounds where the window may lie in the document (position) and whether it fits there (length); what lies there
+is then compared word by word.
+
+Benchmark and documents are both tables that Spark joins. Two filters of a fixed size, made from all benchmark words
+and from all prefix words, keep other document words out of the shuffle; a large benchmark fills them and lets more
+words pass, but no match is lost.
 
 Defined results: null or word-less texts have no words, windows or hits; items of fewer than ten words are one
 window; equal items are all counted; items with a null id are ignored; repeated rows each get their row; a null
-doc_id stays null; empty tables give empty results or no hits; further columns are ignored by the report.
+doc_id stays null; empty tables give empty results or no hits; further columns, whatever their names, are carried by
+the stage and ignored by the report.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import materialize, slices, utf8, without
+from .tokenizing import Bounded
 
 WINDOW = 10
-BLOCK_WORDS = 500_000  # words of benchmark text in a block, and so in a broadcast
+SLOTS = 1 << 24  # bits of a word filter
+SEED = 42  # of Spark's xxhash64
 
 #: Bytes of words keep their place, A-Z in lower case; every other ASCII byte separates.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -39,135 +48,134 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size, dealt by a hash of their id."""
+class WordFilter:
+    """Whether a word may be one of the words the filter was made from: a bit for each slot of their hashes."""
+
+    def __init__(self, bits: np.ndarray):
+        self._bits = bits
+
+    @classmethod
+    def of(cls, words: DataFrame) -> WordFilter:
+        """Of a column ``word``; at most SLOTS / 64 rows reach the driver."""
+        slot = F.col("slot")
+        slots = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct()
+        lines = slots.groupBy(F.shiftright(slot, 6).cast("int").alias("line")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        bits = np.zeros(SLOTS // 64, np.uint64)
+        for line, some in lines.collect():
+            bits[line] = some % 2**64
+        return cls(bits)
+
+    def lookup(self) -> Bounded:
+        """word -> whether it passes."""
+        bits, digest, last = self._bits.view(np.uint8), xxhash.xxh64_intdigest, 64 * len(self._bits) - 1
+
+        def passes(word: bytes) -> bool:
+            slot = digest(word, SEED) & last
+            return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+        return Bounded(passes)
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """(gram, size, item): each distinct window of each item, its words joined by spaces."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [(b" ".join(w).decode(), len(w), item) for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in dict.fromkeys(windows_of(words_of(text)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["gram", "size", "item"])
+
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), utf8().alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / (4 * BLOCK_WORDS)))
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).distinct().collect()]
+    return materialize(items.mapInArrow(cut, "gram string, size int, item string").distinct(), "benchmark-windows")
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """In how many documents each word of the block occurs; as many rows as the block has words."""
-    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def document_frequencies(docs: DataFrame, words: WordFilter) -> DataFrame:
+    """(word, n): in how many documents each word that passes occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, vocabulary = Counter(), wanted.value
+        seen, passes = Counter(), shared.value.lookup().__getitem__
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    found = docs.select(utf8().alias("text")).mapInArrow(count, "word binary, n long")
-    return {bytes(r[0]): r[1] for r in found.groupBy("word").agg(F.sum("n")).collect()}
-
-
-class PrefixIndex:
-    """Windows by their rarest word: word -> [(offset, window, items)]."""
-
-    def __init__(self, items: list[tuple[str, bytes]], frequency: dict[bytes, int], size: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            for window in windows_of(words_of(text), size):
-                owners[window].add(item)
-        self.by_word: dict[bytes, list] = defaultdict(list)
-        for window, own in owners.items():
-            at = min(range(len(window)), key=lambda i: (frequency.get(window[i], 0), window[i], i))
-            if frequency.get(window[at], 0):
-                self.by_word[window[at]].append((at, list(window), sorted(own)))
-        self.words = frozenset(self.by_word)
-
-    def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """Merged [from, to) runs of hit words, and the items with a window in the document."""
-        if self.words.isdisjoint(words):
-            return [], set()
-        spans, items, rare = set(), set(), self.words
-        for i, word in enumerate(words):
-            if word in rare:
-                for at, window, own in self.by_word[word]:
-                    start = i - at
-                    if start >= 0 and words[start : start + len(window)] == window:
-                        spans.add((start, start + len(window)))
-                        items.update(own)
-        runs: list[list[int]] = []
-        for a, b in sorted(spans):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(b, runs[-1][1])
-            else:
-                runs.append([a, b])
-        return runs, items
-
-
-FOUND = "n_words long, runs array<struct<a:int,b:int>>, items array<string>"
-
-
-def _match(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str]) -> DataFrame:
-    """docs with n_words, the hit runs and the items of one block; ``__text`` holds the bytes."""
-    vocabulary = frozenset(w for _, text in items for w in words_of(text))
-    frequency = _document_frequencies(docs, vocabulary)
-    index = docs.sparkSession.sparkContext.broadcast(PrefixIndex(items, frequency))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__text"))
-    kept = rows.drop("__text").schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), FOUND.replace("n_words", "__n_words").replace("runs", "__runs").replace("items", "__items")])
-    runs_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = index.value
+                found = set(words_of(text))
+                seen.update(compress(found, map(passes, found)))
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    found = docs.select(utf8().alias("text")).mapInArrow(count, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(word, at, gram, size): the rarest word of each distinct window whose words all occur in documents."""
+    grams = windows.select("gram", "size").distinct()
+    words = materialize(grams.select("gram", "size", F.posexplode(F.split("gram", " ")).alias("at", "word")), "window-words")
+    frequency = document_frequencies(docs, WordFilter.of(words))
+    counted = words.join(frequency, "word").groupBy("gram", "size").agg(F.count("*").alias("there"), F.min(F.struct("n", "word", "at")).alias("rarest"))
+    return materialize(counted.where("there = size").select("rarest.word", "rarest.at", "gram", "size"), "prefixes")
+
+
+SPOTS = "doc_id long, hash long, n_words long, spots array<struct<word:string,pos:int,before:int,context:string>>"
+
+
+def spots(docs: DataFrame, words: WordFilter) -> DataFrame:
+    """A row for each document, written once, with the places of prefix words and the words around them."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    spot = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.int32()), ("before", pa.int32()), ("context", pa.string())]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = shared.value.lookup().__getitem__
         for batch in slices(batches):
-            n, runs, items = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            n, found = [], []
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                r, i = found.hits(words)
                 n.append(len(words))
-                runs.append([{"a": a, "b": b} for a, b in r])
-                items.append(sorted(i))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(runs, runs_type), pa.array(items, pa.list_(pa.string()))],
-                names=[*batch.schema.names[:-1], "__n_words", "__runs", "__items"],
-            )
-
-    return rows.mapInArrow(match, out)
-
-
-def hit_runs(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every document with __n_words, __runs (hit words) and __items, over all blocks."""
-    blocks = list(_blocks(benchmark)) if not benchmark.isEmpty() else [[]]
-    parts = [_match(docs, block, keep) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    copies = F.count("*") / len(parts)  # rows that are equal in all kept columns stay as many as they were
-    return (
-        every.groupBy(*[F.col(f"`{c}`") for c in keep], "__n_words")
-        .agg(F.array_sort(F.flatten(F.collect_list("__runs"))).alias("__runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), copies.cast("int").alias("__copies"))
-        .withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .drop("__copies")
-    )
+                places = np.flatnonzero(np.fromiter(map(passes, words), bool, len(words))).tolist()
+                found.append([{"word": words[i].decode(), "pos": i, "before": min(i, WINDOW - 1), "context": b" ".join(words[max(0, i - WINDOW + 1) : i + WINDOW]).decode()} for i in places])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(found, spot)], names=["doc_id", "hash", "n_words", "spots"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8()).alias("hash"), utf8().alias("text"))
+    return materialize(rows.mapInArrow(find, SPOTS), "spots")
+
+
+def hits(rows: DataFrame, rarest: DataFrame) -> DataFrame:
+    """(doc_id, hash, start, size, gram): where windows lie in documents. Common words are left to AQE's skew join."""
+    met = rows.select("doc_id", "hash", F.inline("spots")).join(rarest, "word")
+    met = met.where("at <= before").withColumn("around", F.split("context", " ")).where(F.size("around") - (F.col("before") - F.col("at")) >= F.col("size"))
+    there = F.array_join(F.slice("around", F.col("before") - F.col("at") + 1, F.col("size")), " ") == F.col("gram")
+    return met.where(there).select("doc_id", "hash", (F.col("pos") - F.col("at")).alias("start"), "size", "gram").distinct()
 
 
 #: Words inside sorted runs that may overlap.
-_N_HIT = "aggregate(__runs, struct(0L as n, 0 as upto), (s, r) -> struct(s.n + greatest(0, r.b - greatest(s.upto, r.a)) as n, greatest(s.upto, r.b) as upto), s -> s.n)"
+_N_HIT = "aggregate(runs, struct(0L as n, 0 as upto), (s, r) -> struct(s.n + greatest(0, r.b - greatest(s.upto, r.a)) as n, greatest(s.upto, r.b) as upto), s -> s.n)"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    windows = benchmark_windows(benchmark)
+    rarest = prefixes(windows, docs)
+    rows = spots(docs, WordFilter.of(rarest.select("word")))
+    return windows, rows, materialize(hits(rows, rarest), "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for each document."""
-    keyed = docs.select("doc_id", F.xxhash64(utf8()).alias("__hash"), "text")
-    found = hit_runs(keyed, benchmark, ["doc_id", "__hash"])
-    return found.select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.expr(_N_HIT).alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__runs") > 0).alias("contaminated"),
-        F.col("__items").alias("item_ids"),
+    windows, rows, found = _found(docs, benchmark)
+    keys = ["doc_id", "hash"]
+    runs = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))).alias("runs"))
+    items = found.select(*keys, "gram").distinct().join(windows, "gram").groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = runs.alias("r").join(items.alias("i"), F.expr("r.doc_id <=> i.doc_id and r.hash = i.hash")).select("r.doc_id", "r.hash", "runs", "items")
+    every = rows.select("doc_id", "hash", "n_words").alias("d").join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.hash = h.hash"), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return every.select(
+        "d.doc_id",
+        "n_words",
+        F.coalesce(F.expr(_N_HIT), F.lit(0).cast("long")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("runs").isNotNull().alias("contaminated"),
+        items.alias("item_ids"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their own columns; nothing is shuffled for one block."""
-    clean = hit_runs(docs, benchmark, docs.columns).where("size(__runs) = 0")
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without any benchmark window, with their own columns."""
+    _, _, found = _found(docs, benchmark)
+    return without(docs, materialize(found.select("doc_id", "hash").distinct(), "contaminated"))

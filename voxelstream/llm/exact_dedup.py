@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, own, text_or_empty
 
 HEAVY = 200  # most digests handled as heavy hitters; also the bound of the broadcast
 TRACKED = 8192  # counters of the frequent-items sketch: its error is below rows * 3.5 / TRACKED
-NO_ID = -(2**63)  # stands for a null doc_id in join keys
 
 
 def _digest():
@@ -43,16 +42,19 @@ def _rank():
     )
 
 
+def frequent(found: DataFrame) -> DataFrame:
+    """At most HEAVY digests, all that a large share of the rows has among them."""
+    top = found.select(F.expr(f"explode(approx_top_k(hex(digest), {HEAVY}, {TRACKED}))").alias("top"))
+    return top.select(F.unhex("top.item").alias("digest"))
+
+
 def heavy_winners(found: DataFrame) -> DataFrame:
     """At most HEAVY rows (digest, best, size): exact winners and sizes of the frequent digests."""
-    top = found.select(F.expr(f"explode(approx_top_k(hex(digest), {HEAVY}, {TRACKED}))").alias("top"))
-    top = top.select(F.unhex("top.item").alias("digest"))
-    return found.join(F.broadcast(top), "digest").groupBy("digest").agg(F.min(_rank()).alias("best"), F.count("*").alias("size"))
+    return found.join(F.broadcast(frequent(found)), "digest").groupBy("digest").agg(F.min(_rank()).alias("best"), F.count("*").alias("size"))
 
 
-def decisions(found: DataFrame) -> DataFrame:
+def decisions(found: DataFrame, winners: DataFrame) -> DataFrame:
     """(doc_id, n_cp, digest, row, keep_id, group_size, kept) for every row of ``digests``."""
-    winners = materialize(heavy_winners(found), "winners")
     marked = found.join(F.broadcast(winners), "digest", "left")
     hot = marked.where("size is not null")
     group = Window.partitionBy("digest")
@@ -68,7 +70,8 @@ def decisions(found: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    return decisions(digests(docs)).select(
+    found = digests(docs)
+    return decisions(found, materialize(heavy_winners(found), "winners")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
@@ -76,19 +79,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns.
 
-    Copies of the heavy digests are removed by the broadcast winners before anything is shuffled; the others
-    meet their decisions by (doc_id, digest), which no group of copies shares.
+    Copies of the heavy digests are removed by the broadcast winners before anything is shuffled. The others meet
+    their decisions by doc_id, digest and length, which no group of copies shares; of rows that repeat all three one
+    is taken, already where they are read.
     """
     found = digests(docs)
     winners = materialize(heavy_winners(found), "winners")
-    kept = decisions(found).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"))
-    hot = winners.select(F.col("digest").alias("__digest"), F.coalesce("best.id", F.lit(NO_ID)).alias("__best"))
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NO_ID)), "__digest": _digest()})
-    left = keyed.join(F.broadcast(hot), "__digest", "left").where("__best is null or __best = __id").drop("__best")
-    one = Window.partitionBy("__id", "__digest").orderBy("__id")
-    return (
-        left.join(kept.hint("merge"), ["__id", "__digest"], "left_semi")
-        .withColumn("__n", F.row_number().over(one))
-        .where("__n = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    keys = ["id", "no_id", "n_cp", "digest"]
+    named = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    kept = decisions(found, winners).where("kept").select(*named, "n_cp", "digest")
+    hot = winners.select("digest", F.coalesce("best.id", F.lit(0)).alias("best_id"), F.col("best.no_id").alias("best_no_id"), (-F.col("best.longest")).alias("best_n"))
+    keyed = docs.select(own(docs), *named, F.char_length(text_or_empty()).alias("n_cp"), _digest().alias("digest"))
+    left = keyed.join(F.broadcast(hot), "digest", "left").where("best_n is null or (best_id = id and best_no_id = no_id and best_n = n_cp)")
+    one = left.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("best_n"))).where("place = 1")
+    return one.join(kept.hint("merge"), keys, "left_semi").select("own.*")

@@ -27,8 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import materialize, slices, utf8
+from .common import materialize, own, slices, utf8
 
 FEATURES = 192  # cosines
 WIDTH = 1.5  # of the Gaussian kernel, in standard deviations times the root of the number of statistics
@@ -70,14 +71,14 @@ N_STATISTICS = len(statistics(b""))
 def _statistics_column(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``__stats`` for each document."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__text"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
+    out = rows.drop("__text").schema.add("__stats", ArrayType(DoubleType()))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             stats = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "__stats"])
 
-    return rows.mapInArrow(compute, f"{out}, __stats array<double>" if out else "__stats array<double>")
+    return rows.mapInArrow(compute, out)
 
 
 @dataclass
@@ -205,14 +206,14 @@ def apply_model(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns of every document and ``__score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = _statistics_column(docs, keep)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__stats").schema)
+    out = rows.drop("__stats").schema.add("__score", DoubleType())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             scores = shared.value.score(np.array(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "__score"])
 
-    return rows.mapInArrow(score, f"{out}, __score double")
+    return rows.mapInArrow(score, out)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,5 +225,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted good, with their own columns."""
-    scored = apply_model(docs, fit(docs, labels), docs.columns).where("__score >= 0.5")
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return apply_model(docs.select(own(docs), "text"), fit(docs, labels), ["own"]).where("__score >= 0.5").select("own.*")

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .tokenizing import gathered
+
 MAGIC = b"VXRP0002"
 PAIRS = 2048  # rules of a round, at most
 LEAST = 6  # times a pair must occur to get a rule
@@ -154,4 +156,7 @@ class Shard:
         return self.read(int(self.sizes[:k].sum()), int(self.sizes[k]))
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        """All ids: every rule is expanded once, and the symbols gather what they stand for."""
+        used, place = np.unique(self.symbols, return_inverse=True)
+        sizes = np.where(used < self.base, 1, self.lengths[np.maximum(used - self.base, 0)] if len(self.lengths) else 1)
+        return gathered(expand(used, self.rules, self.base), sizes, place)

@@ -38,7 +38,8 @@ KINDS = ("assign", "access", "hex", "der", "ssh", "openssh", "jwt")
 SSH_ALGORITHMS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{32,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
+#: A header begins with a brace, then a quote ("eyJ") or, at the start of a run, white space.
+JWT = re.compile(r"(?:eyJ|(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{2})[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
 #: Where base64 of a SEQUENCE (0x30), of a four-byte length below 256, or of "openssh-key-v1" can begin; the "n" of an escaped newline is none of it.
 BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3BlbnNza)")
 #: Lines of base64 may be indented, and their ends escaped.
@@ -191,7 +192,7 @@ def _base64_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode to a key or signed token."""
     found = []
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m.group())]
     if any(x in text for x in BASE64_LEADS):
         found += _base64_spans(text)

@@ -6,8 +6,11 @@ windows meet when segments are dealt by minimizer. Minimizers met once hold no r
 with equal bytes only the first goes on; the others lie wholly in repeats. Segments that differ but share a
 minimizer are read from their documents, dealt into shards of whole minimizers, and sorted by a suffix array with
 its permuted common prefixes (see ``suffix_array``); runs of suffixes that share SIZE bytes are repeats of their
-earliest window. A minimizer with more than HOT different segments is not put in one shard: its windows are dealt
-one by one by a digest of their bytes, and the first of each is found by an aggregation.
+earliest window. A minimizer with more than HOT different segments is split: its windows are dealt one by one, by
+all their SIZE bytes instead of the K of the minimizer, and go through the same suffix arrays.
+
+Segments count as equal if the 64-bit hashes of their minimizers and of their bytes are both equal; everything else
+is compared byte by byte.
 
 Defined results: null counts as empty; texts below SIZE bytes keep everything; a null doc_id comes last; rows
 that repeat a doc_id are ordered by a hash of their text, and rows that also repeat the text are one document
@@ -35,7 +38,7 @@ K = 24  # bytes of the strings that minimizers are chosen from
 PIECE = 1 << 22  # windows of a long document taken at a time; below 2**24
 HOT = 20_000  # different segments of one minimizer that still go to one shard
 SHARD_BYTES = 2 << 20  # bytes of a suffix array, about
-LAST = 2**63 - 1  # stands for a null doc_id
+LAST = 2**63 - 1  # the place of a null doc_id
 
 _ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -139,24 +142,29 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], names=["m", "doc", "tie", "start", "bytes"])
 
 
-WINDOW = "w1 long, w2 long, doc long, tie long, start long"
+WINDOW = f"{CUT}, copy boolean"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, packed text, wanted segments) -> a 128-bit digest of each of their windows."""
+    """(doc, tie, packed text, wanted segments) -> each of their windows, with a hash of all its bytes for ``m``.
+
+    Of equal windows met together all but the first are copies already, and carry no bytes.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in slices(batches, 16):
-        columns: list[list] = [[] for _ in range(5)]
+    for batch in slices(batches, 256):
+        places: dict[bytes, list[tuple[int, int, int]]] = {}
         for doc, tie, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack(packed)
             for w in wanted:
                 at, n = divmod(w["at"], 128)
                 for i in range(at, at + n):
-                    digest = xxhash.xxh3_128_digest(text[i : i + SIZE])
-                    halves = (int.from_bytes(digest[k : k + 8], "big", signed=True) for k in (0, 8))
-                    for column, value in zip(columns, (*halves, doc, tie, i), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["w1", "w2", "doc", "tie", "start"])
+                    places.setdefault(text[i : i + SIZE], []).append((doc, tie, i))
+        rows = []
+        for data, found in places.items():
+            first, m = min(found), int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
+            rows += [(m, *place, b"" if place != first else data, place != first) for place in found]
+        kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["m", "doc", "tie", "start", "bytes", "copy"])
 
 
 SPAN = "doc long, tie long, start long, stop long"
@@ -198,21 +206,26 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc, tie, text), and whether some doc_id repeats: ``tie`` is 0 unless it does, and then a hash of the text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), utf8().alias("text"))
+    """(doc, tie, text, doc_id), and whether some ``doc`` repeats: ``tie`` is 0 unless it does, and then a hash of the text.
+
+    A null doc_id has the place of the greatest number, and another tie than rows that really have that.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc"), utf8().alias("text"), doc_id.alias("doc_id"))
     repeats = not rows.groupBy("doc").count().where("count > 1").isEmpty()
-    return rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0)).cast("long").alias("tie"), "text"), repeats
+    tie = F.xxhash64("text", F.col("doc_id").isNull()) if repeats else F.lit(0).cast("long")
+    return rows.select("doc", tie.alias("tie"), "text", "doc_id"), repeats
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(3).compress
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc", "tie", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in batch.column(2).to_pylist()], pa.binary()), batch.column(3)], names=["doc", "tie", "packed", "doc_id"])
 
 
 def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc, tie, start, stop) spans of bytes that also occur earlier; they may overlap."""
-    found = keyed.mapInArrow(_segment_rows, SEGMENT)
+    found = keyed.select("doc", "tie", "text").mapInArrow(_segment_rows, SEGMENT)
     same = Window.partitionBy("copy", "m").orderBy("h", "doc", "tie", "at")
     every = Window.partitionBy("copy", "m")
     marked = materialize(
@@ -230,14 +243,13 @@ def repeated_spans(keyed: DataFrame, packed: DataFrame) -> DataFrame:
         asked = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "m")).alias("wanted"))
         return packed.join(asked, ["doc", "tie"]).select("doc", "tie", "packed", "wanted").mapInArrow(rows, schema)
 
-    ordinary = cut(marked.where("fresh and not hot"), _cut_rows, CUT)
-    spans = spans.unionByName(ordinary.repartition("m").sortWithinPartitions("m").mapInArrow(_shard_rows, SPAN))
+    dealt = cut(marked.where("fresh and not hot"), _cut_rows, CUT)
     hot = marked.where("fresh and hot")
     if not hot.isEmpty():
-        single = cut(hot, _window_rows, WINDOW)
-        first = single.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
-        later = single.join(first.hint("merge"), ["w1", "w2"]).where("struct(doc, tie, start) <> first")
-        spans = spans.unionByName(later.select("doc", "tie", "start", (F.col("start") + SIZE).alias("stop")))
+        single = materialize(cut(hot, _window_rows, WINDOW), "hot-windows")
+        spans = spans.unionByName(single.where("copy").select("doc", "tie", "start", (F.col("start") + SIZE).alias("stop")))
+        dealt = dealt.unionByName(single.where("not copy").drop("copy"))
+    spans = spans.unionByName(dealt.repartition("m").sortWithinPartitions("m").mapInArrow(_shard_rows, SPAN))
     return spans
 
 
@@ -267,17 +279,17 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(text[at:a])
                 at = b
             kept.update(text[at:])
-            rows.append((None if doc == LAST else doc, len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+            rows.append((doc, len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
         kinds = [pa.int64()] * 4 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     keyed, repeats = _keyed(docs)
-    packed = keyed.mapInArrow(_packed_rows, "doc long, tie long, packed binary")
+    packed = materialize(keyed.mapInArrow(_packed_rows, "doc long, tie long, packed binary, doc_id long"), "packed-texts")
     once, once_packed = (x.dropDuplicates(["doc", "tie"]) if repeats else x for x in (keyed, packed))
     spans = repeated_spans(once, once_packed).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return packed.join(spans, ["doc", "tie"], "left").select("doc", "packed", "spans")
+    return packed.join(spans, ["doc", "tie"], "left").select("doc_id", "packed", "spans")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -297,7 +309,7 @@ def removed_text(docs: DataFrame) -> DataFrame:
                 for a, b in merged([(s["start"], s["stop"]) for s in spans or ()]):
                     out.append(text[at:a])
                     at = b
-                ids.append(None if doc == LAST else doc)
+                ids.append(doc)
                 texts.append(b"".join([*out, text[at:]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

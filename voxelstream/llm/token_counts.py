@@ -1,8 +1,10 @@
 """Token counts through a digest cache.
 
 Contents are keyed by the SHA-256 of their normalised text (null becomes empty; byte-level tokenizers keep every
-other byte, so nothing more may be folded) and by the SHA-256 of the tokenizer file. Only distinct contents that
-the cache lacks are encoded, and their counts are appended to it; every document then reads its count by digest.
+other byte, so nothing more may be folded) and by the SHA-256 of the tokenizer file, which also names the cache's
+folders. Only distinct contents that the cache lacks are encoded, and their counts are appended to it; every document
+then reads its count by digest. Counts of digests that a large share of the rows has are broadcast (at most HEAVY of
+``exact_dedup``), so that no hot digest is shuffled.
 
 Defined results: null and empty texts have zero tokens; repeated rows each get their row; a null doc_id stays
 null; an empty table gives an empty result; further columns are ignored.
@@ -17,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_bytes, shared_path, slices, text_or_empty
-from .tokenizing import LibraryTokenizer
+from .common import file_bytes, materialize, shared_path, text_or_empty
+from .exact_dedup import frequent
+from .tokenizing import by_bytes, library_tokenizer
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 LIMIT = 512
@@ -31,18 +34,19 @@ def tokenizer_version(tokenizer_file: str) -> str:
 def open_cache(spark, path: str) -> DataFrame:
     """The stored counts at ``path``; a folder without any yet is made an empty cache."""
     empty = spark.createDataFrame([], CACHE_SCHEMA)
-    empty.write.mode("ignore").parquet(path)
+    empty.write.mode("ignore").partitionBy("version").parquet(path)
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def _counter(kind: str, content: bytes):
-    """Counts for a list of texts, as the tokenizer's own library gives them."""
+    """Counts for an array of texts, as the tokenizer's own library gives them."""
     if kind == "model":
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=content)
-        return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)] if texts else []
-    return LibraryTokenizer(content).counter()
+        return lambda texts: [len(ids) for ids in model.encode(texts.to_pylist(), num_threads=1)]
+    encode = library_tokenizer(content).encode
+    return lambda texts: encode(texts)[1]
 
 
 def encode_misses(misses: DataFrame, tokenizer_file: str, version: str) -> DataFrame:
@@ -51,9 +55,10 @@ def encode_misses(misses: DataFrame, tokenizer_file: str, version: str) -> DataF
     kind = tokenizer_file.rpartition(".")[2]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(kind, content.value)
-        for batch in slices(batches):
-            n = counter(batch.column("text").to_pylist())
+        counter = None
+        for batch in by_bytes(batches):
+            counter = counter or _counter(kind, content.value)
+            n = counter(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
 
     return misses.select("digest", "text").mapInArrow(count, CACHE_SCHEMA)
@@ -65,13 +70,14 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
     cache_path = cache_path or shared_path(spark, "token-counts")
     stored = open_cache(spark, cache_path).where(F.col("version") == version)
     text = text_or_empty()
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    misses = keyed.join(stored.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    encode_misses(misses, tokenizer_file, version).write.mode("append").parquet(cache_path)
+    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+    misses = docs.select(text.alias("text"), digest).join(stored.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    encode_misses(misses, tokenizer_file, version).write.mode("append").partitionBy("version").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (
-        keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(counts.hint("merge"), "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    rows = materialize(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "digests")
+    hot = materialize(counts.join(F.broadcast(frequent(rows)), "digest"), "hot-counts")
+    found = rows.join(F.broadcast(hot), "digest", "left")
+    rest = found.where("n_tokens is null").drop("n_tokens").join(counts.hint("merge"), "digest")
+    every = found.where("n_tokens is not null").unionByName(rest)
+    return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import file_bytes, shared_path, slices, text_or_empty
 from .repair import Shard, pack
-from .tokenizing import LibraryTokenizer
+from .tokenizing import by_bytes, library_tokenizer
 
 SHARD_IDS = 1 << 19  # ids after which a shard is closed; a document is never cut
 END = 0
@@ -34,8 +34,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, shard_ids: int
     content = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_file))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = LibraryTokenizer(content.value)
-        encoder, base = tokenizer.encoder(), tokenizer.size
+        tokenizer = library_tokenizer(content.value)
+        base, end = tokenizer.size, np.array([END], np.uint32)
         part, shard, before, doc_ids, held = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -43,13 +43,13 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, shard_ids: int
             columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([pack(doc_ids, held, base)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "before", "n_ids", "payload"])
 
-        size, end = 0, np.array([END], "<u4").tobytes()
-        for batch in slices(batches):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
+        size = 0
+        for batch in by_bytes(batches):
+            flat, sizes = tokenizer.encode(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 doc_ids.append(doc_id)
-                held.append(ids)
-                size += len(ids)
+                held.append(np.append(ids, end))
+                size += len(ids) + 1
                 if size >= shard_ids:
                     yield close()
                     shard, before, size = shard + 1, before + size, 0

@@ -1,23 +1,29 @@
-"""Tokenizing whole texts with a bounded cache of space-led chunks.
+"""Tokenizing whole texts by the distinct pieces of a batch.
 
-In the byte-level pattern a space after a non-space character always begins a new match, and no look-ahead
-crosses it. So a text's ids are those of its pieces cut before each such space, in order, and a piece met
-before need not be encoded again. Texts with other white space before a space are encoded whole.
+In the byte-level pattern a space after a non-space character always begins a new match, and no look-ahead crosses
+it. So a text's ids are those of its pieces cut before each such space, in order. Arrow cuts the texts of a batch and
+numbers their distinct pieces; only those are encoded, and NumPy puts the ids of the texts together. Texts with other
+white space before a space are encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-CACHE_BYTES = 160 << 20  # bytes a Python worker keeps in each of its caches, about; a full cache starts anew
-LONGEST = 64  # characters of a chunk that is kept
-ENTRY = 150  # bytes of a dictionary entry besides its characters and its value
+CACHE_BYTES = 128 << 20  # bytes that a ``Bounded`` keeps, about
+LONGEST = 64  # characters of a key that is kept
+ENTRY = 200  # bytes of a dictionary entry with its key and value, besides characters
+BATCH_BYTES = 4 << 20  # bytes of text whose distinct pieces are found together
 
 #: Characters that are neither white space, letters nor digits, and begin no contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -26,15 +32,17 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+Ids = tuple[np.ndarray, np.ndarray]  # ids of several texts one after the other, and how many each has
+
 
 class Bounded(dict):
-    """Values of texts, made by ``make`` when first asked for and kept within about CACHE_BYTES."""
+    """Values of texts, made by ``make`` when first asked for and kept within a number of bytes; when full it starts anew."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = CACHE_BYTES):
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
         super().__init__()
         self._make, self._limit, self._held = make, limit, 0
 
-    def __missing__(self, text: str):
+    def __missing__(self, text):
         value = self._make(text)
         if len(text) <= LONGEST:
             self._held += ENTRY + len(text)
@@ -45,43 +53,75 @@ class Bounded(dict):
         return value
 
 
-class _Uncut(Exception):
-    """A chunk that does not stand alone."""
-
-
-class ChunkCache:
-    """Values of texts from those of their chunks.
-
-    ``of_chunk(chunk)`` gives the value of " " + chunk, ``of_texts(texts)`` those of whole texts, and
-    ``combine(values)`` joins the values of consecutive pieces.
-    """
-
-    def __init__(self, of_chunk: Callable[[str], object], of_texts: Callable[[list[str]], list], combine: Callable, limit: int = CACHE_BYTES):
-        def chunk(text: str):
-            if not text or text[-1].isspace():
-                raise _Uncut
-            return of_chunk(text)
-
-        self._of_texts, self._combine = of_texts, combine
-        self._chunks, self._heads = Bounded(chunk, limit), Bounded(lambda text: of_texts([text])[0], limit // 8)
-
-    def encode(self, texts: list[str]) -> list:
-        """The value of each text."""
-        out, of_chunk = [], self._chunks.__getitem__
-        for text in texts:
-            head, *rest = text.split(" ")
-            if head and not head[-1].isspace():
-                try:
-                    out.append(self._combine([self._heads[head], *map(of_chunk, rest)]))
-                    continue
-                except _Uncut:
-                    pass
-            out += self._of_texts([text])
-        return out
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each has about BATCH_BYTES of text, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(at, end - at)
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` with these numbers, one after the other; ``sizes`` are the lengths of all its runs."""
+    starts, lengths = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+class PieceEncoder:
+    """Ids of texts from ``of_chunks`` (those of " " + chunk for each) and ``of_texts`` (those of whole texts)."""
+
+    def __init__(self, of_chunks: Callable[[list[str]], Ids], of_texts: Callable[[list[str]], Ids]):
+        self._of_chunks, self._of_texts = of_chunks, of_texts
+
+    def encode(self, texts: pa.Array) -> Ids:
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        found = cut.flatten().dictionary_encode()
+        pieces, number = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+        # Arrow's white space is that of the pattern, and control characters besides.
+        length = pc.binary_length(found.dictionary).to_numpy()
+        alone = (length > 0) & (pc.binary_length(pc.utf8_rtrim_whitespace(found.dictionary)).to_numpy() == length)
+        # A text is encoded whole if a piece of it does not stand alone.
+        whole = np.add.reduceat((~alone[number]).astype(np.int64), offsets[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        heads = np.zeros(len(number), bool)
+        heads[offsets[:-1]] = True
+        of_whole = np.repeat(whole, np.diff(offsets))
+        parts, sizes = [], []
+
+        def known(encode: Callable[[list[str]], Ids], some: np.ndarray) -> np.ndarray:
+            """Encode these pieces; the place of each piece among all that is encoded."""
+            flat, n = encode([pieces[k] for k in some.tolist()])
+            place = np.full(len(pieces), -1)
+            place[some] = sum(map(len, sizes)) + np.arange(len(some))
+            parts.append(flat)
+            sizes.append(n)
+            return place
+
+        as_chunk = known(self._of_chunks, np.unique(number[~heads & ~of_whole]))
+        as_head = known(self._of_texts, np.unique(number[heads & ~of_whole]))
+        flat, n = self._of_texts([texts[k].as_py() for k in np.flatnonzero(whole).tolist()])
+        run = np.where(heads, as_head[number], as_chunk[number])
+        # A whole text is one run, in the place of its head.
+        run[offsets[:-1][whole]] = sum(map(len, sizes)) + np.arange(int(whole.sum()))
+        keep = heads | ~of_whole
+        all_sizes = np.concatenate([*sizes, n])
+        out = gathered(np.concatenate([*parts, flat]), all_sizes, run[keep])
+        lengths = np.where(keep, all_sizes[run], 0)
+        return out, np.add.reduceat(lengths, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
+
+
+def packed(runs: list[bytes]) -> Ids:
+    """Runs of little-endian uint32 ids."""
+    return np.frombuffer(b"".join(runs), "<u4"), np.fromiter(map(len, runs), np.int64, len(runs)) // 4
 
 
 class LibraryTokenizer:
-    """A tokenizers file: packed uint32 ids of texts, exactly as the library gives them."""
+    """A tokenizers file: ids of texts, exactly as the library gives them."""
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,21 +133,25 @@ class LibraryTokenizer:
         self.size = self._tokenizer.get_vocab_size()
         settings = json.loads(content)
         pre = settings.get("pre_tokenizer") or {}
-        #: Only a plain byte-level tokenizer cuts at spaces as ChunkCache needs it.
+        #: Only a plain byte-level tokenizer cuts at spaces as PieceEncoder needs it.
         self.cuts_at_spaces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not settings.get("normalizer")
         special = "|".join(regex.escape(t["content"]) for t in settings.get("added_tokens", ()))
         self._special = regex.compile(special).search if special else lambda text: None
         self._cut, self._tokens = regex.compile(public_tokenizers.PATTERN).findall, self._tokenizer.model.tokenize
-        self._words = Bounded(self._ids_of_word)
+        self._words, self._chunks = Bounded(self._ids_of_word, CACHE_BYTES // 4), Bounded(self._ids_of_chunk)
+        self.encode = PieceEncoder(self.of_chunks, self.of_texts).encode if self.cuts_at_spaces else lambda texts: self.of_texts(texts.to_pylist())
+
+    def of_texts(self, texts: list[str]) -> Ids:
+        return packed([array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
 
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def of_chunks(self, chunks: list[str]) -> Ids:
+        return packed([self._chunks[c] for c in chunks])
 
     def _ids_of_word(self, word: str) -> bytes:
         """Ids of one match of the pattern, from the library's model."""
         return array("I", [t.id for t in self._tokens(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
 
-    def of_chunk(self, chunk: str) -> bytes:
+    def _ids_of_chunk(self, chunk: str) -> bytes:
         """Ids of " " + chunk, word by word."""
         if chunk.isalpha():
             if chunk.isascii():  # ASCII letters stand for themselves
@@ -115,14 +159,13 @@ class LibraryTokenizer:
             return self._ids_of_word(f" {chunk}")
         core = chunk.rstrip(TAIL)
         if core.isalpha():  # a word, and a tail that the pattern takes as one
-            return self._words[f" {core}"] + self._words[chunk[len(core) :]]
+            return self._chunks[core] + self._words[chunk[len(core) :]]
         if self._special(chunk):
-            return self.of_texts([f" {chunk}"])[0]
+            return self.of_texts([f" {chunk}"])[0].tobytes()
         return b"".join(map(self._words.__getitem__, self._cut(f" {chunk}")))
 
-    def encoder(self) -> Callable[[list[str]], list[bytes]]:
-        return ChunkCache(self.of_chunk, self.of_texts, b"".join).encode if self.cuts_at_spaces else self.of_texts
 
-    def counter(self) -> Callable[[list[str]], list[int]]:
-        of_texts = lambda texts: [len(x) // 4 for x in self.of_texts(texts)]
-        return ChunkCache(lambda chunk: len(self.of_chunk(chunk)) // 4, of_texts, sum).encode if self.cuts_at_spaces else of_texts
+@functools.lru_cache(maxsize=1)
+def library_tokenizer(content: bytes) -> LibraryTokenizer:
+    """The tokenizer of a file; a Python worker keeps it, with what it has learnt, for its next tasks."""
+    return LibraryTokenizer(content)

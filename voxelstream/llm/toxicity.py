@@ -111,46 +111,49 @@ def apply_chain(links: list[Link], x: np.ndarray) -> np.ndarray:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, y, text): a bounded number of labelled rows, joined by a broadcast of that bound."""
+    """(fold, y, text): a bounded number of labelled rows, joined by a broadcast of that bound. A label that is null is NaN."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     marks = [F.avg(F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double"))).alias(f"y{k}") for k, (_, c, v) in enumerate(CHAIN)]
-    truth = labels.where("doc_id is not null").where(fold != 1).groupBy("doc_id").agg(*marks).dropna()
+    truth = labels.where("doc_id is not null").where(fold != 1).groupBy("doc_id").agg(*marks).dropna("all", subset=[f"y{k}" for k in range(len(CHAIN))])
     n = truth.count()
     some = truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // LEARN_ROWS)))) == 0)
-    some = some.select(F.col("doc_id").alias("__id"), F.array(*[(F.col(f"y{k}") >= 0.5).cast("double") for k in range(len(CHAIN))]).alias("y"))
+    some = some.select(F.col("doc_id").alias("__id"), F.array(*[F.coalesce((F.col(f"y{k}") >= 0.5).cast("double"), F.lit(float("nan"))) for k in range(len(CHAIN))]).alias("y"))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
     return materialize(rows.select(fold.cast("int").alias("fold"), "y", "text"), "toxicity-rows")
 
 
 def choose_features(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Tokens, and their log odds for each category, by how much their presence tells between the classes of a category (log odds times share)."""
+    ns, ts = ([f"{c}{k}" for k in range(len(CHAIN))] for c in ("marked", "known"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, marked = Counter(), [Counter() for _ in CHAIN]
+        total, known, marked = Counter(), [Counter() for _ in CHAIN], [Counter() for _ in CHAIN]
         for batch in slices(batches):
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = tokens(text).keys()
                 total.update(found)
                 for k, one in enumerate(y):
-                    if one:
-                        marked[k].update(found)
+                    if one == one:  # not NaN
+                        known[k].update(found)
+                        if one:
+                            marked[k].update(found)
         for part in range(0, len(total), 65_536):
             some = list(total)[part : part + 65_536]
-            columns = [pa.array(some, pa.string()), pa.array([total[t] for t in some], pa.int64()), *(pa.array([m[t] for t in some], pa.int64()) for m in marked)]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "n", *(f"n{k}" for k in range(len(CHAIN)))])
+            columns = [pa.array(some, pa.string()), pa.array([total[t] for t in some], pa.int64()), *(pa.array([m[t] for t in some], pa.int64()) for m in [*marked, *known])]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "n", *ns, *ts])
 
-    ns = [f"n{k}" for k in range(len(CHAIN))]
-    counts = rows.select("y", "text").mapInArrow(count, ", ".join(["token string", "n long", *(f"{c} long" for c in ns)]))
-    counts = materialize(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", *ns)]).where(F.col("n") >= LEAST_ROWS), "token-counts")
-    sizes = rows.agg(F.count("*"), *[F.sum(F.col("y")[k]) for k in range(len(CHAIN))]).first()
+    counts = rows.select("y", "text").mapInArrow(count, ", ".join(["token string", "n long", *(f"{c} long" for c in [*ns, *ts])]))
+    counts = materialize(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", *ns, *ts)]).where(F.col("n") >= LEAST_ROWS), "token-counts")
+    label = [F.nullif(F.col("y")[k], F.lit(float("nan"))) for k in range(len(CHAIN))]
+    sizes = rows.agg(*[F.sum(y) for y in label], *[F.sum(1 - y) for y in label]).first()
     chosen: dict[str, list[float]] = {}
-    odds = []
-    for k, c in enumerate(ns):
-        on, off = max(sizes[k + 1] or 0, 1), max((sizes[0] or 0) - (sizes[k + 1] or 0), 1)
-        odds.append(F.log(((F.col(c) + 0.5) / on) / ((F.col("n") - F.col(c) + 0.5) / off)))
-    for k, c in enumerate(ns):
-        on, off = max(sizes[k + 1] or 0, 1), max((sizes[0] or 0) - (sizes[k + 1] or 0), 1)
-        tells = F.abs(odds[k]) * F.greatest(F.col(c) / on, (F.col("n") - F.col(c)) / off)
+    odds, tell = [], []
+    for k, (marked, known) in enumerate(zip(ns, ts, strict=True)):
+        on, off = max(sizes[k] or 0, 1), max(sizes[len(CHAIN) + k] or 0, 1)
+        other = F.col(known) - F.col(marked)
+        odds.append(F.log(((F.col(marked) + 0.5) / on) / ((other + 0.5) / off)))
+        tell.append(F.abs(odds[k]) * F.greatest(F.col(marked) / on, other / off))
+    for tells in tell:
         best = counts.select("token", F.array(*odds).alias("odds"), F.round(tells, 9).alias("tells")).orderBy(F.desc("tells"), "token").limit(FEATURES)
         chosen |= {r["token"]: r["odds"] for r in best.collect()}
     return list(chosen), np.array(list(chosen.values()), np.float64).reshape(-1, len(CHAIN))
@@ -162,7 +165,7 @@ def _summed(rows: DataFrame, k: int, crossed: list[dict[int, Link]]) -> dict[int
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in slices(batches, 1024):
-            x, y, fold = _arrays(batch)
+            x, y, fold = _arrays(batch, k)
             x = np.hstack([x, _out_of_fold(x, fold, crossed)])
             z = np.hstack([x, y[:, k : k + 1]])
             for f in np.unique(fold):
@@ -183,8 +186,12 @@ def _summed(rows: DataFrame, k: int, crossed: list[dict[int, Link]]) -> dict[int
     return found
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(batch.column("x").to_pylist(), np.float64), np.array(batch.column("y").to_pylist()), batch.column("fold").to_numpy()
+def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and folds of the rows whose label of category ``k`` is known."""
+    y = np.array(batch.column("y").to_pylist()).reshape(-1, len(CHAIN))
+    x = batch.column("x").flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, 1))
+    known = ~np.isnan(y[:, k])
+    return x[known].astype(np.float64), y[known], batch.column("fold").to_numpy()[known]
 
 
 def _out_of_fold(x: np.ndarray, fold: np.ndarray, crossed: list[dict[int, Link]]) -> np.ndarray:
@@ -208,7 +215,7 @@ def _calibrated(rows: DataFrame, k: int, crossed: list[dict[int, Link]], weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            x, y, fold = _arrays(batch)
+            x, y, fold = _arrays(batch, k)
             x, raw = np.hstack([x, _out_of_fold(x, fold, crossed)]), np.zeros(len(x))
             for f, w in weights.items():
                 raw[fold == f] = x[fold == f] @ w
