@@ -37,3 +37,20 @@ def first_match(name: Column, choices: list[tuple[str, str]], default: str) -> C
     for part, value in reversed(choices):
         found = F.when(low.contains(part), F.lit(value)).otherwise(found)
     return found
+
+
+#: Ranges of integer types.
+INTEGER_RANGES = {"uint8": (0.0, 255.0), "int8": (-128.0, 127.0), "uint16": (0.0, 65535.0), "int16": (-32768.0, 32767.0), "uint32": (0.0, 4294967295.0), "int32": (-2147483648.0, 2147483647.0)}
+
+
+def display_range(dtype: Column) -> tuple[Column, Column]:
+    """Contrast limits to begin with: the range of an integer type, 0..1 for any other."""
+    low, high = F.lit(0.0), F.lit(1.0)
+    for name, (least, greatest) in INTEGER_RANGES.items():
+        low, high = F.when(dtype == name, least).otherwise(low), F.when(dtype == name, greatest).otherwise(high)
+    return low, high
+
+
+def well_place(well: Column) -> tuple[Column, Column]:
+    """Row and column of a well id: its first character, and the rest."""
+    return F.substring(well, 1, 1), F.substring(well, 2, 1_000_000)

@@ -34,7 +34,12 @@ def label_free_rate(exposure: Column, fps: Column) -> Column:
 
 def acquisition_time(stacks: DataFrame, keys: list[str], n_z: Column, rate: Column, change_s: float) -> DataFrame:
     """Seconds for the channels of an acquisition: slices over rate, and a change between channels."""
-    return stacks.groupBy(*keys).agg((F.sum(n_z / rate) + change_s * (F.count("*") - 1)).alias("seconds"))
+    return stacks.groupBy(*keys).agg(scan_seconds(n_z, rate, change_s).alias("seconds"))
+
+
+def scan_seconds(n_z: Column, rate: Column, change_s: float) -> Column:
+    """The aggregate of ``acquisition_time``, to be taken with others in one pass."""
+    return F.sum(n_z / rate) + change_s * (F.count("*") - 1)
 
 
 def refocus(stacks: DataFrame, keys: list[str], focus: str, peak: str, n_range: int) -> DataFrame:
@@ -88,3 +93,11 @@ def compensation(points: DataFrame, keys: list[str], direction: str, sweep: str,
 def sequenced_too_long(n_z: int, n_channels: int, most: int = 1200) -> bool:
     """Whether a hardware sequence has more events than the devices can hold."""
     return n_z * n_channels > most
+
+
+def valid_range(rows: DataFrame, position: str, start: str, end: str, step: float, low: float = 0.0, high: float = 30.0, least: int = 3) -> DataFrame:
+    """``offsets``: relative positions of a focus scan whose absolute ones lie within the limits; null if fewer than ``least``."""
+    n = F.ceil((F.col(end) + step - F.col(start)) / step).cast("int")
+    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col(start) + i * F.lit(step))
+    inside = F.filter(every, lambda o: (o + F.col(position) >= low) & (o + F.col(position) <= high))
+    return rows.withColumn("offsets", F.when(F.size(inside) >= least, inside))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 HOT_PERCENTILE = 0.9999
 
 
@@ -55,3 +59,34 @@ def manual(wells: DataFrame, illumination: DataFrame, exposure: str, power: str)
     """Exposure and power by well; a well without a row keeps its own and has a null flag."""
     rows = illumination.select("well_id", F.col("exposure_time_ms").alias("_e"), F.col("laser_power_mW").alias("_p"), F.lit(0).alias("flag"))
     return wells.join(rows, "well_id", "left").withColumns({exposure: F.coalesce("_e", exposure), power: F.coalesce("_p", power)}).drop("_e", "_p")
+
+
+def synthetic(voxels: DataFrame, keys: list[str], value: str, dtype_min: float, dtype_max: float) -> DataFrame:
+    """``under``, ``over`` and ``nominal``: what is above the 1st percentile cut to the least value of the type, what is above the 90th raised to its greatest."""
+    bounds = voxels.groupBy(*keys).agg(F.percentile(value, F.lit(0.01)).alias("_low"), F.percentile(value, F.lit(0.9)).alias("_high"))
+    v = F.col(value)
+    return voxels.join(bounds, keys).withColumns({"under": F.when(v > F.col("_low"), dtype_min).otherwise(v), "over": F.when(v > F.col("_high"), dtype_max).otherwise(v), "nominal": v}).drop("_low", "_high")
+
+
+def adjust(settings: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int, **limits) -> DataFrame:
+    """Exposure and power stepped until ``measure`` (keys, flag) finds nothing wrong, for all keys side by side.
+
+    ``state`` is 'found', 'failed' (no flag; the settings stay), 'limit' (exposure and power both at a bound) or
+    'open' after the given number of rounds. ``limits`` are those of ``suggest`` with exposure_range and power_range.
+    """
+    bounds = {"exposure": limits.pop("exposure_range"), "power": limits["power_range"]}
+    rows = settings.select(*keys, "exposure", "power", F.lit("open").alias("state"))
+    for _ in range(rounds):
+        flags = measure(rows.where("state = 'open'")).select(*keys, "flag")
+        power, exposure = suggest(F.col("flag"), F.col("exposure"), F.col("power"), max_exposure=bounds["exposure"][1], **limits)
+        moved = rows.join(flags, keys, "left").withColumns({"_power": power, "_exposure": exposure})
+        at_limit = F.col("_exposure").isin(*bounds["exposure"]) & F.col("_power").isin(*bounds["power"])
+        state = F.when(F.col("state") != "open", F.col("state")).when(F.col("flag").isNull(), "failed").when(F.col("flag") == 0, "found").when(at_limit, "limit").otherwise("open")
+        step = (F.col("state") == "open") & (F.col("flag") != 0)
+        moved = moved.select(*keys, F.when(step, F.col("_exposure")).otherwise(F.col("exposure")).alias("exposure"), F.when(step, F.col("_power")).otherwise(F.col("power")).alias("power"), state.alias("state"))
+        path = shared_path(settings.sparkSession, "exposure")
+        moved.write.parquet(path)
+        rows = settings.sparkSession.read.schema(moved.schema).parquet(path)
+        if rows.where("state = 'open'").isEmpty():
+            break
+    return rows

@@ -23,7 +23,8 @@ def flatfield_volumes(volumes: DataFrame) -> DataFrame:
         def one(z: int, y: int, x: int, v: np.ndarray) -> np.ndarray:
             stack = np.asarray(v, np.float64).reshape(z, y, x)
             median = np.median(stack, axis=0)
-            return (stack / np.where(median == 0, np.nan, median) * median.mean()).ravel()
+            flat = (stack / np.where(median == 0, np.nan, median) * median.mean()).ravel()
+            return np.where(np.isnan(flat), None, flat) if (median == 0).any() else flat
 
         return pd.Series([one(*row) for row in zip(nz, ny, nx, voxels, strict=True)])
 

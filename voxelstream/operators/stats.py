@@ -33,6 +33,31 @@ def percentile_by_histogram(voxels: DataFrame, keys: list[str], value: str, perc
     return found.select(*keys, edge.alias("percentile"))
 
 
+def exact_percentiles(voxels: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """keys and a column for each share: exact percentiles, interpolated between neighbouring ranks.
+
+    A histogram tells which bins hold the wanted ranks; only their values are sorted, so no value list of a whole key
+    is ever held at once.
+    """
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = histogram(voxels, keys, value, bins)
+    counted = counted.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("_n", F.sum("n").over(Window.partitionBy(*keys)))
+    places = F.array(*[F.lit(s) * (F.col("_n") - 1) for s in shares.values()])
+    ranks = F.flatten(F.transform(places, lambda r: F.array(F.floor(r), F.ceil(r))))
+    wanted = counted.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("n")))).where("size(_ranks) > 0")
+    rows = _bounds(voxels, keys, value).withColumn("bin", _bin(F.col(value), F.col("lo"), F.col("hi"), bins))
+    inside = rows.select(*keys, "bin", F.col(value).alias("_v")).join(wanted.select(*keys, "bin", "_below", "_n", "_ranks"), [*keys, "bin"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("_v")) - 1 + F.col("_below")
+    hit = inside.withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
+    out = []
+    for name, s in shares.items():
+        place = F.lit(s) * (F.col("_n") - 1)
+        low, high = (F.max(F.when(F.col("_rank") == f(place), F.col("_v"))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return hit.groupBy(*keys).agg(*out)
+
+
 def otsu_thresholds(voxels: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
     """keys, a, b, low, high: the two thresholds of three-class Otsu.
 
@@ -53,7 +78,8 @@ def otsu_thresholds(voxels: DataFrame, keys: list[str], value: str, bins: int =
     pairs = pairs.where((F.col("w_a") > TINY) & (F.col("w1") > TINY) & (F.col("w2") > TINY))
     part = lambda w, m: w * F.pow(m / w - F.col("mu"), F.lit(2.0))
     between = part(F.col("w_a"), F.col("m_a")) + part(F.col("w1"), F.col("m_b") - F.col("m_a")) + part(F.col("w2"), F.col("mu") - F.col("m_b"))
-    best = pairs.withColumn("sigma", F.round(between, 9)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sigma"), "a", "b"))).where("rank = 1")
+    first = F.struct(F.round(between, 9).alias("sigma"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+    best = pairs.groupBy(*keys).agg(F.max(first).alias("_best")).select(*keys, (-F.col("_best.a")).alias("a"), (-F.col("_best.b")).alias("b"))
     at = lambda k: F.coalesce(F.col("lo") + (F.col(k) + 1) * ((F.col("hi") - F.col("lo")) / (bins - 1)), F.col("lo"))
     return bounds.join(best.select(*keys, "a", "b"), keys, "left").select(*keys, "a", "b", at("a").alias("low"), at("b").alias("high"))
 
@@ -97,7 +123,7 @@ def normalize(voxels: DataFrame, keys: list[str], value: str, how: str, clip: fl
         stats = voxels.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
         return voxels.join(stats, keys).withColumn("norm", (v - F.col("_mean")) / (F.col("_std") + eps)).drop("_mean", "_std")
     if how == "iqr":
-        quartiles = voxels.groupBy(*keys).agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))
+        quartiles = exact_percentiles(voxels, keys, value, {"_q1": 0.25, "_q3": 0.75})
         spread = F.col("_q3") - F.col("_q1")
         clipped = voxels.join(quartiles, keys).withColumn("_c", F.greatest(F.col("_q1") - clip * spread, F.least(F.col("_q3") + clip * spread, v))).drop("_q1", "_q3")
         return normalize(clipped, keys, "_c", "zscore", eps=eps).drop("_c")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.expand import upsert_property
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key: what a baseline keeps."""
@@ -52,8 +54,8 @@ def to_stage(shift: dict[str, Column], matrix: list[list[float]] | None) -> dict
 
 
 def corrected(baseline: dict[str, Column], stage_shift: dict[str, Column]) -> dict[str, Column]:
-    """Baseline minus shift; a null height stays null."""
-    return {a: baseline[a] - stage_shift[a] for a in ("x", "y", "z")}
+    """Baseline minus shift; a null height stays null, and a null shift (its computation failed) moves nothing."""
+    return {a: baseline[a] - F.coalesce(stage_shift[a], F.lit(0.0)) for a in ("x", "y", "z")}
 
 
 def recurrence(rows: DataFrame, keys: list[str], t: str, start: Column, shift: Column, name: str) -> DataFrame:
@@ -62,7 +64,40 @@ def recurrence(rows: DataFrame, keys: list[str], t: str, start: Column, shift: C
     return rows.withColumn(name, start - F.sum(shift).over(until_now))
 
 
-def override_positions(events: DataFrame, store: DataFrame) -> DataFrame:
-    """Event coordinates from the position store; unknown positions keep the event's own."""
+def latest(store: DataFrame, version: str) -> DataFrame:
+    """(p, x, y, z) as last written."""
+    return store.groupBy("p").agg(F.max_by(F.struct("x", "y", "z"), version).alias("_s")).select("p", "_s.*")
+
+
+def override_positions(events: DataFrame, store: DataFrame, z_device: str | None = None) -> DataFrame:
+    """Event coordinates from the position store; unknown positions keep the event's own.
+
+    With a z device its Position property is set instead of ``z_pos``. The store has a row a position: see ``latest``.
+    """
     own = store.select("p", *[F.col(a).alias(f"_{a}") for a in ("x", "y", "z")])
-    return events.join(own, "p", "left").withColumns({f"{a}_pos": F.coalesce(f"_{a}", f"{a}_pos") for a in ("x", "y", "z")}).drop("_x", "_y", "_z")
+    axes = ("x", "y") if z_device else ("x", "y", "z")
+    moved = events.join(own, "p", "left").withColumns({f"{a}_pos": F.coalesce(f"_{a}", f"{a}_pos") for a in axes})
+    if z_device:
+        moved = moved.withColumn("properties", F.when(F.col("_z").isNull(), F.col("properties")).otherwise(upsert_property(F.col("properties"), z_device, "Position", F.col("_z"))))
+    return moved.drop("_x", "_y", "_z")
+
+
+def wants_refresh(t: Column, interval: int, referenceless: bool = False) -> Column:
+    """Whether a timepoint is due for a new reference."""
+    return F.lit(False) if referenceless or not interval else F.pmod(t, F.lit(interval)) == 0
+
+
+def completed(stacks: DataFrame, baselines: DataFrame, store: DataFrame, order: str, interval: int, referenceless: bool = False) -> DataFrame:
+    """What happens with each complete stack (p, t), and ``x``, ``y``, ``z`` that it starts from.
+
+    A baseline (p, t, x, y, z) serves the first stack of its key. Without one, stacks of positions that the store
+    lacks are dropped, others are skipped, but for those due for a new reference, which take the store's position.
+    """
+    place = F.row_number().over(Window.partitionBy("p", "t").orderBy(order))
+    taken = baselines.select("p", "t", F.lit(1).alias("_n"), F.struct("x", "y", "z").alias("_base"))
+    known = store.select("p", F.struct("x", "y", "z").alias("_live"))
+    rows = stacks.withColumn("_n", place).join(taken, ["p", "t", "_n"], "left").join(known, "p", "left")
+    refresh = wants_refresh(F.col("t"), interval, referenceless)
+    action = F.when(F.col("_base").isNotNull(), "update").when(F.col("_live").isNull(), "drop").when(refresh, "refresh").otherwise("skip")
+    start = F.when(F.col("action") == "update", F.col("_base")).when(F.col("action") == "refresh", F.col("_live"))
+    return rows.withColumn("action", action).withColumn("_start", start).select(*stacks.columns, "action", "_start.x", "_start.y", "_start.z")

@@ -19,6 +19,7 @@ from ..sources.lens import N_Z, SIDE, table
 from ..sources.shared import shared_path
 from ..streaming import assemble
 from . import expand
+from .config import checked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -353,9 +354,9 @@ def stage_speed(spark, sf_dir):
 def acq_time(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     exposure_ms = F.col("l_discount") * 100
-    sheet = control.acquisition_time(items, ["l_orderkey"], F.col("l_quantity"), control.light_sheet_rate(exposure_ms, F.lit(1.5)), 0.2)
-    free = control.acquisition_time(items, ["l_orderkey"], F.col("l_quantity"), control.label_free_rate(exposure_ms, F.col("l_tax") * 1000 + 20), 0.02)
-    both = sheet.select("l_orderkey", round6(F.col("seconds")).alias("light_sheet")).join(free.select("l_orderkey", round6(F.col("seconds")).alias("label_free")), "l_orderkey")
+    sheet = control.scan_seconds(F.col("l_quantity"), control.light_sheet_rate(exposure_ms, F.lit(1.5)), 0.2)
+    free = control.scan_seconds(F.col("l_quantity"), control.label_free_rate(exposure_ms, F.col("l_tax") * 1000 + 20), 0.02)
+    both = items.groupBy("l_orderkey").agg(round6(sheet).alias("light_sheet"), round6(free).alias("label_free"))
     return both.withColumn("seconds", F.ceil(F.greatest("light_sheet", "label_free")).cast("long"))
 
 
@@ -564,27 +565,66 @@ def shift_log(spark, sf_dir):
 # --- live view -------------------------------------------------------------------------------------------
 
 SLOTS = 16
-RING_SQL = f"""{FRAMES_SQL}, r as (select *, row_number() over (partition by c order by seq) - 1 as arrival from frames),
-    vol as (select c, p, t, min(arrival) as first, max(arrival) as last, count(distinct z) as n_z from r group by c, p, t)"""
+RANGE = 64  # arrivals that are numbered together, so that the small tables have many ranges
+#: Generations of a volume: each begins at the first arrival that finds the one before overwritten.
+RING_SQL = f"""recursive {FRAMES_SQL}, r as (select *, row_number() over (partition by c order by seq) - 1 as arrival from frames),
+    b as (select c, p, t, min(arrival) as first from r group by c, p, t
+          union all select b.c, b.p, b.t, n.arrival from b, lateral (select min(x.arrival) as arrival from r x where x.c = b.c and x.p = b.p and x.t = b.t and x.arrival >= b.first + 16) n where n.arrival is not null),
+    m as (select b.c, b.p, b.t, b.first, r.arrival, r.z from b join r on r.c = b.c and r.p = b.p and r.t = b.t and r.arrival >= b.first and r.arrival < b.first + 16),
+    k as (select c, p, t, first, z, min(arrival) as arrival from m group by c, p, t, first, z),
+    g as (select b.c, b.p, b.t, b.first, (select max(m.arrival) from m where m.c = b.c and m.p = b.p and m.t = b.t and m.first = b.first) as last,
+          (select case when count(*) >= 4 then max(k.arrival) end from k where k.c = b.c and k.p = b.p and k.t = b.t and k.first = b.first) as completed from b)"""
 
 
 def _arrived(spark, sf_dir) -> DataFrame:
-    return ring.slots(lens.frames(spark, sf_dir), ["c"], "seq", SLOTS)
+    return ring.slots(lens.frames(spark, sf_dir), ["c"], "seq", SLOTS, RANGE)
 
 
-@_query(f"with {RING_SQL} select seq, arrival, arrival % 16 as slot from r")
+def _generations(spark, sf_dir) -> DataFrame:
+    return ring.generations(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z)
+
+
+@_query(f"with {FRAMES_SQL} select seq, row_number() over (partition by c order by seq) - 1 as arrival, (row_number() over (partition by c order by seq) - 1) % 16 as slot from frames")
 def ring_slots(spark, sf_dir):
     return _arrived(spark, sf_dir).select("seq", "arrival", "slot")
 
 
-@_query(f"with {RING_SQL}, e as (select c, max(last) as stop from vol group by c) select c, p, t, first, last from vol join e using (c) where first + 16 > stop")
+@_query(f"with {RING_SQL}, e as (select c, max(arrival) as stop from r group by c) select c, p, t, first, last, completed is not null as complete from g join e using (c) where first + 16 > stop")
 def ring_live(spark, sf_dir):
-    return ring.live_at_end(ring.volumes(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z), ["c"]).select("c", "p", "t", "first", "last")
+    """Volumes in the buffer at the end."""
+    live = ring.live_at_end(_generations(spark, sf_dir), ["c"])
+    return live.select("c", "p", "t", "first", "last", F.col("completed").isNotNull().alias("complete"))
 
 
-@_query(f"with {RING_SQL} select c, p, t, last from (select *, row_number() over (partition by c order by last desc) as k from vol where n_z = 4) where k = 1")
+@_query(f"with {RING_SQL} select c, p, t, last as seen from (select *, row_number() over (partition by c order by last desc) as i from g where completed is not null) where i = 1")
 def follow_target(spark, sf_dir):
-    return ring.follow_target(ring.volumes(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z), ["c"], ["p", "t"])
+    return ring.follow_target(_generations(spark, sf_dir), ["c"], ["p", "t"])
+
+
+@_query(f"""with {FRAMES_SQL}, f as (select p, t, z, c, min(seq) as first from frames where c in ('click', 'view') group by p, t, z, c)
+    select p, t, z, max(first) as seen from f group by p, t, z having count(*) = 2""")
+def plane_complete(spark, sf_dir):
+    """Planes that both of two channels have brought."""
+    arrived = lens.frames(spark, sf_dir).where("c in ('click', 'view')").withColumn("arrival", F.col("seq"))
+    return ring.complete_planes(arrived, [], ["p", "t", "z"], 2)
+
+
+@_query("select event_id, (user_id * 4 + event_id % 4) as position, event_id // 10 as t, cast(0 as bigint) as z, case when event_type = 'click' then 1 else 0 end as c from events")
+def frame_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("p"), (F.col("event_id") % 4).cast("long").alias("g"), F.floor(F.col("event_id") / 10).cast("long").alias("t"), (F.col("event_type") == "click").alias("k"))
+    own = F.map_concat(F.create_map(F.lit("p"), "p", F.lit("g"), "g", F.lit("t"), "t"), F.when(F.col("k"), F.create_map(F.lit("c"), F.lit(1).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>")))
+    return ring.messages(e.select("event_id", own.alias("index")), 4).withColumn("c", F.col("c").cast("int"))
+
+
+@_query(f"""with {VOLUMES_SQL}, w as (select i as place, i * 3 as slot from range(20) x(i)), f as (select vec_id % 37 as slot, min(vec_id) as vec_id from volumes where p < 5 group by 1)
+    select place, string_agg(coalesce(cast(floor(v.v * 1000) as int), 0), ',' order by x.x) as pixels
+    from w cross join range(4) x(x) left join f using (slot) left join voxels v on v.vec_id = f.vec_id and v.z = 0 and v.y = 2 and v.x = x.x group by place""")
+def ring_rows(spark, sf_dir):
+    """One row of frames from wanted slots, zeros where the ring holds none."""
+    first = lens.volumes(spark, sf_dir).where("p < 5").groupBy((F.col("vec_id") % 37).alias("slot")).agg(F.min_by("voxels", "vec_id").alias("v"))
+    frames = first.select("slot", F.transform("v", lambda x: F.floor(x * 1000).cast("int")).alias("pixels"))
+    wanted = spark.range(20).select(F.col("id").alias("place"), (F.col("id") * 3).alias("slot"))
+    return ring.read_rows(wanted, frames, 2, SIDE).select("place", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------
@@ -612,21 +652,38 @@ def stream_stacks(spark, sf_dir):
     return found.select("p", "c", "stack", F.col("n").cast("long").alias("n"))
 
 
-@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL}, m as (select vec_id, avg(v) as m from voxels group by vec_id),
-    s as (select o.p, o.t, o.reference, case when o.anchor then 0 else a.m - b.m end as shift from o join m a on a.vec_id = o.vec_id join m b on b.vec_id = o.reference)
-    select p, t, reference, {r6("shift")} as shift, {r6("100 - sum(shift) over (partition by p order by t)")} as x from s""")
+TRACKED = {
+    "input_channel": "BF",
+    "tracking_channel": "BF",
+    "tracking_method": "multiotsu_center_of_mass",
+    "reference_update_interval": INTERVAL,
+    "tracking_interval": 2,
+    "shift": {"limits": LIMITS, "dampening": [DAMPENING[a] for a in "zyx"]},
+    "image_to_stage_matrix_xyz": MATRIX,
+}
+_TRACK_LIMIT = {a: LIMIT_SQL[a].replace(f"d_{a}", f"(a.d_{a} - b.d_{a})") for a in "zyx"}
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL}, {COM_SQL},
+    s as (select o.p, o.t, o.reference, not o.anchor and o.t % 2 = 0 as tracked, """ + ", ".join(f"case when not o.anchor and o.t % 2 = 0 then ({_TRACK_LIMIT[a]}) * {DAMPENING[a]}e0 else 0 end as s_{a}" for a in "zyx") + f"""
+          from o join d a on a.vec_id = o.vec_id join d b on b.vec_id = o.reference)
+    select p, t, reference, tracked, """ + ", ".join(f"{r6(f's_{a}')} as shift_{a}" for a in "zyx") + f""",
+        {r6("100 - sum(-s_y) over (partition by p order by t)")} as x, {r6("50 - sum(s_x) over (partition by p order by t)")} as y, {r6("10 - sum(s_z) over (partition by p order by t)")} as z from s""")
 def stream_track(spark, sf_dir):
-    """References and positions followed by the stream, as the batch as-of join and running sum give them."""
-    means = lens.voxels(spark, sf_dir).groupBy("p", "t", "vec_id").agg(F.avg("v").alias("m"))
-    found = _run_stream(spark, assemble.tracked(_streamed(spark, means, "volumes"), INTERVAL, 100.0, None), assemble.TRACK)
-    return found.select("p", "t", "reference", round6(F.col("shift")).alias("shift"), round6(F.col("x")).alias("x"))
+    """Positions followed by the stream: shifts of centres, limited, dampened, in stage axes, on tracked timepoints."""
+    centres = _centre_shifts(spark, sf_dir).select("vec_id", "p", "t", *[f"c_{a}" for a in "zyx"])
+    stream = assemble.tracked(_streamed(spark, centres, "centres"), checked("dynatrack", TRACKED), SCALE, {"x": 100.0, "y": 50.0, "z": 10.0}, None)
+    found = _run_stream(spark, stream, assemble.TRACK)
+    return found.select("p", "t", "reference", "tracked", *[round6(F.col(c)).alias(c) for c in ("shift_z", "shift_y", "shift_x", "x", "y", "z")])
 
 
-@_query(f"with {RING_SQL}, o as (select c, seq, arrival, p, t, z from r) select c, arrival, p, t from o")
+@_query(f"""with {RING_SQL} select m.c, m.arrival, m.p, m.t, g.completed is not null and m.arrival >= g.completed as complete, case when d.first is null then 0 else 1 end as evicted
+    from m join g using (c, p, t, first) left join g d on d.c = m.c and d.first = m.arrival - 16""")
 def stream_live(spark, sf_dir):
-    """Arrivals as the live view's stream numbers them."""
+    """What the live view's stream makes of each arrival: whether its volume is whole, and whether it drops another."""
     stream = _streamed(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "frames")
-    return _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z, None), assemble.LIVE).select("c", "arrival", "p", "t")
+    found = _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z, None), assemble.LIVE)
+    return found.withColumn("evicted", F.col("evicted").cast("int"))
 
 
 @_query()

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed4
 
+#: Columns of the two shift logs.
 SHIFT_LOG = ("position_index", "timepoint_index", "shift_z_um", "shift_y_um", "shift_x_um", "stage_x", "stage_y", "stage_z")
 
 
+ARCHIVED_LOG = ("PositionID", "TimepointID", "ShiftZ", "ShiftY", "ShiftX", "StageZ", "StageY", "StageX")
+
+
 def write_frames(frames: DataFrame, path: str, channels: list[str], scale: tuple[float, float, float] = (1.0, 1.0, 1.0), summary: dict | None = None) -> None:
     """Frames under acq/p/t/c folders, never over existing ones, and a JSON sidecar (path.metadata) with axes and scale."""
     frames.write.mode("errorifexists").partitionBy("acq", "p", "t", "c").option("compression", "zstd").parquet(path)
@@ -27,7 +31,30 @@ def shift_log(rows: DataFrame) -> DataFrame:
 
 
 def write_shift_log(rows: DataFrame, path: str) -> None:
-    shift_log(rows).write.mode("append").option("header", True).csv(path)
+    """Append to the log. Its names are written once, in a file that sorts before the others."""
+    names = rows.sparkSession.createDataFrame([SHIFT_LOG], ", ".join(f"`{c}` string" for c in SHIFT_LOG))
+    names.coalesce(1).write.mode("ignore").csv(f"{path}/names=0")
+    shift_log(rows).write.mode("append").csv(f"{path}/names=1")
+
+
+def read_shift_log(spark: SparkSession, path: str) -> DataFrame:
+    """What was logged; an empty height is null."""
+    schema = ", ".join(f"{c} {'long' if c.endswith('_index') else 'double'}" for c in SHIFT_LOG)
+    return spark.read.schema(schema).csv(f"{path}/names=1")
+
+
+def archived_log(rows: DataFrame) -> DataFrame:
+    """The log of the older tracker: its own names, and a row without shift at the first timepoint."""
+    first = F.col("timepoint_index") == 0
+    shifts = [F.when(first, 0.0).otherwise(F.col(f"shift_{a}_um")).alias(f"Shift{a.upper()}") for a in "zyx"]
+    stage = [F.col(f"stage_{a}").alias(f"Stage{a.upper()}") for a in "zyx"]
+    return rows.select(F.col("position_index").alias("PositionID"), F.col("timepoint_index").alias("TimepointID"), *shifts, *stage)
+
+
+def write_archived_log(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file for each position, appended to or begun anew."""
+    log = archived_log(rows)
+    log.withColumn("fov", F.col("PositionID")).write.mode("overwrite" if overwrite else "append").partitionBy("fov").option("header", True).csv(path)
 
 
 def first_free(taken: DataFrame, index: str) -> DataFrame:

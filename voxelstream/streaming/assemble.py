@@ -7,8 +7,10 @@ after ``ttl_ms`` of processing time, so that skipped stacks do not pile up.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,35 +49,52 @@ def stacks(frames: DataFrame, n_z: int, ttl_ms: int | None = 3_600_000) -> DataF
     )
 
 
-TRACK = "p long, t long, reference long, shift double, x double"
+TRACK = "p long, t long, reference long, tracked boolean, shift_z double, shift_y double, shift_x double, x double, y double, z double"
 
 
-def tracked(volumes: DataFrame, interval: int, start: float = 0.0, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Streaming (p, t, vec_id, m) -> shift of ``m`` against the last anchor, and the position it leads to.
+def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start: dict[str, float | None], ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Streaming (p, t, vec_id, c_z, c_y, c_x: centres in pixels) -> shifts in um and the position they lead to.
 
-    Anchors (the first timepoint, and every ``interval``-th) set the reference and leave the position as it is; the
-    state holds ids and scalars, never voxels.
+    ``tracking`` are checked settings of a method that compares centres. Anchors (the first timepoint, and every
+    ``reference_update_interval``-th) set the reference and leave the position as it is, as do timepoints between
+    those that are tracked. Shifts are limited, dampened and turned to the stage's axes. A volume without a centre
+    (its computation failed) changes nothing. The state holds ids and coordinates, never voxels.
     """
+    renew, every = tracking["reference_update_interval"], tracking["tracking_interval"]
+    limits, dampening = tracking["shift"]["limits"] or {}, dict(zip("zyx", tracking["shift"]["dampening"] or (1.0, 1.0, 1.0), strict=True))
+    matrix = np.array(tracking["image_to_stage_matrix_xyz"] or np.eye(3))
+
+    def microns(axis: str, pixels: float) -> float:
+        um = pixels * scale[axis]
+        if axis in limits:
+            low, high = limits[axis]
+            um = 0.0 if abs(um) < low else float(np.sign(um)) * high if abs(um) > high else um
+        return um * dampening[axis]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        reference, level, x = state.get if state.exists else (None, None, start)
-        out = []
+        reference, *held = state.get if state.exists else (None, None, None, None, start["x"], start["y"], start["z"])
+        anchor, place, out = held[:3], held[3:], []
         for row in pd.concat(list(batches)).sort_values("t").itertuples():
-            if reference is None or interval and row.t % interval == 0:
-                reference, level, shift = int(row.vec_id), float(row.m), 0.0
-            else:
-                shift = float(row.m) - level
-                x -= shift
-            out.append((key[0], row.t, reference, shift, x))
-        state.update((reference, level, x))
+            centre, shift, moved = (row.c_z, row.c_y, row.c_x), (0.0, 0.0, 0.0), False
+            if any(c is None or c != c for c in centre):
+                pass
+            elif reference is None or renew and row.t % renew == 0:
+                reference, anchor = int(row.vec_id), [float(c) for c in centre]
+            elif every <= 1 or row.t % every == 0:
+                shift, moved = tuple(microns(a, c - r) for a, c, r in zip("zyx", centre, anchor, strict=True)), True
+                stage = matrix @ np.array(shift[::-1])
+                place = [p if p is None else float(p - s) for p, s in zip(place, stage, strict=True)]
+            out.append((key[0], row.t, reference, moved, *shift, *place))
+        state.update((reference, *anchor, *place))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["p", "t", "reference", "shift", "x"])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACK.split(", ")])
 
-    return volumes.groupBy("p").applyInPandasWithState(follow, TRACK, "reference long, level double, x double", "append", _timeout(ttl_ms))
+    kept = "reference long, c_z double, c_y double, c_x double, x double, y double, z double"
+    return volumes.groupBy("p").applyInPandasWithState(follow, TRACK, kept, "append", _timeout(ttl_ms))
 
 
 LIVE = "c string, arrival long, p long, t long, complete boolean, evicted long"
@@ -84,25 +103,36 @@ LIVE = "c string, arrival long, p long, t long, complete boolean, evicted long"
 def live_view(frames: DataFrame, n_slots: int, n_z: int, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Streaming (c, seq, p, t, z) -> for each frame, whether its volume is whole now and how many volumes it evicts.
 
-    Writing a slot whose old frame belongs to a volume drops that whole volume. State is bounded by ``n_slots``.
+    Writing a slot whose old frame belongs to a volume drops that whole volume. Volumes keep the counts of their
+    slices, so a frame costs the same whatever the size of the ring; state is bounded by ``n_slots``. A stream (c) is
+    one camera's, and in order.
     """
 
     def view(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        count, held = (state.get[0], [tuple(x) for x in zip(*state.get[1:], strict=True)]) if state.exists else (0, [])
-        ring = {slot: (p, t, z) for slot, p, t, z in held}
+        count, held = (state.get[0], zip(*state.get[1:], strict=True)) if state.exists else (0, ())
+        ring: dict[int, tuple[int, int, int]] = {}  # slot -> frame
+        whole: dict[tuple[int, int], dict[int, int]] = {}  # volume -> slot -> slice
+        for slot, p, t, z in held:
+            ring[slot] = (p, t, z)
+            whole.setdefault((p, t), {})[slot] = z
+        kinds = {v: Counter(s.values()) for v, s in whole.items()}
         out = []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            slot, old = count % n_slots, ring.pop(count % n_slots, None)
-            if old is not None:
-                ring = {s: f for s, f in ring.items() if f[:2] != old[:2]}
-            ring[slot] = (row.p, row.t, row.z)
-            n = len({f[2] for f in ring.values() if f[:2] == (row.p, row.t)})
-            out.append((key[0], count, row.p, row.t, n >= n_z, int(old is not None)))
+            slot, volume, evicted = count % n_slots, (int(row.p), int(row.t)), 0
+            if slot in ring:
+                old, evicted = ring[slot][:2], 1
+                for s in whole.pop(old):
+                    del ring[s]
+                del kinds[old]
+            ring[slot] = (*volume, int(row.z))
+            whole.setdefault(volume, {})[slot] = int(row.z)
+            kinds.setdefault(volume, Counter())[int(row.z)] += 1
+            out.append((key[0], count, *volume, len(kinds[volume]) >= n_z, evicted))
             count += 1
-        columns = list(zip(*((int(s), int(p), int(t), int(z)) for s, (p, t, z) in ring.items()), strict=True)) or [(), (), (), ()]
+        columns = list(zip(*((s, *f) for s, f in ring.items()), strict=True)) or [(), (), (), ()]
         state.update((count, *map(list, columns)))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
