@@ -140,7 +140,8 @@ def hits(rows: DataFrame, rarest: DataFrame) -> DataFrame:
     """(doc_id, hash, start, size, gram): where windows lie in documents. Common words are left to AQE's skew join."""
     met = rows.select("doc_id", "hash", F.inline("spots")).join(rarest, "word")
     met = met.where("at <= before").withColumn("around", F.split("context", " ")).where(F.size("around") - (F.col("before") - F.col("at")) >= F.col("size"))
-    there = F.array_join(F.slice("around", F.col("before") - F.col("at") + 1, F.col("size")), " ") == F.col("gram")
+    # The conditions may be evaluated in any order, so the slice must be valid for rows that fail the others.
+    there = F.array_join(F.slice("around", F.greatest(F.col("before") - F.col("at") + 1, F.lit(1)), F.col("size")), " ") == F.col("gram")
     return met.where(there).select("doc_id", "hash", (F.col("pos") - F.col("at")).alias("start"), "size", "gram").distinct()
 
 

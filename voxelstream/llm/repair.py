@@ -20,44 +20,47 @@ import numpy as np
 from .tokenizing import gathered
 
 MAGIC = b"VXRP0002"
-PAIRS = 2048  # rules of a round, at most
+PAIRS = 8192  # rules of a round, at most
 LEAST = 6  # times a pair must occur to get a rule
 BLOCK = 512  # symbols between marks
-TABLE_BITS = 19  # binary digits of the slots of hashed keys
+TABLE_BITS = 18  # binary digits of the slots of hashed pairs
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - TABLE_BITS)
 
 
-def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of candidates, pairs that occur at least LEAST times, how often).
+def _frequent(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of candidates, their slots, their pairs, the most frequent pairs in order of their numbers).
 
-    Counts of hashed keys are never below those of a key, so they rule most places out before keys are sorted.
+    Counts of slots are never below those of their pairs, so they rule most places out before pairs are sorted.
     """
-    slots = _slots(keys)
-    places = np.flatnonzero(np.bincount(slots, minlength=1 << TABLE_BITS)[slots] >= LEAST)
-    pairs, counts = np.unique(keys[places], return_counts=True)
-    frequent = counts >= LEAST
-    return places, pairs[frequent], counts[frequent]
+    slots = _slots(symbols[:-1], symbols[1:])
+    counts = np.bincount(slots, minlength=1 << TABLE_BITS)
+    often = counts[counts >= LEAST]
+    least = np.partition(often, -PAIRS)[-PAIRS] if len(often) > PAIRS else LEAST
+    places = np.flatnonzero((counts >= least)[slots])
+    keys = symbols[places].astype(np.uint64) << np.uint64(32) | symbols[places + 1]
+    pairs, n = np.unique(keys, return_counts=True)
+    pairs, n = pairs[n >= LEAST], n[n >= LEAST]
+    if len(pairs) > PAIRS:
+        pairs = np.sort(pairs[np.lexsort((pairs, -n))[:PAIRS]])
+    return places, slots[places], keys, pairs
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as rows of left and right, ids that each rule expands to); rule k is the symbol base + k."""
-    symbols, rules, n_rules = ids.astype(np.int64), [], 0
+    symbols, rules, n_rules = ids.astype(np.uint32), [], 0
     while len(symbols) > 1:
-        wide = base + n_rules
-        keys = (symbols[:-1] << 32) | symbols[1:]
-        places, pairs, counts = _frequent(keys)
-        if not len(pairs):
+        places, slots, keys, chosen = _frequent(symbols)
+        if not len(chosen):
             break
-        chosen = np.sort(pairs[np.lexsort((pairs, -counts))][:PAIRS])
         # Of pairs that share a slot of the table one is left to the next round.
         table = np.full(1 << TABLE_BITS, -1, np.int32)
-        table[_slots(chosen)] = np.arange(len(chosen))
-        at = table[_slots(keys[places])]
-        places, at = places[at >= 0], at[at >= 0]
-        real = chosen[at] == keys[places]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
+        table[_slots(left, right)] = np.arange(len(chosen))
+        at = table[slots]
+        real = (at >= 0) & (chosen[at] == keys)
         places, at = places[real], at[real]
         # Of overlapping places, every second one of a run is replaced.
         starts = np.concatenate([[True], np.diff(places) > 1])
@@ -66,21 +69,19 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         places, at = places[~second], at[~second]
         # A pair that lost all its places to its neighbours gets no rule.
         used = np.bincount(at, minlength=len(chosen)) > 0
-        at = (np.cumsum(used) - 1)[at]
-        symbols[places] = wide + at
+        symbols[places] = base + n_rules + (np.cumsum(used) - 1)[at]
         kept = np.ones(len(symbols), bool)
         kept[places + 1] = False
         symbols = symbols[kept]
-        chosen = chosen[used]
-        n_rules += len(chosen)
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([left[used], right[used]], axis=1).astype(np.int64))
+        n_rules += len(rules[-1])
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     lengths, done = np.zeros(len(grammar), np.int64), 0
     for part in rules:  # a rule only uses symbols of earlier rounds
         sizes = np.where(part < base, 1, lengths[np.maximum(part - base, 0)]).sum(axis=1)
         lengths[done : done + len(part)] = sizes
         done += len(part)
-    return symbols, grammar, lengths
+    return symbols.astype(np.int64), grammar, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
