@@ -474,7 +474,13 @@ def otsu_com_shift(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "multiotsu_center_of_mass").select("vec_id", *[round6(F.col("shift")[i]).alias(f"d{a}") for i, a in enumerate("zyx")])
 
 
-@_query()
+@_query(f"""with {VOLUMES_SQL},
+    r as (select z.z, y.y, x.x, exp(-0.5e0 * pow((z.z - 1.5e0) / 10, 2)) * exp(-0.5e0 * pow((y.y - 1.5e0) / 10, 2)) * exp(-0.5e0 * pow((x.x - 1.5e0) / 10, 2)) as v from range(4) z(z), range(4) y(y), range(4) x(x)),
+    k as (select m.vec_id, (m.z - r.z + 4) % 4 as dz, (m.y - r.y + 4) % 4 as dy, (m.x - r.x + 4) % 4 as dx, m.v * r.v as vv from voxels m, r),
+    s as (select vec_id, dz, dy, dx, round(abs(sum(vv)), 9) as corr from k group by 1, 2, 3, 4),
+    b as (select *, row_number() over (partition by vec_id order by corr desc, (6 - dz) % 4, (6 - dy) % 4, (6 - dx) % 4) as k from s)
+    select vec_id, cast(case when dz <= 2 then dz else dz - 4 end as double) as dz, cast(case when dy <= 2 then dy else dy - 4 end as double) as dy,
+        cast(case when dx <= 2 then dx else dx - 4 end as double) as dx from b where k = 1""")
 def roi_pcc_shift(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "roi_center_pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
 
@@ -691,3 +697,255 @@ def stream_refocus_timer(spark, sf_dir):
     """When a refocus is due, where only successes (values above 250) start the time anew."""
     attempts = lens.frames(spark, sf_dir).select("p", "seq", (F.col("seq") * 60.0).alias("s"), (F.col("v") > 250).alias("ok"))
     return _run_stream(spark, assemble.refocus_timer(_streamed(spark, attempts, "attempts"), 3600.0, None), assemble.TIMER)
+
+
+# --- replay selection ------------------------------------------------------------------------------------
+
+
+@_query("""select row_number() over (order by cast(p as varchar)) - 1 as p, cast(p as varchar) as key from (select distinct user_id as p from events)""")
+def position_keys(spark, sf_dir):
+    return fr.position_keys(lens.frames(spark, sf_dir), "p")
+
+
+KNOWN = [(0, "click"), (1, "view"), (2, "signup")]
+KNOWN_SQL = "known(p, key) as (values (cast(0 as bigint), 'click'), (1, 'view'), (2, 'signup'))"
+
+
+def _known(spark) -> DataFrame:
+    return spark.createDataFrame(KNOWN, "p long, key string")
+
+
+@_query(f"""with {KNOWN_SQL} select event_id, coalesce(last_value(k.key ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row), 'click') as position
+    from events left join known k on k.key = event_type""")
+def replay_position(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return fr.current_position(events, _known(spark), ["user_id"], "event_id", "event_type", "click").select("event_id", "position")
+
+
+@_query(f"""with {KNOWN_SQL}, e as (select event_id, user_id, case when event_id % 3 = 0 then event_type end as pos_name, case when event_id % 4 <> 1 then event_id % 5 end as p from events),
+    f as (select e.*, coalesce(n.key, i.key) as found from e left join known n on n.key = e.pos_name left join known i on i.p = e.p)
+    select event_id, coalesce(last_value(found ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row), 'click') as position from f""")
+def replay_event_position(spark, sf_dir):
+    i = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(i % 3 == 0, F.col("event_type")).alias("pos_name"), F.when(i % 4 != 1, i % 5).alias("p"))
+    return fr.event_positions(events, _known(spark), ["user_id"], "event_id", "click").select("event_id", "position")
+
+
+@_query("""select event_id, cast(place as int) as place, case when place = 1 then 6 else event_id % 7 + place * 9 end as z from events, range(3) r(place)""")
+def replay_sequenced(spark, sf_dir):
+    part = lambda k: F.struct(F.when(F.lit(k != 1), F.col("event_id") % 7 + k * 9).alias("z"))
+    events = table(spark, sf_dir, "events").select("event_id", F.array(*[part(k) for k in range(3)]).alias("parts"))
+    return fr.sequenced_slices(events, "parts", 13)
+
+
+@_query("select event_id, (row_number() over (partition by user_id order by event_id) - 1) % 3 as t from events")
+def replay_free_running(spark, sf_dir):
+    return fr.free_running_time(table(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id"], "event_id", 3).select("event_id", "t")
+
+
+@_query("""select cast(s_acctbal as double) as x, 0.5e0 as y, cast(null as double) as z, s_name as label, 'listed' as kind from supplier union all select 1.0e0, 2.0e0, 3.0e0, 'FOV0', 'empty'""")
+def position_list(spark, sf_dir):
+    """A list of positions, and where the stage stands for an empty one."""
+    listed = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit(None).cast("double").alias("z"), F.col("s_name").alias("label"))
+    both = [fr.positions_or_current(rows, 1.0, 2.0, 3.0).withColumn("kind", F.lit(kind)) for rows, kind in ((listed, "listed"), (listed.where("label is null"), "empty"))]
+    return both[0].unionByName(both[1])
+
+
+@_query(f"with {FRAMES_SQL} select p, t, string_agg(cast(v as varchar), ',' order by z) as slices from (select p, t, z, cast(sum(cast(v * 100 as bigint)) as bigint) as v from frames where c = 'click' and z between 1 and 2 group by p, t, z) group by p, t")
+def stack_slices(spark, sf_dir):
+    clicks = lens.frames(spark, sf_dir).where("c = 'click'").groupBy("p", "t", "z").agg(F.sum(F.round(F.col("v") * 100).cast("long")).alias("v"))
+    return fr.stacked(clicks, ["p", "t"], 1, 3, "v").select("p", "t", F.array_join(F.col("slices").cast("array<string>"), ",").alias("slices"))
+
+
+@_query("""select event_id, case when event_id % 3 = 0 then 1.0e0 when event_id % 3 = 1 then 2.5e0 else 1.0e0 end as scale from events""")
+def zscale_json(spark, sf_dir):
+    """The z scale of image metadata, where it says one."""
+    with_scale = '{"multiscales":[{"datasets":[{"coordinateTransformations":[{"type":"identity"},{"type":"scale","scale":[1.0,1.0,2.5,0.5,0.5]}]}]}]}'
+    text = F.when(F.col("event_id") % 3 == 1, with_scale).when(F.col("event_id") % 3 == 2, '{"multiscales":[{"datasets":[{}]}]}')
+    return table(spark, sf_dir, "events").select("event_id", text.alias("metadata")).select("event_id", fr.z_scale().alias("scale"))
+
+
+@_query(f"with {FRAMES_SQL}, l as (select p, t, c, v, row_number() over (partition by p, t order by c <> 'view', c, seq) as k from frames) select p, t, c, v from l where k = 1")
+def tracked_channel(spark, sf_dir):
+    """The wanted channel of each timepoint, or its first one."""
+    rows = lens.frames(spark, sf_dir).select("p", "t", "c", "v", F.struct("c", "seq").alias("place"))
+    return fr.tracked_channel(rows, ["p", "t"], "c", "place", "view").select("p", "t", "c", "v")
+
+
+# --- plans, wells, properties ----------------------------------------------------------------------------
+
+
+@_query("""select 'loops' as kind, t, t * 8.0e0 as start_s from range(50) r(t) union all select 'duration', t, t * 600.0e0 from range(109) r(t)""")
+def time_plan(spark, sf_dir):
+    plans = {"loops": expand.time_points(spark, 8.0, loops=50), "duration": expand.time_points(spark, 600.0, duration_s=18 * 3600.0)}
+    return plans["loops"].select(F.lit("loops").alias("kind"), "t", "start_s").unionByName(plans["duration"].select(F.lit("duration").alias("kind"), "t", "start_s"))
+
+
+@_query(f"""with w as (select cast(floor(n_nationkey / 6) as bigint) as r, n_nationkey % 6 as c from nation where n_nationkey < 24)
+    select chr(cast(65 + r as int)) || (c + 1) as well, g, {r6("c * 19000.0e0 + (g % 2 - 0.5e0) * 198")} as x, {r6("-r * 19000.0e0 - (g // 2 - 0.5e0) * 198")} as y from w, range(4) g(g)""")
+def well_grid(spark, sf_dir):
+    wells = table(spark, sf_dir, "nation").where("n_nationkey < 24").select(F.floor(F.col("n_nationkey") / 6).cast("long").alias("row"), (F.col("n_nationkey") % 6).cast("long").alias("column"))
+    grid = expand.well_grid(wells, 2, 2, (19000.0, 19000.0), (180.0, 180.0), (-10.0, -10.0))
+    return grid.select("well", "g", round6(F.col("x")).alias("x"), round6(F.col("y")).alias("y"))
+
+
+@_query("""select well, channel, exposure, power from (select distinct c_mktsegment as well from customer), (values ('BF', 10.0e0, cast(null as double)), ('GFP', 20.0e0, 5.0e0)) d(channel, exposure, power)""")
+def well_defaults(spark, sf_dir):
+    return expand.well_defaults(table(spark, sf_dir, "customer"), "c_mktsegment", ["BF", "GFP"], [10.0, 20.0], [None, 5.0])
+
+
+@_query("select s_suppkey, substr(s_name, 1, 1) as well_row, substr(s_name, 2) as well_column from supplier")
+def well_place(spark, sf_dir):
+    row, column = scalars.well_place(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", row.alias("well_row"), column.alias("well_column"))
+
+
+@_query("""select p_partkey, d.low, d.high from part left join (values (0, 0e0, 255e0), (1, 0e0, 65535e0), (2, -32768e0, 32767e0), (3, 0e0, 1e0)) d(k, low, high) on d.k = p_partkey % 4""")
+def contrast_dtype(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("uint8", "uint16", "int16", "float32")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    low, high = scalars.display_range(kind)
+    return table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), high.alias("high"))
+
+
+@_query("select event_id, case when event_id % 2 = 0 then 'Laser' else 'Laser,Stage' end as free, case when event_id % 2 = 0 then 'Z,Laser' else 'Laser,Stage' end as unlocked from events")
+def focus_moves(spark, sf_dir):
+    """Properties that are set while autofocus holds the stage, and while it doesn't."""
+    one = lambda d, q: F.struct(F.lit(d).alias("device"), F.lit(q).alias("property"), F.lit("1").alias("value"))
+    held = F.when(F.col("event_id") % 2 == 0, F.array(one("Z", "Position"), one("Laser", "State"))).otherwise(F.array(one("Laser", "Position"), one("Stage", "Position")))
+    names = lambda p: F.array_join(F.transform(p, lambda q: q["device"]), ",")
+    return table(spark, sf_dir, "events").select("event_id", names(expand.without_focus_moves(held, "Z", True)).alias("free"), names(expand.without_focus_moves(held, "Z", False)).alias("unlocked"))
+
+
+@_query("select event_id, event_type from events where event_type is null or event_type not in ('click', 'view')")
+def quiet_log(spark, sf_dir):
+    return expand.worth_logging(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ("click", "view"))
+
+
+# --- position store --------------------------------------------------------------------------------------
+
+
+@_query(f"""select s_suppkey as p, case when s_suppkey % 3 = 0 then 0e0 else s_acctbal end as x, 0e0 as y, case when s_suppkey % 2 = 0 then s_suppkey * 1.5e0 when s_suppkey % 5 = 0 then null else 7e0 end as z from supplier""")
+def store_init(spark, sf_dir):
+    k = F.col("s_suppkey")
+    held = F.when(k % 2 == 0, F.array(F.struct(F.lit("ObjectiveZ").alias("device"), F.lit("Position").alias("property"), (k * 1.5).cast("string").alias("value"))))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("p"), F.when(k % 3 != 0, F.col("s_acctbal").cast("double")).alias("x"), F.lit(None).cast("double").alias("y"), F.when(k % 5 != 0, 7.0).alias("z"), held.alias("properties"))
+    return expand.store_from_plan(rows, "ObjectiveZ")
+
+
+#: Positions below 40, written once for each event of type 'view'; the last write counts.
+STORE_SQL = "store as (select user_id as p, arg_max(value, event_id) as x, arg_max(value * 2, event_id) as y, arg_max(case when user_id % 4 <> 0 then value + 1 end, event_id) as z from events where event_type = 'view' and user_id < 40 group by user_id)"
+
+
+def _store(spark, sf_dir) -> DataFrame:
+    writes = table(spark, sf_dir, "events").where("event_type = 'view' and user_id < 40")
+    rows = writes.select(F.col("user_id").alias("p"), "event_id", F.col("value").alias("x"), (F.col("value") * 2).alias("y"), F.when(F.col("user_id") % 4 != 0, F.col("value") + 1).alias("z"))
+    return track.latest(rows, "event_id")
+
+
+@_query(f"""with {STORE_SQL.replace("arg_max(case when user_id % 4 <> 0 then value + 1 end, event_id)", "case when user_id % 4 <> 0 then arg_max(value + 1, event_id) end")}
+    select e.event_id, {r6("coalesce(s.x, e.event_id)")} as x_pos, {r6("coalesce(s.y, 1)")} as y_pos, {r6("coalesce(s.z, -1)")} as z_pos, s.z is not null as device_set from events e left join store s on s.p = e.user_id""")
+def position_override(spark, sf_dir):
+    """Events moved to the latest stored positions, once by z_pos and once by a device's property."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("p"), F.col("event_id").cast("double").alias("x_pos"), F.lit(1.0).alias("y_pos"), F.lit(-1.0).alias("z_pos"))
+    empty = F.array().cast("array<struct<device:string,property:string,value:string>>")
+    store = _store(spark, sf_dir)
+    plain = track.override_positions(e, store)
+    device = track.override_positions(e.withColumn("properties", empty), store, "ObjectiveZ").select("event_id", (F.size("properties") > 0).alias("device_set"), F.col("z_pos").alias("own"))
+    return plain.join(device.where("own = -1"), "event_id").select("event_id", *[round6(F.col(c)).alias(c) for c in ("x_pos", "y_pos", "z_pos")], "device_set")
+
+
+@_query(f"""with {FRAMES_SQL}, {STORE_SQL.replace("arg_max(case when user_id % 4 <> 0 then value + 1 end, event_id)", "case when user_id % 4 <> 0 then arg_max(value + 1, event_id) end")},
+    st as (select p, t, seq, row_number() over (partition by p, t order by seq) as k from frames where z = 3),
+    a as (select st.*, (p + t) % 3 <> 0 and k = 1 as has, s.p is not null as known, s.x as sx from st left join store s using (p)),
+    d as (select *, case when has then 'update' when not known then 'drop' when t % 4 = 0 then 'refresh' else 'skip' end as action from a)
+    select seq, action, {r6("case action when 'update' then 100 * p + t when 'refresh' then sx end")} as x from d""")
+def baseline_pop(spark, sf_dir):
+    """What happens with each complete stack: its baseline is there once, or was never written."""
+    stacks = lens.frames(spark, sf_dir).where("z = 3").select("p", "t", "seq")
+    base = stacks.select("p", "t").distinct().where("(p + t) % 3 <> 0").select("p", "t", (F.col("p") * 100.0 + F.col("t")).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return track.completed(stacks, base, _store(spark, sf_dir), "seq", 4).select("seq", "action", round6(F.col("x")).alias("x"))
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL}, l as (select *, row_number() over (partition by p order by t desc) as k from s) select p as position_index, t as timepoint_index, {r6('s_z')} as shift_z_um, {r6('s_x')} as shift_x_um from l where k = 1")
+def last_shift(spark, sf_dir):
+    """The latest logged shift of each position."""
+    log = _tracked(spark, sf_dir).select(F.col("p").alias("position_index"), F.col("t").alias("timepoint_index"), F.col("s_z").alias("shift_z_um"), F.col("s_x").alias("shift_x_um"))
+    found = fr.last_shift(log, ["position_index"], "timepoint_index")
+    return found.select("position_index", "timepoint_index", *[round6(F.col(c)).alias(c) for c in ("shift_z_um", "shift_x_um")])
+
+
+@_query(f"with {VOLUMES_SQL}, {SHIFT_SQL} select p as \"PositionID\", t as \"TimepointID\", " + ", ".join(f"{r6(f'case when t = 0 then 0 else s_{a} end')} as \"Shift{a.upper()}\"" for a in "zyx") + ", " + ", ".join(f"{r6(f'({BASE_SQL[a]}) - ({STAGE_SQL[a]})')} as \"Stage{a.upper()}\"" for a in "zyx") + " from s")
+def archived_log(spark, sf_dir):
+    rows = _tracked(spark, sf_dir).select(F.col("p").alias("position_index"), F.col("t").alias("timepoint_index"), *[F.col(f"s_{a}").alias(f"shift_{a}_um") for a in "zyx"], *[f"stage_{a}" for a in "xyz"])
+    log = sinks.archived_log(rows)
+    return log.select("PositionID", "TimepointID", *[round6(F.col(c)).alias(c) for c in sinks.ARCHIVED_LOG[2:]])
+
+
+# --- exposure, focus, correlation ------------------------------------------------------------------------
+
+
+@_query(f"""with {FRAMES_SQL}, q as (select c, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.9) as hi from frames group by c)
+    select seq, case when v > lo then 0e0 else v end as under, case when v > hi then 255e0 else v end as over, v as nominal from frames join q using (c)""")
+def exposure_synthetic(spark, sf_dir):
+    return exposure.synthetic(lens.frames(spark, sf_dir), ["c"], "v", 0.0, 255.0).select("seq", "under", "over", "nominal")
+
+
+#: A camera that sees power times a gain of its own: 1 too bright, -1 too dark, no flag for gains of zero.
+FLAG_SQL = "case when gain = 0 then null when power * gain > 60 then 1 when power * gain < 40 then -1 else 0 end"
+
+
+@_query(f"""with recursive s as (select s_suppkey as k, (s_suppkey % 23) * 1.0e0 as gain from supplier),
+    l(k, gain, exposure, power, state, i) as (
+        select k, gain, 50e0, 5e0, 'open', 0 from s
+        union all
+        select k, gain, case when flag is null or flag = 0 then exposure else next_e end, case when flag is null or flag = 0 then power else next_p end,
+            case when flag is null then 'failed' when flag = 0 then 'found' when next_e in (1, 100) and next_p in (1, 10) then 'limit' else 'open' end, i + 1
+        from (select *, {FLAG_SQL} as flag, round_even(case when power between 1 and 10 then power - 2 * ({FLAG_SQL}) else power end, 0) as next_p,
+                     round_even(case when not power between 1 and 10 and exposure <= 100 then exposure - 10 * ({FLAG_SQL}) else exposure end, 0) as next_e from l where state = 'open' and i < 6))
+    select k, arg_max(exposure, i) as exposure, arg_max(power, i) as power, arg_max(state, i) as state from l group by k""")
+def exposure_loop(spark, sf_dir):
+    """Exposure and power stepped until the image of each supplier's camera is right."""
+    start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(50.0).alias("exposure"), F.lit(5.0).alias("power"))
+
+    def measure(rows: DataFrame) -> DataFrame:
+        seen = F.col("power") * (F.col("k") % 23)
+        flag = F.when(F.col("k") % 23 == 0, None).when(seen > 60, 1).when(seen < 40, -1).otherwise(0)
+        return rows.select("k", flag.alias("flag"))
+
+    limits = {"exposure_range": (1.0, 100.0), "power_range": (1.0, 10.0), "power_step": 2.0, "exposure_step": 10.0}
+    return exposure.adjust(start, measure, ["k"], 6, **limits)
+
+
+@_query(f"""with o as (select s_suppkey, s_suppkey % 35 * 1.0e0 as pos, -3.3e0 + i * 0.3e0 as o from supplier, range(23) r(i)), k as (select s_suppkey, count(*) as n, min(o) as lo, max(o) as hi from o where o + pos >= 0 and o + pos <= 30 group by s_suppkey)
+    select s.s_suppkey, case when k.n >= 3 then k.n end as n, case when k.n >= 3 then {r6("lo")} end as low, case when k.n >= 3 then {r6("hi")} end as high from supplier s left join k using (s_suppkey)""")
+def focus_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 35).cast("double").alias("at"), F.lit(-3.3).alias("start"), F.lit(3.3).alias("end"))
+    found = control.valid_range(rows, "at", "start", "end", 0.3)
+    return found.select("s_suppkey", F.when(F.col("offsets").isNotNull(), F.size("offsets").cast("long")).alias("n"), round6(F.array_min("offsets")).alias("low"), round6(F.array_max("offsets")).alias("high"))
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL},
+    f as (select vec_id, i, cast(embedding[i + 1] as double) as v from volumes, range(64) r(i)),
+    k as (select o.vec_id, (m.i - r.i + 64) % 64 as lag, m.v * r.v as vv from o join f m on m.vec_id = o.vec_id join f r on r.vec_id = o.reference),
+    s as (select vec_id, lag, abs(sum(vv)) as corr from k group by 1, 2)
+    select vec_id, {r6("max(corr)")} as greatest, {r6("min(corr)")} as least, {r6("sum(corr)")} as total from s group by vec_id""")
+def surface_stats(spark, sf_dir):
+    """Greatest and least value and the sum of each correlation with the reference."""
+    rows = _referenced(spark, sf_dir)
+    pairs = rows.join(rows.select(F.col("vec_id").alias("reference"), F.col("voxels").alias("ref_voxels")), "reference")
+    found = pairs.select("vec_id", register.surface(F.col("ref_voxels"), F.col("voxels"), (64,)).alias("s"))
+    return found.select("vec_id", *[round6(F.col(f"s.{c}")).alias(c) for c in ("greatest", "least", "total")])
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL},
+    f as (select vec_id, y, x, cast(embedding[(case when y = 7 then 5 else y end) * 9 + x + 1] as double) as v from volumes, range(8) a(y), range(9) b(x)),
+    k as (select o.vec_id, (m.y - r.y + 8) % 8 as dy, (m.x - r.x + 9) % 9 as dx, m.v * r.v as vv from o join f m on m.vec_id = o.vec_id join f r on r.vec_id = o.reference),
+    s as (select vec_id, dy, dx, round(abs(sum(vv)), 9) as corr from k group by 1, 2, 3),
+    b as (select *, row_number() over (partition by vec_id order by corr desc, (12 - dy) % 8, (13 - dx) % 9) as k from s)
+    select vec_id, cast(case when dy <= 4 then dy else dy - 8 end as double) as dy, cast(case when dx <= 4 then dx else dx - 9 end as double) as dx from b where k = 1""")
+def xcorr_padded(spark, sf_dir):
+    """Images of 7 by 9 pixels, reflected to 8 by 9 before they are correlated."""
+    rows = _referenced(spark, sf_dir).withColumn("voxels", F.slice("voxels", 1, 63))
+    pairs = rows.join(rows.select(F.col("vec_id").alias("reference"), F.col("voxels").alias("ref_voxels")), "reference")
+    found = pairs.select("vec_id", register.pixel_shift("pcc", F.col("ref_voxels"), F.col("voxels"), (7, 9)).alias("shift"))
+    return found.select("vec_id", F.col("shift")[0].alias("dy"), F.col("shift")[1].alias("dx"))
