@@ -1,10 +1,12 @@
 from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voxelstream.operators import control, exposure, preprocess, ring, track
+from voxelstream.operators import control, exposure, preprocess, ring, stats, track
 from voxelstream.plans import config, expand
-from voxelstream.sources import frames, sinks
+from voxelstream.sources import frames, shared, sinks
 
 
 TRACKED = {"input_channel": "BF", "tracking_channel": "BF"}
@@ -163,3 +165,76 @@ def test_refocus_timer(spark):
         if waited > 3600 and r["v"] > 250:
             last[r["p"]] = s
     assert got == want and any(d for d, _ in got.values())
+
+
+def test_unknown_positions_raise(spark):
+    known = spark.createDataFrame([("A/1/0",), ("A/2/0",)], "key string")
+    good = frames.checked_positions(spark.createDataFrame([("A/1/0", 1)], "key string, t int"), known, "key")
+    assert [tuple(r) for r in good.select("key", "t").collect()] == [("A/1/0", 1)]
+    with pytest.raises(Exception, match="unknown position"):
+        frames.checked_positions(spark.createDataFrame([("B/1/0", 1)], "key string, t int"), known, "key").collect()
+
+
+def test_shift_log_has_its_names_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    row = lambda p, t, z: spark.createDataFrame([(p, t, 0.5, 0.25, -0.125, 1.0, 2.0, z)], "position_index long, timepoint_index long, shift_z_um double, shift_y_um double, shift_x_um double, stage_x double, stage_y double, stage_z double")
+    for p, t, z in ((0, 0, 3.0), (0, 1, None), (1, 0, 4.0)):
+        sinks.write_shift_log(row(p, t, z), path)
+    lines = [r[0] for r in spark.read.text(path, recursiveFileLookup=True).collect()]
+    assert sum(line.startswith("position_index") for line in lines) == 1 and len(lines) == 4
+    assert {(r["position_index"], r["timepoint_index"], r["shift_x_um"], r["stage_z"]) for r in sinks.read_shift_log(spark, path).collect()} == {(0, 0, -0.125, 3.0), (0, 1, -0.125, None), (1, 0, -0.125, 4.0)}
+    archive = str(tmp_path / "old")
+    sinks.write_archived_log(row(0, 0, 3.0), archive)
+    sinks.write_archived_log(row(0, 1, 3.0), archive)
+    found = spark.read.option("header", True).csv(archive).orderBy("TimepointID").collect()
+    assert [(r["ShiftZ"], r["StageX"]) for r in found] == [("0.0", "1.0"), ("0.5", "1.0")]
+    sinks.write_archived_log(row(0, 2, 3.0), archive, overwrite=True)
+    assert spark.read.option("header", True).csv(archive).count() == 1
+
+
+def brute_ring(arrivals, n_slots, n_z):
+    """What a live view does, frame by frame: (whole, evicted) of each arrival, and the last whole volume."""
+    slots, out, target = {}, [], None
+    for k, (volume, z) in enumerate(arrivals):
+        evicted = 0
+        if k % n_slots in slots:
+            old = slots[k % n_slots][0]
+            slots, evicted = {s: f for s, f in slots.items() if f[0] != old}, 1
+        slots[k % n_slots] = (volume, z)
+        whole = len({f[1] for f in slots.values() if f[0] == volume}) >= n_z
+        target = volume if whole else target
+        out.append((whole, evicted))
+    return out, target, {f[0] for f in slots.values()}
+
+
+@pytest.mark.parametrize("seed,n_slots,n_z", [(0, 8, 3), (1, 5, 2), (2, 16, 4), (3, 3, 4)])
+def test_ring_against_brute_force(spark, seed, n_slots, n_z):
+    rng = np.random.default_rng(seed)
+    arrivals = [((int(rng.integers(0, 2)), int(k // 7 + rng.integers(0, 3))), int(rng.integers(0, n_z))) for k in range(150)]
+    frames_in = spark.createDataFrame([("a", 3 * k, p, t, z) for k, ((p, t), z) in enumerate(arrivals)], "c string, seq long, p long, t long, z long")
+    want, target, alive = brute_ring(arrivals, n_slots, n_z)
+    arrived = ring.slots(frames_in, ["c"], "seq", n_slots, 32)
+    assert [r["arrival"] for r in arrived.orderBy("seq").collect()] == list(range(150))
+    found = ring.generations(arrived, ["c"], ["p", "t"], n_slots, n_z).cache()
+    assert {(r["p"], r["t"]) for r in ring.live_at_end(found, ["c"]).collect()} == alive
+    follow = ring.follow_target(found, ["c"], ["p", "t"]).collect()
+    assert [(r["p"], r["t"]) for r in follow] == ([target] if target else [])
+    deaths = {r["dies"] for r in found.collect()}
+    assert [int(k in deaths) for k in range(150)] == [e for _, e in want]
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k in range(3) for v in rng.choice([0.0, 1.5, *rng.normal(size=40)], rng.integers(1, 300))] + [(9, 2.0)] * 5
+    found = stats.exact_percentiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.25, "b": 0.75, "c": 1.0}, bins=16)
+    for r in found.collect():
+        own = [v for k, v in rows if k == r["k"]]
+        assert (r["a"], r["b"], r["c"]) == pytest.approx(tuple(np.percentile(own, (25, 75, 100))))
+    assert found.count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda name: None)
+    context = SimpleNamespace(master="yarn", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_path(SimpleNamespace(sparkContext=context), "x")

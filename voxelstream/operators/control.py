@@ -101,3 +101,9 @@ def valid_range(rows: DataFrame, position: str, start: str, end: str, step: floa
     every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col(start) + i * F.lit(step))
     inside = F.filter(every, lambda o: (o + F.col(position) >= low) & (o + F.col(position) <= high))
     return rows.withColumn("offsets", F.when(F.size(inside) >= least, inside))
+
+
+def illumination_complete(illumination: DataFrame, wells: DataFrame, least_ms: float) -> DataFrame:
+    """One row: whether all exposures are above the least one, and how many wells are on one side only."""
+    above = illumination.agg(F.coalesce(F.bool_and(F.col("exposure_time_ms") > least_ms), F.lit(True)).alias("exposures_ok"))
+    return above.join(same_set(illumination, wells, "well_id"))

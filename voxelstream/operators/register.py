@@ -32,10 +32,11 @@ def _shift(method: str, shape: tuple[int, ...], ref: np.ndarray | None, mov: np.
     return [float(x) for x in found]
 
 
-def pixel_shift(method: str, ref: Column, mov: Column, shape: tuple[int, ...], maximum: float = 1.0, segmentation: dict | None = None, roi_center: dict | None = None) -> Column:
+def pixel_shift(method: str, ref: Column, mov: Column, shape: tuple[int, ...], maximum: float = 1.0, segmentation: dict | None = None, roi_center: dict | None = None, guarded: bool = False) -> Column:
     """Shift of ``mov`` against ``ref`` (flat arrays of one shape) in pixels, an array in axis order.
 
-    ``segmentation`` and ``roi_center`` are the sections of tracking settings, or parts of them.
+    ``segmentation`` and ``roi_center`` are the sections of tracking settings, or parts of them. If ``guarded``, a
+    volume that has no shift (wrong size, nothing in it) gives null, which leaves its position as it was.
     """
     if method not in METHODS:
         raise ValueError(f"unknown tracking method {method!r}")
@@ -44,8 +45,17 @@ def pixel_shift(method: str, ref: Column, mov: Column, shape: tuple[int, ...], m
     @F.pandas_udf("array<double>")
     def shift(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         volume = lambda v: None if v is None else np.asarray(v, np.float64).reshape(shape)
+
+        def one(ref, mov) -> list[float] | None:
+            try:
+                return _shift(method, shape, volume(ref), volume(mov), maximum, otsu, roi)
+            except (ValueError, TypeError, ArithmeticError, AttributeError):
+                if guarded:
+                    return None
+                raise
+
         for refs, movs in pairs:
-            yield pd.Series([_shift(method, shape, volume(r), volume(m), maximum, otsu, roi) for r, m in zip(refs, movs, strict=True)])
+            yield pd.Series([one(r, m) for r, m in zip(refs, movs, strict=True)])
 
     return shift(ref, mov)
 

@@ -692,7 +692,10 @@ def stream_live(spark, sf_dir):
     return found.withColumn("evicted", F.col("evicted").cast("int"))
 
 
-@_query()
+@_query(f"""with recursive {FRAMES_SQL}, a as (select p, seq, seq * 60.0e0 as s, v > 250 as ok from frames),
+    l as (select p, min(s) as last from a group by p
+          union all select l.p, n.s from l, lateral (select min(x.s) as s from a x where x.p = l.p and x.ok and x.s > l.last + 3600) n where n.s is not null)
+    select a.p, a.seq, coalesce(a.s - (select max(l.last) from l where l.p = a.p and l.last < a.s), 0) > 3600 as due, coalesce(a.s - (select max(l.last) from l where l.p = a.p and l.last < a.s), 0) as waited from a""")
 def stream_refocus_timer(spark, sf_dir):
     """When a refocus is due, where only successes (values above 250) start the time anew."""
     attempts = lens.frames(spark, sf_dir).select("p", "seq", (F.col("seq") * 60.0).alias("s"), (F.col("v") > 250).alias("ok"))
@@ -949,3 +952,24 @@ def xcorr_padded(spark, sf_dir):
     pairs = rows.join(rows.select(F.col("vec_id").alias("reference"), F.col("voxels").alias("ref_voxels")), "reference")
     found = pairs.select("vec_id", register.pixel_shift("pcc", F.col("ref_voxels"), F.col("voxels"), (7, 9)).alias("shift"))
     return found.select("vec_id", F.col("shift")[0].alias("dy"), F.col("shift")[1].alias("dx"))
+
+
+@_query("""
+    with i as (select c_mktsegment as well_id, min(c_acctbal) as e from customer where c_mktsegment <> 'BUILDING' group by 1), w as (select distinct c_mktsegment as well_id from customer where c_mktsegment <> 'MACHINERY')
+    select (select bool_and(e > -2000) from i) as exposures_ok, cast((select count(*) from i where well_id not in (select well_id from w)) as bigint) as only_left, cast((select count(*) from w where well_id not in (select well_id from i)) as bigint) as only_right""")
+def illumination_complete(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "well_id")
+    rows = customers.where("well_id <> 'BUILDING'").groupBy("well_id").agg(F.min("c_acctbal").alias("exposure_time_ms"))
+    return control.illumination_complete(rows, customers.where("well_id <> 'MACHINERY'"), -2000.0)
+
+
+@_query(f"""with {VOLUMES_SQL}, {ASOF_SQL} select vec_id, (vec_id % 5 = 0 and not anchor) as kept from o""")
+def shift_kept(spark, sf_dir):
+    """Volumes whose shift cannot be computed, as they are cut short, keep their position; references have no error of their own."""
+    rows = _referenced(spark, sf_dir)
+    references = rows.select(F.col("vec_id").alias("reference"), F.col("voxels").alias("ref_voxels"))
+    broken = F.when((F.col("vec_id") % 5 == 0) & ~F.col("anchor"), F.slice("voxels", 1, 60)).otherwise(F.col("voxels"))
+    shift = register.pixel_shift("pcc", F.col("ref_voxels"), broken, (SIDE,) * 3, guarded=True)
+    moved = rows.join(references, "reference").select("vec_id", shift.alias("s"))
+    place = track.corrected({a: F.lit(100.0) for a in "xyz"}, {a: F.col("s")[k] + 1000 for k, a in enumerate("zyx")})
+    return moved.select("vec_id", (place["x"] == 100).alias("kept"))
