@@ -1,4 +1,13 @@
-"""A cleaning pipeline over ``documents``: each stage is written as Parquet and read as the next one's input."""
+"""A cleaning pipeline over ``documents``: each stage is written as Parquet and read as the next one's input.
+
+Defined results: every stage but the last gives rows of its input with all their columns, whatever their names. A null
+text counts as empty. A row with a null doc_id is scored, deduplicated by its text and checked for benchmark passages
+like any other, but never leaves for being a near copy. Of exact copies the longest original stays, then the smallest
+doc_id (null last); of rows that repeat doc_id and text one stays. Of near copies (five-word shingles, Jaccard
+similarity of 0.8 or more, directly or through others) the smallest doc_id stays. A document with any benchmark window
+goes. Without labels of both kinds no document is told good from bad: all get the share of good labels (0.5 without
+any) and stay from 0.5 on. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
