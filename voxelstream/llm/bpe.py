@@ -50,8 +50,8 @@ class Bpe:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
-        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes(), CACHE_BYTES // 2)
-        self._chunks = Bounded(lambda chunk: self._whole(f" {chunk}"), CACHE_BYTES // 2)
+        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes(), CACHE_BYTES // 2)  # a kept worker also serves other stages, which need room
+        self._chunks = Bounded(lambda chunk: self._whole(f" {chunk}"), CACHE_BYTES // 6)
         self._encoder = PieceEncoder(lambda chunks: packed([self._chunks[c] for c in chunks]), lambda texts: packed([self._whole(t) for t in texts]))
 
     def fold(self, word: bytes) -> list[int]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, utf8, without
-from .tokenizing import Bounded
+from .tokenizing import CACHE_BYTES, Bounded
 
 WINDOW = 10
 SLOTS = 1 << 24  # bits of a word filter
@@ -73,7 +73,7 @@ class WordFilter:
             slot = digest(word, SEED) & last
             return bool(bits[slot >> 3] >> (slot & 7) & 1)
 
-        return Bounded(passes)
+        return Bounded(passes, CACHE_BYTES // 4)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, utf8, without
 from .components import connected_components
 from .simhash import majority
-from .tokenizing import Bounded
+from .tokenizing import CACHE_BYTES, Bounded
 from .vantage import hamming_links
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ class Shingles:
     """Sets of hashes of the word shingles of texts; ``lower`` and ``split`` of bytes know ASCII only."""
 
     def __init__(self):
-        self._words = Bounded(xxhash.xxh64_intdigest)
+        self._words = Bounded(xxhash.xxh64_intdigest, CACHE_BYTES // 4)
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.lower().split()

@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE_BYTES = 128 << 20  # bytes that a ``Bounded`` keeps, about
+CACHE_BYTES = 96 << 20  # bytes that a ``Bounded`` keeps, about
 LONGEST = 64  # characters of a key that is kept
 ENTRY = 200  # bytes of a dictionary entry with its key and value, besides characters
-BATCH_BYTES = 8 << 20  # bytes of text whose distinct pieces are found together
+BATCH_BYTES = 4 << 20  # bytes of text whose distinct pieces are found together
 
 #: Characters that are neither white space, letters nor digits, and begin no contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
