@@ -573,21 +573,25 @@ def shift_log(spark, sf_dir):
 SLOTS = 16
 RANGE = 64  # arrivals that are numbered together, so that the small tables have many ranges
 #: Generations of a volume: each begins at the first arrival that finds the one before overwritten.
-RING_SQL = f"""recursive {FRAMES_SQL}, r as (select *, row_number() over (partition by c order by seq) - 1 as arrival from frames),
+def _ring_sql(n: int) -> str:
+    return f"""recursive {FRAMES_SQL}, r as (select *, row_number() over (partition by c order by seq) - 1 as arrival from frames),
     b as (select c, p, t, min(arrival) as first from r group by c, p, t
-          union all select b.c, b.p, b.t, n.arrival from b, lateral (select min(x.arrival) as arrival from r x where x.c = b.c and x.p = b.p and x.t = b.t and x.arrival >= b.first + 16) n where n.arrival is not null),
-    m as (select b.c, b.p, b.t, b.first, r.arrival, r.z from b join r on r.c = b.c and r.p = b.p and r.t = b.t and r.arrival >= b.first and r.arrival < b.first + 16),
+          union all select b.c, b.p, b.t, n.arrival from b, lateral (select min(x.arrival) as arrival from r x where x.c = b.c and x.p = b.p and x.t = b.t and x.arrival >= b.first + {n}) n where n.arrival is not null),
+    m as (select b.c, b.p, b.t, b.first, r.arrival, r.z from b join r on r.c = b.c and r.p = b.p and r.t = b.t and r.arrival >= b.first and r.arrival < b.first + {n}),
     k as (select c, p, t, first, z, min(arrival) as arrival from m group by c, p, t, first, z),
     g as (select b.c, b.p, b.t, b.first, (select max(m.arrival) from m where m.c = b.c and m.p = b.p and m.t = b.t and m.first = b.first) as last,
           (select case when count(*) >= 4 then max(k.arrival) end from k where k.c = b.c and k.p = b.p and k.t = b.t and k.first = b.first) as completed from b)"""
 
 
-def _arrived(spark, sf_dir) -> DataFrame:
-    return ring.slots(lens.frames(spark, sf_dir), ["c"], "seq", SLOTS, RANGE)
+RING_SQL, WIDE_SQL = _ring_sql(16), _ring_sql(1024)
 
 
-def _generations(spark, sf_dir) -> DataFrame:
-    return ring.generations(_arrived(spark, sf_dir), ["c"], ["p", "t"], SLOTS, N_Z)
+def _arrived(spark, sf_dir, n_slots: int = SLOTS) -> DataFrame:
+    return ring.slots(lens.frames(spark, sf_dir), ["c"], "seq", n_slots, RANGE)
+
+
+def _generations(spark, sf_dir, n_slots: int = SLOTS) -> DataFrame:
+    return ring.generations(_arrived(spark, sf_dir, n_slots), ["c"], ["p", "t"], n_slots, N_Z)
 
 
 @_query(f"with {FRAMES_SQL} select seq, row_number() over (partition by c order by seq) - 1 as arrival, (row_number() over (partition by c order by seq) - 1) % 16 as slot from frames")
@@ -607,6 +611,12 @@ def follow_target(spark, sf_dir):
     return ring.follow_target(_generations(spark, sf_dir), ["c"], ["p", "t"])
 
 
+@_query(f"with {WIDE_SQL} select c, p, t, last as seen from (select *, row_number() over (partition by c order by last desc) as i from g where completed is not null) where i = 1")
+def follow_target_wide(spark, sf_dir):
+    """In a ring that volumes of many positions fit in."""
+    return ring.follow_target(_generations(spark, sf_dir, 1024), ["c"], ["p", "t"])
+
+
 @_query(f"""with {FRAMES_SQL}, f as (select p, t, z, c, min(seq) as first from frames where c in ('click', 'view') group by p, t, z, c)
     select p, t, z, max(first) as seen from f group by p, t, z having count(*) = 2""")
 def plane_complete(spark, sf_dir):
