@@ -20,19 +20,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, utf8, without
-from .tokenizing import CACHE_BYTES, Bounded
 
 WINDOW = 10
 SLOTS = 1 << 24  # bits of a word filter
-SEED = 42  # of Spark's xxhash64
 
 #: Bytes of words keep their place, A-Z in lower case; every other ASCII byte separates.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -58,22 +56,16 @@ class WordFilter:
     def of(cls, words: DataFrame) -> WordFilter:
         """Of a column ``word``; at most SLOTS / 64 rows reach the driver."""
         slot = F.col("slot")
-        slots = words.select(F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct()
+        slots = words.select(F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct()
         lines = slots.groupBy(F.shiftright(slot, 6).cast("int").alias("line")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         bits = np.zeros(SLOTS // 64, np.uint64)
         for line, some in lines.collect():
             bits[line] = some % 2**64
         return cls(bits)
 
-    def lookup(self) -> Bounded:
-        """word -> whether it passes."""
-        bits, digest, last = self._bits.view(np.uint8), xxhash.xxh64_intdigest, 64 * len(self._bits) - 1
-
-        def passes(word: bytes) -> bool:
-            slot = digest(word, SEED) & last
-            return bool(bits[slot >> 3] >> (slot & 7) & 1)
-
-        return Bounded(passes, CACHE_BYTES // 4)
+    def passes(self, words: list[bytes]) -> np.ndarray:
+        slots = np.fromiter(map(crc32, words), np.int64, len(words)) & (64 * len(self._bits) - 1)
+        return (self._bits.view(np.uint8)[slots >> 3] >> (slots & 7) & 1).astype(bool)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -93,11 +85,11 @@ def document_frequencies(docs: DataFrame, words: WordFilter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, passes = Counter(), shared.value.lookup().__getitem__
+        seen = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                found = set(words_of(text))
-                seen.update(compress(found, map(passes, found)))
+                found = list(set(words_of(text)))
+                seen.update(compress(found, shared.value.passes(found).tolist()))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     found = docs.select(utf8().alias("text")).mapInArrow(count, "word string, n long")
@@ -122,13 +114,12 @@ def spots(docs: DataFrame, words: WordFilter) -> DataFrame:
     spot = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.int32()), ("before", pa.int32()), ("context", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = shared.value.lookup().__getitem__
         for batch in slices(batches):
             n, found = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 n.append(len(words))
-                places = np.flatnonzero(np.fromiter(map(passes, words), bool, len(words))).tolist()
+                places = np.flatnonzero(shared.value.passes(words)).tolist()
                 found.append([{"word": words[i].decode(), "pos": i, "before": min(i, WINDOW - 1), "context": b" ".join(words[max(0, i - WINDOW + 1) : i + WINDOW]).decode()} for i in places])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(found, spot)], names=["doc_id", "hash", "n_words", "spots"])
 

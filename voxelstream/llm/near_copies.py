@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, utf8, without
 from .components import connected_components
 from .simhash import majority
-from .tokenizing import CACHE_BYTES, Bounded
 from .vantage import hamming_links
 
 SHINGLE = 5
@@ -39,25 +38,20 @@ CHUNK = 1 << 14  # counters of a row
 _ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-class Shingles:
-    """Sets of hashes of the word shingles of texts; ``lower`` and ``split`` of bytes know ASCII only."""
-
-    def __init__(self):
-        self._words = Bounded(xxhash.xxh64_intdigest, CACHE_BYTES // 4)
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        hashed = np.fromiter(map(self._words.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(words) - SHINGLE + 1)
-        mixed = np.full(n, min(len(words), SHINGLE), np.uint64)
-        for k, odd in enumerate(_ODD[: len(words)]):
-            mixed += hashed[k : k + n] * odd
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _ODD[1]
-        mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
+def shingle_set(text: bytes) -> np.ndarray:
+    """Hashes of the word shingles of a text, sorted; ``lower`` and ``split`` of bytes know ASCII only."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    mixed = np.full(n, min(len(words), SHINGLE), np.uint64)
+    for k, odd in enumerate(_ODD[: len(words)]):
+        mixed += hashed[k : k + n] * odd
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _ODD[1]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,9 +67,9 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
     schema = "chunk int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingles(), np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in slices(batches):
-            slots = np.concatenate([shingles.of(t) for t in batch.column("text").to_pylist()]) & np.uint64(SLOTS - 1)
+            slots = np.concatenate([shingle_set(t) for t in batch.column("text").to_pylist()]) & np.uint64(SLOTS - 1)
             np.add.at(counts, slots.astype(np.int64), np.uint32(1))
         parts = [(k, c.tobytes()) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["chunk", "counts"])
@@ -111,9 +105,8 @@ def shingled(docs: DataFrame) -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for batch in slices(batches):
-            sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             keys, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxhash.xxh3_64_intdigest(s.tobytes()), lambda s: majority(iter([s]))))
             firsts = [prefix(s, levels.value).tobytes() for s in sets]
             columns = [batch.column("doc_id"), batch.column("hash"), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.binary())]
@@ -210,14 +203,14 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, unpack, sets = None, np.zeros(0, np.uint64), zstandard.ZstdDecompressor().decompress, Shingles()
+    known, held, unpack = None, np.zeros(0, np.uint64), zstandard.ZstdDecompressor().decompress
     for batch in slices(batches, 64):
         a, b, texts_a, texts_b = (c.to_pylist() for c in batch.columns)
         keep = []
         for key, one, other in zip(b, texts_a, texts_b, strict=True):
             if key != known:
-                known, held = key, sets.of(unpack(other))
-            keep.append(similar(sets.of(unpack(one)), held))
+                known, held = key, shingle_set(unpack(other))
+            keep.append(similar(shingle_set(unpack(one)), held))
         kept = [[x for x, k in zip(c, keep, strict=True) if k] for c in (a, b)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in kept], names=["a", "b"])
 
