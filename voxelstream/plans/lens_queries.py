@@ -464,12 +464,40 @@ def xcorr_shift_3d(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
 
 
-@_query()
+def _blur_sql(axis: str, source: str) -> str:
+    """One axis of a blur by the weights ``gauss`` (d, w), borders reflected (0 1 2 3 -> 1, 2 and 3 before, 2, 1 and 0 beyond)."""
+    others = ", ".join(a for a in "zyx" if a != axis)
+    return f"""(select k.vec_id, {others}, o.i as {axis}, sum(k.v * g.w) as v from {source} k
+        join (select i, d, w, case when i + d < 0 then -(i + d) when i + d > 3 then 6 - (i + d) else i + d end as src from range(4) a(i), gauss) g on g.src = k.{axis}
+        join range(4) o(i) on o.i = g.i group by k.vec_id, {others}, o.i)"""
+
+
+#: Masks of volumes: rescaled, blurred with sigma 5 (cut to the volume), above the first of two Otsu thresholds.
+MASK_SQL = f"""{VOLUMES_SQL}, {{asof}}, ends as (select vec_id, min(v) as lo, max(v) as hi from voxels group by vec_id),
+    unit as (select vec_id, z, y, x, (v - lo) / (hi - lo) as v from voxels join ends using (vec_id)),
+    raw as (select d, exp(-0.5e0 * pow(d / 5.0e0, 2)) as w from range(-3, 4) r(d)), gauss as (select d, w / (select sum(w) from raw) as w from raw),
+    bz as {_blur_sql("z", "unit")}, b_y as {_blur_sql("y", "bz")}, soft as {_blur_sql("x", "b_y")},
+    span as (select vec_id, min(v) as lo, max(v) as hi from soft group by vec_id),
+    h as (select vec_id, least(floor((v - lo) / (hi - lo) * 256), 255) as bin, count(*) / 64.0e0 as p from soft join span using (vec_id) group by 1, 2),
+    cut as (select s.vec_id, k.k, coalesce(sum(h.p), 0) as w, coalesce(sum(h.p * h.bin / 255), 0) as m from span s cross join range(1, 256) k(k) left join h on h.vec_id = s.vec_id and h.bin < k.k group by 1, 2),
+    mu as (select vec_id, sum(p * bin / 255) as mu from h group by vec_id),
+    best as (select a.vec_id, max((round(pow(a.m, 2) / a.w + pow(b.m - a.m, 2) / (b.w - a.w) + pow(mu - b.m, 2) / (1 - b.w) - pow(mu, 2), 9), -a.k, -b.k)) as r
+             from cut a join cut b on a.vec_id = b.vec_id and a.k < b.k join mu on mu.vec_id = a.vec_id where a.w > 1e-10 and b.w - a.w > 1e-10 and 1 - b.w > 1e-10 group by a.vec_id),
+    mask as (select vec_id, z, y, x, cast(v > lo - r[2] * (hi - lo) / 255 as int) as v from soft join span using (vec_id) join best using (vec_id))""".format(asof=ASOF_SQL)
+
+
+@_query(f"""with {MASK_SQL},
+    k as (select o.vec_id, (m.z - r.z + 4) % 4 as dz, (m.y - r.y + 4) % 4 as dy, (m.x - r.x + 4) % 4 as dx, m.v * r.v as vv from o join mask m on m.vec_id = o.vec_id join mask r on r.vec_id = o.reference),
+    s as (select vec_id, dz, dy, dx, sum(vv) as corr from k group by 1, 2, 3, 4),
+    b as (select *, row_number() over (partition by vec_id order by corr desc, (6 - dz) % 4, (6 - dy) % 4, (6 - dx) % 4) as k from s)
+    select vec_id, cast(case when dz <= 2 then dz else dz - 4 end as double) as dz, cast(case when dy <= 2 then dy else dy - 4 end as double) as dy,
+        cast(case when dx <= 2 then dx else dx - 4 end as double) as dx from b where k = 1""")
 def otsu_pcc_shift(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "multiotsu_pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
 
 
-@_query()
+@_query(f"""with {MASK_SQL}, c as (select vec_id, """ + ", ".join(f"coalesce(avg({a}) filter (where v = 1), 0) as c_{a}" for a in "zyx") + f""" from mask group by vec_id)
+    select o.vec_id, """ + ", ".join(f"{r6(f'm.c_{a} - r.c_{a}')} as d{a}" for a in "zyx") + " from o join c m on m.vec_id = o.vec_id join c r on r.vec_id = o.reference")
 def otsu_com_shift(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "multiotsu_center_of_mass").select("vec_id", *[round6(F.col("shift")[i]).alias(f"d{a}") for i, a in enumerate("zyx")])
 
@@ -485,14 +513,6 @@ def roi_pcc_shift(spark, sf_dir):
     return _shifts(spark, sf_dir, (SIDE,) * 3, "roi_center_pcc").select("vec_id", *[F.col("shift")[i].alias(f"d{a}") for i, a in enumerate("zyx")])
 
 
-def _blur_sql(axis: str, source: str) -> str:
-    """One axis of a blur with sigma 0.5: radius 2, borders reflected (0 1 2 3 -> 1 and 2 beyond either end)."""
-    others = ", ".join(a for a in "zyx" if a != axis)
-    return f"""(select k.vec_id, {others}, o.i as {axis}, sum(k.v * g.w) as v from {source} k
-        join (select i, d, w, case when i + d < 0 then -(i + d) when i + d > 3 then 6 - (i + d) else i + d end as src from range(4) a(i), gauss) g on g.src = k.{axis}
-        join range(4) o(i) on o.i = g.i group by k.vec_id, {others}, o.i)"""
-
-
 @_query(f"""with {VOLUMES_SQL}, raw as (select d, exp(-0.5e0 * pow(d / 0.5e0, 2)) as w from range(-2, 3) r(d)), gauss as (select d, w / (select sum(w) from raw) as w from raw),
     bz as {_blur_sql("z", "voxels")}, b_y as {_blur_sql("y", "bz")}, bx as {_blur_sql("x", "b_y")} select vec_id, z * 16 + y * 4 + x as i, {r6("v")} as v from bx""")
 def gaussian_blur(spark, sf_dir):
