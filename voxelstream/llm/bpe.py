@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-A text is cut by the tokenizer's pattern. Each distinct word a worker meets is an array of bytes that is folded
-once by ranked merges: the leftmost pair of lowest rank becomes one piece, until no pair has a rank. The rank map
-(a file of bounded size) is broadcast, and ids of words are kept in a bounded cache. Decoding turns ids back into
-their binary pieces and concatenates those.
+A text is cut by the tokenizer's pattern. Each distinct word of a batch is an array of bytes that is folded once by
+ranked merges: the leftmost pair of lowest rank becomes one piece, until no pair has a rank. All words of a batch are
+folded side by side in NumPy. The rank map (a file of bounded size) is broadcast. Decoding turns ids back into their
+binary pieces and concatenates those.
 
 ``bpe_native`` has the same fold in Spark's higher-order functions.
 
@@ -17,19 +17,20 @@ import base64
 import functools
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, slices, text_or_empty
-from .tokenizing import CACHE_BYTES, Bounded, PieceEncoder, by_bytes, packed
+from .tokenizing import TAIL, Ids, PieceEncoder, by_bytes, gathered
 
-LONG = 48  # bytes from which a word is folded with a heap
+WIDTHS = (8, 12, 16, 24, 48)  # bytes of words that are folded together; longer ones are folded with a heap
+STEP = 16_384  # words folded together, at most
 NONE = 1 << 62
 
 
@@ -45,34 +46,105 @@ class Bpe:
     """Ranked merges of words, and whole texts by a pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self._pattern = ranks, regex.compile(pattern)
+        self.ranks, self._cut = ranks, regex.compile(pattern).findall
+        self._plain = pattern == public_tokenizers.PATTERN  # for which words of letters are known without a match
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
-        self._words = Bounded(lambda word: array("I", self.fold(word.encode())).tobytes(), CACHE_BYTES // 2)  # a kept worker also serves other stages, which need room
-        self._chunks = Bounded(lambda chunk: self._whole(f" {chunk}"), CACHE_BYTES // 6)
-        self._encoder = PieceEncoder(lambda chunks: packed([self._chunks[c] for c in chunks]), lambda texts: packed([self._whole(t) for t in texts]))
-
-    def fold(self, word: bytes) -> list[int]:
-        """Ids of one word."""
-        rank = self.ranks.get(word)
-        if rank is not None:
-            return [rank]
-        if len(word) > LONG:
-            return self._fold_long(word)
-        of, parts = self.ranks.get, [word[i : i + 1] for i in range(len(word))]
-        found = [of(word[i : i + 2], NONE) for i in range(len(word) - 1)]  # ranks of neighbours
-        while found and (best := min(found)) != NONE:
-            at = found.index(best)
-            one = parts[at] + parts[at + 1]
-            parts[at : at + 2] = [one]
-            del found[at]
-            if at < len(found):
-                found[at] = of(one + parts[at + 1], NONE)
-            if at:
-                found[at - 1] = of(parts[at - 1] + one, NONE)
-        return [self.ranks[p] for p in parts]
+        self._bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {(ranks[x[:i]] << 32) | ranks[x[i:]]: r for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks}
+        self._keys = np.array(sorted(pairs), np.int64)
+        self._merged = np.array([pairs[k] for k in self._keys.tolist()], np.int64)
+        self._maybe = np.zeros(1 << 22, bool)  # rules most pairs out before they are looked up
+        self._maybe[self._slot(self._keys)] = True
+        self._encoder = PieceEncoder(self._of_chunks, lambda texts: self._of_words([self._cut(t) for t in texts]))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).view(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours, NONE for those that do not merge."""
+        keys = (left << 32) | right
+        found = np.full(keys.shape, NONE)
+        places = np.flatnonzero(self._maybe[self._slot(keys)])
+        if len(places) and len(self._keys):
+            wanted = keys[places]
+            at = np.minimum(np.searchsorted(self._keys, wanted), len(self._keys) - 1)
+            real = self._keys[at] == wanted
+            found[places[real]] = self._merged[at[real]]
+        return found
+
+    def _fold(self, words: list[bytes], width: int) -> Ids:
+        """Ids of words of at most ``width`` bytes: in every step the leftmost pair of lowest rank of each word becomes one piece."""
+        n = len(words)
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        place = np.arange(width)
+        piece, alive = self._bytes[data], place < sizes[:, None]
+        after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+        rank = np.full((n, width), NONE)
+        inner = place[None, :-1] + 1 < sizes[:, None]
+        rank[:, :-1][inner] = self._rank(piece[:, :-1][inner], piece[:, 1:][inner])
+        rows = np.arange(n)
+        while len(rows):
+            held = rank[rows]
+            at = held.argmin(axis=1)
+            lowest = held[np.arange(len(rows)), at]
+            more = lowest < NONE
+            rows, at = rows[more], at[more]
+            gone = after[rows, at]
+            piece[rows, at], alive[rows, gone], rank[rows, gone] = lowest[more], False, NONE
+            then, prior = after[rows, gone], before[rows, at]
+            after[rows, at] = then
+            has_next, has_prior = then < sizes[rows], prior >= 0
+            before[rows[has_next], then[has_next]] = at[has_next]
+            rank[rows, at] = NONE
+            r, j = np.concatenate([rows[has_next], rows[has_prior]]), np.concatenate([at[has_next], prior[has_prior]])
+            rank[r, j] = self._rank(piece[r, j], piece[r, after[r, j]])
+        return piece[alive].astype(np.uint32), alive.sum(axis=1)
+
+    def fold(self, words: list[bytes]) -> Ids:
+        """Ids of words, one after the other."""
+        runs: list[tuple[np.ndarray, Ids]] = []
+        known = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        whole = np.flatnonzero(known >= 0)
+        runs.append((whole, (known[whole].astype(np.uint32), np.ones(len(whole), np.int64))))
+        sizes = np.where(known >= 0, 0, np.fromiter(map(len, words), np.int64, len(words)))
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            some = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(some), STEP):
+                part = some[at : at + STEP]
+                runs.append((part, self._fold([words[k] for k in part.tolist()], width)))
+        long = np.flatnonzero(sizes > WIDTHS[-1])
+        lists = [self._fold_long(words[k]) for k in long.tolist()]
+        runs.append((long, (np.array([i for ids in lists for i in ids], np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))))
+        order = np.concatenate([k for k, _ in runs])
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(order))
+        flat, n = (np.concatenate(x) for x in zip(*(ids for _, ids in runs), strict=True))
+        return gathered(flat, n, number), n[number]
+
+    def _of_words(self, cut: list[list[str]]) -> Ids:
+        """Ids of texts that are cut into words; each distinct word is folded once."""
+        numbers: dict[str, int] = {}
+        number = np.fromiter((numbers.setdefault(w, len(numbers)) for words in cut for w in words), np.int64)
+        flat, sizes = self.fold([w.encode() for w in numbers])
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        upto = np.append(0, np.cumsum(sizes[number]))[np.append(0, ends)]
+        return gathered(flat, sizes, number), np.diff(upto)
+
+    def _of_chunks(self, chunks: list[str]) -> Ids:
+        """Ids of " " + chunk for each: a word of letters, such a word and a tail that the pattern takes as one, or any other."""
+        cut = []
+        for chunk in chunks:
+            if self._plain and chunk.isalpha():
+                cut.append([f" {chunk}"])
+                continue
+            core = chunk.rstrip(TAIL)
+            cut.append([f" {core}", chunk[len(core) :]] if self._plain and core.isalpha() else self._cut(f" {chunk}"))
+        return self._of_words(cut)
 
     def _fold_long(self, word: bytes) -> list[int]:
         """The same merges with a heap over linked pieces, for words of any length."""
@@ -95,9 +167,6 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], end))
         return [self.ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
-    def _whole(self, text: str) -> bytes:
-        return b"".join(map(self._words.__getitem__, self._pattern.findall(text)))
-
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of whole texts."""
         flat, sizes = self._encoder.encode(texts)
@@ -109,7 +178,7 @@ class Bpe:
 
 @functools.lru_cache(maxsize=1)
 def kept_bpe(content: bytes, pattern: str) -> Bpe:
-    """The merges of a rank file; a Python worker keeps them, with the words it has folded, for its next tasks."""
+    """The merges of a rank file; a Python worker keeps them for its next tasks."""
     return Bpe(parse_ranks(content), pattern)
 
 

@@ -36,19 +36,25 @@ Ids = tuple[np.ndarray, np.ndarray]  # ids of several texts one after the other,
 
 
 class Bounded(dict):
-    """Values of texts, made by ``make`` when first asked for and kept within a number of bytes; when full it starts anew."""
+    """Values of texts, made by ``make`` when first asked for and kept within a number of bytes.
+
+    Half of the room is for what was asked for lately. When that is full it takes the place of the other half, whose
+    values come back as they are asked for again; so words that are met often stay.
+    """
 
     def __init__(self, make: Callable, limit: int = CACHE_BYTES):
         super().__init__()
-        self._make, self._limit, self._held = make, limit, 0
+        self._make, self._limit, self._held, self._older = make, limit // 2, 0, {}
 
     def __missing__(self, text):
-        value = self._make(text)
+        value = self._older.get(text)
+        if value is None:
+            value = self._make(text)
         if len(text) <= LONGEST:
             self._held += ENTRY + len(text)
             if self._held > self._limit:
+                self._older, self._held = dict(self), 0
                 self.clear()
-                self._held = 0
             self[text] = value
         return value
 
