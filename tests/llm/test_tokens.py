@@ -48,6 +48,7 @@ def test_encode_then_decode(docs, rows):
 def test_long_words(reference):
     own, rng = bpe.Bpe(bpe.read_ranks(RANKS), public.PATTERN), random.Random(3)
     texts = ["a" * 3000, "ab" * 2000, "日本語テキスト" * 50, "😀😃" * 60, *("".join(rng.choices("etaoinshé", k=200)) for _ in range(40))]
+    texts += [" ".join("".join(rng.choices("etaoinshrdlué'ñ.,-!0中\n", k=rng.randint(1, 60))) for _ in range(400)) for _ in range(8)] + ["", " ", "a"]
     assert [x.tolist() for x in own.encode(pa.array(texts))] == [reference.encode_ordinary(t) for t in texts]
 
 
