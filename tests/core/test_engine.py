@@ -115,6 +115,8 @@ def test_frames_round_trip(spark, tmp_path):
     sinks.write_frames(spark.createDataFrame(rows, frames.FRAMES), path, ["BF"], (2.0, 0.5, 0.5))
     read = frames.read_frames(spark, path).where("p = 1 and t = 1")
     assert sorted(r["pixels"][0] for r in read.collect()) == [40000, 40001, 40002]
+    found = frames.volume(frames.read_frames(spark, path), {"t": 2, "c": 1}, -1, 3, 1)
+    assert [r["pixels"][0] for r in found.collect()] == [40000, 40001, 40002]
     meta = spark.read.text(f"{path}.metadata").toDF("metadata")
     assert meta.select(frames.z_scale()).first()[0] == 2.0
     with pytest.raises(Exception, match="(?i)already exists"):
@@ -136,6 +138,8 @@ def test_preprocessing(spark):
     volumes = spark.createDataFrame([(3, 1, 2, [1.0, 10.0, 2.0, 20.0, 3.0, 30.0])], "nz int, ny int, nx int, voxels array<double>")
     flat = preprocess.pipeline(["flatfield"])(volumes).first()["voxels"]
     assert flat == pytest.approx([5.5, 5.5, 11, 11, 16.5, 16.5])
+    dark = spark.createDataFrame([(3, 1, 2, [0.0, 10.0, 0.0, 20.0, 5.0, 30.0])], volumes.schema)
+    assert preprocess.pipeline(["flatfield"])(dark).first()["voxels"] == [None, 5.0, None, 10.0, None, 15.0]
     assert preprocess.pipeline(["deskew"])(volumes).first()["nz"] == 3
     assert preprocess.pipeline(["deskew"], {"angle_degrees": 30.0, "ratio": 0.5})(volumes).first()["nx"] == 2
     with pytest.raises(ValueError):
@@ -151,6 +155,15 @@ def test_override_and_changes(spark):
     assert [(r["speed"], r["change"]) for r in found] == [(None, False), (None, False), (2.0, True), (2.0, False), (5.75, True)]
 
 
+def test_exposure_loop_ends(spark):
+    start = spark.createDataFrame([(k, 50.0, 5.0) for k in range(4)], "k int, exposure double, power double")
+    measure = lambda rows: rows.select("k", F.when(F.col("k") == 0, 0).when(F.col("k") == 1, 1).when(F.col("k") == 2, -1).alias("flag"))
+    limits = {"exposure_range": (10.0, 50.0), "power_range": (1.0, 9.0), "power_step": 4.0, "exposure_step": 10.0}
+    found = {r["k"]: (r["exposure"], r["power"], r["state"]) for r in exposure.adjust(start, measure, ["k"], 5, **limits).collect()}
+    assert found[0] == (50.0, 5.0, "found") and found[3] == (50.0, 5.0, "failed")
+    assert found[1] == (50.0, 1.0, "limit") and found[2] == (50.0, 9.0, "limit")
+
+
 def test_refocus_timer(spark):
     from voxelstream.plans import lens_queries
     from voxelstream.sources import lens
