@@ -30,7 +30,7 @@ from .common import file_bytes, slices, text_or_empty
 from .tokenizing import TAIL, Ids, PieceEncoder, by_bytes, gathered
 
 WIDTHS = (8, 12, 16, 24, 48)  # bytes of words that are folded together; longer ones are folded with a heap
-STEP = 16_384  # words folded together, at most
+STEP = 4096  # words folded together, at most
 NONE = 1 << 62
 
 

@@ -23,7 +23,7 @@ import regex
 CACHE_BYTES = 96 << 20  # bytes that a ``Bounded`` keeps, about
 LONGEST = 64  # characters of a key that is kept
 ENTRY = 200  # bytes of a dictionary entry with its key and value, besides characters
-BATCH_BYTES = 4 << 20  # bytes of text whose distinct pieces are found together
+BATCH_BYTES = 2 << 20  # bytes of text whose distinct pieces are found together
 
 #: Characters that are neither white space, letters nor digits, and begin no contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -68,6 +68,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(at, end - at)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -75,7 +76,10 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.nda
     starts, lengths = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    index = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    index += np.arange(total, dtype=kind)
+    return flat[index]
 
 
 class PieceEncoder:
