@@ -6,7 +6,7 @@ vantage-point trees of ``simhash``. That finds most copies, but sets of similari
 shingles: these have one order for all documents, common ones last, and two sets as similar as that share one of the
 first fifth (and one) of each. Which are common is counted over all documents in SLOTS counters; the order changes
 only how many candidates are compared. Pairs that meet are compared by their whole sets: fingerprint links and
-neighbours by size first, then whatever these have not yet put into one component, so that a large cluster of copies
+neighbours in a few orders first, then whatever these have not yet put into one component, so that a large cluster of copies
 is not compared pair by pair.
 
 Defined results: documents with equal sets are one (so are all texts without words); texts below five words are one
@@ -32,8 +32,9 @@ from .vantage import hamming_links
 
 SHINGLE = 5
 REACH = 3
-SLOTS = 1 << 21  # counters of shingles, by the low bits of their hashes
+SLOTS = 1 << 23  # counters of shingles, by the low bits of their hashes
 CHUNK = 1 << 14  # counters of a row
+ORDERS = 4  # orders that neighbours are taken from
 
 _ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -71,14 +72,15 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches):
             slots = np.concatenate([shingle_set(t) for t in batch.column("text").to_pylist()]) & np.uint64(SLOTS - 1)
             np.add.at(counts, slots.astype(np.int64), np.uint32(1))
-        parts = [(k, c.tobytes()) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        few = np.minimum(counts, 0xFFFF).astype(np.uint16)  # of one task
+        parts = [(k, c.tobytes()) for k, c in enumerate(few.reshape(-1, CHUNK)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in slices(batches):
             for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, np.uint32).astype(np.float64)
+                total[k] = total.get(k, 0) + np.frombuffer(counts, np.uint16).astype(np.float64)
         levels = [np.ceil(np.log2(c + 1)).astype(np.uint8).tobytes() for c in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "counts"])
 
@@ -147,36 +149,58 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
 
 def _partners(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether rows of one token can be similar sets: as many shingles can still follow as similar sets share."""
-    return (5 * n[i] >= 4 * n[j]) & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+    alike = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+    return alike & (9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j]))
+
+
+def _nearest(token: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, before, shared): rows in order, the key of the nearest partner of another root before each (its own for none), and whether it has any on either side.
+
+    The order inside a token is one of ORDERS, by the token, and others in another turn, so that a set has that many
+    neighbours in a cluster.
+    """
+    mixed = (key.view(np.uint64) ^ (token.view(np.uint64) % np.uint64(ORDERS) + np.uint64(ORDERS * turn)) * _ODD[2]) * _ODD[0]
+    order = np.lexsort((key, mixed ^ (mixed >> np.uint64(31)), token))
+    token, key, n, at, root = token[order], key[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order]
+    number = np.arange(len(token))
+    begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(begins, len(token)))
+    before, shared = key.copy(), np.zeros(len(key), bool)
+    met = number == np.repeat(begins, sizes)  # the first row of a token has none before it
+    last = np.repeat(begins + sizes - 1, sizes)
+    one_root = np.repeat(np.minimum.reduceat(root, begins) == np.maximum.reduceat(root, begins), sizes)
+    i, step = number[~one_root], 0
+    while len(i):
+        # Only rows that have met none yet, on either side, go on.
+        step += 1
+        last_open = np.repeat(np.maximum.reduceat(np.where(met, -1, number), begins), sizes)
+        i = i[i + step <= np.where(shared[i], last_open[i], last[i])]
+        j = i + step
+        near = (~met[j] | ~shared[i]) & (root[i] != root[j]) & _partners(n, at, i, j)
+        a, b = i[near], j[near]
+        first = ~met[b]
+        before[b[first]] = key[a[first]]
+        met[b] = shared[a] = shared[b] = True
+    return order, before, shared
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """TOKEN rows in order of token and size -> those that have a partner, each with the key of the nearest before it."""
+    """TOKEN rows in order of token -> those that have a partner, each with the key of the nearest before it."""
     for token, key, n, at in _whole_groups(batches):
-        wide_n, wide_at = n.astype(np.int64), at.astype(np.int64)
-        number = np.arange(len(token))
-        begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        sizes = np.diff(np.append(begins, len(token)))
-        before, shared = key.copy(), np.zeros(len(key), bool)
-        met = number == np.repeat(begins, sizes)  # the first row of a token has none before it
-        i, step = number, 0
-        while len(i):
-            # Only rows that have met none yet, on either side, go on.
-            step += 1
-            last_open = np.repeat(np.maximum.reduceat(np.where(met, -1, number), begins), sizes)
-            last = np.repeat(begins + sizes - 1, sizes)
-            i = i[i + step <= np.where(shared[i], last_open[i], last[i])]
-            i = i[5 * wide_n[i] >= 4 * wide_n[i + step]]  # sizes only grow
-            j = i + step
-            near = (~met[j] | ~shared[i]) & _partners(wide_n, wide_at, i, j)
-            a, b = i[near], j[near]
-            first = ~met[b]
-            before[b[first]] = key[a[first]]
-            met[b] = shared[a] = shared[b] = True
-        columns = [pa.array(x[shared]) for x in (token, key, n, at, before)]
+        order, before, shared = _nearest(token, key, n, at, key, 0)
+        columns = [pa.array(x[shared]) for x in (*(c[order] for c in (token, key, n, at)), before)]
         yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "at", "before"])
 
 
+def _again_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, key, n, at, root) in order of token -> pairs of neighbours of different roots, in other orders."""
+    for token, key, n, at, root in _whole_groups(batches):
+        order, before, _ = _nearest(token, key, n, at, root, 1)
+        own = key[order]
+        some = before != own
+        yield pa.RecordBatch.from_arrays([pa.array(f(before[some], own[some])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, key, n, at, root) in order of token and size -> pairs of different roots that can be similar."""
     for token, key, n, at, root in _whole_groups(batches):
@@ -229,7 +253,7 @@ def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) of the keys that have similar ones."""
     sets = found.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"))
     tokens = sets.select("key", "n", "prefix").mapInArrow(_token_rows, TOKEN)
-    ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "key")
+    ordered = tokens.repartition("token").sortWithinPartitions("token")
     shared = materialize(ordered.mapInArrow(_shared_rows, f"{TOKEN}, before long"), "shared-shingles")
     neighbours = shared.where("before <> key").select(F.least("before", "key").alias("a"), F.greatest("before", "key").alias("b"))
     first = materialize(neighbours.unionByName(fingerprint_links(sets.select("key", "fp"))).distinct(), "first-pairs")
@@ -242,11 +266,18 @@ def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
         both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(_similar_rows, "a long, b long"), name)
 
+    def rooted(stars: DataFrame) -> DataFrame:
+        own = shared.join(stars, shared.key == stars.node, "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+        return own.repartition("token").sortWithinPartitions("token", "n", "key")
+
+    def linked(stars: DataFrame, links: DataFrame) -> DataFrame:
+        return connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
     stars = materialize(connected_components(verified(first, "first-links")), "first-roots")
-    rooted = shared.join(stars, shared.key == stars.node, "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-    others = rooted.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_pair_rows, "a long, b long").distinct()
-    links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(others.join(first, ["a", "b"], "left_anti"), "others"))
-    return connected_components(links)
+    again = materialize(rooted(stars).mapInArrow(_again_rows, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    stars = materialize(linked(stars, verified(again, "second-links")), "second-roots")
+    others = rooted(stars).mapInArrow(_pair_rows, "a long, b long").distinct()
+    return linked(stars, verified(others.join(first.unionByName(again), ["a", "b"], "left_anti"), "others"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
