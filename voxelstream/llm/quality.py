@@ -155,7 +155,7 @@ def _normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> d
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 512):
             y, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             z = np.hstack([Model.features(np.array(batch.column(2).to_pylist()), mean, scale), y[:, None]])
             for k in np.unique(fold):
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "quality") -> Model:
     crossed = {k: _solve(sums[folds[1 - i]]) for i, k in enumerate(folds)}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 512):
             z, fold = Model.features(np.array(batch.column(2).to_pylist()), mean, scale), batch.column(1).to_numpy()
             raw = np.where(fold == folds[0], z @ crossed[folds[0]], z @ crossed[folds[1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(((raw + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)), pa.array(raw)], names=["y", "bin", "raw"])
@@ -209,7 +209,7 @@ def apply_model(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     out = rows.drop("__stats").schema.add("__score", DoubleType())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 256):
             scores = shared.value.score(np.array(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "__score"])
 

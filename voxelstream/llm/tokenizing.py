@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import give_back
+
 CACHE_BYTES = 96 << 20  # bytes that a ``Bounded`` keeps, about
 LONGEST = 64  # characters of a key that is kept
 ENTRY = 200  # bytes of a dictionary entry with its key and value, besides characters
@@ -68,7 +70,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(at, end - at)
-    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    give_back()
 
 
 def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
