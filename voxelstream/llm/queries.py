@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 import xxhash
 
-from . import bpe, decontamination, exact_dedup, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
+from . import bpe, centroids, decontamination, exact_dedup, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
 from .common import shared_dir, table
 
 
@@ -57,6 +57,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt="2:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
@@ -68,9 +72,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds one after the other; ids are taken as unique."""
+    parts = [
+        f"""kept as materialized (
+            select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+            where len(embedding) = {dims} and len([x for x in embedding if isfinite(x)]) = {dims})""",
+        f"""centroids0 as materialized (
+            select row_number() over (order by digest) - 1 as cluster, v as c
+            from (select sha256('2:' || vec_id) as digest, v from kept order by digest limit {k}))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""near{r} as materialized (
+            select vec_id, any_value(v) as v, min(struct_pack(distance := distance, cluster := cluster)) as best
+            from (select vec_id, v, cluster, cast(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, c)]) as bigint) as distance
+                  from kept, centroids{r})
+            group by vec_id)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""centroids{r + 1} as materialized (
+            select o.cluster, coalesce(m.c, o.c) as c
+            from centroids{r} o left join (
+                select cluster, list(mean order by place) as c
+                from (select best.cluster as cluster, place, cast(floor(sum(v[place]) / count(*)) as bigint) as mean
+                      from near{r}, (select unnest(range(1, {dims + 1})) as place) group by all) group by cluster) m using (cluster))"""
+            )
+    return f"""with {", ".join(parts)}
+        select n.vec_id, cast(best.cluster as integer) as cluster, best.distance as distance,
+               cast(sum(best.distance) over (partition by best.cluster) as bigint) as cluster_inertia,
+               cast(sum(best.distance) over () as bigint) as inertia, sha256(array_to_string(o.c, ',')) as centroid_sha256
+        from near{rounds} n join centroids{rounds} o on o.cluster = n.best.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clustering": _lloyd_sql(),
     "op7_decontamination": r"""
         with words as (
             select 'd' as kind, doc_id as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word,
