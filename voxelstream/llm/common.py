@@ -41,10 +41,10 @@ def shared_path(spark: SparkSession, name: str, kept: bool = False) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back with the same schema."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 import xxhash
 
-from . import bpe, centroids, decontamination, exact_dedup, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
+from . import alignment, bpe, centroids, decontamination, exact_dedup, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
 from .common import shared_dir, table
 
 
@@ -57,6 +57,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignments(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt="2:")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 

@@ -133,26 +133,33 @@ def packed(runs: list[bytes]) -> Ids:
 
 
 class LibraryTokenizer:
-    """A tokenizers file: ids of texts, exactly as the library gives them."""
+    """A tokenizers file: ids of texts, exactly as the library gives them.
 
-    def __init__(self, content: bytes):
+    With ``plain`` the strings of special tokens are text like any other.
+    """
+
+    def __init__(self, content: bytes, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(content.decode())
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._tokenizer.encode_special_tokens = plain
         self.size = self._tokenizer.get_vocab_size()
         settings = json.loads(content)
         pre = settings.get("pre_tokenizer") or {}
         #: Only a plain byte-level tokenizer cuts at spaces as PieceEncoder needs it.
         self.cuts_at_spaces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not settings.get("normalizer")
-        special = "|".join(regex.escape(t["content"]) for t in settings.get("added_tokens", ()))
+        special = "" if plain else "|".join(regex.escape(t["content"]) for t in settings.get("added_tokens", ()))
         self._special = regex.compile(special).search if special else lambda text: None
         self._cut, self._tokens = regex.compile(public_tokenizers.PATTERN).findall, self._tokenizer.model.tokenize
         self._words, self._chunks = Bounded(self._ids_of_word, CACHE_BYTES // 4), Bounded(self._ids_of_chunk)
         self.encode = PieceEncoder(self.of_chunks, self.of_texts).encode if self.cuts_at_spaces else lambda texts: self.of_texts(texts.to_pylist())
 
+    def vocabulary(self) -> dict[str, int]:
+        return self._tokenizer.get_vocab()
+
     def of_texts(self, texts: list[str]) -> Ids:
         return packed([array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
 
@@ -178,6 +185,6 @@ class LibraryTokenizer:
 
 
 @functools.lru_cache(maxsize=1)
-def library_tokenizer(content: bytes) -> LibraryTokenizer:
+def library_tokenizer(content: bytes, plain: bool = False) -> LibraryTokenizer:
     """The tokenizer of a file; a Python worker keeps it, with what it has learnt, for its next tasks."""
-    return LibraryTokenizer(content)
+    return LibraryTokenizer(content, plain)
