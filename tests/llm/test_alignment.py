@@ -1,6 +1,7 @@
 """Tokenizer alignment against byte intervals from the libraries' ids of whole texts."""
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 
 import public_tokenizers as P
@@ -46,10 +47,11 @@ def brute(rows):
                 links.append((a[i], b[k]))
                 k += 1
         cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups, before = [], 0
+        groups, before = [], [0, 0]
         for cut in cuts:
-            groups.append("|".join(",".join(str(i) for i, (s, _) in zip(ids, own, strict=True) if before <= s < cut) for ids, own in zip((a, b), spans, strict=True)))
-            before = cut
+            after = [bisect_left(own, (cut, 0)) for own in spans]
+            groups.append("|".join(",".join(map(str, ids[x:y])) for ids, x, y in zip((a, b), before, after, strict=True)))
+            before = after
         found.append((doc, a, b, links, ";".join(groups)))
     count = Counter(x for f in found for x in f[3])
     most = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 import xxhash
 
-from . import alignment, bpe, centroids, decontamination, exact_dedup, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
+from . import alignment, bpe, centroids, decontamination, exact_dedup, hidden_markov, quality, secrets, simhash, suffix_dedup, token_counts, token_store, toxicity
 from .common import shared_dir, table
 
 
@@ -62,6 +62,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"), a, b)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.lloyd(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt="2:")
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
