@@ -92,7 +92,19 @@ def test_transducer():
     a, b = [b"ab", b"c", b"def", b"g"], [b"a", b"bcd", b"ef", b"h"]
     own = alignment.Transducer(a, b)
     assert own.step(0, b"ab", 0) == (0, b"b") and own.step(0, b"b", 1) == (1, b"cd") and own.step(1, b"cd", 1) == (1, b"d")
-    groups, links = own.align([0, 1, 2], [0, 1, 2])
-    assert groups == [([0, 1, 2], [0, 1, 2])] and links == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2)]
-    assert own.align([3], [3]) is None and own.align([0], [0]) is None and own.align([], [0]) is None
-    assert own.align([1, 1], []) is None and own.align([], []) == ([], [])
+    assert own.align([0, 1, 2], [0, 1, 2]) == ([0, 0, 1, 2, 2], [0, 1, 1, 1, 2], [3], [3], [5])
+    assert own.align([1, 0, 0], []) is None and own.align([3], [3]) is None and own.align([0], [0]) is None and own.align([], [0]) is None
+    assert own.align([], []) == ([], [], [], [], [])
+
+
+def test_pieces_alike_with_and_without_what_is_kept(monkeypatch):
+    """Texts by pieces, in passes of any size, as whole texts."""
+    texts = ["a b, c", "it's über-ding. x", "don't <|endoftext|> a\nb .", "日本 日本 é"] * 2
+    own = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    for together, kept in ((1, 2), (3, 0), (256, 10)):
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        for text in texts:
+            pieces = own.pieces(text.split(" "))
+            whole = own.text(text)
+            assert (";".join(p[0] for p in pieces), b"".join(p[1] for p in pieces), *(sum(p[k] for p in pieces) for k in (2, 3, 4))) == whole

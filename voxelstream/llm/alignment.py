@@ -27,26 +27,46 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, materialize, text_or_empty
-from .tokenizing import BYTE_CHARACTERS, Bounded, by_bytes, gathered, library_tokenizer
+from .tokenizing import BYTE_CHARACTERS, by_bytes, gathered, library_tokenizer
 
 HOT = 65_536  # pairs that are broadcast with their counts
-TRANSITIONS = 500_000  # transitions that a worker keeps
-CACHE_BYTES = 64 << 20
+TRANSITIONS = 300_000  # transitions that a worker keeps
+BATCH_BYTES = 6 << 20  # of text whose distinct pieces are found together
+KEPT = 60_000  # pieces met lately that a worker keeps, and as many before
+TOGETHER = 256  # pieces that the transducer reads in one pass
 SHIFT = 32  # bits of the second id in a pair's key
 
 BATCH = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, n_pieces array<int>, run array<int>, n_links array<int>, links array<bigint>"
 
 
 class Transducer:
-    """Groups and links of two token sequences, whose tokens are given as their bytes by id."""
+    """Groups and links of two token sequences, whose tokens are given as their bytes by id.
+
+    A state is who leads and the bytes it leads by. States are numbered, even where the first side leads; state 0 has
+    nothing left over. Transitions are kept by state and next token.
+    """
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self._bytes = (a_bytes, b_bytes)
-        self._memo: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number: dict[tuple[int, bytes], int] = {}
+        self._states: list[tuple[int, bytes] | None] = [None, None]
+        self._next: dict[int, int] = {}
+
+    def _state(self, lead: int, residual: bytes) -> int:
+        if not residual:
+            return 0
+        if (lead, residual) not in self._number:
+            self._number[lead, residual] = len(self._states) + lead
+            self._states += [(lead, residual)] * 2
+        return self._number[lead, residual]
 
     def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
         """(who leads, what it leads by) after the other side's ``token``; None if bytes differ."""
@@ -55,47 +75,60 @@ class Transducer:
             return lead, residual[len(read) :]
         return (1 - lead, read[len(residual) :]) if read.startswith(residual) else None
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """(groups, links), or None where the sides' bytes differ."""
-        sides, at, last = (a, b), [0, 0], [0, 0]
-        groups, links, lead, residual = [], [], 0, b""
-        if len(self._memo) > TRANSITIONS:
-            self._memo.clear()
-        memo = self._memo
-        while at[0] < len(a) or at[1] < len(b):
-            if not residual:
-                if at[0] == len(a):
-                    return None
-                own = ([], [])
-                groups.append(own)
-                lead = 0
-                last[0] = a[at[0]]
-                at[0] += 1
-                own[0].append(last[0])
-                residual = self._bytes[0][last[0]]
-                continue
-            lag = 1 - lead
-            if at[lag] == len(sides[lag]):
-                return None
-            last[lag] = token = sides[lag][at[lag]]
-            at[lag] += 1
-            own[lag].append(token)
-            links.append((last[0], last[1]))
-            key = (lead, residual, token)
-            if key not in memo:
-                memo[key] = self.step(lead, residual, token)
-            if (after := memo[key]) is None:
-                return None
-            lead, residual = after
-        return None if residual else (groups, links)
-
-
-def joined(groups: list[tuple[list[int], list[int]]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-
-
-Piece = tuple[str, np.ndarray, int, int, int]  # groups, keys of the links, tokens of each side, groups' number
+    def _first(self, state: int, token: int) -> int:
+        """A transition that isn't kept yet; -1 where bytes differ."""
+        after = self.step(*self._states[state], token)
+        number = self._next[state << 17 | token] = -1 if after is None else self._state(*after)
+        return number
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int]] | None:
+        """(first ids, second ids) of the links, and where each group ends in ``a``, in ``b`` and in the links.
+
+        None where the sides' bytes differ.
+        """
+        if len(self._next) > TRANSITIONS:
+            self._clear()
+        onward, first, start, a_bytes = self._next.get, self._first, self._state, self._bytes[0]
+        left, right, ends_a, ends_b, ends = [], [], [], [], []
+        i = j = 0
+        try:
+            while i < len(a):
+                of_a = a[i]
+                i += 1
+                state, of_b = start(0, a_bytes[of_a]), -1
+                while state:
+                    if state & 1:
+                        token = of_a = a[i]
+                        i += 1
+                    else:
+                        token = of_b = b[j]
+                        j += 1
+                    left.append(of_a)
+                    right.append(of_b)
+                    after = onward(state << 17 | token)
+                    state = first(state, token) if after is None else after
+                    if state < 0:
+                        return None
+                ends_a.append(i)
+                ends_b.append(j)
+                ends.append(len(left))
+        except IndexError:  # one side ends before the other
+            return None
+        return (left, right, ends_a, ends_b, ends) if j == len(b) else None
+
+
+LEAD = "a"
+LETTERS = regex.compile(r"\p{L}+").match
+MIXED = regex.compile(r"\p{L}[^\p{L}▁]|[^\p{L}▁]\p{L}").search
+
+Piece = tuple[str, bytes, int, int, int]  # groups as text, keys of the links, tokens of each side, number of groups
+
+
+def _joined(word: Piece | None, rest: Piece | None) -> Piece | None:
+    """A word, and what follows ``LEAD`` in a piece."""
+    if word is None or rest is None:
+        return None
+    return f"{word[0]};{rest[0].partition(';')[2]}", word[1] + rest[1][8:], word[2] + rest[2] - 1, word[3] + rest[3] - 1, word[4] + rest[4] - 1
 
 
 class Aligner:
@@ -108,28 +141,73 @@ class Aligner:
         self._b = sentencepiece.SentencePieceProcessor(model_proto=b_content)
         byte_of = {chr(c): b for b, c in BYTE_CHARACTERS.items()}
         by_id = {i: piece for piece, i in self._a.vocabulary().items()}
-        self._a_bytes = [bytes(byte_of.get(c, ord(c) & 255) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
+        a_bytes = [bytes(byte_of.get(c, ord(c) & 255) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
-        self._b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self._transducer = Transducer(self._a_bytes, self._b_bytes)
-        self._pieces = Bounded(self._piece, CACHE_BYTES)
+        b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self._bytes = (a_bytes, b_bytes)
+        self._starts = tuple(np.array([x.startswith(b" ") for x in own]) for own in self._bytes)
+        self._transducer = Transducer(a_bytes, b_bytes)
+        self._known: dict[str, Piece | None] = {}
+        self._older: dict[str, Piece | None] = {}
+        self._names = [str(i) for i in range(max(map(len, self._bytes)))]
+        #: Both cut at a space that follows a non-space.
+        #: Neither has tokens of letters and what is none, so both also cut after letters; LEAD is a token by itself.
+        self._cuts_words = self._a.cuts_at_spaces and not any(not self._b.is_control(i) and not self._b.is_unknown(i) and not self._b.is_byte(i) and MIXED(p) for i, p in enumerate(pieces))
+        self._cuts_words = self._cuts_words and (own := self.text(LEAD)) is not None and own[2:] == (1, 1, 1)
         self._cuts = self._a.cuts_at_spaces and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def _aligned(self, text: str, a: list[int]) -> Piece | None:
-        spaced = f" {text}".encode()
-        if b"".join([self._a_bytes[i] for i in a]) != spaced:
-            return None
-        found = self._transducer.align(a, b := self._b.encode(text))
-        if found is None:
-            return None
-        links = np.array(found[1], np.int64).reshape(-1, 2)
-        return joined(found[0]), links[:, 0] << SHIFT | links[:, 1], len(a), len(b), len(found[0])
-
-    def _piece(self, piece: str) -> Piece | None:
-        return self._aligned(piece, self._a.of_chunks([piece])[0].tolist())
+    def _groups(self, a: list[int], b: list[int], found: tuple) -> list[str]:
+        """Each group as text."""
+        out, x, y, names = [], 0, 0, self._names
+        for end_a, end_b in zip(found[2], found[3], strict=True):
+            if end_a - x == 1 and end_b - y == 1:
+                out.append(f"{a[x]}|{b[y]}")
+            else:
+                out.append(f"{','.join([names[k] for k in a[x:end_a]])}|{','.join([names[k] for k in b[y:end_b]])}")
+            x, y = end_a, end_b
+        return out
+
+    def _together(self, pieces: list[str]) -> list[Piece | None]:
+        """Pieces without spaces and U+2581, in one pass of the transducer: no group crosses their borders."""
+        a = self._a.of_texts([f" {' '.join(pieces)}"])[0]
+        b = np.array(self._b.encode(" ".join(pieces)), np.int64)
+        heads = [np.flatnonzero(starts[ids]) for starts, ids in zip(self._starts, (a, b), strict=True)]
+        a, b = a.tolist(), b.tolist()
+        found = self._transducer.align(a, b)
+        if found is None or any(len(h) != len(pieces) for h in heads):
+            return [self.text(p) for p in pieces]
+        groups, links = self._groups(a, b, found), (np.array(found[0], np.int64) << SHIFT | np.array(found[1], np.int64)).tobytes()
+        g = [0, *np.searchsorted(found[2], [*heads[0][1:].tolist(), len(a)], "right").tolist()]
+        n_a, n_b = (np.diff(np.append(h, len(ids))).tolist() for h, ids in zip(heads, (a, b), strict=True))
+        ends = [0, *found[4]]
+        return [(";".join(groups[x:y]), links[8 * ends[x] : 8 * ends[y]], n, m, y - x) for x, y, n, m in zip(g[:-1], g[1:], n_a, n_b, strict=True)]
+
+    def pieces(self, some: list[str]) -> list[Piece | None]:
+        """Each piece aligned after a space, or None; what was met lately is kept."""
+        if len(self._known) > KEPT:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        # A word, and what follows its letters: both sides cut there. The word is ``LEAD`` where only the rest is wanted.
+        cut = [(p[: m.end()], LEAD + p[m.end() :]) if self._cuts_words and (m := LETTERS(p)) and m.end() < len(p) else (p, None) for p in some]
+        wanted = dict.fromkeys([x for pair in cut for x in pair if x is not None])
+        for p in wanted:
+            if p not in known and p in older:
+                known[p] = older[p]
+        new = [p for p in wanted if p not in known]
+        known.update(dict.fromkeys([p for p in new if "▁" in p]))
+        new = [p for p in new if "▁" not in p]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            known.update(zip(part, self._together(part), strict=True))
+        return [known[word] if rest is None else _joined(known[word], known[rest]) for word, rest in cut]
 
     def text(self, text: str) -> Piece | None:
-        return self._aligned(text, self._a.of_texts([f" {text}"])[0].tolist())
+        a, b = self._a.of_texts([f" {text}"])[0].tolist(), self._b.encode(text)
+        found = self._transducer.align(a, b)
+        if found is None or b"".join([self._bytes[0][i] for i in a]) != f" {text}".encode():
+            return None
+        links = np.array(found[0], np.int64) << SHIFT | np.array(found[1], np.int64)
+        return ";".join(self._groups(a, b, found)), links.tobytes(), len(a), len(b), len(found[2])
 
     def batch(self, texts: pa.Array) -> tuple[list[Piece | None], np.ndarray, np.ndarray]:
         """(pieces, run, n_pieces): the distinct pieces, and the numbers of those of each text in order.
@@ -143,17 +221,19 @@ class Aligner:
         alone = (length > 0) & (pc.binary_length(pc.utf8_rtrim_whitespace(found.dictionary)).to_numpy() == length) & self._cuts
         number = found.indices.to_numpy().astype(np.int64)
         whole = np.add.reduceat((~alone[number]).astype(np.int64), offsets[:-1]) > 0
+        of_whole = np.repeat(whole, np.diff(offsets))
         used = np.zeros(len(alone), bool)
-        used[number[~np.repeat(whole, np.diff(offsets))]] = True
-        pieces: list[Piece | None] = [self._pieces[p] if u else None for p, u in zip(found.dictionary.to_pylist(), used.tolist(), strict=True)]
+        used[number[~of_whole]] = True
+        some = np.flatnonzero(used).tolist()
+        distinct, pieces = found.dictionary.to_pylist(), [None] * len(alone)
+        for k, piece in zip(some, self.pieces([distinct[k] for k in some]), strict=True):
+            pieces[k] = piece
         bad = np.fromiter((p is None for p in pieces), bool, len(pieces))
-        lost = np.add.reduceat((bad[number] & ~np.repeat(whole, np.diff(offsets))).astype(np.int64), offsets[:-1]) > 0
-        keep = np.repeat(~lost & ~whole, np.diff(offsets))
+        lost = np.add.reduceat((bad[number] & ~of_whole).astype(np.int64), offsets[:-1]) > 0
         n_pieces = np.where(lost | whole, 0, np.diff(offsets))
-        heads = np.cumsum(n_pieces) - n_pieces
-        run, some = number[keep], [k for k in np.flatnonzero(whole).tolist() if texts[k].as_py()]
-        aligned = {k: p for k in some if (p := self.text(texts[k].as_py())) is not None}
-        run = np.insert(run, heads[list(aligned)], np.arange(len(pieces), len(pieces) + len(aligned)))
+        run = number[np.repeat(~lost & ~whole, np.diff(offsets))]
+        aligned = {k: p for k in np.flatnonzero(whole).tolist() if texts[k].as_py() and (p := self.text(texts[k].as_py())) is not None}
+        run = np.insert(run, (np.cumsum(n_pieces) - n_pieces)[list(aligned)], np.arange(len(pieces), len(pieces) + len(aligned)))
         n_pieces[list(aligned)] = 1
         return [*pieces, *aligned.values()], run, n_pieces
 
@@ -184,7 +264,7 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, size=BATCH_BYTES):
             own = own or aligner(*content.value)
             pieces, run, n_pieces = own.batch(batch.column("text"))
             there = np.flatnonzero(np.bincount(run, minlength=len(pieces)))
@@ -196,8 +276,8 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
             texts, ends = [pieces[k][0] for k in run.tolist()], np.cumsum(n_pieces).tolist()
             digests = [hashlib.sha256(";".join(texts[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
             links = [p[1] for p in pieces]
-            flat = np.concatenate(links) if links else np.zeros(0, np.int64)
-            yield _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)), flat])
+            flat = np.frombuffer(b"".join(links), np.int64)
+            yield _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // 8, flat])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 16 << 20, "compression": "zstd"})

@@ -61,12 +61,12 @@ class Bounded(dict):
         return value
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each has about BATCH_BYTES of text, or one row."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each has about ``size`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // BATCH_BYTES
+        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // size
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(at, end - at)
