@@ -31,13 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_bytes, materialize, text_or_empty
+from .common import file_bytes, give_back, materialize, text_or_empty
 from .tokenizing import BYTE_CHARACTERS, by_bytes, gathered, library_tokenizer
 
 HOT = 65_536  # pairs that are broadcast with their counts
-TRANSITIONS = 300_000  # transitions that a worker keeps
-BATCH_BYTES = 6 << 20  # of text whose distinct pieces are found together
-KEPT = 60_000  # pieces met lately that a worker keeps, and as many before
+TRANSITIONS = 200_000  # transitions that a worker keeps
+BATCH_BYTES = 4 << 20  # of text whose distinct pieces are found together
+KEPT = 50_000  # pieces met lately that a worker keeps, and as many before
 TOGETHER = 256  # pieces that the transducer reads in one pass
 SHIFT = 32  # bits of the second id in a pair's key
 
@@ -53,9 +53,9 @@ class Transducer:
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self._bytes = (a_bytes, b_bytes)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self._number: dict[tuple[int, bytes], int] = {}
         self._states: list[tuple[int, bytes] | None] = [None, None]
         self._next: dict[int, int] = {}
@@ -87,7 +87,7 @@ class Transducer:
         None where the sides' bytes differ.
         """
         if len(self._next) > TRANSITIONS:
-            self._clear()
+            self.forget()
         onward, first, start, a_bytes = self._next.get, self._first, self._state, self._bytes[0]
         left, right, ends_a, ends_b, ends = [], [], [], [], []
         i = j = 0
@@ -156,6 +156,11 @@ class Aligner:
         self._cuts_words = self._cuts_words and (own := self.text(LEAD)) is not None and own[2:] == (1, 1, 1)
         self._cuts = self._a.cuts_at_spaces and not any("▁" in p.lstrip("▁") for p in pieces)
 
+    def forget(self) -> None:
+        """Give up what was kept: a worker goes on to other stages."""
+        self._known, self._older = {}, {}
+        self._transducer.forget()
+
     def _groups(self, a: list[int], b: list[int], found: tuple) -> list[str]:
         """Each group as text."""
         out, x, y, names = [], 0, 0, self._names
@@ -262,25 +267,31 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     content, schema = sc.broadcast((file_bytes(a_file), file_bytes(b_file))), BATCH.split(", ")
 
+    def one(own: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces, run, n_pieces = own.batch(batch.column("text"))
+        there = np.flatnonzero(np.bincount(run, minlength=len(pieces)))
+        place = np.zeros(len(pieces), np.int64)
+        place[there] = np.arange(len(there))
+        pieces, run = [pieces[k] for k in there.tolist()], place[run]
+        numbers = np.array([p[2:] for p in pieces], np.int64).reshape(-1, 3)
+        sums = [_totals(numbers[run, k], n_pieces) for k in range(3)]
+        texts, ends = [p[0] for p in pieces], [0, *np.cumsum(n_pieces).tolist()]
+        digests = [hashlib.sha256(";".join([texts[k] for k in run[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        links = [p[1] for p in pieces]
+        flat = np.frombuffer(b"".join(links), np.int64)
+        return _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // 8, flat])
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in by_bytes(batches, size=BATCH_BYTES):
             own = own or aligner(*content.value)
-            pieces, run, n_pieces = own.batch(batch.column("text"))
-            there = np.flatnonzero(np.bincount(run, minlength=len(pieces)))
-            place = np.zeros(len(pieces), np.int64)
-            place[there] = np.arange(len(there))
-            pieces, run = [pieces[k] for k in there.tolist()], place[run]
-            numbers = np.array([p[2:] for p in pieces], np.int64).reshape(-1, 3)
-            sums = [_totals(numbers[run, k], n_pieces) for k in range(3)]
-            texts, ends = [pieces[k][0] for k in run.tolist()], np.cumsum(n_pieces).tolist()
-            digests = [hashlib.sha256(";".join(texts[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
-            links = [p[1] for p in pieces]
-            flat = np.frombuffer(b"".join(links), np.int64)
-            yield _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // 8, flat])
+            yield one(own, batch)
+        if own:
+            own.forget()
+        give_back()
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 16 << 20, "compression": "zstd"})
+    return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 4 << 20, "compression": "zstd"})
 
 
 def _lists(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
@@ -298,6 +309,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 pair, where = np.unique(links, return_inverse=True)
                 n = np.bincount(where, weights=often, minlength=len(pair)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+        give_back()
 
     found = aligned.select("run", "n_links", "links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     found = materialize(found.withColumn("b", F.col("pair").bitwiseAND((1 << SHIFT) - 1)), "pair-counts")
@@ -350,6 +362,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                 n = np.diff(np.append(first, len(pair)))
                 columns = [np.full(len(first), batch.column("batch")[row].as_py()), document[first].astype(np.int32), pair[first], n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["batch", "i", "pair", "times"])
+        give_back()
 
     rows = aligned.mapInArrow(by_document, f"batch long, {DOCUMENT}")
     rest = aligned.select("batch", "run", "n_pieces", "n_links", "links").mapInArrow(others, "batch long, i int, pair long, times long")
