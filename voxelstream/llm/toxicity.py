@@ -35,7 +35,7 @@ LEARN_ROWS = 20_000
 FEATURES = 400  # for each category
 BEGINNINGS = (4, 5, 6)  # characters of word beginnings
 LEAST_ROWS = 4  # documents that must hold a feature
-RIDGE = 3.0
+RIDGE = 8.0  # keeps weights small where labels are few
 BINS = 512
 
 #: Categories in the order of the chain: (name, label column, value that marks it).
