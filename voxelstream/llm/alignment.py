@@ -36,12 +36,15 @@ from .tokenizing import BYTE_CHARACTERS, by_bytes, gathered, library_tokenizer
 
 HOT = 65_536  # pairs that are broadcast with their counts
 TRANSITIONS = 200_000  # transitions that a worker keeps
-BATCH_BYTES = 4 << 20  # of text whose distinct pieces are found together
-KEPT = 50_000  # pieces met lately that a worker keeps, and as many before
+BATCH_BYTES = 2 << 20  # of text whose distinct pieces are found together
+KEPT = 60_000  # pieces met lately that a worker keeps, and as many before
 TOGETHER = 256  # pieces that the transducer reads in one pass
 SHIFT = 32  # bits of the second id in a pair's key
 
-BATCH = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, n_pieces array<int>, run array<int>, n_links array<int>, links array<bigint>"
+#: Of each document: id, numbers and digest, and how many pieces it has; of the batch: pieces by number one after the
+#: other, and of each distinct piece how many links it has, and these. The last four are packed: they are long.
+BATCH = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, n_pieces binary, run binary, n_links binary, links binary"
+PACKED = {"n_pieces": np.int32, "run": np.int32, "n_links": np.int32, "links": np.int64}
 
 
 class Transducer:
@@ -257,9 +260,15 @@ def _totals(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _one_row(schema: list[str], columns: list) -> pa.RecordBatch:
-    kinds = {"array<bigint>": pa.int64(), "array<int>": pa.int32(), "array<string>": pa.string()}
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c, kinds[f.split()[1]])) for f, c in zip(schema, columns, strict=True)]
-    return pa.RecordBatch.from_arrays(lists, names=[f.split()[0] for f in schema])
+    """A row of these values, lists or packed."""
+    kinds, cells = {"array<bigint>": pa.int64(), "array<string>": pa.string()}, []
+    for (name, kind), column in zip(map(str.split, schema), columns, strict=True):
+        if name in PACKED:
+            cells.append(pa.array([column.astype(PACKED[name]).tobytes()], pa.binary()))
+        else:
+            values = column if isinstance(column, pa.Array) else pa.array(column, kinds[kind])
+            cells.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+    return pa.RecordBatch.from_arrays(cells, names=[f.split()[0] for f in schema])
 
 
 def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
@@ -291,11 +300,11 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         give_back()
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 4 << 20, "compression": "zstd"})
+    return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false", "compression": "zstd"})
 
 
-def _lists(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
-    return [batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in names]
+def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(batch.column(n)[row].as_buffer(), PACKED[n]) for n in names]
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -304,7 +313,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_links, links = _lists(batch, row, "run", "n_links", "links")
+                run, n_links, links = _unpacked(batch, row, "run", "n_links", "links")
                 often = np.repeat(np.bincount(run, minlength=len(n_links)), n_links)
                 pair, where = np.unique(links, return_inverse=True)
                 n = np.bincount(where, weights=often, minlength=len(pair)).astype(np.int64)
@@ -339,7 +348,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_pieces, n_links, links = _lists(batch, row, "run", "n_pieces", "n_links", "links")
+                run, n_pieces, n_links, links = _unpacked(batch, row, "run", "n_pieces", "n_links", "links")
                 _, n, best = looked_up(links)
                 sums = [_totals(_totals(x, n_links)[run], n_pieces) for x in (np.ones(len(links), np.int64), best, n)]
                 own = [batch.column(c)[row].values for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")]
@@ -351,7 +360,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_pieces, n_links, links = _lists(batch, row, "run", "n_pieces", "n_links", "links")
+                run, n_pieces, n_links, links = _unpacked(batch, row, "run", "n_pieces", "n_links", "links")
                 rare = ~looked_up(links)[0]
                 sizes = _totals(rare.astype(np.int64), n_links)
                 document = np.repeat(np.repeat(np.arange(len(n_pieces)), n_pieces), sizes[run])
