@@ -26,8 +26,13 @@ def histogram(voxels: DataFrame, keys: list[str], value: str, bins: int = 256) -
 
 def percentile_by_histogram(voxels: DataFrame, keys: list[str], value: str, percent: float, bins: int = 256) -> DataFrame:
     """keys, percentile: the upper edge of the first bin whose cumulative share reaches ``percent``; the value if constant."""
+    return percentile_of_histogram(histogram(voxels, keys, value, bins), keys, percent, bins)
+
+
+def percentile_of_histogram(h: DataFrame, keys: list[str], percent: float, bins: int = 256) -> DataFrame:
+    """``percentile_by_histogram`` of a ``histogram``."""
     up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    shares = histogram(voxels, keys, value, bins).withColumn("share", F.sum("n").over(up_to) / F.sum("n").over(Window.partitionBy(*keys)))
+    shares = h.withColumn("share", F.sum("n").over(up_to) / F.sum("n").over(Window.partitionBy(*keys)))
     found = shares.where(F.col("share") >= percent / 100).groupBy(*keys, "lo", "hi").agg(F.min("bin").alias("bin"))
     edge = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins)
     return found.select(*keys, edge.alias("percentile"))

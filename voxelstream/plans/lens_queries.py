@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import round6
-from ..operators import control, exposure, register, ring, stats, track
+from ..operators import control, exposure, register, ring, stats, tiles, track
 from ..sources import frames as fr
 from ..sources import lens, sinks
 from ..sources.lens import N_Z, SIDE, table
@@ -1003,3 +1003,64 @@ def shift_kept(spark, sf_dir):
     moved = rows.join(references, "reference").select("vec_id", shift.alias("s"))
     place = track.corrected({a: F.lit(100.0) for a in "xyz"}, {a: F.col("s")[k] + 1000 for k, a in enumerate("zyx")})
     return moved.select("vec_id", (place["x"] == 100).alias("kept"))
+
+
+# --- tiles -----------------------------------------------------------------------------------------------
+
+TILE = (3, 4, 4)  # of volumes of 4 x 4 x 4: two, of different sizes
+TILED_SHAPE = (SIDE,) * 3
+
+
+def _tiles(spark, sf_dir) -> DataFrame:
+    return tiles.from_voxels(lens.voxels(spark, sf_dir), "vec_id", TILED_SHAPE, TILE)
+
+
+def _tile_pairs(spark, sf_dir) -> DataFrame:
+    return _referenced(spark, sf_dir).select(F.col("vec_id").alias("pair"), "reference", F.col("vec_id").alias("moving"))
+
+
+@_query(ORACLE_SQL["xcorr_shift_3d"])
+def xcorr_tiled(spark, sf_dir):
+    """Shifts of volumes in tiles, by spectra of planes and of columns."""
+    return tiles.shifts(_tiles(spark, sf_dir), _tile_pairs(spark, sf_dir), "vec_id", TILED_SHAPE).withColumnRenamed("pair", "vec_id")
+
+
+@_query(ORACLE_SQL["xcorr_padded"])
+def xcorr_padded_tiled(spark, sf_dir):
+    """Planes of 7 by 9 pixels in tiles of 4 by 5, reflected to 8 by 9 before they are correlated."""
+    cells = lens.volumes(spark, sf_dir).select("vec_id", F.posexplode(F.slice("voxels", 1, 63)).alias("i", "v"))
+    long = cells.select("vec_id", F.lit(0).alias("z"), F.floor(F.col("i") / F.lit(9)).alias("y"), F.pmod("i", F.lit(9)).alias("x"), "v")
+    cut = tiles.from_voxels(long, "vec_id", (1, 7, 9), (1, 4, 5))
+    return tiles.shifts(cut, _tile_pairs(spark, sf_dir), "vec_id", (1, 7, 9)).select(F.col("pair").alias("vec_id"), "dy", "dx")
+
+
+@_query(ORACLE_SQL["gaussian_blur"])
+def blur_tiled(spark, sf_dir):
+    """A blur of tiles that exchange their borders; its radius reaches over a whole tile."""
+    soft = tiles.to_voxels(tiles.blurred(_tiles(spark, sf_dir), "vec_id", TILED_SHAPE, TILE, 0.5), "vec_id")
+    return soft.select("vec_id", (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).alias("i"), round6(F.col("v")).alias("v"))
+
+
+@_query(f"with {MASK_SQL} select vec_id, z, y, x, v from mask")
+def mask_tiled(spark, sf_dir):
+    """Masks of tiles, by the Otsu thresholds of their volume's histogram."""
+    mask = tiles.to_voxels(tiles.masks(_tiles(spark, sf_dir), "vec_id", TILED_SHAPE, TILE, 5.0, 0), "vec_id")
+    return mask.select("vec_id", "z", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+def _by_settings(method: str, like: str, places: int | None = None, **sections):
+    """A query that shifts tiles by checked settings which name the method; its rows are those of the query ``like``."""
+
+    def query(spark, sf_dir):
+        tracking = checked("dynatrack", {"input_channel": "BF", "tracking_channel": "BF", "tracking_method": method, **sections})
+        found = tiles.settings_shifts(_tiles(spark, sf_dir), _tile_pairs(spark, sf_dir), "vec_id", TILED_SHAPE, TILE, tracking)
+        return found.select(F.col("pair").alias("vec_id"), *[(round6(F.col(f"d{a}")) if places else F.col(f"d{a}")).alias(f"d{a}") for a in "zyx"])
+
+    query.__name__, query.__doc__ = f"settings_{method}", f"Shifts by settings of the method {method}."
+    _query(ORACLE_SQL[like])(query)
+
+
+_by_settings("pcc", "xcorr_shift_3d")
+_by_settings("multiotsu_pcc", "otsu_pcc_shift")
+_by_settings("multiotsu_center_of_mass", "otsu_com_shift", 6)
+_by_settings("roi_center_pcc", "roi_pcc_shift")
