@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,30 @@ from .tokenizing import BYTE_CHARACTERS, by_bytes, gathered, library_tokenizer
 
 HOT = 65_536  # pairs that are broadcast with their counts
 TRANSITIONS = 200_000  # transitions that a worker keeps
-BATCH_BYTES = 2 << 20  # of text whose distinct pieces are found together
+BATCH_BYTES = 256 << 10  # of text whose distinct pieces are found together
 KEPT = 60_000  # pieces met lately that a worker keeps, and as many before
 TOGETHER = 256  # pieces that the transducer reads in one pass
-SHIFT = 32  # bits of the second id in a pair's key
 
 #: Of each document: id, numbers and digest, and how many pieces it has; of the batch: pieces by number one after the
 #: other, and of each distinct piece how many links it has, and these. The last four are packed: they are long.
 BATCH = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, n_pieces binary, run binary, n_links binary, links binary"
-PACKED = {"n_pieces": np.int32, "run": np.int32, "n_links": np.int32, "links": np.int64}
+PACKED = {"n_pieces": np.int32, "run": np.int32, "n_links": np.int32}
+
+
+@dataclass
+class Keys:
+    """How a pair of ids is written as one number: the second id takes ``shift`` bits, all of it a ``kind``."""
+
+    shift: int
+    kind: str
+
+    @staticmethod
+    def of(n_a: int, n_b: int) -> Keys:
+        a, b = ((n - 1).bit_length() for n in (n_a, n_b))
+        return Keys(b, "<u4" if a + b <= 32 else "<i8")
+
+    def packed(self, left: list[int], right: list[int]) -> bytes:
+        return (np.array(left, np.int64) << self.shift | np.array(right, np.int64)).astype(self.kind).tobytes()
 
 
 class Transducer:
@@ -127,11 +143,11 @@ MIXED = regex.compile(r"\p{L}[^\p{L}▁]|[^\p{L}▁]\p{L}").search
 Piece = tuple[str, bytes, int, int, int]  # groups as text, keys of the links, tokens of each side, number of groups
 
 
-def _joined(word: Piece | None, rest: Piece | None) -> Piece | None:
-    """A word, and what follows ``LEAD`` in a piece."""
+def _joined(word: Piece | None, rest: Piece | None, wide: int) -> Piece | None:
+    """A word, and what follows ``LEAD`` in a piece; a link takes ``wide`` bytes."""
     if word is None or rest is None:
         return None
-    return f"{word[0]};{rest[0].partition(';')[2]}", word[1] + rest[1][8:], word[2] + rest[2] - 1, word[3] + rest[3] - 1, word[4] + rest[4] - 1
+    return f"{word[0]};{rest[0].partition(';')[2]}", word[1] + rest[1][wide:], word[2] + rest[2] - 1, word[3] + rest[3] - 1, word[4] + rest[4] - 1
 
 
 class Aligner:
@@ -150,6 +166,7 @@ class Aligner:
         self._bytes = (a_bytes, b_bytes)
         self._starts = tuple(np.array([x.startswith(b" ") for x in own]) for own in self._bytes)
         self._transducer = Transducer(a_bytes, b_bytes)
+        self.keys = Keys.of(len(a_bytes), len(b_bytes))
         self._known: dict[str, Piece | None] = {}
         self._older: dict[str, Piece | None] = {}
         self._names = [str(i) for i in range(max(map(len, self._bytes)))]
@@ -184,11 +201,11 @@ class Aligner:
         found = self._transducer.align(a, b)
         if found is None or any(len(h) != len(pieces) for h in heads):
             return [self.text(p) for p in pieces]
-        groups, links = self._groups(a, b, found), (np.array(found[0], np.int64) << SHIFT | np.array(found[1], np.int64)).tobytes()
+        groups, links, wide = self._groups(a, b, found), self.keys.packed(found[0], found[1]), np.dtype(self.keys.kind).itemsize
         g = [0, *np.searchsorted(found[2], [*heads[0][1:].tolist(), len(a)], "right").tolist()]
         n_a, n_b = (np.diff(np.append(h, len(ids))).tolist() for h, ids in zip(heads, (a, b), strict=True))
         ends = [0, *found[4]]
-        return [(";".join(groups[x:y]), links[8 * ends[x] : 8 * ends[y]], n, m, y - x) for x, y, n, m in zip(g[:-1], g[1:], n_a, n_b, strict=True)]
+        return [(";".join(groups[x:y]), links[wide * ends[x] : wide * ends[y]], n, m, y - x) for x, y, n, m in zip(g[:-1], g[1:], n_a, n_b, strict=True)]
 
     def pieces(self, some: list[str]) -> list[Piece | None]:
         """Each piece aligned after a space, or None; what was met lately is kept."""
@@ -207,15 +224,15 @@ class Aligner:
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
             known.update(zip(part, self._together(part), strict=True))
-        return [known[word] if rest is None else _joined(known[word], known[rest]) for word, rest in cut]
+        wide = np.dtype(self.keys.kind).itemsize
+        return [known[word] if rest is None else _joined(known[word], known[rest], wide) for word, rest in cut]
 
     def text(self, text: str) -> Piece | None:
         a, b = self._a.of_texts([f" {text}"])[0].tolist(), self._b.encode(text)
         found = self._transducer.align(a, b)
         if found is None or b"".join([self._bytes[0][i] for i in a]) != f" {text}".encode():
             return None
-        links = np.array(found[0], np.int64) << SHIFT | np.array(found[1], np.int64)
-        return ";".join(self._groups(a, b, found)), links.tobytes(), len(a), len(b), len(found[2])
+        return ";".join(self._groups(a, b, found)), self.keys.packed(found[0], found[1]), len(a), len(b), len(found[2])
 
     def batch(self, texts: pa.Array) -> tuple[list[Piece | None], np.ndarray, np.ndarray]:
         """(pieces, run, n_pieces): the distinct pieces, and the numbers of those of each text in order.
@@ -263,8 +280,8 @@ def _one_row(schema: list[str], columns: list) -> pa.RecordBatch:
     """A row of these values, lists or packed."""
     kinds, cells = {"array<bigint>": pa.int64(), "array<string>": pa.string()}, []
     for (name, kind), column in zip(map(str.split, schema), columns, strict=True):
-        if name in PACKED:
-            cells.append(pa.array([column.astype(PACKED[name]).tobytes()], pa.binary()))
+        if kind == "binary":
+            cells.append(pa.array([column if isinstance(column, bytes) else column.astype(PACKED[name]).tobytes()], pa.binary()))
         else:
             values = column if isinstance(column, pa.Array) else pa.array(column, kinds[kind])
             cells.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
@@ -286,9 +303,8 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
         sums = [_totals(numbers[run, k], n_pieces) for k in range(3)]
         texts, ends = [p[0] for p in pieces], [0, *np.cumsum(n_pieces).tolist()]
         digests = [hashlib.sha256(";".join([texts[k] for k in run[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        links = [p[1] for p in pieces]
-        flat = np.frombuffer(b"".join(links), np.int64)
-        return _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // 8, flat])
+        links, wide = [p[1] for p in pieces], np.dtype(own.keys.kind).itemsize
+        return _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // wide, b"".join(links)])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -303,25 +319,25 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     return materialize(typed.mapInArrow(align, BATCH).withColumn("batch", F.monotonically_increasing_id()), "aligned", **{"parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false", "compression": "zstd"})
 
 
-def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(batch.column(n)[row].as_buffer(), PACKED[n]) for n in names]
+def _unpacked(batch: pa.RecordBatch, row: int, keys: Keys, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(batch.column(n)[row].as_buffer(), PACKED.get(n, keys.kind)) for n in names]
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(aligned: DataFrame, keys: Keys) -> DataFrame:
     """(pair, n, best): how many links hold each pair, and whether none of its second id has more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_links, links = _unpacked(batch, row, "run", "n_links", "links")
+                run, n_links, links = _unpacked(batch, row, keys, "run", "n_links", "links")
                 often = np.repeat(np.bincount(run, minlength=len(n_links)), n_links)
                 pair, where = np.unique(links, return_inverse=True)
                 n = np.bincount(where, weights=often, minlength=len(pair)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n)], names=["pair", "n"])
         give_back()
 
     found = aligned.select("run", "n_links", "links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = materialize(found.withColumn("b", F.col("pair").bitwiseAND((1 << SHIFT) - 1)), "pair-counts")
+    found = materialize(found.withColumn("b", F.col("pair").bitwiseAND((1 << keys.shift) - 1)), "pair-counts")
     most = found.groupBy("b").agg(F.max("n").alias("most"))
     return found.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -329,10 +345,19 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 DOCUMENT = "i int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
 
 
+def _keys(a_file: str, b_file: str) -> Keys:
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    n_a = max(Tokenizer.from_str(file_bytes(a_file).decode()).get_vocab().values()) + 1
+    return Keys.of(n_a, sentencepiece.SentencePieceProcessor(model_proto=file_bytes(b_file)).get_piece_size())
+
+
 def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 for each document."""
     sc, aligned = docs.sparkSession.sparkContext, aligned_batches(docs, a_file, b_file)
-    counts = materialize(pair_counts(aligned), "best-pairs")
+    keys = _keys(a_file, b_file)
+    counts = materialize(pair_counts(aligned, keys), "best-pairs")
     top = counts.orderBy(F.desc("n"), "pair").limit(HOT).toArrow().sort_by("pair")
     hot = sc.broadcast([top.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")])
 
@@ -348,7 +373,7 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_pieces, n_links, links = _unpacked(batch, row, "run", "n_pieces", "n_links", "links")
+                run, n_pieces, n_links, links = _unpacked(batch, row, keys, "run", "n_pieces", "n_links", "links")
                 _, n, best = looked_up(links)
                 sums = [_totals(_totals(x, n_links)[run], n_pieces) for x in (np.ones(len(links), np.int64), best, n)]
                 own = [batch.column(c)[row].values for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")]
@@ -360,11 +385,11 @@ def alignments(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                run, n_pieces, n_links, links = _unpacked(batch, row, "run", "n_pieces", "n_links", "links")
+                run, n_pieces, n_links, links = _unpacked(batch, row, keys, "run", "n_pieces", "n_links", "links")
                 rare = ~looked_up(links)[0]
                 sizes = _totals(rare.astype(np.int64), n_links)
                 document = np.repeat(np.repeat(np.arange(len(n_pieces)), n_pieces), sizes[run])
-                pair = gathered(links[rare], sizes, run)
+                pair = gathered(links[rare], sizes, run).astype(np.int64)
                 order = np.lexsort((pair, document))
                 document, pair = document[order], pair[order]
                 first = np.flatnonzero(np.append(True, (document[1:] != document[:-1]) | (pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
