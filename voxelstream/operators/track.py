@@ -69,6 +69,20 @@ def latest(store: DataFrame, version: str) -> DataFrame:
     return store.groupBy("p").agg(F.max_by(F.struct("x", "y", "z"), version).alias("_s")).select("p", "_s.*")
 
 
+def positions_before(events: DataFrame, updates: DataFrame, p: str, t: str, value: str) -> DataFrame:
+    """Events with ``value`` as the latest update of an earlier timepoint left it; null without any.
+
+    The barrier of timepoints: what timepoint t leads to is seen from t + 1 on, never inside t. The window holds one
+    row for each timepoint of a position, however many events it has; those meet it by position and timepoint.
+    """
+    latest_of_t = updates.groupBy(p, t).agg(F.max(value).alias("_u"))
+    moments = events.select(p, t).distinct().withColumn("_event", F.lit(True))
+    both = moments.unionByName(latest_of_t.withColumn("_event", F.lit(False)), allowMissingColumns=True)
+    earlier = Window.partitionBy(p).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_seen", F.last("_u", ignorenulls=True).over(earlier)).where("_event").select(p, t, F.col("_seen").alias(value))
+    return events.join(seen, [p, t], "left")
+
+
 def override_positions(events: DataFrame, store: DataFrame, z_device: str | None = None) -> DataFrame:
     """Event coordinates from the position store; unknown positions keep the event's own.
 

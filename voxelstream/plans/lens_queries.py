@@ -17,7 +17,7 @@ from ..sources import frames as fr
 from ..sources import lens, sinks
 from ..sources.lens import N_Z, SIDE, table
 from ..sources.shared import shared_path
-from ..streaming import assemble
+from ..streaming import assemble, positions
 from . import expand
 from .config import checked
 
@@ -666,11 +666,18 @@ def ring_rows(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------------------------
 
 
-def _run_stream(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _run_stream(spark: SparkSession, rows: DataFrame, schema: str, provider: str | None = None) -> DataFrame:
     """Run a stream over all there is into the shared folder, and read what it wrote."""
-    path = shared_path(spark, "stream")
-    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
-    query.awaitTermination()
+    path, before = shared_path(spark, "stream"), spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, provider or before)
+    try:
+        query = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
@@ -708,7 +715,7 @@ _TRACK_LIMIT = {a: LIMIT_SQL[a].replace(f"d_{a}", f"(a.d_{a} - b.d_{a})") for a
 def stream_track(spark, sf_dir):
     """Positions followed by the stream: shifts of centres, limited, dampened, in stage axes, on tracked timepoints."""
     centres = _centre_shifts(spark, sf_dir).select("vec_id", "p", "t", *[f"c_{a}" for a in "zyx"])
-    stream = assemble.tracked(_streamed(spark, centres, "centres"), checked("dynatrack", TRACKED), SCALE, {"x": 100.0, "y": 50.0, "z": 10.0}, None)
+    stream = assemble.tracked(_streamed(spark, centres, "centres"), checked("dynatrack", TRACKED), SCALE, {"x": 100.0, "y": 50.0, "z": 10.0})
     found = _run_stream(spark, stream, assemble.TRACK)
     return found.select("p", "t", "reference", "tracked", *[round6(F.col(c)).alias(c) for c in ("shift_z", "shift_y", "shift_x", "x", "y", "z")])
 
@@ -718,7 +725,7 @@ def stream_track(spark, sf_dir):
 def stream_live(spark, sf_dir):
     """What the live view's stream makes of each arrival: whether its volume is whole, and whether it drops another."""
     stream = _streamed(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "frames")
-    found = _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z, None), assemble.LIVE)
+    found = _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z), assemble.LIVE)
     return found.withColumn("evicted", F.col("evicted").cast("int"))
 
 
@@ -729,7 +736,7 @@ def stream_live(spark, sf_dir):
 def stream_refocus_timer(spark, sf_dir):
     """When a refocus is due, where only successes (values above 250) start the time anew."""
     attempts = lens.frames(spark, sf_dir).select("p", "seq", (F.col("seq") * 60.0).alias("s"), (F.col("v") > 250).alias("ok"))
-    return _run_stream(spark, assemble.refocus_timer(_streamed(spark, attempts, "attempts"), 3600.0, None), assemble.TIMER)
+    return _run_stream(spark, assemble.refocus_timer(_streamed(spark, attempts, "attempts"), 3600.0), assemble.TIMER)
 
 
 # --- replay selection ------------------------------------------------------------------------------------
@@ -1064,3 +1071,50 @@ _by_settings("pcc", "xcorr_shift_3d")
 _by_settings("multiotsu_pcc", "otsu_pcc_shift")
 _by_settings("multiotsu_center_of_mass", "otsu_com_shift", 6)
 _by_settings("roi_center_pcc", "roi_pcc_shift")
+
+
+# --- positions by one stream -----------------------------------------------------------------------------
+
+FOLLOWED = {
+    "input_channel": "BF",
+    "tracking_channel": "BF",
+    "tracking_method": "pcc",
+    "reference_update_interval": INTERVAL,
+    "tracking_interval": 2,
+    "shift": {"limits": {"z": (0.1, 3.0), "y": (0.6, 0.9), "x": (0.1, 5.0)}, "dampening": [0.5, 0.25, 0.1]},
+    "image_to_stage_matrix_xyz": MATRIX,
+}
+_PEAKS_SQL = ORACLE_SQL["xcorr_shift_3d"]
+_FOLLOW_UM = {
+    a: f"case when abs(d{a} * {SCALE[a]}e0) < {low}e0 then 0 when abs(d{a} * {SCALE[a]}e0) > {high}e0 then sign(d{a}) * {high}e0 else d{a} * {SCALE[a]}e0 end * {damp}e0"
+    for (a, (low, high)), damp in zip(FOLLOWED["shift"]["limits"].items(), FOLLOWED["shift"]["dampening"], strict=True)
+}
+
+
+@_query(_PEAKS_SQL[: _PEAKS_SQL.rindex("select vec_id, cast(case")].rstrip() + f""",
+    d as ({_PEAKS_SQL[_PEAKS_SQL.rindex("select vec_id, cast(case"):]}),
+    u as (select o.p, o.t, o.vec_id * 4 + 3 as seq, o.reference * 4 + 3 as reference, case when anchor then 'anchor' when o.t % 2 = 0 then 'update' else 'rest' end as action,
+                 """ + ", ".join(f"case when not anchor and o.t % 2 = 0 then {_FOLLOW_UM[a]} else 0 end as s_{a}" for a in "zyx") + """ from o join d using (vec_id)),
+    w as (select *, case when action <> 'rest' then t end as moved from u),
+    l as (select *, last_value(moved ignore nulls) over (partition by p order by t rows between unbounded preceding and current row) as since from w)
+    select l.p, l.t, l.seq, l.action, l.reference, """ + ", ".join(f"{r6(f'l.s_{a}')} as shift_{a}" for a in "zyx") + f""",
+        {r6("l.p * 100 + l.since + m.s_y")} as x, {r6("l.p * 50.0 - m.s_x")} as y, {r6("10 - m.s_z")} as z
+    from l join u m on m.p = l.p and m.t = l.since""")
+def stream_positions(spark, sf_dir):
+    """Planes that come one by one, counted into stacks and registered, to positions: one state machine each."""
+    planes = lens.voxels(spark, sf_dir).groupBy("vec_id", "p", "t", "z").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("cells"))
+    stage = {"x": F.col("p") * 100.0 + F.col("t"), "y": F.col("p") * 50.0, "z_stage": F.lit(10.0)}
+    frames = planes.select("p", "t", "z", (F.col("vec_id") * 4 + F.col("z")).alias("seq"), F.col("cells.v").alias("data"), *[c.alias(n) for n, c in stage.items()])
+    stream = positions.follow(_streamed(spark, frames, "planes"), checked("dynatrack", FOLLOWED), SCALE, TILED_SHAPE)
+    found = _run_stream(spark, stream, positions.UPDATES, positions.PROVIDER)
+    return found.select("p", "t", "seq", "action", "reference", *[round6(F.col(c)).alias(c) for c in ("shift_z", "shift_y", "shift_x", "x", "y", "z")])
+
+
+@_query(f"""with {VOLUMES_SQL}, u as (select p, t, vec_id as version, 100.0e0 * p + t as x from volumes where t % 3 = 0),
+    e as (select p, t, x from (select o_custkey % 10 as p, o_orderkey % 40 as t, o_orderkey as x from orders))
+    select e.p, e.t, e.x as event, (select arg_max(u.x, u.t) from u where u.p = e.p and u.t < e.t) as x_pos from e""")
+def position_barrier(spark, sf_dir):
+    """Events with the position that earlier timepoints led to; what their own timepoint led to isn't visible yet."""
+    updates = lens.volumes(spark, sf_dir).where("t % 3 = 0").select("p", "t", (F.col("p") * 100.0 + F.col("t")).alias("x"))
+    events = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("p"), (F.col("o_orderkey") % 40).alias("t"), F.col("o_orderkey").alias("event"))
+    return track.positions_before(events, updates, "p", "t", "x").select("p", "t", "event", F.col("x").alias("x_pos"))

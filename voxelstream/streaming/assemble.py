@@ -1,8 +1,9 @@
 """Structured Streaming: stacks from frames, corrected positions from stacks, and a live ring of volumes.
 
-State is kept per key: counts and arrivals for stacks, the reference's volume id and last coordinates for tracking.
-Stacks close by count, as frames may come in any order and late ones always count; stacks that stay open are dropped
-after ``ttl_ms`` of processing time, so that skipped stacks do not pile up.
+State is kept per key: arrivals and values of the open stack, the reference's volume id and last coordinates for
+tracking. Stacks close by count, as frames may come in any order and late ones always count; a stack that stays open is
+dropped after ``ttl_ms`` of processing time, so that skipped stacks do not pile up. Nothing else expires: counters,
+references, coordinates and rings stay.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,6 +24,7 @@ def _timeout(ttl_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
+NO_LIMIT = GroupStateTimeout.NoTimeout
 STACK = "p long, c string, stack long, n int, arrivals array<long>, values array<double>"
 
 
@@ -30,8 +32,8 @@ def stacks(frames: DataFrame, n_z: int, ttl_ms: int | None = 3_600_000) -> DataF
     """Streaming (p, c, seq, v) -> a row for each complete stack of ``n_z`` frames, in order of arrival."""
 
     def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        if state.hasTimedOut:  # the open stack goes, the number of the next one stays
+            state.update((state.get[0], [], []))
             return
         stack, seqs, values = state.get if state.exists else (0, [], [])
         rows = pd.concat(list(batches)).sort_values("seq")
@@ -40,7 +42,7 @@ def stacks(frames: DataFrame, n_z: int, ttl_ms: int | None = 3_600_000) -> DataF
             out.append((*key, stack, n_z, seqs[:n_z], values[:n_z]))
             stack, seqs, values = stack + 1, seqs[n_z:], values[n_z:]
         state.update((stack, [int(s) for s in seqs], [float(v) for v in values]))
-        if ttl_ms is not None:
+        if ttl_ms is not None and seqs:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["p", "c", "stack", "n", "arrivals", "values"])
 
@@ -52,14 +54,17 @@ def stacks(frames: DataFrame, n_z: int, ttl_ms: int | None = 3_600_000) -> DataF
 TRACK = "p long, t long, reference long, tracked boolean, shift_z double, shift_y double, shift_x double, x double, y double, z double"
 
 
-def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start: dict[str, float | None], ttl_ms: int | None = 3_600_000) -> DataFrame:
+def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start: dict[str, float | None]) -> DataFrame:
     """Streaming (p, t, vec_id, c_z, c_y, c_x: centres in pixels) -> shifts in um and the position they lead to.
 
-    ``tracking`` are checked settings of a method that compares centres. Anchors (the first timepoint, and every
+    ``tracking`` are checked settings of a method that compares centres with a reference's; for all methods, from
+    frames on, see ``positions.follow``. Anchors (the first timepoint, and every
     ``reference_update_interval``-th) set the reference and leave the position as it is, as do timepoints between
     those that are tracked. Shifts are limited, dampened and turned to the stage's axes. A volume without a centre
     (its computation failed) changes nothing. The state holds ids and coordinates, never voxels.
     """
+    if tracking["tracking_method"] != "multiotsu_center_of_mass":
+        raise ValueError(f"{tracking['tracking_method']!r} doesn't compare centres with a reference's")
     renew, every = tracking["reference_update_interval"], tracking["tracking_interval"]
     limits, dampening = tracking["shift"]["limits"] or {}, dict(zip("zyx", tracking["shift"]["dampening"] or (1.0, 1.0, 1.0), strict=True))
     matrix = np.array(tracking["image_to_stage_matrix_xyz"] or np.eye(3))
@@ -72,9 +77,6 @@ def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start:
         return um * dampening[axis]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         reference, *held = state.get if state.exists else (None, None, None, None, start["x"], start["y"], start["z"])
         anchor, place, out = held[:3], held[3:], []
         for row in pd.concat(list(batches)).sort_values("t").itertuples():
@@ -89,18 +91,16 @@ def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start:
                 place = [p if p is None else float(p - s) for p, s in zip(place, stage, strict=True)]
             out.append((key[0], row.t, reference, moved, *shift, *place))
         state.update((reference, *anchor, *place))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACK.split(", ")])
 
     kept = "reference long, c_z double, c_y double, c_x double, x double, y double, z double"
-    return volumes.groupBy("p").applyInPandasWithState(follow, TRACK, kept, "append", _timeout(ttl_ms))
+    return volumes.groupBy("p").applyInPandasWithState(follow, TRACK, kept, "append", NO_LIMIT)
 
 
 LIVE = "c string, arrival long, p long, t long, complete boolean, evicted long"
 
 
-def live_view(frames: DataFrame, n_slots: int, n_z: int, ttl_ms: int | None = 3_600_000) -> DataFrame:
+def live_view(frames: DataFrame, n_slots: int, n_z: int) -> DataFrame:
     """Streaming (c, seq, p, t, z) -> for each frame, whether its volume is whole now and how many volumes it evicts.
 
     Writing a slot whose old frame belongs to a volume drops that whole volume. Volumes keep the counts of their
@@ -109,9 +109,6 @@ def live_view(frames: DataFrame, n_slots: int, n_z: int, ttl_ms: int | None = 3_
     """
 
     def view(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, held = (state.get[0], zip(*state.get[1:], strict=True)) if state.exists else (0, ())
         ring: dict[int, tuple[int, int, int]] = {}  # slot -> frame
         whole: dict[tuple[int, int], dict[int, int]] = {}  # volume -> slot -> slice
@@ -134,37 +131,40 @@ def live_view(frames: DataFrame, n_slots: int, n_z: int, ttl_ms: int | None = 3_
             count += 1
         columns = list(zip(*((s, *f) for s, f in ring.items()), strict=True)) or [(), (), (), ()]
         state.update((count, *map(list, columns)))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["c", "arrival", "p", "t", "complete", "evicted"])
 
     return frames.groupBy("c").applyInPandasWithState(
-        view, LIVE, "count long, slot array<long>, p array<long>, t array<long>, z array<long>", "append", _timeout(ttl_ms)
+        view, LIVE, "count long, slot array<long>, p array<long>, t array<long>, z array<long>", "append", NO_LIMIT
     )
 
 
 def to_shift_log(rows: DataFrame, path: str, checkpoint: str):
-    """Append tracked rows to a CSV log, micro-batch by micro-batch."""
+    """Append what ``tracked`` or ``positions.follow`` gives to a CSV log, each micro-batch once: see ``log_batch``."""
+    return rows.writeStream.foreachBatch(lambda batch, number: log_batch(batch, number, path)).option("checkpointLocation", checkpoint)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.select("p", "t", F.format_string("%.4f", "shift").alias("shift"), F.format_string("%.4f", "x").alias("x")).write.mode("append").option("header", True).csv(path)
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def log_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Write a micro-batch to the folder of its number. A batch that is run again replaces what it wrote before."""
+    text = [F.format_string("%.4f", c).alias(c) for c in ("shift_z", "shift_y", "shift_x", "x", "y", "z")]
+    batch.select("p", "t", *text).write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+
+def read_shift_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the log with the number of their micro-batch."""
+    schema = "p long, t long, shift_z double, shift_y double, shift_x double, x double, y double, z double, batch long"
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 TIMER = "p long, seq long, due boolean, waited double"
 
 
-def refocus_timer(attempts: DataFrame, interval_s: float, ttl_ms: int | None = 3_600_000) -> DataFrame:
+def refocus_timer(attempts: DataFrame, interval_s: float) -> DataFrame:
     """Streaming (p, seq, s, ok) -> whether a refocus is due at time ``s``, and how long since the last success.
 
     It is due when more than the interval has passed; only an attempt that is due and succeeds starts the time anew.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, out = state.get[0] if state.exists else None, []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
             last = row.s if last is None else last
@@ -173,8 +173,6 @@ def refocus_timer(attempts: DataFrame, interval_s: float, ttl_ms: int | None = 3
             out.append((key[0], row.seq, due, waited))
             last = row.s if due and row.ok else last
         state.update((float(last),))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["p", "seq", "due", "waited"])
 
-    return attempts.groupBy("p").applyInPandasWithState(follow, TIMER, "last double", "append", _timeout(ttl_ms))
+    return attempts.groupBy("p").applyInPandasWithState(follow, TIMER, "last double", "append", NO_LIMIT)
