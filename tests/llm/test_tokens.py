@@ -141,3 +141,17 @@ def test_library_chunks_of_any_kind():
         flat, sizes = own.encode(some)
         assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
     assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_tables_share_a_cache(spark, docs, rows, tmp_path, monkeypatch):
+    """What one table brought isn't encoded for another; of contents that both lack one copy is."""
+    seen = []
+    plain = token_counts.encode_misses
+    monkeypatch.setattr(token_counts, "encode_misses", lambda misses, *a: (seen.append(sorted(r["text"] for r in misses.collect())), plain(misses, *a))[1])
+    file, cache = JSON, f"{tmp_path}/cache"
+    first = token_counts.token_counts(docs, file, cache).collect()
+    again = token_counts.token_counts(docs, file, cache).collect()
+    more = spark.createDataFrame([*rows[:5], (900, "not yet seen"), (None, "not yet seen"), (901, "not yet seen"), (901, "not yet seen")], "doc_id long, text string")
+    other = token_counts.token_counts(more, file, cache).collect()
+    assert seen == [sorted({t or "" for _, t in rows}), [], ["not yet seen"]]
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(other) == 9 and {r["n_tokens"] for r in other[-4:]} != {0}

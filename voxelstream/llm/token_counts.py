@@ -2,8 +2,9 @@
 
 Contents are keyed by the SHA-256 of their normalised text (null becomes empty; byte-level tokenizers keep every
 other byte, so nothing more may be folded) and by the SHA-256 of the tokenizer file, which also names the cache's
-folders. Only distinct contents that the cache lacks are encoded, and their counts are appended to it; every document
-then reads its count by digest. Counts of digests that a large share of the rows has are broadcast (at most HEAVY of
+folders. Digests alone are compared with the cache; only of distinct contents that it lacks one text each is fetched and
+encoded, and their counts are appended to it, so with a filled cache no text is moved. Every document then reads its
+count by digest. Any tables may share a cache. Counts of digests that a large share of the rows has are broadcast (at most HEAVY of
 ``exact_dedup``), so that no hot digest is shuffled.
 
 Defined results: null and empty texts have zero tokens; repeated rows each get their row; a null doc_id stays
@@ -70,12 +71,17 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
     cache_path = cache_path or shared_path(spark, "token-counts")
     stored = open_cache(spark, cache_path).where(F.col("version") == version)
     text = text_or_empty()
-    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
-    misses = docs.select(text.alias("text"), digest).join(stored.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    keys = ["digest", "no_id", "id"]
+    named = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
+    rows = materialize(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), *named), "digests")
+    # Digests alone tell what is missing; then one row of each brings its text, met by its id, so that no copies do.
+    wanted = rows.groupBy("digest").agg(F.min(F.struct("no_id", "id")).alias("one")).join(stored.select("digest"), "digest", "left_anti")
+    wanted = materialize(wanted.select("digest", "one.*"), "missing-digests")
+    misses = docs.select(text.alias("text"), *named).join(wanted, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
     encode_misses(misses, tokenizer_file, version).write.mode("append").partitionBy("version").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = materialize(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "digests")
+    rows = rows.select("doc_id", "n_bytes", "digest")
     hot = materialize(counts.join(F.broadcast(frequent(rows)), "digest"), "hot-counts")
     found = rows.join(F.broadcast(hot), "digest", "left")
     rest = found.where("n_tokens is null").drop("n_tokens").join(counts.hint("merge"), "digest")
