@@ -203,14 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "quality") -> Model:
 
 
 def apply_model(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every document and ``__score``."""
+    """``keep`` columns of every document and ``__score``: texts go to one Python worker a task, once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _statistics_column(docs, keep)
-    out = rows.drop("__stats").schema.add("__score", DoubleType())
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias("__text"))
+    out = rows.drop("__text").schema.add("__score", DoubleType())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            scores = shared.value.score(np.array(batch.column(batch.num_columns - 1).to_pylist()))
+        for batch in slices(batches):
+            scores = shared.value.score(np.array([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "__score"])
 
     return rows.mapInArrow(score, out)
