@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
+from .stats import exact_percentiles
 
 HOT_PERCENTILE = 0.9999
 
@@ -20,7 +21,7 @@ def limits(dtype_max: float, max_percent: float, min_percent: float) -> tuple[fl
 def by_mean(voxels: DataFrame, keys: list[str], value: str, dtype_max: float, max_percent: float, min_percent: float) -> DataFrame:
     """Over if mean + deviation passes the maximum or the hot percentile is saturated; under if mean - deviation is low."""
     top, bottom = limits(dtype_max, max_percent, min_percent)
-    stats = voxels.groupBy(*keys).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.percentile(value, F.lit(HOT_PERCENTILE)).alias("hot"))
+    stats = voxels.groupBy(*keys).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).join(exact_percentiles(voxels, keys, value, {"hot": HOT_PERCENTILE}), keys, "left")
     flag = F.when((F.col("m") + F.col("s") > top) | (F.col("hot") >= dtype_max), 1).when(F.col("m") - F.col("s") < bottom, -1).otherwise(0)
     return stats.select(*keys, flag.alias("flag"))
 
@@ -28,13 +29,11 @@ def by_mean(voxels: DataFrame, keys: list[str], value: str, dtype_max: float, ma
 def by_masked_mean(voxels: DataFrame, keys: list[str], value: str, dtype_max: float, max_percent: float, min_percent: float) -> DataFrame:
     """Hot pixels count as zero; the mean is compared with clamped low and high percentiles, under-exposure first."""
     top, bottom = limits(dtype_max, max_percent, min_percent)
-    hot = voxels.groupBy(*keys).agg(F.percentile(value, F.lit(HOT_PERCENTILE)).alias("hot"))
+    hot = exact_percentiles(voxels, keys, value, {"hot": HOT_PERCENTILE})
     masked = voxels.join(hot, keys).withColumn("v_masked", F.when(F.col(value) < F.col("hot"), F.col(value)).otherwise(0.0))
-    stats = masked.groupBy(*keys, "hot").agg(
-        F.avg("v_masked").alias("m"),
-        F.greatest(F.percentile("v_masked", F.lit(0.001)), F.lit(bottom)).alias("under"),
-        F.least(F.percentile("v_masked", F.lit(0.95)), F.lit(top)).alias("over"),
-    )
+    ends = exact_percentiles(masked, keys, "v_masked", {"under": 0.001, "over": 0.95})
+    stats = masked.groupBy(*keys, "hot").agg(F.avg("v_masked").alias("m")).join(ends, keys)
+    stats = stats.withColumns({"under": F.greatest("under", F.lit(bottom)), "over": F.least("over", F.lit(top))})
     flag = F.when((F.col("m") < F.col("under")) | (F.col("m") < bottom), -1).when((F.col("m") > F.col("over")) | (F.col("hot") >= dtype_max), 1).otherwise(0)
     return stats.select(*keys, flag.alias("flag"))
 
@@ -42,7 +41,7 @@ def by_masked_mean(voxels: DataFrame, keys: list[str], value: str, dtype_max: fl
 def by_percentile(voxels: DataFrame, keys: list[str], value: str, dtype_max: float, max_percent: float, min_percent: float) -> DataFrame:
     """Over if the hot percentile passes the maximum, under if it is below the minimum."""
     top, bottom = limits(dtype_max, max_percent, min_percent)
-    stats = voxels.groupBy(*keys).agg(F.percentile(value, F.lit(HOT_PERCENTILE)).alias("hot"))
+    stats = exact_percentiles(voxels, keys, value, {"hot": HOT_PERCENTILE})
     flag = F.when((F.col("hot") > top) | (F.col("hot") >= dtype_max), 1).when(F.try_divide(F.lit(bottom), F.col("hot")) > 1, -1).otherwise(0)
     return stats.select(*keys, flag.alias("flag"))
 
@@ -63,7 +62,7 @@ def manual(wells: DataFrame, illumination: DataFrame, exposure: str, power: str)
 
 def synthetic(voxels: DataFrame, keys: list[str], value: str, dtype_min: float, dtype_max: float) -> DataFrame:
     """``under``, ``over`` and ``nominal``: what is above the 1st percentile cut to the least value of the type, what is above the 90th raised to its greatest."""
-    bounds = voxels.groupBy(*keys).agg(F.percentile(value, F.lit(0.01)).alias("_low"), F.percentile(value, F.lit(0.9)).alias("_high"))
+    bounds = exact_percentiles(voxels, keys, value, {"_low": 0.01, "_high": 0.9})
     v = F.col(value)
     return voxels.join(bounds, keys).withColumns({"under": F.when(v > F.col("_low"), dtype_min).otherwise(v), "over": F.when(v > F.col("_high"), dtype_max).otherwise(v), "nominal": v}).drop("_low", "_high")
 

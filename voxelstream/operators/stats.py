@@ -39,28 +39,29 @@ def percentile_of_histogram(h: DataFrame, keys: list[str], percent: float, bins:
 
 
 def exact_percentiles(voxels: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
-    """keys and a column for each share: exact percentiles, interpolated between neighbouring ranks.
+    """keys and a column for each share: exact percentiles, interpolated between neighbouring ranks; nulls don't count.
 
-    A histogram tells which bins hold the wanted ranks; only their values are sorted, so no value list of a whole key
-    is ever held at once.
+    Voxels are counted by value first, where they are, so a value that most of them share is one row. A histogram of
+    these counts tells which bins hold the wanted ranks; only the values of such bins are sorted, and their ranks are
+    running sums of counts.
     """
+    counted = voxels.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    placed = _bounds(counted, keys, "_v").withColumn("bin", _bin(F.col("_v"), F.col("lo"), F.col("hi"), bins)).select(*keys, "bin", "_v", "_c")
     below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = histogram(voxels, keys, value, bins)
-    counted = counted.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("_n", F.sum("n").over(Window.partitionBy(*keys)))
+    sums = placed.groupBy(*keys, "bin").agg(F.sum("_c").alias("n"))
+    sums = sums.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("_n", F.sum("n").over(Window.partitionBy(*keys)))
     places = F.array(*[F.lit(s) * (F.col("_n") - 1) for s in shares.values()])
     ranks = F.flatten(F.transform(places, lambda r: F.array(F.floor(r), F.ceil(r))))
-    wanted = counted.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("n")))).where("size(_ranks) > 0")
-    rows = _bounds(voxels, keys, value).withColumn("bin", _bin(F.col(value), F.col("lo"), F.col("hi"), bins))
-    inside = rows.select(*keys, "bin", F.col(value).alias("_v")).join(wanted.select(*keys, "bin", "_below", "_n", "_ranks"), [*keys, "bin"])
-    rank = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("_v")) - 1 + F.col("_below")
-    hit = inside.withColumn("_rank", rank).where(F.array_contains("_ranks", F.col("_rank")))
+    wanted = sums.where(F.exists(ranks, lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("n")))).select(*keys, "bin", "_below", "_n")
+    up_to = F.sum("_c").over(Window.partitionBy(*keys, "bin").orderBy("_v")) + F.col("_below")
+    inside = placed.join(wanted, [*keys, "bin"]).withColumn("_end", up_to)
     out = []
     for name, s in shares.items():
         place = F.lit(s) * (F.col("_n") - 1)
-        low, high = (F.max(F.when(F.col("_rank") == f(place), F.col("_v"))) for f in (F.floor, F.ceil))
-        part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(name))
-    return hit.groupBy(*keys).agg(*out)
+        held = lambda rank: (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
+        low, high = (F.max(F.when(held(f(place)), F.col("_v"))) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return inside.groupBy(*keys).agg(*out)
 
 
 def otsu_thresholds(voxels: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
