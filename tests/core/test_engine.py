@@ -63,7 +63,7 @@ def test_settings_in_yaml(tmp_path, name):
     if tracking:
         assert config.tracking_channel(tracking, [c["config"] for c in plan["channels"]]) == {"tracked": 1, "stained": 0}[name]
     if name == "tracked":
-        assert tracking["shift"]["limits"] == {"z": (0.5, 4.0), "x": (1.0, 9.5)} and list(tracking["shift"]["dampening"]) == [1.0, 0.5, 0.5]
+        assert {a: tuple(v) for a, v in tracking["shift"]["limits"].items()} == {"z": (0.5, 4.0), "x": (1.0, 9.5)} and list(tracking["shift"]["dampening"]) == [1.0, 0.5, 0.5]
         assert tracking["segmentation"] == {"otsu_component": 1, "otsu_sigma": 2.0}
     if name == "stained":
         scaled = config.tracking_plan(tracking, 3, 0.2, 0.5)
