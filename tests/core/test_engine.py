@@ -288,3 +288,9 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="yarn", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_path(SimpleNamespace(sparkContext=context), "x")
+
+
+def test_time_plans(spark):
+    rows = [("a", 2.0, 3, None), ("b", 2.0, None, 5.0), ("c", 2.0, None, 4.0), ("d", 0.0, None, 4.0), ("e", 0.0, 2, None), ("f", 1.0, None, None), ("g", 1.0, 2, 2.0), ("h", 1.0, 0, None)]
+    got = expand.time_plans(spark.createDataFrame(rows, "k string, i double, n int, d double"), "i", "n", "d").collect()
+    assert sorted((r["k"], r["t"], r["start_s"]) for r in got) == [*[(k, t, 2.0 * t) for k in "abc" for t in range(3)], ("e", 0, 0.0), ("e", 1, 0.0)]

@@ -69,6 +69,17 @@ def time_points(spark: SparkSession, interval_s: float, loops: int | None = None
     return spark.range(loops).select(F.col("id").alias("t"), (F.col("id") * F.lit(float(interval_s))).alias("start_s"))
 
 
+def time_plans(plans: DataFrame, interval_s: str, loops: str, duration_s: str) -> DataFrame:
+    """Plans as rows -> a row for each timepoint, ``t`` and ``start_s``: the plan's loops, or as many as begin within its duration.
+
+    A plan with neither or with both, or with a duration and no interval above zero, has no timepoints.
+    """
+    begun = F.when(F.col(interval_s) > 0, F.floor(F.col(duration_s) / F.nullif(F.col(interval_s), F.lit(0))) + 1)
+    n = F.when(F.col(duration_s).isNull(), F.col(loops)).when(F.col(loops).isNull(), begun).cast("long")
+    every = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")))
+    return plans.withColumn("t", every).withColumn("start_s", F.col("t") * F.col(interval_s).cast("double"))
+
+
 def well_grid(wells: DataFrame, grid_rows: int, grid_columns: int, spacing_um: tuple[float, float], fov_um: tuple[float, float], overlap: tuple[float, float] = (0.0, 0.0), corner_um: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Wells (row, column) -> a row for each field of view: well, g, x, y.
 

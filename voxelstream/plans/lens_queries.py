@@ -815,10 +815,15 @@ def tracked_channel(spark, sf_dir):
 # --- plans, wells, properties ----------------------------------------------------------------------------
 
 
-@_query("""select 'loops' as kind, t, t * 8.0e0 as start_s from range(50) r(t) union all select 'duration', t, t * 600.0e0 from range(109) r(t)""")
+@_query("""
+    select p_partkey, kind, t, t * cast(p_size as double) as start_s
+    from (select p_partkey, p_size, case when p_partkey % 2 = 0 then 'loops' else 'duration' end as kind,
+                 unnest(range(case when p_partkey % 2 = 0 then p_size else cast(floor(360.0e0 / p_size) as bigint) + 1 end)) as t from part)""")
 def time_plan(spark, sf_dir):
-    plans = {"loops": expand.time_points(spark, 8.0, loops=50), "duration": expand.time_points(spark, 600.0, duration_s=18 * 3600.0)}
-    return plans["loops"].select(F.lit("loops").alias("kind"), "t", "start_s").unionByName(plans["duration"].select(F.lit("duration").alias("kind"), "t", "start_s"))
+    """Timepoints of a plan for each part: every second one has loops, the others last six minutes."""
+    loops = F.col("p_partkey") % 2 == 0
+    plans = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(loops, F.col("p_size")).alias("loops"), F.when(~loops, 360.0).alias("duration"), F.when(loops, "loops").otherwise("duration").alias("kind"))
+    return expand.time_plans(plans, "p_size", "loops", "duration").select("p_partkey", "kind", "t", "start_s")
 
 
 @_query(f"""with w as (select cast(floor(n_nationkey / 6) as bigint) as r, n_nationkey % 6 as c from nation where n_nationkey < 24)
