@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from voxelstream.functions import kernels
 from voxelstream.operators import tiles
 from voxelstream.plans.config import checked
@@ -75,7 +76,6 @@ def test_masks_and_centers(spark, volumes):
 @pytest.mark.parametrize("method", ["pcc", "multiotsu_pcc", "multiotsu_center_of_mass", "roi_center_pcc", "intensity_center_of_mass"])
 def test_settings_choose_the_method(spark, volumes, method):
     """Every method by tiles as by whole volumes, with the section of settings that it reads."""
-    from pyspark.sql import functions as F
     from voxelstream.operators import register
 
     tracking = checked("dynatrack", {"input_channel": "a", "tracking_channel": "a", "tracking_method": method, "segmentation": {"otsu_sigma": 1.0, "otsu_component": 1}, "roi_center": {"blob_sigma": 2.0, "blur_sigma": 0.7, "background_percentile": 40}})
@@ -91,3 +91,31 @@ def test_a_volume_that_lacks_voxels_is_an_error(spark, volumes):
     some = cut(spark, {1: volumes[1]}, (3, 4, 6)).where("z0 > 0 or y0 > 0")
     with pytest.raises(Exception, match="lacks voxels"):
         tiles.shifts(some, spark.createDataFrame([(1, 1, 1)], "pair long, reference long, moving long"), "key", (7, 11, 13)).collect()
+
+
+@pytest.mark.parametrize(("window", "overlap"), [((7, 11, 13), (0, 0, 0)), ((3, 5, 4), (1, 2, 0)), ((20, 4, 6), (0, 3, 3))])
+def test_windows_give_back_what_is_made_voxel_by_voxel(spark, volumes, window, overlap):
+    made = tiles.windowed(cut(spark, volumes, (3, 4, 6)), "key", (7, 11, 13), (3, 4, 6), window, overlap, lambda w: {"same": w, "more": w * w - 1})
+    for channel, f in (("same", lambda v: v), ("more", lambda v: v * v - 1)):
+        got = whole(made.where(F.col("channel") == channel), (7, 11, 13))
+        for key, v in volumes.items():
+            assert np.allclose(got[key], f(v), atol=1e-12)
+
+
+def test_windows_show_no_seams(spark, volumes):
+    """A model with a reach of one voxel: inside overlaps of more than two it gives nearly what the whole volume gives."""
+    v = volumes[1]
+
+    def smooth(w):
+        return {"soft": kernels.gaussian_blur(w, 0.3)}
+
+    got = whole(tiles.windowed(cut(spark, {1: v}, (7, 4, 6)), "key", (7, 11, 13), (7, 4, 6), (7, 8, 8), (0, 6, 6), smooth), (7, 11, 13))[1]
+    assert np.abs(got - smooth(v)["soft"]).max() < 0.02 * np.ptp(v)
+
+
+def test_windows_that_cannot_be(spark, volumes):
+    assert tiles.window_starts(10, 4, 1) == [0, 3, 6] and tiles.window_starts(3, 8, 2) == [0] and tiles.window_starts(9, 4, 1) == [0, 3, 5]
+    with pytest.raises(ValueError, match="overlap"):
+        tiles.window_starts(10, 4, 4)
+    with pytest.raises(Exception, match="has the shape"):
+        tiles.windowed(cut(spark, {1: volumes[1]}, (7, 11, 13)), "key", (7, 11, 13), (7, 11, 13), (7, 11, 13), (0, 0, 0), lambda w: {"a": w[1:]}).collect()

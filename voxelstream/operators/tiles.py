@@ -7,6 +7,8 @@ order. Tiles lie on a grid; those at the far borders may be smaller. All volumes
   the spectra meet along z, and go back to planes, each of which gives its own peak. The peak of all is a reduction.
 * Blur: along each axis a tile sends its neighbours the lines that their kernels reach, borders reflected; a kernel may
   reach over several tiles.
+* Windows: tiles send their parts to overlapping windows, a model makes channels of each, and weighted parts go back to
+  tiles, where they are summed.
 * Masks: bounds and histograms are sums over tiles; thresholds come from the histogram, whatever the volume's size.
 
 No group holds more than a plane, a block of rows (about BLOCK bytes) or a tile with its borders.
@@ -14,6 +16,7 @@ No group holds more than a plane, a block of rows (about BLOCK bytes) or a tile
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -367,3 +370,82 @@ def settings_shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape,
     background = None if percent is None else stats.percentile_of_histogram(histogram(soft, key), [key], percent)
     centers = intensity_centers(soft, key, shape, background)
     return pairs.join(centers.withColumnRenamed(key, "moving"), "moving").select("pair", *[(F.col(f"c_{a}") - (n - 1) / 2).alias(f"d{a}") for a, n in zip("zyx", shape, strict=True)])
+
+
+# --- overlapping windows ---------------------------------------------------------------------------------
+
+
+def window_starts(n: int, window: int, overlap: int) -> list[int]:
+    """Where windows begin along an axis; the last one ends with it. One window as long as the axis where that is shorter."""
+    if not 0 <= overlap < window:
+        raise ValueError("windows must overlap by less than their size")
+    last = max(n - window, 0)
+    return sorted({*range(0, last, window - overlap), last})
+
+
+def _shares(n: int, window: int, overlap: int) -> dict[int, np.ndarray]:
+    """For each window's start the weight of its elements: ramps at its ends, and all weights of an element sum to one."""
+    size = min(window, n)
+    ramp = np.minimum(np.minimum(np.arange(1, size + 1), np.arange(size, 0, -1)) / (overlap + 1), 1.0)
+    total = np.zeros(n)
+    for s in (starts := window_starts(n, window, overlap)):
+        total[s : s + size] += ramp
+    return {s: ramp / total[s : s + size] for s in starts}
+
+
+Model = Callable[[np.ndarray], dict[str, np.ndarray]]
+
+
+def windowed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, window: Shape, overlap: Shape, model: Model) -> DataFrame:
+    """Tiles of each channel that ``model`` makes of overlapping windows, blended where they overlap; with ``channel``.
+
+    The model gets a window and gives arrays of its shape by channel. A group holds a window, or a tile and the parts of
+    windows that lie on it.
+    """
+    shares = [_shares(n, w, o) for n, w, o in zip(shape, window, overlap, strict=True)]
+    extent = [min(w, n) for w, n in zip(window, shape, strict=True)]
+    corners = [range(0, n, t) for n, t in zip(shape, tile, strict=True)]
+
+    def meets(begin: list[int], size: list[int], others: list, length: list[int]) -> Iterator[tuple[list[int], list[slice]]]:
+        """The boxes that begin at ``others`` and meet this one, and where they meet."""
+        along = [[(s, slice(max(b, s), min(b + m, s + k))) for s in own if s < b + m and b < s + k] for b, m, own, k in zip(begin, size, others, length, strict=True)]
+        for z, y, x in itertools.product(*along):
+            yield [z[0], y[0], x[0]], [z[1], y[1], x[1]]
+
+    def moved(cut: list[slice], by: list[int]) -> tuple[slice, ...]:
+        return tuple(slice(c.start - b, c.stop - b) for c, b in zip(cut, by, strict=True))
+
+    def to_windows(row) -> Iterator[tuple]:
+        block, begin = _array(row), [row.z0, row.y0, row.x0]
+        for start, cut in meets(begin, list(block.shape), [list(s) for s in shares], extent):
+            yield row[0], *start, *(c.start for c in cut), *(c.stop - c.start for c in cut), block[moved(cut, begin)].tobytes()
+
+    def filled(group: pa.Table, begin: list[int], size: list[int], add: bool) -> np.ndarray:
+        out = np.zeros(size) if add else np.full(size, np.nan)
+        for *place, data in zip(*_lists(group, "oz", "oy", "ox", "lz", "ly", "lx", "data"), strict=True):
+            at = moved([slice(o, o + m) for o, m in zip(place[:3], place[3:], strict=True)], begin)
+            out[at] = out[at] + np.frombuffer(data).reshape(place[3:]) if add else np.frombuffer(data).reshape(place[3:])
+        if np.isnan(out).any() and not add:
+            raise ValueError("a window lacks voxels")
+        return out
+
+    def apply(group: pa.Table) -> list[tuple]:
+        number, *start = _first(group, key, "wz", "wy", "wx")
+        weight = np.einsum("z,y,x->zyx", *(own[s] for own, s in zip(shares, start, strict=True)))
+        out = []
+        for channel, made in model(filled(group, start, extent, False)).items():
+            if made.shape != tuple(extent):
+                raise ValueError(f"channel {channel!r} has the shape {made.shape}, its window {tuple(extent)}")
+            for corner, cut in meets(start, extent, corners, list(tile)):
+                out.append((number, channel, *corner, *(c.start for c in cut), *(c.stop - c.start for c in cut), (made * weight)[moved(cut, start)].tobytes()))
+        return out
+
+    def blend(group: pa.Table) -> list[tuple]:
+        number, channel, *corner = _first(group, key, "channel", *STARTS)
+        size = [min(t, n - c) for t, n, c in zip(tile, shape, corner, strict=True)]
+        return [(number, channel, *corner, *size, filled(group, corner, size, True).ravel())]
+
+    part = "oz int, oy int, ox int, lz int, ly int, lx int, data binary"
+    sent = _over_rows(tiles, [key, *STARTS, *SIZES, "voxels"], _schema(tiles, key, f"wz int, wy int, wx int, {part}"), to_windows)
+    made = _over_groups(sent, [key, "wz", "wy", "wx"], _schema(tiles, key, f"channel string, z0 int, y0 int, x0 int, {part}"), apply)
+    return _over_groups(made, [key, "channel", *STARTS], _schema(tiles, key, f"channel string, {TILE}"), blend)

@@ -1060,6 +1060,16 @@ def mask_tiled(spark, sf_dir):
     return mask.select("vec_id", "z", "y", "x", F.col("v").cast("int").alias("v"))
 
 
+@_query(f"""with {VOLUMES_SQL} select vec_id, 'signal' as channel, z, y, x, {r6("2 * v + 1")} as v from voxels
+    union all select vec_id, 'inverse', z, y, x, {r6("-v")} from voxels""")
+def windows_blended(spark, sf_dir):
+    """Two channels made in overlapping windows of 3 voxels and blended: what is made voxel by voxel comes back unchanged."""
+    model = lambda window: {"signal": 2 * window + 1, "inverse": -window}
+    made = tiles.windowed(_tiles(spark, sf_dir), "vec_id", TILED_SHAPE, TILE, (4, 4, 3), (0, 0, 1), model)
+    long = made.withColumn("id", F.struct("vec_id", "channel"))
+    return tiles.to_voxels(long, "id").select("id.vec_id", "id.channel", "z", "y", "x", round6(F.col("v")).alias("v"))
+
+
 def _by_settings(method: str, like: str, places: int | None = None, **sections):
     """A query that shifts tiles by checked settings which name the method; its rows are those of the query ``like``."""
 
