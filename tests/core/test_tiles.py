@@ -119,3 +119,23 @@ def test_windows_that_cannot_be(spark, volumes):
         tiles.window_starts(10, 4, 4)
     with pytest.raises(Exception, match="has the shape"):
         tiles.windowed(cut(spark, {1: volumes[1]}, (7, 11, 13)), "key", (7, 11, 13), (7, 11, 13), (7, 11, 13), (0, 0, 0), lambda w: {"a": w[1:]}).collect()
+
+
+@pytest.mark.parametrize("block", [tiles.BLOCK, 16])
+def test_inverse_filter(spark, volumes, monkeypatch, block):
+    """A given transfer function is undone as by spectra of whole volumes; without regularisation, entirely."""
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    shape = (7, 11, 13)
+
+    def transfer(z, y, x):
+        return (0.2 + np.exp(-3 * (z**2 + 2 * y**2 + x**2))) * np.exp(-2j * np.pi * (z + 2 * y))
+
+    freq = [np.fft.fftfreq(7)[:, None, None], np.fft.fftfreq(11)[None, :, None], np.fft.rfftfreq(13)[None, None, :]]
+    h = transfer(*freq)
+    for regularization in (0.05, 0.0):
+        got = whole(tiles.inverse_filtered(cut(spark, volumes, (3, 4, 6)), "key", shape, transfer, regularization), shape)
+        for key, v in volumes.items():
+            assert np.allclose(got[key], np.fft.irfftn(np.fft.rfftn(v) * np.conj(h) / (np.abs(h) ** 2 + regularization), s=shape, axes=(0, 1, 2)), atol=1e-10)
+    blurred = {k: np.fft.irfftn(np.fft.rfftn(v) * h, s=shape, axes=(0, 1, 2)) for k, v in volumes.items()}
+    back = whole(tiles.inverse_filtered(cut(spark, blurred, (3, 4, 6)), "key", shape, transfer, 0.0), shape)
+    assert all(np.allclose(back[k], v, atol=1e-9) for k, v in volumes.items())

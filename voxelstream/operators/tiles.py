@@ -201,6 +201,35 @@ def shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum_s
     return best.select("pair", *[(F.lit(n // 2) - p).cast("double").alias(f"d{a}") for a, n, p in zip("zyx", (depth, height, width), place, strict=True)])
 
 
+def inverse_filtered(tiles: DataFrame, key: str, shape: Shape, transfer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], regularization: float) -> DataFrame:
+    """What a given transfer function was applied to, by regularised division of spectra; tiles of one whole plane each.
+
+    ``transfer`` gets frequencies (cycles a voxel) along z, y and x, shaped to be broadcast, and gives the function's
+    values there. The spectrum S becomes S conj(H) / (|H|^2 + regularization); volumes are taken as periodic.
+    """
+    depth, height, width = shape
+    half = width // 2 + 1
+    rows = max(1, BLOCK // (depth * half * 16))
+    z, y, x = np.fft.fftfreq(depth)[:, None, None], np.fft.fftfreq(height)[None, :, None], np.fft.rfftfreq(width)[None, None, :]
+
+    def divide(group: pa.Table) -> list[tuple]:
+        number, block = _first(group, key, "block")
+        planes = dict(zip(*_lists(group, "zp", "data"), strict=True))
+        spectrum = np.fft.fft(np.stack([np.frombuffer(planes[k], np.complex128).reshape(-1, half) for k in range(depth)]), axis=0)
+        h = transfer(z, y[:, block * rows : block * rows + spectrum.shape[1]], x)
+        back = np.fft.ifft(spectrum * np.conj(h) / (np.abs(h) ** 2 + regularization), axis=0)
+        return [(number, k, block, plane.tobytes()) for k, plane in enumerate(back)]
+
+    def plane(group: pa.Table) -> list[tuple]:
+        number, k = _first(group, key, "zp")
+        parts = dict(zip(*_lists(group, "block", "data"), strict=True))
+        spectrum = np.concatenate([np.frombuffer(parts[b], np.complex128) for b in sorted(parts)]).reshape(height, half)
+        return [(number, k, 0, 0, 1, height, width, np.fft.irfft2(spectrum, s=(height, width)).ravel())]
+
+    divided = _over_groups(spectra(tiles, key, shape, shape), [key, "block"], _schema(tiles, key, "zp int, block int, data binary"), divide)
+    return _over_groups(divided, [key, "zp"], _schema(tiles, key, TILE), plane)
+
+
 # --- blur and masks --------------------------------------------------------------------------------------
 
 

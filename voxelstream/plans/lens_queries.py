@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1070,6 +1071,13 @@ def windows_blended(spark, sf_dir):
     return tiles.to_voxels(long, "id").select("id.vec_id", "id.channel", "z", "y", "x", round6(F.col("v")).alias("v"))
 
 
+@_query(f"with {VOLUMES_SQL} select vec_id, (z + 3) % 4 as z, (y + 3) % 4 as y, x, {r6('v * 2 / 4.5e0')} as v from voxels")
+def inverse_filter(spark, sf_dir):
+    """What a filter that moves by one plane and one line, and doubles, was applied to."""
+    moved = tiles.inverse_filtered(_tiles(spark, sf_dir), "vec_id", TILED_SHAPE, lambda z, y, x: 2 * np.exp(-2j * np.pi * (z + y + 0 * x)), 0.5)
+    return tiles.to_voxels(moved, "vec_id").select("vec_id", "z", "y", "x", round6(F.col("v")).alias("v"))
+
+
 def _by_settings(method: str, like: str, places: int | None = None, **sections):
     """A query that shifts tiles by checked settings which name the method; its rows are those of the query ``like``."""
 
