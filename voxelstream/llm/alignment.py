@@ -37,7 +37,8 @@ from .tokenizing import BYTE_CHARACTERS, by_bytes, gathered, library_tokenizer
 
 HOT = 65_536  # pairs that are broadcast with their counts
 TRANSITIONS = 200_000  # transitions that a worker keeps
-BATCH_BYTES = 256 << 10  # of text whose distinct pieces are found together
+BATCH_BYTES = 4 << 20  # of text whose distinct pieces are found together
+ROW_BYTES = 256 << 10  # of text in a stored row
 KEPT = 60_000  # pieces met lately that a worker keeps, and as many before
 TOGETHER = 256  # pieces that the transducer reads in one pass
 
@@ -293,24 +294,28 @@ def aligned_batches(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     content, schema = sc.broadcast((file_bytes(a_file), file_bytes(b_file))), BATCH.split(", ")
 
-    def one(own: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(own: Aligner, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A batch is aligned at once; what is stored of it are smaller rows, each with the pieces of its own documents."""
         pieces, run, n_pieces = own.batch(batch.column("text"))
-        there = np.flatnonzero(np.bincount(run, minlength=len(pieces)))
-        place = np.zeros(len(pieces), np.int64)
-        place[there] = np.arange(len(there))
-        pieces, run = [pieces[k] for k in there.tolist()], place[run]
-        numbers = np.array([p[2:] for p in pieces], np.int64).reshape(-1, 3)
-        sums = [_totals(numbers[run, k], n_pieces) for k in range(3)]
-        texts, ends = [p[0] for p in pieces], [0, *np.cumsum(n_pieces).tolist()]
-        digests = [hashlib.sha256(";".join([texts[k] for k in run[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        links, wide = [p[1] for p in pieces], np.dtype(own.keys.kind).itemsize
-        return _one_row(schema, [batch.column("doc_id"), *sums, digests, n_pieces, run, np.fromiter(map(len, links), np.int64, len(links)) // wide, b"".join(links)])
+        upto, wide = np.append(0, np.cumsum(n_pieces)), np.dtype(own.keys.kind).itemsize
+        part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // ROW_BYTES
+        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for first, last in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            there, own_run = np.unique(run[upto[first] : upto[last]], return_inverse=True)
+            some, n = [pieces[k] for k in there.tolist()], n_pieces[first:last]
+            numbers = np.array([p[2:] for p in some], np.int64).reshape(-1, 3)
+            sums = [_totals(numbers[own_run, k], n) for k in range(3)]
+            texts, ends = [p[0] for p in some], [0, *np.cumsum(n).tolist()]
+            digests = [hashlib.sha256(";".join([texts[k] for k in own_run[a:b].tolist()]).encode()).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            links = [p[1] for p in some]
+            n_links = np.fromiter(map(len, links), np.int64, len(links)) // wide
+            yield _one_row(schema, [batch.column("doc_id").slice(first, last - first), *sums, digests, n, own_run, n_links, b"".join(links)])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in by_bytes(batches, size=BATCH_BYTES):
             own = own or aligner(*content.value)
-            yield one(own, batch)
+            yield from rows(own, batch)
         if own:
             own.forget()
         give_back()
