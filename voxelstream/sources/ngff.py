@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import json
 import math
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -54,14 +55,14 @@ def positions(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-def _decoder(array: dict[str, Any]):
+def decoder(array: dict[str, Any]):
     """bytes of a chunk -> its values."""
     order, unpack = "<", []
     for codec in array.get("codecs", []):
         kind, settings = codec["name"], codec.get("configuration", {})
         if kind == "bytes":
             order = ">" if settings.get("endian") == "big" else "<"
-        elif kind in ("gzip", "zstd", "crc32c"):
+        elif kind in ("gzip", "zlib", "zstd", "crc32c"):
             unpack.append(kind)
         else:
             raise ValueError(f"codec {kind!r} needs a library that is not part of this one")
@@ -71,6 +72,8 @@ def _decoder(array: dict[str, Any]):
         for kind in reversed(unpack):
             if kind == "gzip":
                 data = gzip.decompress(data)
+            elif kind == "zlib":
+                data = zlib.decompress(data)
             elif kind == "zstd":
                 import zstandard
 
@@ -106,7 +109,7 @@ def read(spark: SparkSession, path: str, position: str | None = None) -> DataFra
     if len(shape) != 5:
         raise ValueError(f"{path}: axes t, c, z, y, x are wanted, not {len(shape)} axes")
     separator = array.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
-    decode, size = _decoder(array), math.prod(chunk)
+    decode, size = decoder(array), math.prod(chunk)
     tail = rf"/{level}/c{separator}" + separator.join([r"(\d+)"] * 5) + "$"
     wanted = keys if position is None else [position]
     folders = [path if k == "0" else f"{path}/{k}" for k in wanted]
