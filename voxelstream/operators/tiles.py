@@ -9,6 +9,7 @@ order. Tiles lie on a grid; those at the far borders may be smaller. All volumes
   reach over several tiles.
 * Windows: tiles send their parts to overlapping windows, a model makes channels of each, and weighted parts go back to
   tiles, where they are summed.
+* Deskewing: a tile sends its weighted share of each output tile that it reaches, and shares are summed.
 * Masks: bounds and histograms are sums over tiles; thresholds come from the histogram, whatever the volume's size.
 
 No group holds more than a plane, a block of rows (about BLOCK bytes) or a tile with its borders.
@@ -478,3 +479,82 @@ def windowed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, window: Shap
     sent = _over_rows(tiles, [key, *STARTS, *SIZES, "voxels"], _schema(tiles, key, f"wz int, wy int, wx int, {part}"), to_windows)
     made = _over_groups(sent, [key, "wz", "wy", "wx"], _schema(tiles, key, f"channel string, z0 int, y0 int, x0 int, {part}"), apply)
     return _over_groups(made, [key, "channel", *STARTS], _schema(tiles, key, f"channel string, {TILE}"), blend)
+
+
+# --- deskewing -------------------------------------------------------------------------------------------
+
+
+def deskewed_shape(shape: Shape, angle_degrees: float, ratio: float, average: int = 1, keep_overhang: bool = True) -> Shape:
+    """The shape that ``kernels.deskew`` gives."""
+    angle = np.deg2rad(angle_degrees)
+    overhang, span = int(np.ceil(shape[1] * np.cos(angle))), int(np.ceil(shape[0] / ratio))
+    heights = int(np.ceil(shape[1] * np.sin(angle)))
+    return -(-heights // average), span + overhang if keep_overhang else max(span - overhang, 1), shape[2]
+
+
+def deskewed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, angle_degrees: float, ratio: float, average: int = 1, keep_overhang: bool = True) -> DataFrame:
+    """``kernels.deskew`` of volumes in tiles: tiles of the output's grid.
+
+    Interpolation is linear, so a voxel adds to the few output voxels around it whatever its tile's neighbours hold: no
+    borders are exchanged. Tiles send one block for each output tile that they reach, already summed; a group holds
+    an output tile and one block at a time. Output tiles that nothing reaches are zero.
+    """
+    out_shape = deskewed_shape(shape, angle_degrees, ratio, average, keep_overhang)
+    angle, step = np.deg2rad(angle_degrees), 1 / ratio
+    first = 0 if keep_overhang else int(np.ceil(shape[1] * np.cos(angle)))
+    heights = int(np.ceil(shape[1] * np.sin(angle)))
+    corners = [range(0, n, t) for n, t in zip(out_shape, tile, strict=True)]
+
+    def layer(block: np.ndarray, row, height: int) -> tuple[int, np.ndarray] | None:
+        """Where the tile's share of one height begins along the coverslip, and the share (along, x)."""
+        tilt = height / np.sin(angle)
+        near = np.maximum(0, 1 - np.abs(tilt - (row.y0 + np.arange(row.ny))))
+        if not near.any():
+            return None
+        middle = tilt * np.cos(angle) - first
+        low = max(int(np.floor((row.z0 - 1) * step + middle)), 0)
+        high = min(int(np.ceil((row.z0 + row.nz) * step + middle)) + 1, out_shape[1])
+        if low >= high:
+            return None
+        scan = (np.arange(low, high) - middle) / step
+        weights = np.maximum(0, 1 - np.abs(scan[:, None] - (row.z0 + np.arange(row.nz))[None, :]))
+        return low, weights @ np.tensordot(near, block, (0, 1))
+
+    def shares(row) -> Iterator[tuple]:
+        block = _array(row)
+        if (row.z0, row.y0, row.x0) == (0, 0, 0):
+            for corner in itertools.product(*corners):
+                yield row[0], *corner, 0, 0, 0, 0, 0, 0, b""
+        for h0 in corners[0]:
+            rows = min(tile[0], out_shape[0] - h0)
+            found = []
+            for height in range(h0 * average, min((h0 + rows) * average, heights)):
+                if share := layer(block, row, height):
+                    place = height // average
+                    found.append((place - h0, share[0], share[1] / min(average, heights - place * average)))
+            if not found:
+                continue
+            low, high = min(a for _, a, _ in found), max(a + len(v) for _, a, v in found)
+            made = np.zeros((rows, high - low, row.nx))
+            for h, a, v in found:
+                made[h, a - low : a - low + len(v)] += v
+            for a0 in range(low // tile[1] * tile[1], high, tile[1]):
+                for x0 in range(row.x0 // tile[2] * tile[2], row.x0 + row.nx, tile[2]):
+                    a, a_end = max(a0, low), min(a0 + tile[1], high)
+                    x, x_end = max(x0, row.x0), min(x0 + tile[2], row.x0 + row.nx)
+                    part = made[:, a - low : a_end - low, x - row.x0 : x_end - row.x0]
+                    if part.any():
+                        yield row[0], h0, a0, x0, 0, a - a0, x - x0, *part.shape, part.tobytes()
+
+    def summed(group: pa.Table) -> list[tuple]:
+        number, *corner = _first(group, key, *STARTS)
+        size = [min(t, n - c) for t, n, c in zip(tile, out_shape, corner, strict=True)]
+        out = np.zeros(size)
+        for oz, oy, ox, lz, ly, lx, data in zip(*(group.column(n) for n in ("oz", "oy", "ox", "lz", "ly", "lx", "data")), strict=True):
+            (z, y, x), (nz, ny, nx) = ([v.as_py() for v in at] for at in ((oz, oy, ox), (lz, ly, lx)))
+            out[z : z + nz, y : y + ny, x : x + nx] += np.frombuffer(data.as_py()).reshape(nz, ny, nx)
+        return [(number, *corner, *size, out.ravel())]
+
+    part = "oz int, oy int, ox int, lz int, ly int, lx int, data binary"
+    sent = _over_rows(tiles, [key, *STARTS, *SIZES, "voxels"], _schema(tiles, key, f"z0 int, y0 int, x0 int, {part}"), shares)
+    return _over_groups(sent, [key, *STARTS], _schema(tiles, key, TILE), summed)

@@ -15,7 +15,7 @@ from ..functions import scalars
 from ..functions.scalars import round6
 from ..operators import control, exposure, register, ring, stats, tiles, track
 from ..sources import frames as fr
-from ..sources import lens, sinks
+from ..sources import lens, sinks, store
 from ..sources.lens import N_Z, SIDE, table
 from ..sources.shared import shared_path
 from ..streaming import assemble, positions
@@ -1078,6 +1078,18 @@ def inverse_filter(spark, sf_dir):
     return tiles.to_voxels(moved, "vec_id").select("vec_id", "z", "y", "x", round6(F.col("v")).alias("v"))
 
 
+SKEW = {"angle_degrees": 30.0, "ratio": 0.5, "average": 2}
+
+
+@_query(f"""with {VOLUMES_SQL}, h as (select h, h / 0.5e0 as tilt from range(2) r(h)), a as (select a from range(12) r(a)),
+    w as (select h, a, s, k, greatest(0, 1 - abs(tilt - k)) * greatest(0, 1 - abs((a - tilt * cos(pi() / 6)) / 2 - s)) as w from h, a, range(4) i(s), range(4) j(k))
+    select vec_id, 0 as z, a as y, x, {r6("sum(w * v) / 2")} as v from w join voxels on z = s and y = k group by vec_id, a, x""")
+def deskew_tiled(spark, sf_dir):
+    """Light-sheet stacks in tiles, seen upright: two heights averaged, the overhang kept."""
+    made = tiles.deskewed(_tiles(spark, sf_dir), "vec_id", TILED_SHAPE, (1, 5, 3), **SKEW)
+    return tiles.to_voxels(made, "vec_id").select("vec_id", "z", "y", "x", round6(F.col("v")).alias("v"))
+
+
 def _by_settings(method: str, like: str, places: int | None = None, **sections):
     """A query that shifts tiles by checked settings which name the method; its rows are those of the query ``like``."""
 
@@ -1096,6 +1108,48 @@ _by_settings("multiotsu_center_of_mass", "otsu_com_shift", 6)
 _by_settings("roi_center_pcc", "roi_pcc_shift")
 
 
+# --- stores ----------------------------------------------------------------------------------------------
+
+
+def _stored_volumes(spark, sf_dir) -> DataFrame:
+    """Every volume, written to a plate of sharded arrays (a well for each position) and read from there."""
+    volumes, path = lens.volumes(spark, sf_dir), shared_path(spark, "store")
+    planes = volumes.select("p", "t", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("z"), "voxels")
+    cells = SIDE * SIDE
+    key = F.concat(F.lit("A/"), F.col("p").cast("string"), F.lit("/0"))
+    whole = {"c": F.lit(0), "y0": F.lit(0), "x0": F.lit(0), "ny": F.lit(SIDE), "nx": F.lit(SIDE)}
+    frames = planes.select(key.alias("position"), "t", "z", *[v.alias(n) for n, v in whole.items()], F.slice("voxels", F.col("z") * cells + 1, F.lit(cells)).alias("pixels"))
+    shape = (volumes.agg(F.max("t")).first()[0] + 1, 1, SIDE, SIDE, SIDE)
+    store.write(frames, path, shape, "float64", (4, 1, SIDE, SIDE, SIDE), (64, 1, SIDE, SIDE, SIDE))
+    found = store.read(spark, path)
+    return found.withColumn("p", F.split("position", "/")[1].cast("long"))
+
+
+def _pixels(frames: DataFrame) -> DataFrame:
+    long = frames.select("p", "t", "z", "y0", "x0", "nx", F.posexplode("pixels").alias("i", "v"))
+    return long.select("p", "t", "z", (F.col("y0") + F.floor(F.col("i") / F.col("nx"))).alias("y"), (F.col("x0") + F.pmod("i", "nx")).alias("x"), "v")
+
+
+#: Timepoints that a position lacks lie in chunks of others of that position: they read as zero.
+STORE_SQL = f"""with {VOLUMES_SQL}, n as (select p, max(t) as last from volumes group by p), m as (select max(last) as last from n),
+    times as (select p, unnest(range(least(n.last // 4 * 4 + 4, m.last + 1))) as t from n, m),
+    grid as (select p, t, z, y, x from times, range(4) i(z), range(4) j(y), range(4) k(x)),
+    stored as (select p, t, z, y, x, coalesce(v, 0) + 0.0 as v from grid left join voxels using (p, t, z, y, x))"""
+
+
+@_query(f"{STORE_SQL} select p, t, z, y, x, v from stored")
+def store_round_trip(spark, sf_dir):
+    """All volumes through a sharded image store."""
+    return _pixels(_stored_volumes(spark, sf_dir)).withColumn("v", F.col("v") + 0.0)
+
+
+@_query(f"{STORE_SQL} select p, t, z, y, x, v from stored where p = 3 and t between 5 and 20 and z < 2")
+def store_part(spark, sf_dir):
+    """What a request names of a store: other files and chunks are not opened."""
+    asked = _stored_volumes(spark, sf_dir).where("position = 'A/3/0' and t >= 5 and t <= 20 and z < 2")
+    return _pixels(asked).withColumn("v", F.col("v") + 0.0)
+
+
 # --- positions by one stream -----------------------------------------------------------------------------
 
 FOLLOWED = {
