@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pytest
-from voxelstream.sources import ngff, store
+from voxelstream.sources import frames, ngff, sinks, store
 
 SHAPE, CHUNK, SHARD = (3, 2, 5, 6, 7), (1, 1, 2, 4, 4), (2, 1, 4, 8, 8)
 KEYS = ("A/1/0", "A/1/1", "B/12/0")
@@ -212,3 +212,25 @@ def test_unknown_packing_is_an_error(spark, tmp_path):
     (tmp_path / "b/0/.zarray").write_text(json.dumps({"shape": SHAPE, "chunks": CHUNK, "dtype": "<u2", "compressor": {"id": "blosc"}}))
     with pytest.raises(Exception, match="blosc"):
         store.read(spark, str(tmp_path / "b")).collect()
+
+
+def test_requests_open_only_their_folders(spark, tmp_path):
+    """Requests that are known at run time only; files of the timepoint that none of them names are spoilt."""
+    places = list(product(range(2), range(3), range(2)))
+    rows = [("a", p, t, c, z, 1, 2, "uint16", [p, 100 * t + 10 * c + z]) for p, t, c in places for z in range(3)]
+    path = str(tmp_path / "frames")
+    sinks.write_frames(spark.createDataFrame(rows, frames.FRAMES).repartition(1), path, ["BF", "GFP"])
+    asked = [("a", 1, 5, 3, 7), ("a", 0, -3, 0, 8), ("a", 0, -3, 0, 9), ("b", 0, 0, 0, 1), ("a", None, 0, 0, 2), ("a", 1, None, 0, 3)]
+    spark.createDataFrame(asked, "acq string, p int, t int, c int, id int").write.parquet(str(tmp_path / "requests"))
+    requests = spark.read.parquet(str(tmp_path / "requests"))
+    for file in (tmp_path / "frames").rglob("*.parquet"):
+        if "t=1" in str(file):
+            file.write_bytes(b"spoilt")
+    found = frames.requested(requests, frames.read_frames(spark, path), {"t": 3, "c": 2})
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    got = sorted((r["id"], r["p"], r["t"], r["c"], r["z"], *r["pixels"]) for r in found.collect())
+    assert got == sorted([(7, 1, 2, 1, z, 1, 210 + z) for z in range(3)] + [(k, 0, 0, 0, z, 0, z) for k in (8, 9) for z in range(3)])
+    with pytest.raises(Exception, match="spoilt|Parquet|parquet"):
+        frames.read_frames(spark, path).collect()
+    with pytest.raises(ValueError, match="pixels"):
+        frames.requested(requests.withColumnRenamed("id", "pixels"), frames.read_frames(spark, path), {"t": 3, "c": 2})

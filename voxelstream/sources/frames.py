@@ -17,6 +17,21 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAMES).parquet(path)
 
 
+def requested(requests: DataFrame, frames: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The frames of the requested volumes (acq, p, t, c), of those that ``read_frames`` reads; t and c wrap.
+
+    Which folders are opened follows at run time from the values of acq, p, t and c that requests name, as long as those are few enough for Spark to
+    broadcast them by their size; else both sides are shuffled. A request that is null anywhere finds nothing, one that
+    comes twice finds its frames twice. Other columns of requests are kept, under the frames' names they must not be.
+    """
+    keys = ["acq", "p", "t", "c"]
+    if taken := (set(requests.columns) & set(frames.columns)) - set(keys):
+        raise ValueError(f"requests have columns of frames: {sorted(taken)}")
+    named = requests.withColumns({a: wrapped(F.col(a), n).cast("int") for a, n in sizes.items()})
+    # no wrapped index is below zero: the filter tells Spark that requests select
+    return frames.join(named.where(F.least(*sizes) >= 0 if len(sizes) > 1 else F.col(*sizes) >= 0), keys)
+
+
 def replay(requests: DataFrame, frames: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Requested frames; every index of ``sizes`` wraps. A channel that the data lacks reads as zero."""
     keyed = requests.withColumns({f"_{a}": wrapped(F.col(a), n) for a, n in sizes.items()})
