@@ -161,3 +161,39 @@ def test_a_sheared_block_comes_back(spark):
     seen = ((height >= 4) & (height <= 9) & (along >= 20) & (along <= 30)).astype(float)[:, :, None] * np.arange(1.0, 4.0)
     made = whole(tiles.deskewed(cut(spark, {7: seen}, (16, 7, 2)), "key", seen.shape, (5, 16, 2), 45.0, 1.0), tiles.deskewed_shape(seen.shape, 45.0, 1.0))[7]
     assert np.allclose(made[5:9, 22:29], np.arange(1.0, 4.0)) and not made[:3].any() and not made[11:].any() and not made[:, :18].any() and not made[:, 33:].any()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_many_small_groups_go_through_a_task_in_one_stream(spark):
+    """Spark's own calls for each group took most of the time of small volumes."""
+    rng = np.random.default_rng(8)
+    volumes = {k: rng.normal(size=(4, 4, 4)) for k in range(300)}
+    rows = [(k, z, y, x, float(v[z, y, x])) for k, v in volumes.items() for z, y, x in np.ndindex(v.shape)]
+    cut = tiles.from_voxels(spark.createDataFrame(rows, "id long, z long, y long, x long, v double"), "id", (4, 4, 4), (3, 4, 4))
+    pairs = spark.createDataFrame([(k, k // 5 * 5, k) for k in volumes], "pair long, reference long, moving long")
+    found = tiles.shifts(cut, pairs, "id", (4, 4, 4))
+    assert "FlatMapGroupsInArrow" not in _plan(found)
+    got = {r.pair: (r.dz, r.dy, r.dx) for r in found.collect()}
+    assert got == {k: tuple(map(float, kernels.correlation_shift(volumes[k // 5 * 5], v))) for k, v in volumes.items()}
+
+
+def test_the_blob_that_all_pairs_share_is_not_joined(spark):
+    """Its spectrum is a product of three lines: as tiles it was one key of a join for all pairs."""
+    rng, shape = np.random.default_rng(9), (5, 6, 7)
+    volumes = {k: rng.random(shape) for k in range(4)}
+    rows = [(k, z, y, x, float(v[z, y, x])) for k, v in volumes.items() for z, y, x in np.ndindex(shape)]
+    cut = tiles.from_voxels(spark.createDataFrame(rows, "id long, z long, y long, x long, v double"), "id", shape, (3, 4, 4))
+    pairs = spark.createDataFrame([(k, 0, k) for k in volumes], "pair long, reference long, moving long")
+    for block in (tiles.BLOCK, 5 * 4 * 16 * 2):  # one block, and several of two rows each
+        tiles.BLOCK, before = block, tiles.BLOCK
+        try:
+            found = tiles.surfaces(cut, pairs, "id", shape, profiles=tiles.blob_profiles(shape, 3.0))
+            got = {r["pair"]: r["greatest"] for r in found.groupBy("pair").agg({"greatest": "max"}).withColumnRenamed("max(greatest)", "greatest").collect()}
+        finally:
+            tiles.BLOCK = before
+        for k, v in volumes.items():
+            assert abs(got[k] - kernels.correlation(kernels.centered_blob(shape, 3.0), v).max()) < 1e-9
+    assert _plan(found.select("pair")).split("== Physical Plan ==")[1].count("Join") == 1

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import give_back, slices  # noqa: F401
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -69,21 +67,6 @@ def utf8(column: str = "text") -> Column:
     return text_or_empty(column).cast("binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that Python objects of few rows live at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    give_back()
-
-
-def give_back() -> None:
-    """Hand memory that was freed back to the system, where its C library can: a Python worker goes on to other tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def file_bytes(path: str) -> bytes:
     """A tokenizer file, read on the driver; callers broadcast it (a few MB)."""
     with open(os.fspath(path), "rb") as f:

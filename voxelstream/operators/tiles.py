@@ -18,10 +18,10 @@ No group holds more than a plane, a block of rows (about BLOCK bytes) or a tile
 from __future__ import annotations
 
 import itertools
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import kernels
+from ..functions.batches import give_back, slices
 from ..sources.shared import stored
 from . import stats
 
@@ -36,6 +37,7 @@ Shape = tuple[int, int, int]
 
 BLOCK = 32 << 20  # bytes of complex numbers of one volume that meet in one group
 SENT = 16 << 20  # bytes that a task gathers before it sends them on
+OBJECT = 48  # bytes that a Python value takes beside its data
 STARTS, SIZES = ("z0", "y0", "x0"), ("nz", "ny", "nx")
 
 
@@ -71,42 +73,97 @@ def _array(row) -> np.ndarray:
     return np.asarray(row.voxels, np.float64).reshape(row.nz, row.ny, row.nx)
 
 
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[list]:
+    """Python values of columns; lists of numbers as arrays."""
+    out = []
+    for name in names:
+        column = batch.column(name)
+        if pa.types.is_list(column.type):
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            out.append([flat[a:b] for a, b in itertools.pairwise(ends)])
+        elif column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+            out.append(column.to_numpy().tolist())
+        else:
+            out.append(column.to_pylist())
+    return out
+
+
+def _sent(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, sent on when they hold about SENT bytes."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(OBJECT + (x.nbytes if isinstance(x, np.ndarray) else len(x) if isinstance(x, bytes) else 0) for x in row)
+        if size > SENT:
+            yield batch(held)
+            held, size = [], 0
+    yield batch(held)
+    del held
+    give_back()
+
+
 def _over_rows(tiles: DataFrame, columns: list[str], schema: StructType, of_row: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
-    """The rows that ``of_row`` makes of each row, sent on when they hold about SENT bytes."""
-    names = schema.names
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                for out in of_row(row):
-                    rows.append(out)
-                    held += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) if isinstance(x, bytes) else 8 for x in out)
-                    if held > SENT:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-        yield pd.DataFrame(rows, columns=names)
-
-    return tiles.select(*columns).mapInPandas(run, schema)
-
-
-def _over_groups(rows: DataFrame, keys: list[str], schema: StructType, of_group: Callable[[pa.Table], list[tuple]]) -> DataFrame:
-    """The rows that ``of_group`` makes of each group of rows with equal keys."""
+    """The rows that ``of_row`` makes of each row."""
     arrow = to_arrow_schema(schema)
 
-    def run(group: pa.Table) -> pa.Table:
-        columns = zip(*of_group(group), strict=True)
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_type = namedtuple("Row", columns, rename=True)
+        rows = (out for batch in slices(batches) for row in zip(*_columns(batch, columns), strict=True) for out in of_row(row_type(*row)))
+        return _sent(rows, arrow)
+
+    return tiles.select(*columns).mapInArrow(run, schema)
+
+
+Group = dict[str, list]
 
-    return rows.groupBy(*keys).applyInArrow(run, schema)
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[Group]:
+    """Rows of sorted batches by equal keys: one group is held, and few rows of the Arrow batch beside it."""
+    known, held = None, [[] for _ in names]
+    for batch in slices(batches, 64):
+        columns = _columns(batch, names)
+        marks = list(zip(*columns[: len(keys)], strict=True))
+        at = 0
+        while at < len(marks):
+            if marks[at] != known:
+                if held[0]:
+                    yield dict(zip(names, held, strict=True))
+                known, held = marks[at], [[] for _ in names]
+            end = at + 1
+            while end < len(marks) and marks[end] == known:
+                end += 1
+            for own, column in zip(held, columns, strict=True):
+                own += column[at:end]
+            at = end
+    if held[0]:
+        yield dict(zip(names, held, strict=True))
+
+
+def _over_groups(rows: DataFrame, keys: list[str], schema: StructType, of_group: Callable[[Group], list[tuple]]) -> DataFrame:
+    """The rows that ``of_group`` makes of each group of rows with equal keys.
+
+    Rows are dealt and sorted by key, and a task goes through its groups in one stream: small volumes make many of them,
+    and Spark's own calls for each group took most of their time.
+    """
+    arrow, names = to_arrow_schema(schema), [*keys, *(c for c in rows.columns if c not in keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent((out for group in _groups(batches, keys, names) for out in of_group(group)), arrow)
 
-def _first(group: pa.Table, *names: str) -> list:
-    return [group.column(n)[0].as_py() for n in names]
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _lists(group: pa.Table, *names: str) -> list[list]:
-    return [group.column(n).to_pylist() for n in names]
+def _first(group: Group, *names: str) -> list:
+    return [group[n][0] for n in names]
+
+
+def _lists(group: Group, *names: str) -> list[list]:
+    return [group[n] for n in names]
 
 
 # --- correlation -----------------------------------------------------------------------------------------
@@ -122,7 +179,7 @@ def _plane_pieces(tiles: DataFrame, key: str) -> DataFrame:
     return _over_rows(tiles, [key, *STARTS, *SIZES, "voxels"], _schema(tiles, key, "z int, y0 int, x0 int, ny int, nx int, data binary"), pieces)
 
 
-def _put_together(group: pa.Table, shape: tuple[int, int]) -> np.ndarray:
+def _put_together(group: Group, shape: tuple[int, int]) -> np.ndarray:
     plane = np.full(shape, np.nan)
     for y, x, ny, nx, data in zip(*_lists(group, "y0", "x0", "ny", "nx", "data"), strict=True):
         plane[y : y + ny, x : x + nx] = np.frombuffer(data).reshape(ny, nx)
@@ -142,7 +199,7 @@ def spectra(tiles: DataFrame, key: str, shape: Shape, padded: Shape) -> DataFram
     source = kernels.match_shape(np.arange(shape[0]), (depth,))
     rows = max(1, BLOCK // (depth * (width // 2 + 1) * 16))
 
-    def transform(group: pa.Table) -> list[tuple]:
+    def transform(group: Group) -> list[tuple]:
         number, z = _first(group, key, "z")
         spectrum = np.fft.rfft2(kernels.match_shape(_put_together(group, shape[1:]), (height, width)))
         cuts = [(at // rows, spectrum[at : at + rows].tobytes()) for at in range(0, height, rows)]
@@ -157,30 +214,41 @@ def spectra(tiles: DataFrame, key: str, shape: Shape, padded: Shape) -> DataFram
 SURFACE = "plane int, greatest double, least double, total double, at long"
 
 
-def surfaces(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum_shift: float = 1.0, normalize: str = "none") -> DataFrame:
+Profiles = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def surfaces(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum_shift: float = 1.0, normalize: str = "none", profiles: Profiles | None = None) -> DataFrame:
     """A row for each pair (pair, reference, moving: keys of tiles) and plane of its correlation surface.
 
     The surface has the zero shift in the middle; ``at`` is the first place of the plane's greatest value in it.
+    ``profiles`` along z, y and x are given where one product of them is the reference of all pairs: its spectrum is the
+    product of theirs, which each group makes for its own block, and no volume of it is moved.
     """
     if normalize not in ("none", "magnitude"):
         raise ValueError(f"unknown normalization {normalize!r}")
     depth, height, width = padded = padded_shape(shape, maximum_shift)
     half = width // 2 + 1
     blocks = spectra(tiles, key, shape, padded)
-    sides = [pairs.select("pair", F.col(c).alias(key)).join(blocks, key).select("pair", F.lit(k).alias("side"), "zp", "block", "data") for k, c in enumerate(("reference", "moving"))]
+    sides = {k: pairs.select("pair", F.col(c).alias(key)).join(blocks, key).select("pair", F.lit(k).alias("side"), "zp", "block", "data") for k, c in enumerate(("reference", "moving")) if k or profiles is None}
+    rows = max(1, BLOCK // (depth * half * 16))
+    lines = profiles and [f(kernels.match_shape(p, (n,))) for f, p, n in zip((np.fft.fft, np.fft.fft, np.fft.rfft), profiles, padded, strict=True)]
 
-    def along_z(group: pa.Table) -> list[tuple]:
+    def along_z(group: Group) -> list[tuple]:
         pair, block = _first(group, "pair", "block")
         both: dict[int, list] = {0: [None] * depth, 1: [None] * depth}
         for side, zp, data in zip(*_lists(group, "side", "zp", "data"), strict=True):
             both[side][zp] = np.frombuffer(data, np.complex128)
-        reference, moving = (np.fft.fft(np.stack(both[side]), axis=0) for side in (0, 1))
+        moving = np.fft.fft(np.stack(both[1]), axis=0)
+        if lines is None:
+            reference = np.fft.fft(np.stack(both[0]), axis=0)
+        else:
+            reference = np.einsum("z,y,x->zyx", lines[0], lines[1][block * rows : (block + 1) * rows], lines[2]).reshape(moving.shape)
         product = reference * np.conj(moving)
         if normalize == "magnitude":
             product /= np.maximum(np.abs(product), np.finfo(np.float32).eps)
         return [(pair, zp, block, plane.tobytes()) for zp, plane in enumerate(np.fft.ifft(product, axis=0))]
 
-    def peak(group: pa.Table) -> list[tuple]:
+    def peak(group: Group) -> list[tuple]:
         pair, zp = _first(group, "pair", "zp")
         parts = dict(zip(*_lists(group, "block", "data"), strict=True))
         spectrum = np.concatenate([np.frombuffer(parts[k], np.complex128) for k in sorted(parts)]).reshape(height, half)
@@ -189,14 +257,14 @@ def surfaces(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum
         first = int(np.argmax(np.round(plane, 9)))
         return [(pair, place, float(plane.max()), float(plane.min()), float(plane.sum()), place * height * width + first)]
 
-    met = _over_groups(sides[0].unionByName(sides[1]), ["pair", "block"], _schema(pairs, "pair", "zp int, block int, data binary"), along_z)
+    met = _over_groups(sides[1] if profiles else sides[0].unionByName(sides[1]), ["pair", "block"], _schema(pairs, "pair", "zp int, block int, data binary"), along_z)
     return _over_groups(met, ["pair", "zp"], _schema(pairs, "pair", SURFACE), peak)
 
 
-def shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum_shift: float = 1.0, normalize: str = "none") -> DataFrame:
+def shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, maximum_shift: float = 1.0, normalize: str = "none", profiles: Profiles | None = None) -> DataFrame:
     """pair, dz, dy, dx: pixels by which the moving volume lies beyond its reference; the first of equal peaks."""
     depth, height, width = padded_shape(shape, maximum_shift)
-    best = surfaces(tiles, pairs, key, shape, maximum_shift, normalize).groupBy("pair").agg(F.max(F.struct(F.round("greatest", 9).alias("v"), (-F.col("at")).alias("at"))).alias("_best"))
+    best = surfaces(tiles, pairs, key, shape, maximum_shift, normalize, profiles).groupBy("pair").agg(F.max(F.struct(F.round("greatest", 9).alias("v"), (-F.col("at")).alias("at"))).alias("_best"))
     at = -F.col("_best.at")
     place = (F.floor(at / F.lit(height * width)), F.floor(F.pmod(at, F.lit(height * width)) / F.lit(width)), F.pmod(at, F.lit(width)))
     return best.select("pair", *[(F.lit(n // 2) - p).cast("double").alias(f"d{a}") for a, n, p in zip("zyx", (depth, height, width), place, strict=True)])
@@ -213,7 +281,7 @@ def inverse_filtered(tiles: DataFrame, key: str, shape: Shape, transfer: Callabl
     rows = max(1, BLOCK // (depth * half * 16))
     z, y, x = np.fft.fftfreq(depth)[:, None, None], np.fft.fftfreq(height)[None, :, None], np.fft.rfftfreq(width)[None, None, :]
 
-    def divide(group: pa.Table) -> list[tuple]:
+    def divide(group: Group) -> list[tuple]:
         number, block = _first(group, key, "block")
         planes = dict(zip(*_lists(group, "zp", "data"), strict=True))
         spectrum = np.fft.fft(np.stack([np.frombuffer(planes[k], np.complex128).reshape(-1, half) for k in range(depth)]), axis=0)
@@ -221,7 +289,7 @@ def inverse_filtered(tiles: DataFrame, key: str, shape: Shape, transfer: Callabl
         back = np.fft.ifft(spectrum * np.conj(h) / (np.abs(h) ** 2 + regularization), axis=0)
         return [(number, k, block, plane.tobytes()) for k, plane in enumerate(back)]
 
-    def plane(group: pa.Table) -> list[tuple]:
+    def plane(group: Group) -> list[tuple]:
         number, k = _first(group, key, "zp")
         parts = dict(zip(*_lists(group, "block", "data"), strict=True))
         spectrum = np.concatenate([np.frombuffer(parts[b], np.complex128) for b in sorted(parts)]).reshape(height, half)
@@ -259,11 +327,11 @@ def _along(tiles: DataFrame, key: str, n: int, step: int, axis: int, sigma: floa
             part = np.take(block, lines - own[start], axis=axis)
             yield (row[0], *({**own, start: target}[c] for c in STARTS), *sizes.values(), lines.astype(np.int64).tobytes(), part.tobytes())
 
-    def meet(group: pa.Table) -> list[tuple]:
+    def meet(group: Group) -> list[tuple]:
         number, *place_of = _first(group, key, *STARTS, *SIZES)
         begin, shape = place_of[axis], place_of[3:]
-        lines = [np.frombuffer(x, np.int64) for x in group.column("lines").to_pylist()]
-        parts = [np.frombuffer(x).reshape([len(own) if a == axis else m for a, m in enumerate(shape)]) for own, x in zip(lines, group.column("data").to_pylist(), strict=True)]
+        lines = [np.frombuffer(x, np.int64) for x in group["lines"]]
+        parts = [np.frombuffer(x).reshape([len(own) if a == axis else m for a, m in enumerate(shape)]) for own, x in zip(lines, group["data"], strict=True)]
         place = np.empty(n, np.int64)
         place[np.concatenate(lines)] = np.arange(sum(map(len, lines)))
         wide = np.take(np.concatenate(parts, axis=axis), place[reflected(np.arange(begin - radius, begin + shape[axis] + radius), n)], axis=axis)
@@ -305,10 +373,10 @@ def histogram(tiles: DataFrame, key: str, bins: int = 256) -> DataFrame:
 def thresholds(h: DataFrame, key: str, bins: int = 256) -> DataFrame:
     """key, low, high: two Otsu thresholds of each volume's ``histogram``; a group holds at most ``bins`` rows."""
 
-    def cut(group: pa.Table) -> list[tuple]:
+    def cut(group: Group) -> list[tuple]:
         number, low, high = _first(group, key, "lo", "hi")
         counts = np.zeros(bins)
-        counts[group.column("bin").to_numpy()] = group.column("n").to_numpy()
+        counts[group["bin"]] = group["n"]
         return [(number, *(kernels.otsu_of_counts(counts, low, high) if low < high else (low, low)))]
 
     return _over_groups(h, [key], _schema(h, key, "low double, high double"), cut)
@@ -357,23 +425,9 @@ def intensity_centers(tiles: DataFrame, key: str, shape: Shape, background: Data
     return _tile_sums(based, key, above).select(key, *[at(a, n) for a, n in zip("zyx", shape, strict=True)])
 
 
-BLOB = -1  # key of the blob's tiles
-
-
-def centered_blob(tiles: DataFrame, key: str, shape: Shape, tile: Shape, sigma: float) -> DataFrame:
-    """Tiles, like the given ones, of a Gaussian blob about the middle of a volume; their key is BLOB."""
-    grid = [-(-n // t) for n, t in zip(shape, tile, strict=True)]
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for number in frame["id"]:
-                starts = [int(k) * t for k, t in zip(np.unravel_index(int(number), grid), tile, strict=True)]
-                sizes = [min(t, n - s) for s, t, n in zip(starts, tile, shape, strict=True)]
-                parts = [np.exp(-0.5 * ((np.arange(s, s + m) - (n - 1) / 2) / sigma) ** 2) for s, m, n in zip(starts, sizes, shape, strict=True)]
-                yield pd.DataFrame([(*starts, *sizes, np.einsum("z,y,x->zyx", *parts).ravel())], columns=[*STARTS, *SIZES, "voxels"])
-
-    cells = tiles.sparkSession.range(int(np.prod(grid))).mapInPandas(fill, TILE)
-    return cells.select(F.lit(BLOB).cast(_key_type(tiles, key)).alias(key), *STARTS, *SIZES, "voxels")
+def blob_profiles(shape: Shape, sigma: float) -> Profiles:
+    """Along z, y and x: what a Gaussian blob about the middle of a volume is the product of."""
+    return tuple(np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2) for n in shape)
 
 
 def settings_shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape, tile: Shape, tracking: dict) -> DataFrame:
@@ -390,9 +444,7 @@ def settings_shifts(tiles: DataFrame, pairs: DataFrame, key: str, shape: Shape,
         both = pairs.join(sides[0], "reference").join(sides[1], "moving")
         return both.select("pair", *[(F.col(f"moving_{a}") - F.col(f"reference_{a}")).alias(f"d{a}") for a in "zyx"])
     if method == "roi_center_pcc":
-        blob = centered_blob(tiles, key, shape, tile, roi["blob_sigma"])
-        number = F.lit(BLOB).cast(_key_type(tiles, key))
-        return shifts(tiles.unionByName(blob), pairs.withColumn("reference", number), key, shape, maximum)
+        return shifts(tiles, pairs, key, shape, maximum, profiles=blob_profiles(shape, roi["blob_sigma"]))
     if method != "intensity_center_of_mass":
         raise ValueError(f"unknown tracking method {method!r}")
     soft = stored(blurred(tiles, key, shape, tile, roi["blur_sigma"]), "soft-tiles")
@@ -450,7 +502,7 @@ def windowed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, window: Shap
         for start, cut in meets(begin, list(block.shape), [list(s) for s in shares], extent):
             yield row[0], *start, *(c.start for c in cut), *(c.stop - c.start for c in cut), block[moved(cut, begin)].tobytes()
 
-    def filled(group: pa.Table, begin: list[int], size: list[int], add: bool) -> np.ndarray:
+    def filled(group: Group, begin: list[int], size: list[int], add: bool) -> np.ndarray:
         out = np.zeros(size) if add else np.full(size, np.nan)
         for *place, data in zip(*_lists(group, "oz", "oy", "ox", "lz", "ly", "lx", "data"), strict=True):
             at = moved([slice(o, o + m) for o, m in zip(place[:3], place[3:], strict=True)], begin)
@@ -459,7 +511,7 @@ def windowed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, window: Shap
             raise ValueError("a window lacks voxels")
         return out
 
-    def apply(group: pa.Table) -> list[tuple]:
+    def apply(group: Group) -> list[tuple]:
         number, *start = _first(group, key, "wz", "wy", "wx")
         weight = np.einsum("z,y,x->zyx", *(own[s] for own, s in zip(shares, start, strict=True)))
         out = []
@@ -470,7 +522,7 @@ def windowed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, window: Shap
                 out.append((number, channel, *corner, *(c.start for c in cut), *(c.stop - c.start for c in cut), (made * weight)[moved(cut, start)].tobytes()))
         return out
 
-    def blend(group: pa.Table) -> list[tuple]:
+    def blend(group: Group) -> list[tuple]:
         number, channel, *corner = _first(group, key, "channel", *STARTS)
         size = [min(t, n - c) for t, n, c in zip(tile, shape, corner, strict=True)]
         return [(number, channel, *corner, *size, filled(group, corner, size, True).ravel())]
@@ -546,13 +598,12 @@ def deskewed(tiles: DataFrame, key: str, shape: Shape, tile: Shape, angle_degree
                     if part.any():
                         yield row[0], h0, a0, x0, 0, a - a0, x - x0, *part.shape, part.tobytes()
 
-    def summed(group: pa.Table) -> list[tuple]:
+    def summed(group: Group) -> list[tuple]:
         number, *corner = _first(group, key, *STARTS)
         size = [min(t, n - c) for t, n, c in zip(tile, out_shape, corner, strict=True)]
         out = np.zeros(size)
-        for oz, oy, ox, lz, ly, lx, data in zip(*(group.column(n) for n in ("oz", "oy", "ox", "lz", "ly", "lx", "data")), strict=True):
-            (z, y, x), (nz, ny, nx) = ([v.as_py() for v in at] for at in ((oz, oy, ox), (lz, ly, lx)))
-            out[z : z + nz, y : y + ny, x : x + nx] += np.frombuffer(data.as_py()).reshape(nz, ny, nx)
+        for z, y, x, nz, ny, nx, data in zip(*_lists(group, "oz", "oy", "ox", "lz", "ly", "lx", "data"), strict=True):
+            out[z : z + nz, y : y + ny, x : x + nx] += np.frombuffer(data).reshape(nz, ny, nx)
         return [(number, *corner, *size, out.ravel())]
 
     part = "oz int, oy int, ox int, lz int, ly int, lx int, data binary"
