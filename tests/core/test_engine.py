@@ -294,3 +294,34 @@ def test_time_plans(spark):
     rows = [("a", 2.0, 3, None), ("b", 2.0, None, 5.0), ("c", 2.0, None, 4.0), ("d", 0.0, None, 4.0), ("e", 0.0, 2, None), ("f", 1.0, None, None), ("g", 1.0, 2, 2.0), ("h", 1.0, 0, None)]
     got = expand.time_plans(spark.createDataFrame(rows, "k string, i double, n int, d double"), "i", "n", "d").collect()
     assert sorted((r["k"], r["t"], r["start_s"]) for r in got) == [*[(k, t, 2.0 * t) for k in "abc" for t in range(3)], ("e", 0, 0.0), ("e", 1, 0.0)]
+
+
+def test_a_live_view_comes_in_parts_in_order(spark, monkeypatch):
+    """A camera's whole stream was one group of one micro-batch, all of it Python objects."""
+    import duckdb
+    from voxelstream.plans import lens_queries
+    from voxelstream.streaming import assemble
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(lens_queries, "BATCH", 150)
+    monkeypatch.setattr(assemble, "ROWS", 7)
+    stream = lens_queries._streamed_in_order(spark, lens_queries.lens.frames(spark, folder).select("c", "seq", "p", "t", "z"), "seq", "frames")
+    seen = []
+
+    def note(batch, number):
+        seen.append(tuple(batch.selectExpr("min(seq)", "max(seq)", "count(*)").first()))
+
+    stream.writeStream.foreachBatch(note).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) > 4 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False)) and sum(n for *_, n in seen) == 1000
+    got = lens_queries.QUERIES["stream_live"](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({lens_queries.ORACLE_SQL['stream_live']})").fetchall())
+
+
+def test_rows_of_a_group_are_ordered_over_its_batches():
+    import pandas as pd
+    from voxelstream.streaming import assemble
+
+    parts = [pd.DataFrame({"p": 1, "seq": [5, 2], "v": [0.5, 0.2]}), pd.DataFrame({"p": 1, "seq": [3], "v": [0.3]})]
+    assert [c.tolist() for c in assemble._ordered(iter(parts), "seq", ["seq", "v"])] == [[2, 3, 5], [0.2, 0.3, 0.5]]

@@ -17,7 +17,7 @@ from ..operators import control, exposure, register, ring, stats, tiles, track
 from ..sources import frames as fr
 from ..sources import lens, sinks, store
 from ..sources.lens import N_Z, SIDE, table
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from ..streaming import assemble, positions
 from . import expand
 from .config import checked
@@ -689,6 +689,25 @@ def _streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
+BATCH = 1 << 20  # rows of a micro-batch, about
+
+
+def _streamed_in_order(spark: SparkSession, rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The same in micro-batches of about BATCH rows, by ranges of ``order``: a key that holds much comes in many parts.
+
+    The file source takes files by their time, which a job's tasks leave open: files get theirs by number.
+    """
+    rows = stored(rows, f"{name}-rows")
+    path = shared_path(spark, name)
+    rows.repartitionByRange(-(-rows.count() // BATCH) or 1, order).write.option("maxRecordsPerFile", 0).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, file in enumerate(found):
+        files.setTimes(file, 1_000_000_000_000 + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(path)
+
+
 @_query(STACKS_SQL + ">= 4")
 def stream_stacks(spark, sf_dir):
     """The same stacks as ``stack_complete``, assembled by the stream."""
@@ -725,7 +744,7 @@ def stream_track(spark, sf_dir):
     from m join g using (c, p, t, first) left join g d on d.c = m.c and d.first = m.arrival - 16""")
 def stream_live(spark, sf_dir):
     """What the live view's stream makes of each arrival: whether its volume is whole, and whether it drops another."""
-    stream = _streamed(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "frames")
+    stream = _streamed_in_order(spark, lens.frames(spark, sf_dir).select("c", "seq", "p", "t", "z"), "seq", "frames")
     found = _run_stream(spark, assemble.live_view(stream, SLOTS, N_Z), assemble.LIVE)
     return found.withColumn("evicted", F.col("evicted").cast("int"))
 

@@ -24,6 +24,14 @@ def _timeout(ttl_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
+def _ordered(batches: Iterator[pd.DataFrame], order: str, columns: list[str]) -> list[np.ndarray]:
+    """Columns of all rows of a group, in order: a group has few rows, and pandas' own calls cost more than they hold."""
+    parts = [[b[c].to_numpy() for c in columns] for b in batches]
+    whole = [np.concatenate(c) for c in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+    place = np.argsort(whole[columns.index(order)], kind="stable")
+    return [c[place] for c in whole]
+
+
 NO_LIMIT = GroupStateTimeout.NoTimeout
 STACK = "p long, c string, stack long, n int, arrivals array<long>, values array<double>"
 
@@ -36,15 +44,15 @@ def stacks(frames: DataFrame, n_z: int, ttl_ms: int | None = 3_600_000) -> DataF
             state.update((state.get[0], [], []))
             return
         stack, seqs, values = state.get if state.exists else (0, [], [])
-        rows = pd.concat(list(batches)).sort_values("seq")
-        seqs, values, out = [*seqs, *rows["seq"]], [*values, *rows["v"]], []
-        while len(seqs) >= n_z:
-            out.append((*key, stack, n_z, seqs[:n_z], values[:n_z]))
-            stack, seqs, values = stack + 1, seqs[n_z:], values[n_z:]
-        state.update((stack, [int(s) for s in seqs], [float(v) for v in values]))
-        if ttl_ms is not None and seqs:
+        seqs, values = ([*held, *new.tolist()] for held, new in zip((seqs, values), _ordered(batches, "seq", ["seq", "v"]), strict=True))
+        n = len(seqs) // n_z
+        cuts = [slice(k * n_z, (k + 1) * n_z) for k in range(n)]
+        state.update((stack + n, seqs[n * n_z :], values[n * n_z :]))
+        if ttl_ms is not None and len(seqs) > n * n_z:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["p", "c", "stack", "n", "arrivals", "values"])
+        if n:
+            p, c = key
+            yield pd.DataFrame({"p": p, "c": c, "stack": range(stack, stack + n), "n": n_z, "arrivals": [seqs[k] for k in cuts], "values": [values[k] for k in cuts]})
 
     return frames.groupBy("p", "c").applyInPandasWithState(
         collect, STACK, "stack long, seqs array<long>, vals array<double>", "append", _timeout(ttl_ms)
@@ -97,6 +105,7 @@ def tracked(volumes: DataFrame, tracking: dict, scale: dict[str, float], start:
     return volumes.groupBy("p").applyInPandasWithState(follow, TRACK, kept, "append", NO_LIMIT)
 
 
+ROWS = 1 << 15  # rows of a live view that are Python objects at a time
 LIVE = "c string, arrival long, p long, t long, complete boolean, evicted long"
 
 
@@ -116,22 +125,26 @@ def live_view(frames: DataFrame, n_slots: int, n_z: int) -> DataFrame:
             ring[slot] = (p, t, z)
             whole.setdefault((p, t), {})[slot] = z
         kinds = {v: Counter(s.values()) for v, s in whole.items()}
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            slot, volume, evicted = count % n_slots, (int(row.p), int(row.t)), 0
+        columns, out = ["c", "arrival", "p", "t", "complete", "evicted"], []
+        _, *fields = _ordered(batches, "seq", ["seq", "p", "t", "z"])
+        for p, t, z in (row for at in range(0, len(fields[0]), ROWS) for row in zip(*(f[at : at + ROWS].tolist() for f in fields), strict=True)):
+            slot, volume, evicted = count % n_slots, (p, t), 0
             if slot in ring:
                 old, evicted = ring[slot][:2], 1
                 for s in whole.pop(old):
                     del ring[s]
                 del kinds[old]
-            ring[slot] = (*volume, int(row.z))
-            whole.setdefault(volume, {})[slot] = int(row.z)
-            kinds.setdefault(volume, Counter())[int(row.z)] += 1
+            ring[slot] = (*volume, z)
+            whole.setdefault(volume, {})[slot] = z
+            kinds.setdefault(volume, Counter())[z] += 1
             out.append((key[0], count, *volume, len(kinds[volume]) >= n_z, evicted))
             count += 1
-        columns = list(zip(*((s, *f) for s, f in ring.items()), strict=True)) or [(), (), (), ()]
-        state.update((count, *map(list, columns)))
-        yield pd.DataFrame(out, columns=["c", "arrival", "p", "t", "complete", "evicted"])
+            if len(out) == ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        held = list(zip(*((s, *f) for s, f in ring.items()), strict=True)) or [(), (), (), ()]
+        state.update((count, *map(list, held)))
+        yield pd.DataFrame(out, columns=columns)
 
     return frames.groupBy("c").applyInPandasWithState(
         view, LIVE, "count long, slot array<long>, p array<long>, t array<long>, z array<long>", "append", NO_LIMIT
