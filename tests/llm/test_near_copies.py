@@ -54,3 +54,25 @@ def test_similar_sets_meet_by_prefix():
         b = np.unique(np.append(rng.permutation(a)[: rng.integers(len(a) * 4 // 5, len(a) + 1)], rng.integers(0, 400, rng.integers(1, 5), dtype=np.uint64)))
         if near_copies.similar(a, b):
             assert len(np.intersect1d(near_copies.prefix(a, levels), near_copies.prefix(b, levels)))
+
+
+def test_pairs_of_far_sets_are_told_by_their_parities():
+    """Sets of one shared token that differ widely were all paired: the square of their number."""
+    import numpy as np
+    import pyarrow as pa
+    from voxelstream.llm import near_copies
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:60], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])) for _ in range(60)]
+    close = [np.unique(np.concatenate([s[:94], rng.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2)])) for s in sets]
+    rows = [*sets, *close]
+    assert all(map(near_copies.similar, sets, close)) and not near_copies.similar(sets[0], sets[1])
+    odd = np.array([near_copies.parities(s) for s in rows]).T
+    number = np.arange(len(rows))
+    columns = [np.zeros(len(rows), np.int64), number, np.full(len(rows), 100, np.int32), np.zeros(len(rows), np.int32), number, *odd]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "at", "root", *near_copies.PARITIES])
+    pairs = {(a, b) for out in near_copies._pair_rows(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert {(k, k + 60) for k in range(60)} <= pairs and len(pairs) < 300  # of 7,140
+    for a, b in ((a, b) for a in range(120) for b in range(a + 1, 120)):
+        assert not near_copies.similar(rows[a], rows[b]) or (a, b) in pairs

@@ -63,6 +63,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """256 bits, in four numbers: whether a set has an odd number of shingles in each of as many slots.
+
+    Two sets' bits differ in no more places than the sets do, so bits that differ in over a ninth of both sizes tell
+    sets that are not similar.
+    """
+    odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def shingle_levels(docs: DataFrame) -> np.ndarray:
     """How many binary digits the number of sets has that hold a shingle of each slot."""
     schema = "chunk int, counts binary"
@@ -99,11 +109,12 @@ def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return found[order[: n - (4 * n + 4) // 5 + 1]]
 
 
-SETS = "doc_id long, hash long, key long, fp long, n int, prefix binary"
+PARITIES = [f"odd{k}" for k in range(4)]
+SETS = "doc_id long, hash long, key long, fp long, n int, prefix binary, " + ", ".join(f"{c} long" for c in PARITIES)
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """A row for each document, written once; ``key`` is a hash of its set and ``fp`` its fingerprint."""
+    """A row for each document, written once; ``key`` is a hash of its set, ``fp`` its fingerprint; ``parities`` tell far sets."""
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,8 @@ def shingled(docs: DataFrame) -> DataFrame:
             keys, prints = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxhash.xxh3_64_intdigest(s.tobytes()), lambda s: majority(iter([s]))))
             firsts = [prefix(s, levels.value).tobytes() for s in sets]
             columns = [batch.column("doc_id"), batch.column("hash"), pa.array(keys), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "key", "fp", "n", "prefix"])
+            columns += [pa.array(c) for c in np.array([parities(s) for s in sets], np.int64).reshape(-1, 4).T]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "key", "fp", "n", "prefix", *PARITIES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8()).alias("hash"), utf8().alias("text"))
     return materialize(rows.mapInArrow(compute, SETS), "shingled")
@@ -202,12 +214,12 @@ def _again_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, key, n, at, root) in order of token and size -> pairs of different roots that can be similar."""
-    for token, key, n, at, root in _whole_groups(batches):
+    """Rows (token, key, n, at, root, parities) in order of token and size -> pairs of different roots that can be similar."""
+    for token, key, n, at, root, *odd in _whole_groups(batches):
         begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         mixed = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
         some = np.repeat(mixed, np.diff(np.append(begins, len(token))))
-        token, key, root = token[some], key[some], root[some]
+        token, key, root, bits = token[some], key[some], root[some], np.stack(odd, axis=1)[some].view(np.uint64)
         n, at, i, step = n[some].astype(np.int64), at[some].astype(np.int64), np.arange(int(some.sum())), 0
         while len(i):
             step += 1
@@ -215,6 +227,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = i[(token[i] == token[i + step]) & (5 * n[i] >= 4 * n[i + step])]
             apart = root[i] != root[i + step]
             near = i[apart][_partners(n, at, i[apart], i[apart] + step)]
+            near = near[9 * np.bitwise_count(bits[near] ^ bits[near + step]).sum(axis=1, dtype=np.int64) <= n[near] + n[near + step]]
             if len(near):
                 a, b = key[near], key[near + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -251,7 +264,7 @@ def fingerprint_links(sets: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(node, root) of the keys that have similar ones."""
-    sets = found.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"))
+    sets = found.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in PARITIES])
     tokens = sets.select("key", "n", "prefix").mapInArrow(_token_rows, TOKEN)
     ordered = tokens.repartition("token").sortWithinPartitions("token")
     shared = materialize(ordered.mapInArrow(_shared_rows, f"{TOKEN}, before long"), "shared-shingles")
@@ -266,8 +279,9 @@ def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
         both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(_similar_rows, "a long, b long"), name)
 
-    def rooted(stars: DataFrame) -> DataFrame:
+    def rooted(stars: DataFrame, more: DataFrame | None = None) -> DataFrame:
         own = shared.join(stars, shared.key == stars.node, "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+        own = own if more is None else own.join(more, "key").select(*own.columns, *PARITIES)
         return own.repartition("token").sortWithinPartitions("token", "n", "key")
 
     def linked(stars: DataFrame, links: DataFrame) -> DataFrame:
@@ -276,7 +290,7 @@ def similar_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
     stars = materialize(connected_components(verified(first, "first-links")), "first-roots")
     again = materialize(rooted(stars).mapInArrow(_again_rows, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     stars = materialize(linked(stars, verified(again, "second-links")), "second-roots")
-    others = rooted(stars).mapInArrow(_pair_rows, "a long, b long").distinct()
+    others = rooted(stars, sets.select("key", *PARITIES)).mapInArrow(_pair_rows, "a long, b long").distinct()
     return linked(stars, verified(others.join(first.unionByName(again), ["a", "b"], "left_anti"), "others"))
 
 
