@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -155,3 +156,40 @@ def test_tables_share_a_cache(spark, docs, rows, tmp_path, monkeypatch):
     other = token_counts.token_counts(more, file, cache).collect()
     assert seen == [sorted({t or "" for _, t in rows}), [], ["not yet seen"]]
     assert sorted(map(str, first)) == sorted(map(str, again)) and len(other) == 9 and {r["n_tokens"] for r in other[-4:]} != {0}
+
+
+def test_distinct_words_cost_no_python():
+    """Words go to the library's model many at a time, not one by one."""
+    from voxelstream.llm.tokenizing import LibraryTokenizer
+
+    own, rng, calls = LibraryTokenizer(open(JSON, "rb").read()), random.Random(6), [0]
+    own.encode(pa.array(["first"]))
+    words = ["".join(rng.choices("etaoinshé", k=7)) for _ in range(20_000)]
+    texts = pa.array([" ".join(words[k : k + 100]) + "." for k in range(0, len(words), 100)])
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        flat, sizes = own.encode(texts)
+    finally:
+        sys.setprofile(None)
+    library = Tokenizer.from_file(JSON)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+    assert calls[0] < len(words) / 4
+
+
+@pytest.mark.parametrize("cut", [20, 1 << 20])
+def test_matches_of_all_classes(monkeypatch, cut):
+    from voxelstream.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "CUT_BYTES", cut)
+    library, rng = Tokenizer.from_file(JSON), random.Random(7)
+    own = tokenizing.LibraryTokenizer(open(JSON, "rb").read())
+    texts = ["".join(rng.choices("aé's'tmdrevl1٣ \n\t\u3000\xa0-!.中😀 ", k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a{c}1{c} {c}!{c}{c}b" for c in map(chr, range(0, 0x2FFF))] + ["'", "'s", "a'r", "''s", "a'll", "<|endoftext|>", "a <|endoftext|>'s b", "", "ab" * 900]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, sizes = own.encode(pa.array(texts))
+    assert own.cuts_matches and sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]

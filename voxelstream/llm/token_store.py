@@ -25,6 +25,7 @@ from .repair import Shard, pack
 from .tokenizing import by_bytes, library_tokenizer
 
 SHARD_IDS = 1 << 19  # ids after which a shard is closed; a document is never cut
+ENCODE_BYTES = 8 << 20  # bytes of text whose distinct matches are encoded together; more of them repeat in more text
 END = 0
 SCHEMA = "part int, shard int, before long, n_ids long, payload binary"
 
@@ -44,7 +45,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, shard_ids: int
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "before", "n_ids", "payload"])
 
         size = 0
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, size=ENCODE_BYTES):
             flat, sizes = tokenizer.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 doc_ids.append(doc_id)
